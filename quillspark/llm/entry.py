@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import minhash
+from quillspark.llm import minhash, suffix
 
 
 def queries() -> dict:
-    return {"op3_minhash": minhash.op3_minhash}
+    return {"op3_minhash": minhash.op3_minhash, "op4_suffix_array": suffix.op4_suffix_array}
 
 
 def oracle_sql() -> dict[str, str]:
