@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quillspark.llm import minhash, suffix
+from quillspark.llm import langid, minhash, suffix, toxicity
 
 
 def queries() -> dict:
-    return {"op3_minhash": minhash.op3_minhash, "op4_suffix_array": suffix.op4_suffix_array}
+    return {
+        "op2_langid": langid.op2_langid,
+        "op3_minhash": minhash.op3_minhash,
+        "op4_suffix_array": suffix.op4_suffix_array,
+        "op7_toxicity": toxicity.op7_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
