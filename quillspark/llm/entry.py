@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import langid, minhash, suffix, toxicity
+from quillspark.llm import embeddings, langid, minhash, suffix, toxicity
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op2_langid": langid.op2_langid,
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_array": suffix.op4_suffix_array,
+        "op5_embeddings": embeddings.op5_embeddings,
         "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": minhash.OP3_SQL}
+    return {"op3_minhash": minhash.OP3_SQL, "op5_embeddings": embeddings.OP5_SQL}
