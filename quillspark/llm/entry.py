@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillspark.llm import embeddings, langid, minhash, suffix, toxicity
+from quillspark.llm import decontaminate, embeddings, langid, minhash, pieces, suffix, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_langid": langid.op2_langid,
         "op3_minhash": minhash.op3_minhash,
         "op4_suffix_array": suffix.op4_suffix_array,
         "op5_embeddings": embeddings.op5_embeddings,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_toxicity": toxicity.op7_toxicity,
     }
 
