@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, embeddings, langid, minhash, pieces, suffix, toxicity
+from quillspark.llm import chat, decontaminate, embeddings, html, langid, lm, minhash, pieces, suffix, toxicity
 
 
 def queries() -> dict:
@@ -14,8 +14,11 @@ def queries() -> dict:
         "op5_embeddings": embeddings.op5_embeddings,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_lm_score": lm.op8_lm_score,
+        "op9_chat": chat.op9_chat,
+        "op10_html": html.op10_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": minhash.OP3_SQL, "op5_embeddings": embeddings.OP5_SQL}
+    return {"op3_minhash": minhash.OP3_SQL, "op5_embeddings": embeddings.OP5_SQL, "op9_chat": chat.OP9_SQL}

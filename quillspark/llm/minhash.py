@@ -4,11 +4,12 @@ Every text becomes its set of five-word shingles. Equal sets fold into one class
 TREES * DEPTH min-wise hashes; order t sorts all classes by the DEPTH hashes of tree t, and neighbours in an
 order with a long common prefix are candidates. The prefix that is required (the depth) adapts to the region:
 in a thin region one common hash is enough, in a crowded one it grows with the distance in the order (LAGS).
-A pair is looked at further if a 48-byte sketch does not rule it out, and every link is confirmed on the full sets.
+A pair is looked at further if a 96-byte sketch does not rule it out, and every link is confirmed on the full sets.
 
-Links matter here only for what they connect, so candidates are taken in two rounds: first the direct neighbours
-of a few orders, which join large groups of copies; then all orders with wide windows, between texts not joined
-yet. A group of thousands of near copies thus costs a few confirmations for each member, not one for each pair.
+Links matter here only for what they connect, so candidates are taken in rounds, always between texts that are not
+joined yet: first the direct neighbours in a few orders, then for each text its likeliest partner in all orders
+(BEST_ROUNDS times), and at last every candidate of all orders. A group of thousands of near copies is joined in the
+early rounds and thus costs a few confirmations for each member, not one for each pair.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import U64, bytes_of, discard, hash_sets, materialize, mix, shingles_of, shuffle_partitions, table, text_slices
 from quillspark.llm.graph import components
 
-TREES, DEPTH, WIDTH, SKETCH = 16, 6, 5, 48
+TREES, DEPTH, WIDTH, SKETCH = 16, 6, 5, 96
 #: (largest distance in the order, common prefix required up to it)
 LAGS = ((32, 1), (64, 2), (128, 3), (256, 4), (512, 5))
-#: Hashes of the sketch that must agree: 4.5 standard deviations under the 36 expected at a similarity of 0.75.
-SKETCH_LEAST = 22
+#: Hashes of the sketch that must agree: 3.8 standard deviations under the 72 expected at a similarity of 0.75.
+SKETCH_LEAST = 56
 #: Rows kept from either end of a partition, so that neighbours across a border of the range partitioning meet.
 BORDER = 64
 FIRST_ROUND_TREES = 3
+#: Rounds in which each text tries only its likeliest partner, before the one in which all candidates are tried.
+BEST_ROUNDS = 2
 #: Ids broadcast at most (8 bytes each) when texts are fetched by id; beyond it both sides are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -62,7 +65,7 @@ def signatures(batches, text: str, id_col: str):
 
 
 ORDER_SCHEMA = "tree int, key binary, id long, n long, component long, sketch binary"
-PAIRS_SCHEMA = f"a long, b long, {ORDER_SCHEMA}"
+PAIRS_SCHEMA = f"a long, b long, alike int, {ORDER_SCHEMA}"
 
 
 class _Rows:
@@ -92,13 +95,14 @@ class _Rows:
         key = [x.tobytes() for x in self.key.astype(">u4")]
         none = pa.nulls(m, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, pa.array(self.tree, pa.int32()), pa.array(key, pa.binary()), pa.array(self.id, pa.int64()), pa.array(self.n, pa.int64()), pa.array(self.component, pa.int64()), pa.array([x.tobytes() for x in self.sketch], pa.binary())],
-            ["a", "b", "tree", "key", "id", "n", "component", "sketch"],
+            [none, none, pa.nulls(m, pa.int32()), pa.array(self.tree, pa.int32()), pa.array(key, pa.binary()), pa.array(self.id, pa.int64()), pa.array(self.n, pa.int64()), pa.array(self.component, pa.int64()), pa.array([x.tobytes() for x in self.sketch], pa.binary())],
+            ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch"],
         )
 
 
-def _pairs(rows: _Rows, new: int, lags) -> pa.RecordBatch:
-    """Candidates of the rows from index `new` on with rows before them in the order."""
+def _pairs(rows: _Rows, new: int, lags, best: bool) -> pa.RecordBatch:
+    """Candidates of the rows from index `new` on with rows before them in the order; best: for either end of a
+    pair only the partner whose sketch is the most alike."""
     alive, found, lag = np.arange(max(new, 1), len(rows.id)), [], 0
     for most, depth in lags:
         while lag < most and len(alive):
@@ -110,17 +114,25 @@ def _pairs(rows: _Rows, new: int, lags) -> pa.RecordBatch:
             ask = (rows.component[alive] != rows.component[other]) & (100 * np.minimum(rows.n[alive], rows.n[other]) >= 75 * np.maximum(rows.n[alive], rows.n[other]))
             x, y = alive[ask], other[ask]
             if len(x):
-                ok = (rows.sketch[x] == rows.sketch[y]).sum(axis=1) >= SKETCH_LEAST
-                found.append(np.stack((rows.id[x[ok]], rows.id[y[ok]])))
-    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+                alike = (rows.sketch[x] == rows.sketch[y]).sum(axis=1)
+                ok = alike >= SKETCH_LEAST
+                found.append(np.stack((rows.id[x[ok]], rows.id[y[ok]], alike[ok])))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    if best:
+        pairs = np.concatenate((pairs, pairs[[1, 0, 2]]), axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], -pairs[2], pairs[0]))]
+        pairs = pairs[:, np.r_[True, pairs[0, 1:] != pairs[0, :-1]][: pairs.shape[1]]]
+    else:
+        pairs[:2].sort(axis=0)
+        pairs = np.unique(pairs, axis=1)
     m = pairs.shape[1]
     return pa.RecordBatch.from_arrays(
-        [pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
-        ["a", "b", "tree", "key", "id", "n", "component", "sketch"],
+        [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
+        ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch"],
     )
 
 
-def scan(batches, lags, border: int):
+def scan(batches, lags, border: int, best: bool):
     """Candidate pairs of one sorted partition, and the rows at its borders."""
     keep, held = lags[-1][0], None
     seen = 0
@@ -133,24 +145,28 @@ def scan(batches, lags, border: int):
         seen += batch.num_rows
         new = len(held.id) if held else 0
         held = held + rows if held else rows
-        yield _pairs(held, new, lags)
+        yield _pairs(held, new, lags, best)
         held = held.slice(max(0, len(held.id) - keep))
     if border and seen > border:
         yield held.slice(-min(border, seen - border)).batch()
 
 
-def candidates(orders: DataFrame, lags, border: int) -> DataFrame:
+def candidates(orders: DataFrame, lags, border: int = 0, best: bool = False) -> DataFrame:
     """Pairs (a, b) of ids that are neighbours in one of the sorted orders. orders: a materialised table."""
     n = shuffle_partitions(orders.sparkSession)
     by = ("tree", "key", "id")
-    run = lambda it: scan(it, lags, border)
+    run = lambda it: scan(it, lags, border, best)
     found = orders.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, PAIRS_SCHEMA)
     if border:
         found = materialize(found, "neighbours")
         rest = found.where("a is null").select("tree", "key", "id", "n", "component", "sketch")
-        last = rest.repartition(n, "tree").sortWithinPartitions(*by).mapInArrow(lambda it: scan(it, lags, 0), PAIRS_SCHEMA)
+        last = rest.repartition(n, "tree").sortWithinPartitions(*by).mapInArrow(lambda it: scan(it, lags, 0, best), PAIRS_SCHEMA)
         found = found.where("a is not null").unionByName(last)
-    return found.select("a", "b").where("a is not null").distinct()
+    found = found.where("a is not null")
+    if best:
+        first = found.groupBy("a").agg(F.max(F.struct("alike", (-F.col("b")).alias("b"))).alias("p"))
+        found = first.select(F.least("a", -F.col("p.b")).alias("a"), F.greatest("a", -F.col("p.b")).alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,14 +207,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = with_ids(sig, members.where("id = rep").select("id"))
     orders = reps.select(F.posexplode("keys").alias("tree", "key"), "id", "n", F.col("id").alias("component"), "sketch")
     orders = materialize(orders.select("tree", "key", "id", "n", "component", "sketch"), "orders")
-    first = confirmed(materialize(candidates(orders.where(F.col("tree") < FIRST_ROUND_TREES), ((1, 1),), 0), "pairs"), docs, similarity)
-    joined = components(first)
-    labelled = orders.drop("component").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = materialize(labelled.select("tree", "key", "id", "n", "component", "sketch"), "labelled")
+    links = confirmed(materialize(candidates(orders.where(F.col("tree") < FIRST_ROUND_TREES), ((1, 1),)), "pairs"), docs, similarity)
+    for last in [False] * BEST_ROUNDS + [True]:
+        joined = components(links).withColumnRenamed("node", "id")
+        labelled = orders.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = materialize(labelled.select("tree", "key", "id", "n", "component", "sketch"), "labelled")
+        more = confirmed(materialize(candidates(labelled, LAGS, BORDER * last, best=not last), "pairs"), docs, similarity)
+        discard(labelled)
+        links = links.unionByName(more)
     discard(orders)
-    second = confirmed(materialize(candidates(labelled, LAGS, BORDER), "pairs"), docs, similarity)
-    discard(labelled)
-    links = first.unionByName(second)
     ends = components(links).select(F.col("node").alias("rep"), F.col("component"))
     whole = members.join(ends, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     whole = whole.distinct()
