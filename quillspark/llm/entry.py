@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillspark.llm import chat, decontaminate, embeddings, html, langid, lm, minhash, pieces, suffix, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_lm_score": lm.op8_lm_score,
         "op9_chat": chat.op9_chat,
         "op10_html": html.op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -328,16 +328,20 @@ def spans(places: list, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, removed): each text without the bytes covered by a
-    string of 100 bytes that starts earlier (smaller id, or same text and earlier start), judged on the input.
-
-    `kept` are the remaining bytes and `removed` the removed ranges as (start, end). Null text counts as empty;
-    texts under 100 bytes are kept whole. Ids must be unique and not null; other columns are ignored.
+def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text, removed): each text without the bytes
+    covered by a string of 100 bytes that starts earlier (smaller id, or same text and earlier start), judged on the
+    input.
+
+    `kept` are the remaining bytes, `kept_text` the whole characters among them and `removed` the removed ranges as
+    (start, end). Null text counts as empty; texts under 100 bytes are kept whole. Ids must be unique and not null.
+    Columns named in `carry` come along; others are ignored.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+    docs = whole.select("id", "text")
     places = docs.mapInArrow(pieces, PLACE).repartition(n, "v").mapInArrow(shared, PLACE)
     places = materialize(places, "places")
     asked = places.where(F.col("kind") != COVERED).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("v", "s", "len")).alias("places"))
@@ -349,19 +353,25 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def remove(batches):
         for part in text_slices(batches, "text"):
             rows = []
-            for doc, text, where in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("places").to_pylist(), strict=True):
+            for text, where in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places").to_pylist(), strict=True):
                 text = text or b""
                 ranges = spans(where or [], len(text))
                 ends = [0, *(x for r in ranges for x in r), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                rows.append({"doc_id": doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept, "removed": [{"start": a, "end": b} for a, b in ranges]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
+                rows.append((len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in ranges]))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)]
+            extra = part.schema.names[3:]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *(part.column(c) for c in extra)], ["doc_id", *_OUT.names, *extra])
 
-    return docs.join(gone, "id", "left").select("id", "text", "places").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: long, end: long>>")
+    joined = whole.join(gone, "id", "left").select("id", "text", "places", *(f"carry_{k}" for k in range(len(carry))))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, removed array<struct<start: long, end: long>>"
+    for k in range(len(carry)):
+        schema += f", carry_{k} {joined.schema[f'carry_{k}'].dataType.simpleString()}"
+    return joined.mapInArrow(remove, schema).withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_OUT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_duplicates(table(spark, sf_dir, "documents")).drop("kept", "removed")
+    return substring_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -201,26 +201,41 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
-        least = 2.0 / m["lam"]
         for part in text_slices(batches, "text"):
-            bucket, bounds, begin, end = tokens(part.column("text"))
-            own = m["scores"][bucket]
-            top = best_sums(own, bounds)
-            out, passages = np.full(part.num_rows, 1 / (1 + math.exp(min(m["scale"], 700)))), [[] for _ in range(part.num_rows)]
-            for i in np.flatnonzero(top > 0):
-                a, b = bounds[i], bounds[i + 1]
-                found = segments(own[a:b].tolist())
-                log_p = log_chance([x[2] for x in found], b - a, m["lam"], m["k"])
-                out[i] = 1 / (1 + math.exp(min(log_p + m["scale"], 700)))
-                cut = (math.log(max(m["k"] * (b - a), 1e-9))) / m["lam"]
-                passages[i] = [{"start": int(begin[a + x]), "end": int(end[a + y - 1]), "sum": s} for x, y, s in found if s > max(cut, 0) + least]
+            out, passages = judge(part.column("text"), sent.value)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32)), pa.array(passages, _PASSAGES)], ["doc_id", "score", "predicted", "passages"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start: long, end: long, sum: double>>")
 
 
+def judge(column: pa.Array, m: dict) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score of each text, and its passages whose sums are beyond what benign text of its length has."""
+    bucket, bounds, begin, end = tokens(column)
+    own = m["scores"][bucket]
+    top = best_sums(own, bounds)
+    out, passages = np.full(len(column), 1 / (1 + math.exp(min(m["scale"], 700)))), [[] for _ in range(len(column))]
+    for i in np.flatnonzero(top > 0):
+        a, b = bounds[i], bounds[i + 1]
+        found = segments(own[a:b].tolist())
+        log_p = log_chance([x[2] for x in found], b - a, m["lam"], m["k"])
+        out[i] = 1 / (1 + math.exp(min(log_p + m["scale"], 700)))
+        cut = max(math.log(max(m["k"] * (b - a), 1e-9)), 0) / m["lam"] + 2.0 / m["lam"]
+        passages[i] = [{"start": int(begin[a + x]), "end": int(end[a + y - 1]), "sum": s} for x, y, s in found if s > cut]
+    return out, passages
+
+
+def reject(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not called toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part in text_slices(batches, text_col):
+            yield part.filter(pa.array(judge(part.column(text_col), sent.value)[0] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sum", pa.float64())]))
 
 
