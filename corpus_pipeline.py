@@ -38,7 +38,7 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier (4); a character cut in two goes as a whole."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = substring_duplicates(docs, carry=carry).withColumn("text", F.when(F.col("n_bytes") > 0, F.col("kept_text")))
+    out = substring_duplicates(docs, carry=carry).withColumnRenamed("kept_text", "text")
     texts = docs.columns
     if "n_chars" in texts:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))

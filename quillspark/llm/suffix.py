@@ -334,7 +334,7 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     input.
 
     `kept` are the remaining bytes, `kept_text` the whole characters among them and `removed` the removed ranges as
-    (start, end). Null text counts as empty; texts under 100 bytes are kept whole. Ids must be unique and not null.
+    (start, end). Null text counts as empty (its `kept_text` is null); texts under 100 bytes are kept whole. Ids must be unique and not null.
     Columns named in `carry` come along; others are ignored.
     """
     spark = docs.sparkSession
@@ -353,12 +353,12 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def remove(batches):
         for part in text_slices(batches, "text"):
             rows = []
-            for text, where in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places").to_pylist(), strict=True):
-                text = text or b""
+            for given, where in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("places").to_pylist(), strict=True):
+                text = given or b""
                 ranges = spans(where or [], len(text))
                 ends = [0, *(x for r in ranges for x in r), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in ranges]))
+                rows.append((len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept, None if given is None else kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in ranges]))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)]
             extra = part.schema.names[3:]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *(part.column(c) for c in extra)], ["doc_id", *_OUT.names, *extra])
