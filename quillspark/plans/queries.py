@@ -239,12 +239,12 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", text.tokens_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, upper(text) || ' ??' FROM documents WHERE doc_id % 10 = 0),
+@query(r"""WITH m AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, '?? ' || lower(text) || ' !!' FROM documents WHERE doc_id % 10 = 0),
 n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\\[,;! ]', '', 'g'), '[^\p{L}\p{N}_\s$\\^{}]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM m)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS "first" FROM n""")
 def norm_exact_dups(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    mangled = docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.upper("text"), F.lit(" ??")).alias("text"))
+    mangled = docs.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.lit("?? "), F.lower("text"), F.lit(" !!")).alias("text"))
     return texts.exact_duplicates(docs.unionByName(mangled), "doc_id", "text")
 
 
