@@ -40,8 +40,9 @@ SINGLE_LATIN, SINGLE_DEVANAGARI, SINGLE_GUJARATI = "aiAI", "व०१२३४
 _LATIN_INDIC = r"A-Za-z\x{0900}-\x{097f}\x{0a80}-\x{0aff}"
 
 
-def _strings(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 # --- normalising ----------------------------------------------------------------------------------------------------
@@ -192,21 +193,33 @@ def dominant_script(mix: Column) -> Column:
 def clean_page(text: Column) -> Column:
     """(text, flags, glued, quality) of a page: drop caps, hyphens, glyphs and short lines repaired, then scored."""
     steps = [("drop_caps_merged", merge_drop_caps), ("hyphens_rejoined", rejoin_hyphens), ("glyphs_stripped", strip_glyphs), ("fragments_dropped", drop_short_lines)]
-    now, flags = text, []
+    none = F.array().cast("array<string>")
+    state = F.struct(text.alias("text"), none.alias("flags"))
+
+    def applied(name: str, step):
+        def apply(s: Column) -> Column:
+            return let(step(s["text"]), lambda a: F.struct(a.alias("text"), F.concat(s["flags"], F.when(a != s["text"], F.array(F.lit(name))).otherwise(none)).alias("flags")))
+
+        return apply
+
     for name, step in steps:
-        after = step(now)
-        flags.append(F.when(after != now, name))
-        now = after
-    glued = glued_words(now)
-    flags.append(F.when(F.size(glued) > 0, "glued_words"))
-    quality = F.greatest(F.lit(0.0), 1 - 2.5 * garbage(now)["rate"]) - F.least(F.lit(0.2), 0.05 * F.size(glued))
-    return F.struct(now.alias("text"), F.filter(F.array(*flags), lambda f: f.isNotNull()).alias("flags"), glued.alias("glued"), F.round(quality, 3).alias("quality"))
+        state = let(state, applied(name, step))
+
+    def judge(s: Column) -> Column:
+        def with_glued(g: Column) -> Column:
+            quality = F.greatest(F.lit(0.0), 1 - 2.5 * garbage(s["text"])["rate"]) - F.least(F.lit(0.2), 0.05 * F.size(g))
+            flags = F.concat(s["flags"], F.when(F.size(g) > 0, F.array(F.lit("glued_words"))).otherwise(none))
+            return F.struct(s["text"].alias("text"), flags.alias("flags"), g.alias("glued"), F.round(quality, 3).alias("quality"))
+
+        return let(glued_words(s["text"]), with_glued)
+
+    return let(state, judge)
 
 
 def tokens_estimate(text: Column) -> Column:
     """Four characters of prose or two special characters to a token, one at least; none for no text."""
     text = F.coalesce(text, F.lit(""))
-    special = F.regexp_count(text, F.lit(r"[\\{}$^_]"))
+    special = F.regexp_count(text, F.lit(r"[$\\{}_^&=+\-*/<>\[\]]"))
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((F.length(text) - special) / 4 + special / 2))).cast("long")
 
 

@@ -146,7 +146,7 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, p AS percent, CASE WHEN p >= 90 THEN 'A+' WHEN p >= 80 THEN 'A' WHEN p >= 70 THEN 'B+' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 33 THEN 'D' ELSE 'F' END AS grade,
-CASE WHEN p >= 91 THEN 'A1' WHEN p >= 81 THEN 'A2' WHEN p >= 71 THEN 'B1' WHEN p >= 61 THEN 'B2' WHEN p >= 51 THEN 'C1' WHEN p >= 41 THEN 'C2' WHEN p >= 33 THEN 'D' ELSE 'E' END AS board_grade
+CASE WHEN p >= 91 THEN 'A1' WHEN p >= 81 THEN 'A2' WHEN p >= 71 THEN 'B1' WHEN p >= 61 THEN 'B2' WHEN p >= 51 THEN 'C1' WHEN p >= 41 THEN 'C2' WHEN p >= 33 THEN 'D' ELSE 'E1' END AS board_grade
 FROM (SELECT c_custkey, round((c_acctbal + 1000) / 110, 2) AS p FROM customer)""")
 def grade_bands(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) / 110, 2).alias("percent"))
@@ -234,7 +234,7 @@ def regression_diff(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("before", F.round("before", 6)).withColumn("now", F.round("now", 6))
 
 
-@query(r"""SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - s) / 4 + s / 2)) END AS BIGINT) AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[^\\{}$^_]', '', 'g')) AS s FROM documents)""")
+@query(r"""SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - s) / 4 + s / 2)) END AS BIGINT) AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[^$\\{}_^&=+\-*/<>\[\]]', '', 'g')) AS s FROM documents)""")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", text.tokens_estimate(F.col("text")).alias("tokens"))
 

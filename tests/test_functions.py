@@ -98,7 +98,7 @@ def test_numbers(spark):
 
 def test_grades(spark):
     got = values(spark, [(x,) for x in (95.0, 90.0, 33.0, 32.9, None)], "x double", school.grade(F.col("x")), school.board_grade(F.col("x")))
-    assert got == [("A+", "A1"), ("A+", "A2"), ("D", "D"), ("F", "E"), ("—", "—")]
+    assert got == [("A+", "A1"), ("A+", "A2"), ("D", "D"), ("F", "E1"), ("—", "—")]
 
 
 def test_shift(spark):
@@ -108,3 +108,10 @@ def test_shift(spark):
 @pytest.mark.parametrize("value,want", [("", 0), ("abcd", 1), ("abcde", 2), ("{}", 1)])
 def test_tokens(spark, value, want):
     assert one(spark, text.tokens_estimate, value) == [want]
+
+
+def test_clean_page(spark):
+    page = "T he com-\nmand trianglertSouthern\nq\nthe commandhas been"
+    got = one(spark, text.clean_page, page, "A clean page.", None)
+    assert got[0].text == "The command Southern\nthe commandhas been" and got[0].glued == ["commandhas"] and len(got[0].flags) == 5
+    assert (got[1].flags, got[1].quality) == ([], 1.0)
