@@ -174,11 +174,11 @@ def open_window(start: Column, end: Column, now: Column) -> Column:
     return F.coalesce(start <= now, F.lit(True)) & F.coalesce(now <= end, F.lit(True))
 
 
-def retained(df: DataFrame, days: int, as_of: Column, time: str = "timestamp", action: str | None = None) -> DataFrame:
+def retained(df: DataFrame, days: int, as_of: Column, time: str = "timestamp", action: str | None = None, column: str = "action") -> DataFrame:
     """Rows that a pruning run keeps: newer than the cutoff, or of another action."""
     old = F.col(time) < as_of - F.make_interval(days=F.lit(days))
     if action:
-        old = old & (F.col("action") == action)
+        old = old & (F.col(column) == action)
     return df.where(~F.coalesce(old, F.lit(False)))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import school, text
-from quillspark.operators import assess, relational, select
+from quillspark.functions import markup, school, text
+from quillspark.operators import assess, documents, relational, select
 from quillspark.operators import text as texts
 from quillspark.sources.tables import read_table
 from quillspark.streaming import jobs
@@ -355,3 +355,71 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.sum("toxic").alias("toxic"), F.sum("g.garbage").alias("garbage"), F.round(F.avg("g.rate"), 6).alias("rate"))
 
 
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 AND p_size >= 20 THEN ['TWENTY', 'THIRTY', 'FORTY', 'FIFTY'][p_size // 10 - 1] WHEN p_size < 20 THEN ['ONE','TWO','THREE','FOUR','FIVE','SIX','SEVEN','EIGHT','NINE','TEN','ELEVEN','TWELVE','THIRTEEN','FOURTEEN','FIFTEEN','SIXTEEN','SEVENTEEN','EIGHTEEN','NINETEEN'][p_size]
+ELSE ['TWENTY', 'THIRTY', 'FORTY', 'FIFTY'][p_size // 10 - 1] || ' ' || ['ONE','TWO','THREE','FOUR','FIVE','SIX','SEVEN','EIGHT','NINE'][p_size % 10] END AS words FROM part""")
+def marks_in_words(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "part").select("p_partkey", markup.marks_words(F.col("p_size")).alias("words"))
+
+
+@query("""SELECT o_orderkey, coalesce(o_orderdate <= TIMESTAMP '1996-06-01', true) AND coalesce(TIMESTAMP '1996-06-01' <= CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + INTERVAL 400 DAY END, true) AS is_open FROM orders""")
+def open_window(spark: SparkSession, d: str) -> DataFrame:
+    until = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate") + F.expr("interval 400 days"))
+    return read_table(spark, d, "orders").select("o_orderkey", relational.open_window(F.col("o_orderdate"), until, F.to_timestamp(F.lit("1996-06-01"))).alias("is_open"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE NOT (ts < TIMESTAMP '2024-01-21' AND event_type = 'click')""")
+def audit_retention(spark: SparkSession, d: str) -> DataFrame:
+    return relational.retained(read_table(spark, d, "events"), 10, F.to_timestamp(F.lit("2024-01-31")), "ts", "click", "event_type").select("event_id", "user_id")
+
+
+@query("""SELECT k AS paper_id, CASE WHEN n < 26 THEN chr(65 + n) ELSE chr(64 + n // 26) || chr(65 + n % 26) END AS version_label FROM (SELECT c_custkey AS k, CAST(CASE WHEN c_custkey % 29 < c_custkey % 30 THEN c_custkey % 29 ELSE c_custkey % 30 END AS INTEGER) AS n FROM customer)""")
+def next_version(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with the first labels in use, one of them missing."""
+    papers = read_table(spark, d, "customer").select(F.col("c_custkey").alias("paper_id"))
+    used = papers.where("paper_id % 30 > 0").select("paper_id", F.explode(F.sequence(F.lit(0), F.col("paper_id") % 30 - 1)).alias("i")).where("i <> paper_id % 29")
+    return select.next_label(used.select("paper_id", select.version_label(F.col("i")).alias("version_label")), papers)
+
+
+@query("""SELECT c_nationkey, count(*) AS members, count(*) FILTER (c_mktsegment = 'BUILDING') AS builders, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY 1""")
+def filtered_counts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("members"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("builders"), F.count_distinct("c_mktsegment").alias("segments"))
+
+
+@query("""SELECT l_orderkey, CAST(round_even(sum(l_tax * 50), 0) AS INTEGER) AS total_marks FROM lineitem GROUP BY 1""")
+def version_totals(spark: SparkSession, d: str) -> DataFrame:
+    lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_tax") * 50).alias("marks"))).alias("snapshot"))
+    return lines.select("l_orderkey", assess.version_total(F.col("snapshot")).alias("total_marks"))
+
+
+@query("""SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE text <> '' GROUP BY 1""")
+def chapter_context(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chapter_context(read_table(spark, d, "conversations").withColumnRenamed("turn", "position"), "conv_id")
+
+
+@query("""SELECT p_partkey, batch, CAST(least(10, p_size - batch * 10) AS INTEGER) AS quantity FROM (SELECT p_partkey, p_size, unnest(range(0, (p_size + 9) // 10)) AS batch FROM part)""")
+def batch_plan(spark: SparkSession, d: str) -> DataFrame:
+    return documents.plan_batches(read_table(spark, d, "part").select("p_partkey", F.col("p_size").alias("count"))).select("p_partkey", F.col("batch").cast("long").alias("batch"), F.col("quantity").cast("int").alias("quantity"))
+
+
+@query("""SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS changed_n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""")
+def capability_semi(spark: SparkSession, d: str) -> DataFrame:
+    grants = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("capability"))
+    users = relational.with_capability(read_table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), grants, "BUILDING")
+    return users.groupBy(F.col("id").alias("o_custkey")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("changed_n"))
+
+
+@query("""SELECT brand AS value, CASE brand WHEN 'Brand#31' THEN 0 WHEN 'Custom' THEN 1 ELSE 2 END AS position FROM (SELECT DISTINCT p_brand AS brand FROM part UNION SELECT 'Brand#31' UNION SELECT 'Custom')""")
+def union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return relational.union_distinct(["Brand#31", "Custom"], read_table(spark, d, "part").select("p_brand"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS "count" FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def broken_keys(spark: SparkSession, d: str) -> DataFrame:
+    return relational.duplicate_keys(read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query()
+def page_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", text.clean_page(F.col("text")).alias("p")).select("doc_id", "p.flags", "p.glued", "p.quality", F.md5("p.text").alias("cleaned"))
