@@ -231,3 +231,20 @@ def pdf_safe(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
+
+
+# fixed values: parts of the names of 8-bit Hindi fonts, and words that such a font's text shows as ASCII
+LEGACY_FONTS = "chanakya kruti devlys walkman bhartiya shivaji shree bilingual akruti kundli aps- aps_ apsdv dv- dv_".split()
+LEGACY_WORDS = "izse osq fkka gsa muhksaus if=kdk bznxkg x|&[kam f=k vksj gksrk rkfd".split()
+
+
+def is_legacy_font(name: Column) -> Column:
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return low.rlike("|".join(LEGACY_FONTS)) | (low.contains("aps") & ~low.rlike("[cmg]aps"))
+
+
+def is_legacy_text(text: Column) -> Column:
+    """Whether text of more than 40 characters without Devanagari holds two signs of an 8-bit Hindi font or more."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.size(F.filter(F.array(*map(F.lit, LEGACY_WORDS)), lambda w: F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" ")))))
+    return ~low.rlike(r"[\x{0900}-\x{097f}]") & (F.length(low) > 40) & ((words >= 2) | (F.regexp_count(low, F.lit(r"\|&\[|f=k|x\|")) >= 2))

@@ -115,3 +115,8 @@ def test_clean_page(spark):
     got = one(spark, text.clean_page, page, "A clean page.", None)
     assert got[0].text == "The command Southern\nthe commandhas been" and got[0].glued == ["commandhas"] and len(got[0].flags) == 5
     assert (got[1].flags, got[1].quality) == ([], 1.0)
+
+
+def test_legacy_fonts(spark):
+    assert one(spark, text.is_legacy_font, "KrutiDev010", "APS-DV-Prakash", "xAPSx", "SmallCaps", None, "Arial") == [True, True, True, False, False, False]
+    assert one(spark, text.is_legacy_text, "izse vksj osq gsa " * 3, "plain english text that is long enough to be tested", "izse vksj") == [True, False, False]

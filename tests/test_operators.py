@@ -164,3 +164,13 @@ def test_history(spark):
     rows = [(1, 1, "SEND_FOR_CORRECTION", "fix", t(1)), (2, 1, "RESUBMIT", None, t(2)), (3, 1, "REJECT", " ", t(3)), (4, 2, "APPROVE", None, t(1))]
     got = jobs.review_status(spark.createDataFrame(rows, "id long, question_id long, action string, comment string, created_at timestamp"))
     assert {r.question_id: (r.status, r.revision) for r in got.collect()} == {1: ("SUBMITTED", 2), 2: ("APPROVED", 1)}
+
+
+def test_contents_on_pages(spark):
+    toc = spark.createDataFrame([(1, 0, "Motion Laws", 1), (1, 1, "Light Rays", 5), (1, 2, "Sound", 9)], "doc long, position long, title string, page int")
+    marks = {5: "The laws of motion", 9: "rays of light", 13: "On sound", 17: "\n Appendix A"}
+    pages = spark.createDataFrame([(1, p, marks.get(p, "text")) for p in range(1, 21)], "doc long, page_number int, text string")
+    assert texts.page_offset(toc, pages, "doc").first().offset == 4
+    starts = toc.select("doc", (F.col("page") + 4).alias("start_page"))
+    got = texts.last_chapter_end(starts, pages, "doc").orderBy("start_page").collect()
+    assert [(r.start_page, r.end_page) for r in got] == [(5, 8), (9, 12), (13, 16)]
