@@ -103,12 +103,12 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
 _BANDS = [(1, 1.0, 12.0), (2, 10.0, 25.0), (3, 24.0, 60.0)]
 
 
-@query("""SELECT o_orderkey, CASE WHEN q BETWEEN 1 AND 12 THEN 1 WHEN q BETWEEN 10 AND 25 THEN 2 WHEN q BETWEEN 24 AND 60 THEN 3 END AS band
+@query("""SELECT o_orderkey, CASE WHEN q BETWEEN 1 AND 12 THEN 1 WHEN q BETWEEN 10 AND 25 THEN 2 WHEN q BETWEEN 24 AND 60 THEN 3 ELSE 0 END AS band
 FROM (SELECT o_orderkey, floor(o_totalprice / 10000) AS q FROM orders)""")
 def range_first_match(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame(_BANDS, "band int, low double, high double")
     points = read_table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 10000).cast("double").alias("q"))
-    return relational.first_range(points, bands, "q", "low", "high", ["band"], ["o_orderkey"]).select("o_orderkey", F.col("hit.band").alias("band"))
+    return relational.first_range(points, bands, "q", "low", "high", ["band"], ["o_orderkey"]).select("o_orderkey", F.coalesce("hit.band", F.lit(0)).alias("band"))
 
 
 @query("""SELECT event_id, user_id, event_id AS start_page, greatest(event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 1000000)) AS end_page FROM events""")
@@ -147,9 +147,9 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_custkey, p AS percent, CASE WHEN p >= 90 THEN 'A+' WHEN p >= 80 THEN 'A' WHEN p >= 70 THEN 'B+' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 33 THEN 'D' ELSE 'F' END AS grade,
 CASE WHEN p >= 91 THEN 'A1' WHEN p >= 81 THEN 'A2' WHEN p >= 71 THEN 'B1' WHEN p >= 61 THEN 'B2' WHEN p >= 51 THEN 'C1' WHEN p >= 41 THEN 'C2' WHEN p >= 33 THEN 'D' ELSE 'E1' END AS board_grade
-FROM (SELECT c_custkey, round((c_acctbal + 1000) / 110, 2) AS p FROM customer)""")
+FROM (SELECT c_custkey, round((c_acctbal + 1000) / 110, 6) AS p FROM customer)""")
 def grade_bands(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) / 110, 2).alias("percent"))
+    rows = read_table(spark, d, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) / 110, 6).alias("percent"))
     return rows.withColumn("grade", school.grade(F.col("percent"))).withColumn("board_grade", school.board_grade(F.col("percent")))
 
 
@@ -403,7 +403,7 @@ def batch_plan(spark: SparkSession, d: str) -> DataFrame:
     return documents.plan_batches(read_table(spark, d, "part").select("p_partkey", F.col("p_size").alias("count"))).select("p_partkey", F.col("batch").cast("long").alias("batch"), F.col("quantity").cast("int").alias("quantity"))
 
 
-@query("""SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS changed_n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""")
+@query("""SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS changed_n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""")
 def capability_semi(spark: SparkSession, d: str) -> DataFrame:
     grants = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("capability"))
     users = relational.with_capability(read_table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), grants, "BUILDING")
