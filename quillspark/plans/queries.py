@@ -146,7 +146,7 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, p AS percent, CASE WHEN p >= 90 THEN 'A+' WHEN p >= 80 THEN 'A' WHEN p >= 70 THEN 'B+' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 33 THEN 'D' ELSE 'F' END AS grade,
-CASE WHEN p >= 91 THEN 'A1' WHEN p >= 81 THEN 'A2' WHEN p >= 71 THEN 'B1' WHEN p >= 61 THEN 'B2' WHEN p >= 51 THEN 'C1' WHEN p >= 41 THEN 'C2' WHEN p >= 33 THEN 'D' ELSE 'E1' END AS board_grade
+CASE WHEN round(p, 2) >= 91 THEN 'A1' WHEN round(p, 2) >= 81 THEN 'A2' WHEN round(p, 2) >= 71 THEN 'B1' WHEN round(p, 2) >= 61 THEN 'B2' WHEN round(p, 2) >= 51 THEN 'C1' WHEN round(p, 2) >= 41 THEN 'C2' WHEN round(p, 2) >= 33 THEN 'D' ELSE 'E1' END AS board_grade
 FROM (SELECT c_custkey, round((c_acctbal + 1000) / 110, 6) AS p FROM customer)""")
 def grade_bands(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) / 110, 6).alias("percent"))
