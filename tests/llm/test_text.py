@@ -153,3 +153,11 @@ def test_extract_table(spark):
     source = {r.page_id: r.html for r in pages.collect()}
     assert all(line in html.html.unescape(article(source[r.page_id])).replace("<b>", "").replace("</b>", "") for r in got for line in r.text.split("\n"))
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_units_learned_together_are_those_of_the_lattice():
+    words = [" the", "the", " theor", "eouing.", " a", "\n", " ", " é", " ▁b", "日本", " " + "x" * 40, " reading,", "ing", "I'm"]
+    together, alone = Segmenter(read_pieces(MODEL)), Segmenter(read_pieces(MODEL))
+    together.learn(set(words))
+    assert len(together.cache) > 8
+    assert all(together.cache[w] == alone.viterbi(w) for w in words)
