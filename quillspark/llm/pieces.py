@@ -4,7 +4,7 @@ A text is split where a piece can't reach across: before each space and around e
 forward Viterbi pass over the lattice of pieces gives each place the best score of reaching it; a backward A* search
 from the end takes those scores as its exact estimate of what is left, so the segmentations come out best first.
 The N best of a whole text are the N best sums over its units. Units repeat, so their results are kept in a bounded
-cache. Characters that no piece covers become byte pieces, which makes decoding exact for every text.
+cache; those of a slice that are new go through the lattice together, place by place in numpy. Characters that no piece covers become byte pieces, which makes decoding exact for every text.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ import re
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, text_slices
+from quillspark.llm.common import U64, RangeHash, mix, table, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHED, CACHED_CHARS = 100_000, 48
+CACHED, CACHED_CHARS, LEARNED = 80_000, 32, 8192
 SPACE = "▁"
+#: Texts handled at once, in bytes: with it and LEARNED (units at once) the arrays of a task stay under 50 MB.
+SLICE = 1 << 20
 #: Added to the lowest piece score for each byte piece; unusable pieces (scores like -1e9) are left out.
 BYTE_PENALTY, USABLE = -10.0, -1e8
 _UNITS = re.compile(r"\n| ?[^ \n]+| ")
@@ -36,6 +39,8 @@ def read_pieces(model_file: str) -> dict:
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
     names = [p.id_to_piece(i) for i in range(p.get_piece_size())]
     plain = {n: (i, p.get_score(i)) for i, n in enumerate(names) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) and p.get_score(i) > USABLE}
+    # runs of spaces have no usable score; a single one gets the lowest of all, so it stands alone only where it must
+    plain[SPACE] = (names.index(SPACE), min(s for _, s in plain.values()))
     bytes_ = [next(i for i, n in enumerate(names) if n == f"<0x{b:02X}>") for b in range(256)]
     return {"plain": plain, "bytes": bytes_, "names": names, "byte_score": min(s for _, s in plain.values()) + BYTE_PENALTY, "longest": max(map(len, plain))}
 
@@ -51,12 +56,15 @@ class _Units(dict):
     def __missing__(self, unit: str):
         entry = self.old.get(unit) or self.search(unit)
         if len(unit) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.old = dict(self)
-                self.clear()
+            if len(self) >= 2 * CACHED:
+                self.turn()
             self[unit] = entry
         return entry
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class Segmenter:
     """Encoder and decoder over a vocabulary of read_pieces."""
@@ -67,6 +75,17 @@ class Segmenter:
         for b, i in enumerate(self.bytes):
             self.parts[i] = bytes([b])
         self.cache = _Units(self.viterbi)
+        # hashes, scores and ids of the pieces of each length, sorted by hash
+        self.code_values = mix(np.arange(0x110000, dtype=np.uint64) + U64(1)) | U64(1)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in range(1, min(self.longest, CACHED_CHARS) + 1):
+            names = [n for n in self.plain if len(n) == size]
+            if names:
+                code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+                at = np.arange(len(names)) * size
+                key = RangeHash(code, self.code_values)(at, at + size)
+                order = np.argsort(key)
+                self.by_length[size] = key[order], np.array([self.plain[n][1] for n in names])[order], np.array([self.plain[n][0] for n in names])[order]
 
     def nbest(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a unit as (score, ids), best first."""
@@ -106,6 +125,77 @@ class Segmenter:
                     other = reach[start] + w + behind
         return ids, reach[n], reach[n] - other
 
+    def learn(self, units: set[str]) -> None:
+        """Puts the entries of new units into the cache: what `viterbi` gives, for all of them at once.
+
+        Units that are long, or hold characters that need byte pieces, are left to `viterbi`.
+        """
+        cache = self.cache
+        if len(cache) >= CACHED:
+            cache.turn()
+        known = units & cache.old.keys()
+        cache.update((u, cache.old[u]) for u in known)
+        new = sorted((u for u in units - known - cache.keys() if len(u) <= CACHED_CHARS and SPACE not in u), key=len)
+        for start in range(0, len(new), LEARNED):
+            self._learn(new[start : start + LEARNED])
+
+    def _learn(self, new: list[str]) -> None:
+        """`learn` for new units sorted by length."""
+        size = np.array([len(u) for u in new])
+        code = np.frombuffer("".join(new).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(size)
+        hashed, left, at = RangeHash(code, self.code_values), np.repeat(ends, size) - np.arange(len(code)), np.arange(len(code))
+        score = {n: np.full(len(code) + CACHED_CHARS, -np.inf) for n in self.by_length}
+        piece = {n: np.zeros(len(code) + CACHED_CHARS, np.int32) for n in self.by_length}
+        for n, (keys, scores, ids) in self.by_length.items():
+            fits = at[left >= n]
+            if len(fits):
+                key = hashed(fits, fits + n)
+                hit = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                ok = keys[hit] == key
+                score[n][fits[ok]], piece[n][fits[ok]] = scores[hit[ok]], ids[hit[ok]]
+        whole = np.minimum.reduceat(np.isfinite(score[1][: len(code)]), ends - size)
+        new, size, base = [u for u, w in zip(new, whole, strict=True) if w], size[whole], (ends - size)[whole]
+        if not new:
+            return
+        m, most = len(new), int(size[-1])
+        lengths = sorted(self.by_length, reverse=True)  # as in `viterbi`, the longer of equally good pieces stays
+        reach, back = np.full((most + 1, m), -np.inf), np.zeros((most + 1, m), np.int64)
+        reach[0] = 0
+        for end in range(1, most + 1):
+            a = int(np.searchsorted(size, end))  # units are sorted by length: from here on they are long enough
+            for n in lengths:
+                if n <= end:
+                    total = reach[end - n, a:] + score[n][base[a:] + end - n]
+                    better = total > reach[end, a:]
+                    reach[end, a:][better] = total[better]
+                    back[end, a:][better] = n
+        all_, place, step = np.arange(m), size.copy(), 0
+        found, on = np.zeros((most, m), np.int32), np.zeros((most + 1, m), bool)
+        while len(live := np.flatnonzero(place)):
+            on[place[live], live] = True
+            n = back[place[live], live]
+            place[live] -= n
+            for k in np.unique(n):
+                those = live[n == k]
+                found[step, those] = piece[k][base[those] + place[those]]
+            step += 1
+        count = on.sum(axis=0)
+        rest, other = np.full((most + 1, m), -np.inf), np.full(m, -np.inf)
+        rest[size, all_] = 0
+        for end in range(most, 0, -1):
+            a = int(np.searchsorted(size, end))
+            for n in lengths:
+                if n <= end:
+                    onward = score[n][base[a:] + end - n] + rest[end, a:]
+                    np.maximum(rest[end - n, a:], onward, out=rest[end - n, a:])
+                    total = onward + reach[end - n, a:]
+                    total[on[end, a:] & (back[end, a:] == n)] = -np.inf
+                    np.maximum(other[a:], total, out=other[a:])
+        best = reach[size, all_]
+        for u, ids, n, s, o in zip(new, found.T.tolist(), count.tolist(), best.tolist(), (best - other).tolist(), strict=True):
+            self.cache[u] = (tuple(ids[n - 1 :: -1]), s, o)
+
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """The lattice: for each place the pieces that end there, as (start, ids, score)."""
         text, get, longest = unit.replace(" ", SPACE), self.plain.get, self.longest
@@ -188,9 +278,10 @@ def encode(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id", tex
 
     def run(batches):
         model = Segmenter(sent.value, best)
-        for part in text_slices(batches, "text"):
-            rows = []
-            for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        for part in text_slices(batches, "text", SLICE):
+            rows, texts = [], part.column("text").to_pylist()
+            model.learn(set(chain.from_iterable(model.units(t) for t in texts if t)))
+            for key, text in zip(part.column("id").to_pylist(), texts, strict=True):
                 ids, score, scores, changes = model.encode(text or "")
                 rows.append((key, ids, len(ids), score, scores, [[{"unit": u, "rank": r} for u, r in c] for c in changes], hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENCODED.types, strict=True)], schema=_ENCODED)
