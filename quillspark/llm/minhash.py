@@ -8,8 +8,9 @@ A pair is looked at further if a 96-byte sketch does not rule it out, and every
 
 Links matter here only for what they connect, so candidates are taken in rounds, always between texts that are not
 joined yet: first the direct neighbours in a few orders, then for each text its likeliest partner in all orders
-(BEST_ROUNDS times), and at last every candidate of all orders. A group of thousands of near copies is joined in the
-early rounds and thus costs a few confirmations for each member, not one for each pair.
+(BEST_ROUNDS times), and at last every candidate of all orders. The last round compares sets of 32-bit hashes where
+the neighbours meet, so that only pairs that are links (but for collisions) leave its tasks. A group of thousands of
+near copies is joined in the early rounds and thus costs a few confirmations for each member, not one for each pair.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import U64, bytes_of, discard, hash_sets, materialize, mix, shingles_of, shuffle_partitions, table, text_slices
-from quillspark.llm.graph import components
+from quillspark.llm.graph import components, contract
 
 TREES, DEPTH, WIDTH, SKETCH = 16, 6, 5, 96
 #: (largest distance in the order, common prefix required up to it)
@@ -33,6 +34,9 @@ BORDER = 64
 FIRST_ROUND_TREES = 3
 #: Rounds in which each text tries only its likeliest partner, before the one in which all candidates are tried.
 BEST_ROUNDS = 2
+#: Shingles by which a pair may miss the similarity on sets of 32-bit hashes, for hashes that collide; the last round
+#: compares such sets inside its tasks, and what passes is confirmed on the full sets.
+SLACK = 2
 #: Ids broadcast at most (8 bytes each) when texts are fetched by id; beyond it both sides are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -64,7 +68,28 @@ def signatures(batches, text: str, id_col: str):
         )
 
 
-ORDER_SCHEMA = "tree int, key binary, id long, n long, component long, sketch binary"
+def short_sets(batches):
+    """(id, words): each text's set as sorted 32-bit hashes."""
+    for part in text_slices(batches, "text"):
+        sets = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in hash_sets(part, "text", WIDTH)]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "words"])
+
+
+def near_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: int) -> np.ndarray:
+    """Which pairs of short sets reach the similarity, but for SLACK shingles."""
+    out = [np.zeros(0, bool)]
+    for start in range(0, len(left), 512):
+        a, b = left[start : start + 512], right[start : start + 512]
+        n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        tag = np.arange(len(a), dtype=np.uint64) << U64(32)
+        both = np.concatenate((np.repeat(tag, n) | np.concatenate(a), np.repeat(tag, m) | np.concatenate(b)))
+        both.sort()
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(32)).astype(np.int64), minlength=len(a))
+        out.append(100 * (common + SLACK) >= similarity * (n + m - common - SLACK))
+    return np.concatenate(out)
+
+
+ORDER_SCHEMA = "tree int, key binary, id long, n long, component long, sketch binary, words binary"
 PAIRS_SCHEMA = f"a long, b long, alike int, {ORDER_SCHEMA}"
 
 
@@ -72,17 +97,20 @@ class _Rows:
     """Rows of an order as arrays."""
 
     def __init__(self, columns: list[np.ndarray]):
-        self.tree, self.key, self.id, self.n, self.component, self.sketch = columns
+        self.tree, self.key, self.id, self.n, self.component, self.sketch, self.words = columns
 
     @classmethod
     def of(cls, b: pa.RecordBatch) -> _Rows:
         c = {k: b.column(k) for k in b.schema.names}
         m = b.num_rows
         long = lambda k: c[k].to_numpy(zero_copy_only=False)
-        return cls([long("tree"), bytes_of(c["key"])[0].reshape(m, 4 * DEPTH).copy().view(">u4").astype(np.uint32), long("id"), long("n"), long("component"), bytes_of(c["sketch"])[0].reshape(m, SKETCH)])
+        words = np.empty(m, object)
+        for i, x in enumerate(c["words"].to_pylist()):  # one by one: sets of one size must not become a matrix
+            words[i] = x if x is None else np.frombuffer(x, np.uint32)
+        return cls([long("tree"), bytes_of(c["key"])[0].reshape(m, 4 * DEPTH).copy().view(">u4").astype(np.uint32), long("id"), long("n"), long("component"), bytes_of(c["sketch"])[0].reshape(m, -1), words])
 
     def columns(self) -> list[np.ndarray]:
-        return [self.tree, self.key, self.id, self.n, self.component, self.sketch]
+        return [self.tree, self.key, self.id, self.n, self.component, self.sketch, self.words]
 
     def slice(self, a: int, b: int | None = None) -> _Rows:
         return _Rows([x[a:b] for x in self.columns()])
@@ -95,12 +123,12 @@ class _Rows:
         key = [x.tobytes() for x in self.key.astype(">u4")]
         none = pa.nulls(m, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, pa.nulls(m, pa.int32()), pa.array(self.tree, pa.int32()), pa.array(key, pa.binary()), pa.array(self.id, pa.int64()), pa.array(self.n, pa.int64()), pa.array(self.component, pa.int64()), pa.array([x.tobytes() for x in self.sketch], pa.binary())],
-            ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch"],
+            [none, none, pa.nulls(m, pa.int32()), pa.array(self.tree, pa.int32()), pa.array(key, pa.binary()), pa.array(self.id, pa.int64()), pa.array(self.n, pa.int64()), pa.array(self.component, pa.int64()), pa.array([x.tobytes() for x in self.sketch], pa.binary()), pa.array([x if x is None else x.tobytes() for x in self.words], pa.binary())],
+            ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch", "words"],
         )
 
 
-def _pairs(rows: _Rows, new: int, lags, best: bool) -> pa.RecordBatch:
+def _pairs(rows: _Rows, new: int, lags, best: bool, similarity: int) -> pa.RecordBatch:
     """Candidates of the rows from index `new` on with rows before them in the order; best: for either end of a
     pair only the partner whose sketch is the most alike."""
     alive, found, lag = np.arange(max(new, 1), len(rows.id)), [], 0
@@ -125,14 +153,18 @@ def _pairs(rows: _Rows, new: int, lags, best: bool) -> pa.RecordBatch:
     else:
         pairs[:2].sort(axis=0)
         pairs = np.unique(pairs, axis=1)
+        if similarity and pairs.shape[1]:
+            ids, at = np.unique(rows.id, return_index=True)
+            left, right = (list(rows.words[at[np.searchsorted(ids, side)]]) for side in pairs[:2])
+            pairs = pairs[:, near_sets(left, right, similarity)]
     m = pairs.shape[1]
     return pa.RecordBatch.from_arrays(
-        [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
-        ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch"],
+        [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+        ["a", "b", "alike", "tree", "key", "id", "n", "component", "sketch", "words"],
     )
 
 
-def scan(batches, lags, border: int, best: bool):
+def scan(batches, lags, border: int, best: bool, similarity: int):
     """Candidate pairs of one sorted partition, and the rows at its borders."""
     keep, held = lags[-1][0], None
     seen = 0
@@ -145,22 +177,25 @@ def scan(batches, lags, border: int, best: bool):
         seen += batch.num_rows
         new = len(held.id) if held else 0
         held = held + rows if held else rows
-        yield _pairs(held, new, lags, best)
+        yield _pairs(held, new, lags, best, similarity)
         held = held.slice(max(0, len(held.id) - keep))
     if border and seen > border:
         yield held.slice(-min(border, seen - border)).batch()
 
 
-def candidates(orders: DataFrame, lags, border: int = 0, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids that are neighbours in one of the sorted orders. orders: a materialised table."""
+def candidates(orders: DataFrame, lags, border: int = 0, best: bool = False, similarity: int = 0) -> DataFrame:
+    """Pairs (a, b) of ids that are neighbours in one of the sorted orders. orders: a materialised table.
+
+    best: only the likeliest partner of each text. similarity: pairs must reach it on their short sets (`words`).
+    """
     n = shuffle_partitions(orders.sparkSession)
     by = ("tree", "key", "id")
-    run = lambda it: scan(it, lags, border, best)
+    run = lambda it: scan(it, lags, border, best, similarity)
     found = orders.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, PAIRS_SCHEMA)
     if border:
         found = materialize(found, "neighbours")
-        rest = found.where("a is null").select("tree", "key", "id", "n", "component", "sketch")
-        last = rest.repartition(n, "tree").sortWithinPartitions(*by).mapInArrow(lambda it: scan(it, lags, 0, best), PAIRS_SCHEMA)
+        rest = found.where("a is null").select("tree", "key", "id", "n", "component", "sketch", "words")
+        last = rest.repartition(n, "tree").sortWithinPartitions(*by).mapInArrow(lambda it: scan(it, lags, 0, best, similarity), PAIRS_SCHEMA)
         found = found.where("a is not null").unionByName(last)
     found = found.where("a is not null")
     if best:
@@ -192,6 +227,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     return out
 
 
+def with_components(orders: DataFrame, stars: DataFrame) -> DataFrame:
+    """Orders with the smallest end that each text is known to be joined with."""
+    known = stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    labelled = orders.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return labelled.select("tree", "key", "id", "n", "component", "sketch", "words")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): texts linked at a shingle similarity of `similarity` hundredths.
 
@@ -206,17 +248,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(sig.where("n > 0").select("id", "n", "h1", "h2").join(same, ["n", "h1", "h2"]).select("id", "rep"), "members")
     reps = with_ids(sig, members.where("id = rep").select("id"))
     orders = reps.select(F.posexplode("keys").alias("tree", "key"), "id", "n", F.col("id").alias("component"), "sketch")
-    orders = materialize(orders.select("tree", "key", "id", "n", "component", "sketch"), "orders")
+    orders = orders.withColumn("words", F.lit(None).cast("binary"))
+    orders = materialize(orders.select("tree", "key", "id", "n", "component", "sketch", "words"), "orders")
     links = confirmed(materialize(candidates(orders.where(F.col("tree") < FIRST_ROUND_TREES), ((1, 1),)), "pairs"), docs, similarity)
-    for last in [False] * BEST_ROUNDS + [True]:
-        joined = components(links).withColumnRenamed("node", "id")
-        labelled = orders.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        labelled = materialize(labelled.select("tree", "key", "id", "n", "component", "sketch"), "labelled")
-        more = confirmed(materialize(candidates(labelled, LAGS, BORDER * last, best=not last), "pairs"), docs, similarity)
+    stars = contract(links)
+    asked = None
+    for _ in range(BEST_ROUNDS):
+        labelled = materialize(with_components(orders, stars), "labelled")
+        asked = materialize(candidates(labelled, LAGS, BORDER, best=True), "pairs")
         discard(labelled)
-        links = links.unionByName(more)
+        stars = contract(stars.unionByName(confirmed(asked, docs, similarity)))
+    # every text that still has a candidate was part of a pair of the last round
+    open_ = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    short = with_ids(docs, open_).mapInArrow(short_sets, "id long, words binary")
+    rest = materialize(with_components(with_ids(orders, open_).drop("words").join(short, "id"), stars), "rest")
     discard(orders)
-    ends = components(links).select(F.col("node").alias("rep"), F.col("component"))
+    last = confirmed(materialize(candidates(rest, LAGS, BORDER, similarity=similarity), "pairs"), docs, similarity)
+    ends = components(stars.unionByName(last)).select(F.col("node").alias("rep"), F.col("component"))
     whole = members.join(ends, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     whole = whole.distinct()
     out = sig.select("id", "n").join(whole, "id", "left")
