@@ -3,8 +3,9 @@
 A text is split where a piece can't reach across: before each space and around each line break. In such a unit, a
 forward Viterbi pass over the lattice of pieces gives each place the best score of reaching it; a backward A* search
 from the end takes those scores as its exact estimate of what is left, so the segmentations come out best first.
-The N best of a whole text are the N best sums over its units. Units repeat, so their results are kept in a bounded
-cache; those of a slice that are new go through the lattice together, place by place in numpy. Characters that no piece covers become byte pieces, which makes decoding exact for every text.
+The N best of a whole text are the N best sums over its units. Units repeat, so their results are kept in a
+bounded table; those of a slice that are new go through the lattice together, place by place in numpy. Characters
+that no piece covers become byte pieces, which makes decoding exact for every text.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ from quillspark.llm.common import U64, RangeHash, mix, table, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHED, CACHED_CHARS, LEARNED = 80_000, 32, 8192
+#: Units kept, characters of those that are looked up together, units looked up at once, units whose N best are kept.
+CACHED, CACHED_CHARS, LEARNED, RANKED = 160_000, 32, 16_384, 8192
+#: First bits of a hash by which pieces are looked up.
+SLOT_BITS = 16
 SPACE = "▁"
 #: Texts handled at once, in bytes: with it and LEARNED (units at once) the arrays of a task stay under 50 MB.
 SLICE = 1 << 20
@@ -45,25 +49,39 @@ def read_pieces(model_file: str) -> dict:
     return {"plain": plain, "bytes": bytes_, "names": names, "byte_score": min(s for _, s in plain.values()) + BYTE_PENALTY, "longest": max(map(len, plain))}
 
 
-class _Units(dict):
-    """Cache from a unit to (ids, score, loss of the second best). Once it is full, the entries of the last fill are
-    kept as `old` and come back when they are asked for, so frequent units stay and the size is bounded."""
+class _Units:
+    """Table of units: the pieces of the best segmentation (in `ids`, from `start`, `count` of them), its score, and
+    the loss of the second best, as arrays in which `where` has the index of each unit."""
 
     def __init__(self, search):
-        super().__init__()
-        self.search, self.old = search, {}
+        self.search = search
+        self.forget()
 
-    def __missing__(self, unit: str):
-        entry = self.old.get(unit) or self.search(unit)
-        if len(unit) <= CACHED_CHARS:
-            if len(self) >= 2 * CACHED:
-                self.turn()
-            self[unit] = entry
-        return entry
+    def forget(self) -> None:
+        self.where: dict[str, int] = {}
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
 
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
+    def add(self, units: list[str], count, ids, score, loss) -> None:
+        count = np.asarray(count, np.int64)
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(count) - count)
+        self.count, self.ids = np.append(self.count, count), np.append(self.ids, np.asarray(ids, np.int32))
+        self.score, self.loss = np.append(self.score, score), np.append(self.loss, loss)
+        self.where.update(zip(units, range(len(self.where), len(self.start)), strict=True))
+
+    def search_all(self, units: list[str]) -> None:
+        if units:
+            found = list(map(self.search, units))
+            self.add(units, [len(x[0]) for x in found], list(chain.from_iterable(x[0] for x in found)), [x[1] for x in found], [x[2] for x in found])
+
+    def __len__(self) -> int:
+        return len(self.where)
+
+    def __getitem__(self, unit: str) -> tuple[tuple[int, ...], float, float]:
+        if unit not in self.where:
+            self.search_all([unit])
+        k = self.where[unit]
+        return tuple(self.ids[self.start[k] :][: self.count[k]].tolist()), float(self.score[k]), float(self.loss[k])
 
 
 class Segmenter:
@@ -74,10 +92,11 @@ class Segmenter:
         self.parts = [n.replace(SPACE, " ").encode() for n in pieces["names"]]
         for b, i in enumerate(self.bytes):
             self.parts[i] = bytes([b])
-        self.cache = _Units(self.viterbi)
-        # hashes, scores and ids of the pieces of each length, sorted by hash
+        self.cache, self.ranked = _Units(self.viterbi), lru_cache(RANKED)(self.search)
+        # hashes, scores and ids of the pieces of each length, sorted by hash; the first of those
+        # that begin with some bits, and the most that begin alike
         self.code_values = mix(np.arange(0x110000, dtype=np.uint64) + U64(1)) | U64(1)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = {}
         for size in range(1, min(self.longest, CACHED_CHARS) + 1):
             names = [n for n in self.plain if len(n) == size]
             if names:
@@ -85,12 +104,17 @@ class Segmenter:
                 at = np.arange(len(names)) * size
                 key = RangeHash(code, self.code_values)(at, at + size)
                 order = np.argsort(key)
-                self.by_length[size] = key[order], np.array([self.plain[n][1] for n in names])[order], np.array([self.plain[n][0] for n in names])[order]
+                slot = key[order] >> U64(64 - SLOT_BITS)
+                slots = np.full(1 << SLOT_BITS, -1, np.int32)
+                slots[slot[::-1]] = np.arange(len(names))[::-1]
+                deep = int(np.unique(slot, return_counts=True)[1].max())
+                self.by_length[size] = key[order], np.array([self.plain[n][1] for n in names])[order], np.array([self.plain[n][0] for n in names])[order], slots, deep
 
     def nbest(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations of a unit as (score, ids), best first."""
         ids, score, _ = self.cache[unit]
-        return [(score, ids), *(x for x in self.search(unit) if x[1] != ids)][: self.best]
+        ranked = (self.ranked if len(unit) <= CACHED_CHARS else self.search)(unit)
+        return [(score, ids), *(x for x in ranked if x[1] != ids)][: self.best]
 
     def viterbi(self, unit: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best segmentation, and how much the second best loses (infinite: there is none).
@@ -126,75 +150,74 @@ class Segmenter:
         return ids, reach[n], reach[n] - other
 
     def learn(self, units: set[str]) -> None:
-        """Puts the entries of new units into the cache: what `viterbi` gives, for all of them at once.
+        """Puts new units into the cache: what `viterbi` gives, for all of them at once.
 
         Units that are long, or hold characters that need byte pieces, are left to `viterbi`.
         """
         cache = self.cache
-        if len(cache) >= CACHED:
-            cache.turn()
-        known = units & cache.old.keys()
-        cache.update((u, cache.old[u]) for u in known)
-        new = sorted((u for u in units - known - cache.keys() if len(u) <= CACHED_CHARS and SPACE not in u), key=len)
-        for start in range(0, len(new), LEARNED):
-            self._learn(new[start : start + LEARNED])
+        if len(cache) > CACHED or len(cache.ids) > 8 * CACHED:
+            cache.forget()
+        new = list(units - cache.where.keys())
+        short = [u for u in new if len(u) <= CACHED_CHARS and SPACE not in u]
+        for start in range(0, len(short), LEARNED):
+            self._learn(short[start : start + LEARNED])
+        cache.search_all([u for u in new if u not in cache.where])
 
     def _learn(self, new: list[str]) -> None:
-        """`learn` for new units sorted by length."""
-        size = np.array([len(u) for u in new])
+        """`learn` for so many units. Places are numbered through all units, a unit of n characters has n + 1 of them;
+        the lattice is the list of its edges, taken by the distance of their end from the start of the unit."""
+        m, size = len(new), np.fromiter(map(len, new), np.int64, len(new))
         code = np.frombuffer("".join(new).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(size)
-        hashed, left, at = RangeHash(code, self.code_values), np.repeat(ends, size) - np.arange(len(code)), np.arange(len(code))
-        score = {n: np.full(len(code) + CACHED_CHARS, -np.inf) for n in self.by_length}
-        piece = {n: np.zeros(len(code) + CACHED_CHARS, np.int32) for n in self.by_length}
-        for n, (keys, scores, ids) in self.by_length.items():
+        ends, at, unit = np.cumsum(size), np.arange(len(code)), np.repeat(np.arange(m), size)
+        hashed, left, covered, found = RangeHash(code, self.code_values), ends[unit] - at, np.zeros(len(code), bool), []
+        for n in sorted(self.by_length, reverse=True):  # as in `viterbi`, the longer of equally good pieces stays
+            keys, scores, ids, slots, deep = self.by_length[n]
             fits = at[left >= n]
-            if len(fits):
-                key = hashed(fits, fits + n)
-                hit = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                ok = keys[hit] == key
-                score[n][fits[ok]], piece[n][fits[ok]] = scores[hit[ok]], ids[hit[ok]]
-        whole = np.minimum.reduceat(np.isfinite(score[1][: len(code)]), ends - size)
-        new, size, base = [u for u, w in zip(new, whole, strict=True) if w], size[whole], (ends - size)[whole]
-        if not new:
-            return
-        m, most = len(new), int(size[-1])
-        lengths = sorted(self.by_length, reverse=True)  # as in `viterbi`, the longer of equally good pieces stays
-        reach, back = np.full((most + 1, m), -np.inf), np.zeros((most + 1, m), np.int64)
-        reach[0] = 0
-        for end in range(1, most + 1):
-            a = int(np.searchsorted(size, end))  # units are sorted by length: from here on they are long enough
-            for n in lengths:
-                if n <= end:
-                    total = reach[end - n, a:] + score[n][base[a:] + end - n]
-                    better = total > reach[end, a:]
-                    reach[end, a:][better] = total[better]
-                    back[end, a:][better] = n
-        all_, place, step = np.arange(m), size.copy(), 0
-        found, on = np.zeros((most, m), np.int32), np.zeros((most + 1, m), bool)
-        while len(live := np.flatnonzero(place)):
-            on[place[live], live] = True
-            n = back[place[live], live]
-            place[live] -= n
-            for k in np.unique(n):
-                those = live[n == k]
-                found[step, those] = piece[k][base[those] + place[those]]
-            step += 1
-        count = on.sum(axis=0)
-        rest, other = np.full((most + 1, m), -np.inf), np.full(m, -np.inf)
-        rest[size, all_] = 0
-        for end in range(most, 0, -1):
-            a = int(np.searchsorted(size, end))
-            for n in lengths:
-                if n <= end:
-                    onward = score[n][base[a:] + end - n] + rest[end, a:]
-                    np.maximum(rest[end - n, a:], onward, out=rest[end - n, a:])
-                    total = onward + reach[end - n, a:]
-                    total[on[end, a:] & (back[end, a:] == n)] = -np.inf
-                    np.maximum(other[a:], total, out=other[a:])
-        best = reach[size, all_]
-        for u, ids, n, s, o in zip(new, found.T.tolist(), count.tolist(), best.tolist(), (best - other).tolist(), strict=True):
-            self.cache[u] = (tuple(ids[n - 1 :: -1]), s, o)
+            key = hashed(fits, fits + n)
+            hit = slots[key >> U64(64 - SLOT_BITS)]
+            maybe = np.flatnonzero(hit >= 0)
+            fits, key, hit = fits[maybe], key[maybe], hit[maybe]
+            for _ in range(deep - 1):
+                hit = np.minimum(hit + (keys[hit] < key), len(keys) - 1)
+            ok = np.flatnonzero(keys[hit] == key)
+            fits, hit = fits[ok], hit[ok]
+            found.append((fits, np.full(len(fits), n), scores[hit], ids[hit]))
+            if n == 1:
+                covered[fits] = True
+        start, length, score, piece = map(np.concatenate, zip(*found, strict=True))
+        whole = np.logical_and.reduceat(covered, ends - size)
+        till = start + length - (ends - size)[unit[start]]
+        order = np.flatnonzero(whole[unit[start]])
+        order = order[np.argsort(till[order].astype(np.uint8), kind="stable")]
+        start, length, score, piece, till = start[order], length[order], score[order], piece[order], till[order]
+        of = unit[start]
+        src, most = start + of, int(size.max())
+        dst, bounds = src + length, np.searchsorted(till, np.arange(1, most + 2)).tolist()
+        first = ends - size + np.arange(m)
+        last, steps = first + size, [slice(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        reach, rest, back = np.full(len(code) + m, -np.inf), np.full(len(code) + m, -np.inf), np.zeros(len(code) + m, np.int64)
+        reach[first], rest[last] = 0, 0
+        for e in steps:
+            total, to = reach[src[e]] + score[e], dst[e]
+            np.maximum.at(reach, to, total)
+            best = np.flatnonzero(total == reach[to])[::-1]  # of equal ones the first is written last
+            back[to[best]] = best + e.start
+        on, begins, live = np.zeros(len(code) + m, bool), np.zeros(len(code) + m, bool), last[whole]
+        begins[first] = True
+        while len(live):
+            on[live] = True
+            live = src[back[live]]
+            live = live[~begins[live]]
+        path = np.flatnonzero(on)
+        used = back[path]
+        for e in reversed(steps):
+            np.maximum.at(rest, src[e], score[e] + rest[dst[e]])
+        total, other = score + rest[dst] + reach[src], np.full(m, -np.inf)
+        total[used] = -np.inf
+        np.maximum.at(other, of, total)
+        count = np.diff(np.searchsorted(path, np.append(first, len(code) + m)))
+        best = reach[last][whole]
+        self.cache.add([u for u, w in zip(new, whole.tolist(), strict=True) if w], count[whole], piece[used], best, best - other[whole])
 
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """The lattice: for each place the pieces that end there, as (start, ids, score)."""
@@ -245,17 +268,33 @@ class Segmenter:
     def encode(self, text: str) -> tuple[list[int], float, list[float], list[list[tuple[int, int]]]]:
         """Ids and score of the best segmentation; the scores of the N best; and for each of the N best the units
         that differ from the best one, as (unit, rank of its segmentation)."""
-        units = self.units(text)
-        known = list(map(self.cache.__getitem__, units))
-        ids = list(chain.from_iterable(map(itemgetter(0), known)))
-        score = sum(map(itemgetter(1), known))
-        # only the units with the smallest losses can be part of the N best
-        losses = [x for x in heapq.nsmallest(self.best - 1, zip(map(itemgetter(2), known), range(len(known)), strict=True)) if x[0] < float("inf")]
-        steps = [[(0.0, 0), *((known[i][1] - s, r) for r, (s, _) in enumerate(self.nbest(units[i])) if r)] for _, i in losses]
-        totals: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])]
-        for (_, i), options in zip(losses, steps, strict=True):
-            totals = heapq.nsmallest(self.best, ((t + loss, [*used, (i, r)] if r else used) for t, used in totals for loss, r in options))
-        return ids, score, [score - t for t, _ in totals], [used for _, used in totals]
+        ids, _, score, ((scores, changes),) = self.encode_all([text])
+        return ids.tolist(), float(score[0]), scores, changes
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[list, list]]]:
+        """`encode` for many texts: ids of all, bounds of each text's ids, scores, and (scores, changes) of its N best."""
+        units, cache, few = list(map(self.units, texts)), self.cache, self.best - 1
+        flat = list(chain.from_iterable(units))
+        self.learn(set(flat))
+        at = np.fromiter(map(cache.where.__getitem__, flat), np.int64, len(flat))
+        cut = np.cumsum([0, *map(len, units)])
+        score = np.bincount(np.repeat(np.arange(len(texts)), np.diff(cut)), cache.score[at], len(texts))
+        count, loss = cache.count[at], cache.loss[at]
+        till = np.append(0, np.cumsum(count))
+        ids = cache.ids[np.repeat(cache.start[at] - till[:-1], count) + np.arange(till[-1])]
+        best = []
+        for own, total, a, b in zip(units, score.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            # only the units with the smallest losses can be part of the N best
+            x = loss[a:b]
+            low = np.flatnonzero(x <= np.partition(x, few - 1)[few - 1]) if 0 < few < b - a else np.arange(b - a)
+            losses = heapq.nsmallest(few, ((y, i) for y, i in zip(x[low].tolist(), low.tolist(), strict=True) if y < float("inf")))
+            totals: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])]
+            for _, i in losses:
+                known = self.nbest(own[i])
+                options = [(0.0, 0), *((known[0][0] - s, r) for r, (s, _) in enumerate(known) if r)]
+                totals = heapq.nsmallest(self.best, ((t + loss_, [*used, (i, r)] if r else used) for t, used in totals for loss_, r in options))
+            best.append(([total - t for t, _ in totals], [used for _, used in totals]))
+        return ids, till[cut], score, best
 
     def segmentation(self, text: str, changes: list[tuple[int, int]]) -> list[int]:
         """The ids of one of the N best, from its changes."""
@@ -279,12 +318,12 @@ def encode(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id", tex
     def run(batches):
         model = Segmenter(sent.value, best)
         for part in text_slices(batches, "text", SLICE):
-            rows, texts = [], part.column("text").to_pylist()
-            model.learn(set(chain.from_iterable(model.units(t) for t in texts if t)))
-            for key, text in zip(part.column("id").to_pylist(), texts, strict=True):
-                ids, score, scores, changes = model.encode(text or "")
-                rows.append((key, ids, len(ids), score, scores, [[{"unit": u, "rank": r} for u, r in c] for c in changes], hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENCODED.types, strict=True)], schema=_ENCODED)
+            ids, cut, score, best_ = model.encode_all([t or "" for t in part.column("text").to_pylist()])
+            shas = [hashlib.sha256(model.decode(ids[a:b].tolist()).encode("utf-8", "surrogatepass")).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            changes = [[[{"unit": u, "rank": r} for u, r in c] for c in changes] for _, changes in best_]
+            pieces = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))
+            columns = [part.column("id"), pieces, pa.array(np.diff(cut)), pa.array(score), *map(pa.array, ([x for x, _ in best_], changes, shas), _ENCODED.types[4:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, nbest_changes array<array<struct<unit: int, rank: int>>>, decoded_sha256 string")
