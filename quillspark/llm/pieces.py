@@ -324,6 +324,9 @@ def encode(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id", tex
             pieces = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))
             columns = [part.column("id"), pieces, pa.array(np.diff(cut)), pa.array(score), *map(pa.array, ([x for x, _ in best_], changes, shas), _ENCODED.types[4:])]
             yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
+        # the worker goes on with other tasks, and cycles would keep the tables until its next collection
+        model.cache.forget()
+        model.ranked.cache_clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, nbest_scores array<double>, nbest_changes array<array<struct<unit: int, rank: int>>>, decoded_sha256 string")
