@@ -11,6 +11,10 @@ joined yet: first the direct neighbours in a few orders, then for each text its
 (BEST_ROUNDS times), and at last every candidate of all orders. The last round compares sets of 32-bit hashes where
 the neighbours meet, so that only pairs that are links (but for collisions) leave its tasks. A group of thousands of
 near copies is joined in the early rounds and thus costs a few confirmations for each member, not one for each pair.
+
+LAGS end, so an order alone loses pairs that stand far apart in a crowded region. Texts that share a first hash with
+more others than are asked at one common hash meet a second time, exactly: with shingles in one order of all texts,
+rare ones first, the first common shingle of a link lies in a prefix of either set (`crowded_pairs`).
 """
 
 from __future__ import annotations
@@ -27,10 +31,16 @@ from quillspark.llm.graph import components, contract
 TREES, DEPTH, WIDTH, SKETCH = 16, 6, 5, 96
 #: (largest distance in the order, common prefix required up to it)
 LAGS = ((32, 1), (64, 2), (128, 3), (256, 4), (512, 5))
-#: Hashes of the sketch that must agree: 3.8 standard deviations under the 72 expected at a similarity of 0.75.
-SKETCH_LEAST = 56
+#: Hashes of the sketch that must agree, of 72 expected at a similarity of 0.75: fewer have a chance of 2.3e-10 there.
+SKETCH_LEAST = 44
 #: Rows kept from either end of a partition, so that neighbours across a border of the range partitioning meet.
-BORDER = 64
+BORDER = LAGS[-1][0]
+#: Counters by which shingles are ordered in the exact join; any order is right, a good one puts rare shingles first.
+COUNTERS = 1 << 18
+#: Rows of one shingle that meet at once; a more frequent one is split into blocks, each pair of which is a group.
+MEET = 4096
+#: Pairs that a task of the exact join holds at once.
+AT_ONCE = 1 << 21
 FIRST_ROUND_TREES = 3
 #: Rounds in which each text tries only its likeliest partner, before the one in which all candidates are tried.
 BEST_ROUNDS = 2
@@ -227,6 +237,106 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     return out
 
 
+def crowded(orders: DataFrame, most: int) -> DataFrame:
+    """Ids of the texts that share a first hash with more than `most` others in any tree."""
+    first = orders.select("tree", F.substring("key", 1, 4).alias("k"), "id")
+    many = first.groupBy("tree", "k").count().where(F.col("count") > most + 1).select("tree", "k")
+    return first.join(many, ["tree", "k"]).select("id").distinct()
+
+
+def shingle_counts(batches):
+    """(counter, n): shingles by the first bits of their hash."""
+    total = np.zeros(COUNTERS, np.int64)
+    for part in text_slices(batches, "text"):
+        total += np.bincount((np.concatenate(hash_sets(part, "text", WIDTH)) // U64(2**64 // COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+
+def prefixes(batches, counts: np.ndarray, similarity: int):
+    """(h, id, n, at): of each set in order of (count, hash) the shingles among which the first one it has in common
+    with any set of the similarity must be."""
+    for part in text_slices(batches, "text"):
+        sets = hash_sets(part, "text", WIDTH)
+        n = np.array([len(s) for s in sets], np.int64)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((flat, counts[(flat // U64(2**64 // COUNTERS)).astype(np.int64)], row))
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        kept = at <= (n + -similarity * n // 100)[row]
+        flat, row, at = flat[order][kept], row[kept], at[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(n[row]), pa.array(at)], ["h", "id", "n", "at"])
+
+
+def meet(batches, similarity: int):
+    """Pairs of different components in each group of sorted rows that may reach the similarity if the shingle of the
+    group is their first one in common."""
+    names = ("h", "x", "y", "component", "own", "id", "n", "at")
+
+    def pairs(rows: np.ndarray):
+        new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]
+        run = new | np.r_[True, rows[3, 1:] != rows[3, :-1]]
+        place = np.arange(rows.shape[1])
+        group, before = np.maximum.accumulate(np.where(new, place, 0)), np.maximum.accumulate(np.where(run, place, 0))
+        asks = before - group
+        ends = np.cumsum(asks)
+        start = 0
+        while start < len(asks):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + AT_ONCE, side="right")))
+            i = np.repeat(place[start:stop], asks[start:stop])
+            j = np.arange(len(i)) - np.repeat(ends[start:stop] - asks[start:stop] - base, asks[start:stop]) + group[i]
+            n, m = rows[6, i], rows[6, j]
+            least = -(-similarity * (n + m) // (100 + similarity))
+            ok = (np.minimum(n - rows[7, i], m - rows[7, j]) >= least) & (100 * np.minimum(n, m) >= similarity * np.maximum(n, m))
+            ok &= (rows[1, i] == rows[2, i]) | (rows[4, i] != rows[4, j])
+            found = np.sort(np.stack((rows[5, i[ok]], rows[5, j[ok]])), axis=0)
+            found = np.unique(found, axis=1) if found.shape[1] else found
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            start = stop
+
+    held = np.zeros((len(names), 0), np.int64)
+    for b in batches:
+        held = np.concatenate((held, np.stack([b.column(k).to_numpy() for k in names])), axis=1)
+        cut = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0))
+        if len(cut):
+            yield from pairs(held[:, : cut[-1] + 1])
+            held = held[:, cut[-1] + 1 :]
+    if held.shape[1]:
+        yield from pairs(held)
+
+
+def crowded_pairs(orders: DataFrame, docs: DataFrame, ends: DataFrame, similarity: int, most: int) -> DataFrame:
+    """Every pair of crowded texts in different components that may be a link, by a join on prefixes of their sets."""
+    spark = docs.sparkSession
+    ids = materialize(crowded(orders, most), "crowded")
+    texts = with_ids(docs, ids)
+    found = texts.mapInArrow(shingle_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found.counter] = found.n
+    sent = spark.sparkContext.broadcast(counts)
+    rows = texts.mapInArrow(lambda it: prefixes(it, sent.value, similarity), "h long, id long, n long, at long")
+    rows = rows.join(ends.select(F.col("rep").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = materialize(rows, "prefixes")
+    shared = rows.groupBy("h").agg(F.ceil(F.count("*") / MEET).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    dealt = rows.join(shared.select("h", "blocks"), "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "own", "id", "n", "at")
+    by = ("h", "x", "y")
+    met = dealt.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by, "component").mapInArrow(lambda it: meet(it, similarity), "a long, b long").distinct()
+    sketch = orders.where("tree = 0").select("id", "sketch")
+    pairs = met.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
+
+    def alike(batches):
+        for b in batches:
+            x, y = (bytes_of(b.column(k))[0].reshape(b.num_rows, -1) for k in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SKETCH_LEAST))
+
+    out = materialize(pairs.mapInArrow(alike, "a long, b long"), "pairs")
+    discard(rows)
+    discard(ids)
+    return out
+
+
 def with_components(orders: DataFrame, stars: DataFrame) -> DataFrame:
     """Orders with the smallest end that each text is known to be joined with."""
     known = stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
@@ -262,9 +372,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     short = with_ids(docs, open_).mapInArrow(short_sets, "id long, words binary")
     rest = materialize(with_components(with_ids(orders, open_).drop("words").join(short, "id"), stars), "rest")
-    discard(orders)
     last = confirmed(materialize(candidates(rest, LAGS, BORDER, similarity=similarity), "pairs"), docs, similarity)
     ends = components(stars.unionByName(last)).select(F.col("node").alias("rep"), F.col("component"))
+    far = confirmed(crowded_pairs(orders, docs, ends, similarity, max(lag for lag, depth in LAGS if depth == 1)), docs, similarity)
+    discard(orders)
+    if far.limit(1).count():
+        known = ends.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+        ends = components(known.unionByName(far)).select(F.col("node").alias("rep"), F.col("component"))
     whole = members.join(ends, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     whole = whole.distinct()
     out = sig.select("id", "n").join(whole, "id", "left")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from quillspark.llm import suffix
+from quillspark.llm import minhash, suffix
 from quillspark.llm.embeddings import near_vectors
 from quillspark.llm.graph import components
 from quillspark.llm.minhash import near_duplicates
@@ -71,6 +71,26 @@ def test_near_duplicates(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """Unlinked texts with a long common passage stand between the ends of links, and one order alone is asked."""
+    rng = random.Random(9)
+    passage = [rng.choice(WORDS) for _ in range(156)]
+    new = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [new(44) for _ in range(160)]
+    rows += [[*own[:20], *new(24)] for own in rows[:40]]
+    rng.shuffle(rows)
+    corpus = [(i, " ".join(passage + own)) for i, own in enumerate(rows)]
+    sets = {i: shingles(t) for i, t in corpus}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(links) == 40
+    one = minhash.candidates
+    monkeypatch.setattr(minhash, "candidates", lambda orders, *a, **k: one(orders.where("tree = 0"), *a, **k))
+    monkeypatch.setattr(minhash, "LAGS", ((1, 1), (2, 5)))
+    monkeypatch.setattr(minhash, "MEET", 50, raising=False)
+    got = near_duplicates(frame(spark, corpus)).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots(sets, links)
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     assert near_duplicates(none).count() == 0
