@@ -5,9 +5,10 @@ classes of their own, the others share the rest. A small network predicts the cl
 on either side; within its class a word has its share of the corpus counts. The sum of the log-probabilities of all
 tokens, each with the token itself masked, is the pseudo-likelihood of a document.
 
-Training masks every MASK-th token of every document. Each task trains on its own rows from the same start (Adam in
-numpy), and the parameters are averaged by number of examples; ROUNDS times. Parameters and counts have a size that
-the corpus does not change; what is added up for them comes from every row.
+Training masks every token of every document once: each of ROUNDS rounds every ROUNDS-th token, from a first one that
+differs by round. In a round each task trains on its own rows from the same start (Adam in numpy), and the parameters
+are averaged by number of examples. Parameters and counts have a size that the corpus does not change, so context tells
+apart the OWN most frequent words only; what is added up for them comes from every row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from quillspark.llm.toxicity import tokens
 
 BUCKETS, CLASSES, OWN = 1 << 18, 256, 160
 SIDE, SIZE, HIDDEN = 2, 12, 24
-MASK, ROUNDS, STEP, BATCH = 16, 2, 0.01, 512
+ROUNDS, STEP, BATCH = 2, 0.01, 512
 BLOCK = 1024
 PAD = CLASSES
 
@@ -98,9 +99,9 @@ class Adam:
         d /= n
         dh = (d @ p[3].T) * (1 - h * h)
         dx = (dh @ p[1].T).reshape(-1, SIZE)
-        de = np.zeros(SHAPES[0], np.float32)
-        np.add.at(de, context.ravel(), dx)
-        g = np.concatenate([de.ravel(), (x.T @ dh).ravel(), dh.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)])
+        cell = context.reshape(-1, 1) * SIZE + np.arange(SIZE)
+        de = np.bincount(cell.ravel(), dx.ravel(), SHAPES[0][0] * SIZE).astype(np.float32)
+        g = np.concatenate([de, (x.T @ dh).ravel(), dh.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)])
         self.t += 1
         self.m = 0.9 * self.m + 0.1 * g
         self.v = 0.999 * self.v + 0.001 * g * g
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     flat = start(np.bincount(klass, counts, CLASSES))
     sent = spark.sparkContext.broadcast(klass)
 
-    def train_from(begin):
+    def train_from(begin, turn):
         def train(batches):
             adam, seen = Adam(begin.value), 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,8 +138,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
                 own = sent.value[bucket % BUCKETS].astype(np.int64)
                 if len(own):
                     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                    # the first masked token differs from text to text
-                    masked = np.flatnonzero((np.arange(len(own)) - bounds[row] + bucket[bounds[row]]) % MASK == 0)
+                    # the first masked token differs from text to text; over all rounds each token is masked once
+                    masked = np.flatnonzero((np.arange(len(own)) - bounds[row] + bucket[bounds[row]]) % ROUNDS == turn)
                     held.append((around(own, bounds)[masked], own[masked]))
                     run(BATCH)
             run(1)
@@ -157,13 +158,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.list_(pa.float64()))], ["block", "seen", "sums"])
 
     schema = "block int, seen long, sums array<double>"
-    for _ in range(ROUNDS):
+    trained = 0
+    for turn in range(ROUNDS):
         begin = spark.sparkContext.broadcast(flat)
-        means = rows.mapInArrow(train_from(begin), schema).repartition(shuffle_partitions(spark), "block").mapInArrow(add_up, schema).toArrow().to_pylist()
+        means = rows.mapInArrow(train_from(begin, turn), schema).repartition(shuffle_partitions(spark), "block").mapInArrow(add_up, schema).toArrow().to_pylist()
         if not means:
-            break
+            continue
+        trained += means[0]["seen"]
         flat = np.concatenate([np.array(m["sums"]) / m["seen"] for m in sorted(means, key=lambda m: m["block"])]).astype(np.float32)
-    return {"class": klass, "share": share, "flat": flat}
+    return {"class": klass, "share": share, "flat": flat, "trained": trained}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,6 +91,14 @@ def test_language_model(spark, docs):
     assert lm.score(odd(spark), lm.fit(docs.limit(0))).count() == 6
 
 
+def test_every_token_is_trained_on(spark):
+    """One-word texts, equal first words and texts of any length: each token is a training target once."""
+    rows = [(i, " ".join(["same", *(f"w{k}" for k in range(i % 40))])) for i in range(120)] + [(200 + i, f"lone{i}") for i in range(30)]
+    rows.append((300, None))
+    n = sum(len(t.split()) for _, t in rows if t)
+    assert lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))["trained"] == n
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
     target = rng.integers(0, 20, 4096)
