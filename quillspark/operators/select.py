@@ -20,16 +20,15 @@ def select_quota(pool: DataFrame, group: str, target: float, most: int | None =
 
     pool: (group, id, topic_id, difficulty, marks). Marks count in halves. Candidates are tried round robin over the
     topics; among equally small choices the first one found stays. Without an exact sum the row has a null id and the
-    outcome says why: pool_too_small, needs_more_than_max or closest:<marks>.
+    outcome says why: pool_too_small, needs_more_than_max or closest:<marks>. Of candidates with the same marks only the
+    first target / marks in the order of trial can be chosen, so only these are gathered, with the sum of all marks.
     """
     units = round(target * 2)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["topic_id", "difficulty", "id"], kind="stable").reset_index(drop=True)
-        pdf["turn"] = pdf.groupby("topic_id").cumcount()
-        pdf["first"] = pdf.groupby("topic_id")["id"].transform(lambda s: s.index[0])
-        order = pdf.sort_values(["turn", "first"], kind="stable").index.tolist()
-        worth = [round(float(m) * 2) for m in pdf["marks"]]
+        order = pdf.sort_values(["turn", "topic_id"], kind="stable").index.tolist()
+        worth = pdf["worth"].tolist()
 
         def reach(cap: int | None) -> dict[int, tuple]:
             sums: dict[int, tuple] = {0: ()}
@@ -45,7 +44,7 @@ def select_quota(pool: DataFrame, group: str, target: float, most: int | None =
             return sums
 
         name = pdf[group].iloc[0]
-        if sum(worth) < units:
+        if pdf["whole"].iloc[0] < units:
             return pd.DataFrame({group: [name], "id": [None], "outcome": ["pool_too_small"]})
         sums = reach(most)
         if units in sums:
@@ -56,7 +55,14 @@ def select_quota(pool: DataFrame, group: str, target: float, most: int | None =
         return pd.DataFrame({group: [name], "id": [None], "outcome": [f"closest:{near / 2:g}"]})
 
     kind = pool.schema[group].dataType.simpleString()
-    return pool.select(group, "id", "topic_id", "difficulty", F.col("marks").cast("double").alias("marks")).groupBy(group).applyInPandas(solve, f"{group} {kind}, id long, outcome string")
+    rows = pool.select(group, "id", "topic_id", "difficulty", F.rint(F.col("marks").cast("double") * 2).cast("long").alias("worth"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group, "topic_id").orderBy("difficulty", "id")))
+    # those worth more than the target can't be chosen; one of them stands for all, so that each group has a row
+    like = Window.partitionBy(group, F.least("worth", F.lit(units + 1))).orderBy("turn", "topic_id")
+    tried = rows.withColumn("_n", F.row_number().over(like)).where((F.col("_n") == 1) | ((F.col("worth") > 0) & (F.col("_n") * F.col("worth") <= units))).drop("_n")
+    whole = rows.groupBy(F.col(group).alias("_group")).agg(F.sum("worth").alias("whole"))
+    tried = tried.join(whole, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return tried.groupBy(group).applyInPandas(solve, f"{group} {kind}, id long, outcome string")
 
 
 def tier_counts(split: dict[str, float], total: int | None) -> dict[str, int]:
@@ -139,14 +145,23 @@ def import_students(rows: DataFrame, capacity: int, school: str = "school_id") -
 def fill_budget(items: DataFrame, group: str, budget: int) -> DataFrame:
     """`kept` for items that fit a token budget, tried by priority; an item that does not fit is skipped, not the end.
 
-    items: (group, position, priority, tokens).
+    items: (group, position, priority, tokens), tokens not negative. Once an item is skipped, so are all later ones of its
+    size or more; the kept items of a size are the first of it, at most budget / size. Only these are walked in order.
     """
+    order = Window.partitionBy(group, "tokens").orderBy(F.col("priority").asc_nulls_last(), F.col("position").asc_nulls_last())
+    rows = items.withColumn("_n", F.row_number().over(order))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         left, kept = budget, {}
-        for i, t in pdf.sort_values(["priority", "position"])["tokens"].items():
-            kept[i] = t <= left
-            left -= t if kept[i] else 0
-        return pdf.assign(kept=pd.Series(kept, dtype=bool)).sort_values("position")
-
-    return items.groupBy(group).applyInPandas(fill, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, kept boolean")
+        for t in pdf.sort_values(["priority", "position", "tokens"])["tokens"]:
+            if t <= left:
+                left -= t
+                kept[t] = kept.get(t, 0) + 1
+        return pd.DataFrame({"_group": [pdf[group].iloc[0]] * len(kept), "_tokens": list(kept), "_kept": list(kept.values())})
+
+    tried = rows.where((F.col("tokens") > 0) & (F.col("_n") * F.col("tokens") <= budget)).select(group, "tokens", "priority", "position")
+    kind = {f.name: f.dataType.simpleString() for f in items.schema}
+    sizes = tried.groupBy(group).applyInPandas(fill, f"_group {kind[group]}, _tokens {kind['tokens']}, _kept long")
+    joined = rows.join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("tokens") == F.col("_tokens")), "left")
+    kept = F.coalesce(((F.col("tokens") == 0) & F.lit(budget >= 0)) | (F.col("_n") <= F.col("_kept")), F.lit(False))
+    return joined.select(*items.columns, kept.alias("kept"))

@@ -276,14 +276,14 @@ def hyphen_rejoin(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def budget_greedy(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    items = docs.select(F.concat_ws(":", "source", (F.col("doc_id") % 64).cast("string")).alias("source"), F.col("doc_id").alias("position"), (F.col("doc_id") % 3).alias("priority"), text.tokens_estimate(F.col("text")).alias("tokens"))
+    items = docs.select("source", F.col("doc_id").alias("position"), (F.col("doc_id") % 3).alias("priority"), text.tokens_estimate(F.col("text")).alias("tokens"))
     return select.fill_budget(items, "source", 2000)
 
 
 @query()
 def quota_select(spark: SparkSession, d: str) -> DataFrame:
     part = read_table(spark, d, "part")
-    pool = part.select(F.concat_ws(":", "p_brand", (F.col("p_partkey") % 16).cast("string")).alias("brand"), F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("topic_id"), F.col("p_type").alias("difficulty"), F.col("p_size").alias("marks"))
+    pool = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("topic_id"), F.col("p_type").alias("difficulty"), F.col("p_size").alias("marks"))
     return select.select_quota(pool, "brand", 60.0)
 
 

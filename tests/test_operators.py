@@ -1,14 +1,17 @@
 """Operators on small tables: selection, grading, layout, filters, streams."""
 
 import datetime as dt
+import random
 
 import pytest
+from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.operators import assess, relational, select
 from quillspark.operators import text as texts
+from quillspark.plans.queries import REGISTRY
 from quillspark.streaming import jobs
 
 
@@ -42,6 +45,83 @@ def test_budget(spark):
     assert [r.kept for r in select.fill_budget(items, "g", 80).orderBy("position").collect()] == [False, True, False, True]
 
 
+def plain_budget(rows, budget):
+    """(group, position) of the kept items, by one plain loop over each group."""
+    left, kept = {}, set()
+    for g, position, _, tokens in sorted(rows, key=lambda r: (r[2], r[1])):
+        if tokens is not None and tokens <= left.setdefault(g, budget):
+            left[g] -= tokens
+            kept.add((g, position))
+    return kept
+
+
+def test_budget_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(4), rng.choice([None, 0, 1, 3, 7, 7, 20, 90, 400])) for i in range(900)]
+    items = spark.createDataFrame(rows, "g string, position long, priority long, tokens long")
+    for budget in (0, 60, 399, 5000):
+        got = {(r.g, r.position): r.kept for r in select.fill_budget(items, "g", budget).collect()}
+        assert len(got) == len(rows)
+        assert {k for k, kept in got.items() if kept} == plain_budget(rows, budget)
+
+
+def test_budget_query_has_one_budget_for_each_source(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    got = REGISTRY["budget_greedy"][0](spark, f"{DATA}/sf0.001").collect()
+    assert len(got) == docs.count()
+    assert {r.source for r in got} == {r.source for r in docs.select("source").distinct().collect()}
+    assert {(r.source, r.position) for r in got if r.kept} == plain_budget([(r.source, r.position, r.priority, r.tokens) for r in got], 2000)
+
+
+def plain_quota(pool, units, most):
+    """(ids, outcome) of one group by the plain loop over all candidates."""
+    pool = sorted(pool, key=lambda q: (q[1], q[2], q[0]))
+    turns: dict = {}
+    order = []
+    for i, q in enumerate(pool):
+        turns[q[1]] = turns.get(q[1], -1) + 1
+        order.append((turns[q[1]], q[1], i))
+    worth = [round(q[3] * 2) for q in pool]
+
+    def reach(cap):
+        sums = {0: ()}
+        for _, _, i in sorted(order):
+            grown = dict(sums)
+            for total, picked in sums.items():
+                to = total + worth[i]
+                if to <= units and not (cap and len(picked) >= cap) and (to not in grown or len(picked) + 1 < len(grown[to])):
+                    grown[to] = (*picked, i)
+            sums = grown
+        return sums
+
+    if sum(worth) < units:
+        return {None}, "pool_too_small"
+    sums = reach(most)
+    if units in sums:
+        return {pool[i][0] for i in sums[units]}, "ok"
+    if most and units in reach(None):
+        return {None}, "needs_more_than_max"
+    return {None}, f"closest:{min(sorted(sums), key=lambda s: abs(s - units)) / 2:g}"
+
+
+def test_quota_equals_the_plain_loop(spark):
+    rng = random.Random(8)
+    pools = {f"g{k}": [(1000 * k + i, rng.randrange(3), rng.choice("abc"), rng.choice(marks)) for i in range(n)] for k, (n, marks) in enumerate([(60, [1, 2, 2.5, 4]), (40, [3]), (50, [0, 30]), (5, [1, 0.5]), (80, [0.5, 1]), (30, [2, 7, 9]), (3, [0.0])])}
+    rows = [(g, *q) for g, pool in pools.items() for q in pool]
+    pool = spark.createDataFrame([(g, i, t, d, float(m)) for g, i, t, d, m in rows], "g string, id long, topic_id long, difficulty string, marks double")
+    for target, most in ((10.0, None), (10.0, 4), (25.5, 8)):
+        got: dict = {}
+        for r in select.select_quota(pool, "g", target, most).collect():
+            ids, _ = got.setdefault(r.g, (set(), r.outcome))
+            ids.add(r.id if r.id is None or r.id == r.id else None)
+        assert got == {g: plain_quota(p, round(target * 2), most) for g, p in pools.items()}
+
+
+def test_quota_query_has_one_pool_for_each_brand(spark):
+    got = {r.brand for r in REGISTRY["quota_select"][0](spark, f"{DATA}/sf0.001").collect()}
+    assert got == {r.p_brand for r in spark.read.parquet(f"{DATA}/sf0.001/part.parquet").select("p_brand").distinct().collect()}
+
+
 def test_labels(spark):
     papers = spark.createDataFrame([(1,), (2,), (3,)], "paper_id long")
     versions = spark.createDataFrame([(1, "A"), (1, "C"), (2, "A"), (2, "B")], "paper_id long, version_label string")
