@@ -7,12 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in the order: by its place in a range of it, after the counts of the ranges before."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).localCheckpoint()
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for r in sorted(ranges.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        before.append((r["part"], total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_part long, _start long")
+    return ranges.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place + 1)).drop("_at", "_part", "_start")
+
+
 def interleave(df: DataFrame, topic: str, order: list[str]) -> DataFrame:
     """Round robin over topics in the order in which they appear; `turn` numbers the rows."""
-    position = Window.orderBy(*order)
-    rows = df.withColumn("_p", F.row_number().over(position))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(topic).orderBy("_p"))).withColumn("_f", F.min("_p").over(Window.partitionBy(topic)))
-    return rows.withColumn("turn", F.row_number().over(Window.orderBy("_k", "_f"))).drop("_p", "_k", "_f")
+    rows = numbered(df, [topic, *order], "_q")
+    firsts = rows.groupBy(F.col(topic).alias("_topic")).agg(F.min("_q").alias("_q0"), F.min(F.struct(*order)).alias("_f"))
+    rows = rows.join(firsts, F.col(topic).eqNullSafe(F.col("_topic"))).withColumn("_k", F.col("_q") - F.col("_q0"))
+    return numbered(rows.select(*df.columns, "_k", "_f"), ["_k", "_f", topic], "turn").drop("_k", "_f")
+
 
 
 def select_quota(pool: DataFrame, group: str, target: float, most: int | None = None) -> DataFrame:

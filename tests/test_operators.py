@@ -122,6 +122,23 @@ def test_quota_query_has_one_pool_for_each_brand(spark):
     assert got == {r.p_brand for r in spark.read.parquet(f"{DATA}/sf0.001/part.parquet").select("p_brand").distinct().collect()}
 
 
+def test_interleave_without_a_single_partition(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in rng.sample(range(1000), 300)]
+    out = select.interleave(spark.createDataFrame(rows, "id long, topic string").repartition(5), "topic", ["id"])
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    turns: dict = {}
+    first: dict = {}
+    keys = []
+    for i, topic in sorted(rows):
+        turns[topic] = turns.get(topic, 0) + 1
+        keys.append((turns[topic], first.setdefault(topic, i), i))
+    want = {i: k for k, (_, _, i) in enumerate(sorted(keys), 1)}
+    assert out.columns == ["id", "topic", "turn"]
+    assert {r.id: r.turn for r in out.collect()} == want
+    assert select.interleave(spark.createDataFrame([], "id long, topic string"), "topic", ["id"]).count() == 0
+
+
 def test_labels(spark):
     papers = spark.createDataFrame([(1,), (2,), (3,)], "paper_id long")
     versions = spark.createDataFrame([(1, "A"), (1, "C"), (2, "A"), (2, "B")], "paper_id long, version_label string")
