@@ -6,17 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 1 in the order: by its place in a range of it, after the counts of the ranges before."""
-    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).localCheckpoint()
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, total = [], 0
-    for r in sorted(ranges.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
-        before.append((r["part"], total))
-        total += r["count"]
-    starts = df.sparkSession.createDataFrame(before, "_part long, _start long")
-    return ranges.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place + 1)).drop("_at", "_part", "_start")
+from quillspark.shared import numbered
 
 
 def interleave(df: DataFrame, topic: str, order: list[str]) -> DataFrame:
