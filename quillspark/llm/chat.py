@@ -1,8 +1,8 @@
 """Chat formatting of reply trees, with DataFrame operations only.
 
-Messages point to the message they answer. Self-joins that double their reach list, for every leaf, all messages on
-its path from the root (log2 of the depth joins, since every distance has one binary form). Branches of a tree are
-ranked by the summed score of their messages, and the chosen paths are formatted as one conversation each.
+Messages point to the message they answer. Self-joins that double their reach carry, for every message, the sum of the
+scores up to its root (log2 of the depth joins). Leaves are ranked by these sums, and the messages of the chosen paths
+are listed by the same jumps, since every distance has one binary form. Each chosen path is one conversation.
 
 Template: each turn is OPEN + role + CLOSE + text + END. In roles and texts the ESCAPE character and the three marks'
 first characters are written as ESCAPE + letter, so marks never occur inside a turn and unescaping is exact.
@@ -10,7 +10,7 @@ first characters are written as ESCAPE + letter, so marks never occur inside a t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, table
@@ -32,41 +32,52 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, id, up): all messages on the way from each leaf to its root, up counting from the leaf.
+def climbs(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Ancestors at doubling distances, and the way to the root of each message.
 
-    messages: (tree, id, parent), parent null for roots; ids are unique. Messages whose parent is missing are roots.
-    A cycle of messages has no leaf and gives no path.
+    The first result holds tables (id, to) of the ancestor 1, 2, 4, ... replies up; the second is (id, total, size), the
+    summed score and the number of messages from a message to its root. Prefix sums are carried along the jumps, so no
+    path is written out. After as many doublings as the number of messages has binary digits, a message that still
+    climbs is part of a cycle or hangs below one: it has no root and is left out.
     """
-    known = messages.select("id", "tree")
-    links = messages.join(known.select(F.col("id").alias("parent"), F.lit(True).alias("there")), "parent", "left")
-    jump = materialize(links.select("id", F.when(F.col("there"), F.col("parent")).alias("to")), "replies")
-    leaves = known.join(jump.where("to is not null").select(F.col("to").alias("id")), "id", "left_anti")
-    way = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    reach = 1
-    jump = jump.where("to is not null")
-    while True:
-        step = way.join(jump, "id").select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + reach).alias("up"))
-        way = materialize(way.unionByName(step), "paths")
-        jump = materialize(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to"), "jumps")
-        reach *= 2
-        if jump.isEmpty():
-            return way
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")
+    one = F.lit(1).cast("long").alias("size")
+    known = messages.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    replies = messages.where("parent is not null").join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("to"), score, one)
+    roots = messages.where("parent is null").select("id", F.lit(None).cast(messages.schema["parent"].dataType).alias("to"), score, one)
+    here = materialize(replies.unionByName(roots), "replies")
+    rounds, ways = here.count().bit_length(), []
+    while len(ways) <= rounds:
+        climbing = here.where("to is not null")
+        if climbing.isEmpty():
+            break
+        ways.append(climbing.select("id", "to"))
+        above = here.select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("total").alias("more"), F.col("size").alias("longer"))
+        moved = climbing.join(above, "to").select("id", F.col("on").alias("to"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("longer")).alias("size"))
+        here = materialize(moved.unionByName(here.where("to is null")), "replies")
+    return ways, here.where("to is null").select("id", "total", "size")
 
 
 def chosen(messages: DataFrame, branches: int | None = None) -> DataFrame:
-    """(tree, leaf, rank, id, up) of the `branches` best paths of each tree (all: None).
+    """(tree, leaf, rank, id, up) of the `branches` best paths of each tree (all: None); up counts from the leaf.
 
-    Rank 1 has the highest summed score (null counts as 0); ties go to the longer path, then to the smaller leaf.
+    messages: (tree, id, parent, score), parent null for roots; ids are unique. Messages whose parent is missing are
+    roots. Rank 1 has the highest summed score (null counts as 0); ties go to the longer path, then to the smaller leaf.
+    Messages of a cycle, and those below one, are on no path. Leaves are ranked by their sums first, and only the
+    chosen ones are followed up to their roots.
     """
-    way = paths(messages)
-    scored = way.join(messages.select("id", "score"), "id")
-    totals = scored.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.count("*").alias("size"))
-    best = totals.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), (-F.col("size")).alias("n"), "leaf"))).alias("order"))
-    ranks = best.select("tree", F.posexplode("order").alias("place", "b")).select("tree", F.col("b.leaf").alias("leaf"), (F.col("place") + 1).alias("rank"))
+    ways, sums = climbs(messages)
+    parents = messages.select(F.col("parent").alias("id")).where("id is not null")
+    leaves = messages.select("tree", "id").join(parents, "id", "left_anti").join(sums, "id")
+    order = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("size").desc(), "id")
+    ranked = leaves.withColumn("rank", F.row_number().over(order))
     if branches is not None:
-        ranks = ranks.where(F.col("rank") <= branches)
-    return way.join(ranks, ["tree", "leaf"])
+        ranked = ranked.where(F.col("rank") <= branches)
+    way = ranked.select("tree", F.col("id").alias("leaf"), "rank", "id", F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(ways):
+        step = way.join(jump, "id").select("tree", "leaf", "rank", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))
+        way = materialize(way.unionByName(step), "paths")
+    return way
 
 
 def format_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -110,10 +121,10 @@ def conversations_as_trees(rows: DataFrame) -> DataFrame:
     Ties of a turn, repeated rows and a null turn (first) are ordered by role and text, so each row is one message.
     """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    one = listed.select("conv_id", F.posexplode("t").alias("place", "t"))
-    name = lambda place: F.struct(F.col("conv_id").alias("c"), place.cast("long").alias("p"))
-    return one.select(name(F.col("place")).alias("id"), F.col("conv_id").alias("tree"), F.when(F.col("place") > 0, name(F.col("place") - 1)).alias("parent"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), F.lit(0.0).alias("score"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") - 1
+    one = rows.withColumn("place", place)
+    name = lambda place: F.struct(F.col("conv_id").alias("c"), place.alias("p"))
+    return one.select(name(F.col("place")).alias("id"), F.col("conv_id").alias("tree"), F.when(F.col("place") > 0, name(F.col("place") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

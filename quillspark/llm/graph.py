@@ -28,15 +28,16 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): each node that has an edge, with the smallest node it can reach.
 
-    Every step is a grouped minimum (combined before its shuffle) joined back to the edges, so a hub's edges
-    are never gathered in one task. Null ends and loops are ignored; an empty table gives an empty result.
+    Every step is a grouped minimum (combined before its shuffle) joined back to the edges. A hub's edges meet its one
+    minimum in that join, which streams them; adaptive execution splits them over tasks where they are skewed. Null ends
+    and loops are ignored; an empty table gives an empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
     e, seen = materialize(e, "edges"), None
     for _ in range(max_rounds):
         old, e = e, _step(e)
         discard(old)
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+        state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen or not state[0]:
             break
         seen = state

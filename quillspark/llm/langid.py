@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of one to three characters for each language in every task and adds the counts up in blocks;
-the log-probability matrix (languages x BUCKETS) has a size that the corpus does not change, and is broadcast.
-Scoring gathers matrix rows for the n-grams of a slice and sums them by text, all in numpy.
+Training counts texts and n-grams of one to three characters for each language in every task and adds the counts up in
+blocks. The class priors and the log-probability matrix (languages x BUCKETS) have a size that the corpus does not
+change, and are broadcast. Scoring gathers matrix rows for the n-grams of a slice and sums them by text, all in numpy.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ def _lower(column: pa.Array) -> list[str]:
 
 
 def count(batches):
-    """(lang, block, counts) of all texts of a partition."""
+    """(lang, block, counts, texts) of a partition; the number of texts stands in each block."""
     total: dict[str, np.ndarray] = {}
+    texts: dict[str, int] = {}
     for part in text_slices(batches, "text"):
         langs = part.column("lang").to_pylist()
         ids, rows = grams(_lower(part.column("text")))
@@ -56,44 +57,54 @@ def count(batches):
         which = np.array([names.index(x) for x in langs])[rows]
         for i, name in enumerate(names):
             total[name] = total.get(name, 0) + np.bincount(ids[which == i], minlength=BUCKETS)
+            texts[name] = texts.get(name, 0) + langs.count(name)
     for name, n in total.items():
         blocks = n.reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks)), pa.array(range(len(blocks)), pa.int32()), pa.array(list(blocks), pa.list_(pa.int64()))], ["lang", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks)), pa.array(range(len(blocks)), pa.int32()), pa.array(list(blocks), pa.list_(pa.int64())), pa.array([texts[name]] * len(blocks))], _COUNTED)
+
+
+_COUNTED = ["lang", "block", "counts", "texts"]
 
 
 def add_up(batches):
     """Sums of the counts of equal (lang, block), all of which are in one partition."""
     total: dict[tuple, np.ndarray] = {}
+    texts: dict[tuple, int] = {}
     for b in batches:
-        for name, block, n in zip(b.column("lang").to_pylist(), b.column("block").to_pylist(), b.column("counts"), strict=True):
+        for name, block, n, m in zip(b.column("lang").to_pylist(), b.column("block").to_pylist(), b.column("counts"), b.column("texts").to_pylist(), strict=True):
             total[name, block] = total.get((name, block), 0) + n.values.to_numpy()
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64()))], ["lang", "block", "counts"])
+            texts[name, block] = texts.get((name, block), 0) + m
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64())), pa.array(list(texts.values()), pa.int64())], _COUNTED)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and the float32 matrix of log-probabilities, learned from all rows with text and language."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the float32 matrix of log-probabilities and the log priors, from all rows with text and language."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    schema = "lang string, block int, counts array<long>"
+    schema = "lang string, block int, counts array<long>, texts long"
     found = rows.mapInArrow(count, schema).repartition(shuffle_partitions(spark), "lang", "block").mapInArrow(add_up, schema).limit(MOST_LANGUAGES * BUCKETS // BLOCK + 1).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n = np.zeros((len(langs), BUCKETS))
-    for name, block, counts in zip(found.column("lang").to_pylist(), found.column("block").to_pylist(), found.column("counts"), strict=True):
+    n, texts = np.zeros((len(langs), BUCKETS)), np.zeros(len(langs))
+    for name, block, counts, m in zip(found.column("lang").to_pylist(), found.column("block").to_pylist(), found.column("counts"), found.column("texts").to_pylist(), strict=True):
         n[langs.index(name), block * BLOCK : (block + 1) * BLOCK] = counts.values.to_numpy()
+        texts[langs.index(name)] = m
     n += SMOOTHING
-    return langs, (np.log(n) - np.log(n.sum(axis=1, keepdims=True))).astype(np.float32)
+    return langs, (np.log(n) - np.log(n.sum(axis=1, keepdims=True))).astype(np.float32), np.log(texts / max(texts.sum(), 1))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest learned language, and its probability under tempered evidence.
 
+    The posterior is the prior times the mean likelihood of an n-gram to the power of the number of n-grams, EVIDENCE of
+    them at most: n-grams overlap, so more of them say less than as many independent ones.
+
     A text that is null or has no letter gives `und` and 0, and so does every text if no language was learned.
     Languages that tie go to the first by name. Repeated rows give repeated rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    langs, sent = model[0], spark.sparkContext.broadcast(model[1])
+    langs, prior, sent = model[0], model[2], spark.sparkContext.broadcast(model[1])
 
     def score(batches):
         matrix = sent.value
@@ -102,7 +113,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             ids, rows = grams(_lower(part.column("text")))
             like = np.stack([np.bincount(rows, m[ids], minlength=part.num_rows) for m in matrix]) if len(langs) else np.zeros((1, part.num_rows))
             n = np.maximum(np.bincount(rows, minlength=part.num_rows), 1)
-            like = like / n * np.minimum(n, EVIDENCE)
+            like = like / n * np.minimum(n, EVIDENCE) + (prior[:, None] if len(langs) else 0)
             best = like.argmax(axis=0)
             sure = 1 / np.exp(like - like.max(axis=0)).sum(axis=0)
             known = letters & bool(langs)

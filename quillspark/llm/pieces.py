@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 #: Units kept, characters of those that are looked up together, units looked up at once, units whose N best are kept.
 CACHED, CACHED_CHARS, LEARNED, RANKED = 160_000, 32, 16_384, 8192
+#: Units up to this length have their lattice listed.
+LISTED = 1024
 #: First bits of a hash by which pieces are looked up.
 SLOT_BITS = 16
 SPACE = "▁"
@@ -84,6 +86,16 @@ class _Units:
         return tuple(self.ids[self.start[k] :][: self.count[k]].tolist()), float(self.score[k]), float(self.loss[k])
 
 
+class _Lattice:
+    """The lattice of a long unit, without holding it."""
+
+    def __init__(self, model, unit: str):
+        self.model, self.unit, self.text = model, unit, unit.replace(" ", SPACE)
+
+    def __getitem__(self, end: int):
+        return self.model.ending(self.unit, self.text, end)
+
+
 class Segmenter:
     """Encoder and decoder over a vocabulary of read_pieces."""
 
@@ -122,30 +134,28 @@ class Segmenter:
         The second best takes a piece that the best one does not: the best sum through such a piece is that of the
         best way to its start, itself, and the best way from its end.
         """
-        edges = self.edges(unit)
-        n = len(unit)
-        reach, back = [0.0] * (n + 1), [None] * (n + 1)
+        edges, n = self.lattice(unit), len(unit)
+        reach, back = [0.0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             best = None
-            for edge in edges[end]:
-                total = reach[edge[0]] + edge[2]
+            for start, _, w in edges[end]:
+                total = reach[start] + w
                 if best is None or total > best:
-                    best, back[end] = total, edge
+                    best, back[end] = total, start
             reach[end] = best
-        on, ids, place = set(), (), n
-        while place:
-            edge = back[place]
-            on.add(id(edge))
-            ids, place = edge[1] + ids, edge[0]
+        taken = [n]
+        while taken[-1]:
+            taken.append(back[taken[-1]])
+        ends = set(taken)
+        ids = tuple(i for end in reversed(taken[:-1]) for i in next(piece for start, piece, _ in edges[end] if start == back[end]))
         rest = [float("-inf")] * n + [0.0]
         other = float("-inf")
         for end in range(n, 0, -1):
-            behind = rest[end]
-            for edge in edges[end]:
-                start, _, w = edge
+            behind, own = rest[end], back[end] if end in ends else -1
+            for start, _, w in edges[end]:
                 if w + behind > rest[start]:
                     rest[start] = w + behind
-                if id(edge) not in on and reach[start] + w + behind > other:
+                if start != own and reach[start] + w + behind > other:
                     other = reach[start] + w + behind
         return ids, reach[n], reach[n] - other
 
@@ -219,45 +229,54 @@ class Segmenter:
         best = reach[last][whole]
         self.cache.add([u for u, w in zip(new, whole.tolist(), strict=True) if w], count[whole], piece[used], best, best - other[whole])
 
+    def lattice(self, unit: str):
+        """The pieces that end at each place, as (start, ids, score): a list, or worked out when asked for if it would be
+        long, so that a unit of a million characters takes memory for a few numbers by place only."""
+        return self.edges(unit) if len(unit) <= LISTED else _Lattice(self, unit)
+
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """The lattice: for each place the pieces that end there, as (start, ids, score)."""
-        text, get, longest = unit.replace(" ", SPACE), self.plain.get, self.longest
-        foreign = {i for i, ch in enumerate(unit) if ch == SPACE} if SPACE in unit else ()
-        out: list[list] = [[]]
-        for end in range(1, len(text) + 1):
-            here = []
-            for start in range(end - longest if end > longest else 0, end):
-                hit = get(text[start:end])
-                if hit and not (foreign and any(start <= i < end for i in foreign)):
-                    here.append((start, (hit[0],), hit[1]))
-            if not here or here[-1][0] != end - 1:  # no piece for the single character
-                raw = unit[end - 1].encode("utf-8", "surrogatepass")
-                here.append((end - 1, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
-            out.append(here)
-        return out
+        text = unit.replace(" ", SPACE)
+        return [self.ending(unit, text, end) for end in range(len(unit) + 1)]
+
+    def ending(self, unit: str, text: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The pieces that end at a place, longest first. text: the unit with its space as pieces write it."""
+        get, here, foreign = self.plain.get, [], SPACE in unit
+        for start in range(max(end - self.longest, 0), end):
+            hit = get(text[start:end])
+            if hit and not (foreign and SPACE in unit[start:end]):
+                here.append((start, (hit[0],), hit[1]))
+        if end and (not here or here[-1][0] != end - 1):  # no piece for the single character
+            raw = unit[end - 1].encode("utf-8", "surrogatepass")
+            here.append((end - 1, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
+        return here
 
     def search(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """Up to N segmentations of a unit as (score, ids), best first, by backward A*."""
-        edges = self.edges(unit)
+        edges, n = self.lattice(unit), len(unit)
         reach = [0.0]
-        for here in edges[1:]:  # forward: the best score of reaching each place
-            reach.append(max([reach[s] + w for s, _, w in here]))
+        for end in range(1, n + 1):  # forward: the best score of reaching each place
+            reach.append(max([reach[s] + w for s, _, w in edges[end]]))
         # Backward: open paths with the score they will end with, which is exact, as each can be completed by the best
         # rest. So the N best ends are among the N best open paths at any time, and the others can be left out.
-        n = len(unit)
-        paths: list[tuple[float, tuple[int, ...], int, float]] = [(-reach[n], (), n, 0.0)]
-        out = []
+        # A path is its first piece and the path after it; a running number keeps equals in the order they were found.
+        paths: list[tuple] = [(-reach[n], 0, None, n, 0.0)]
+        made, out = 0, []
         while paths and len(out) < self.best:
-            total, ids, place, behind = paths.pop(0)
+            total, _, path, place, behind = paths.pop(0)
             if not place:
-                out.append((-total, ids))
+                ids: list[int] = []
+                while path:
+                    ids += path[0]
+                    path = path[1]
+                out.append((-total, tuple(ids)))
                 continue
             keep = self.best - len(out)
             worst = paths[keep - 1][0] if len(paths) >= keep else float("inf")
             for start, piece, w in edges[place]:
                 end = -(reach[start] + w + behind)
                 if end < worst:
-                    paths.append((end, piece + ids, start, w + behind))
+                    made += 1
+                    paths.append((end, made, (piece, path), start, w + behind))
             paths.sort()
             del paths[keep:]
         return out

@@ -8,6 +8,8 @@
 2. Shards. The remaining pieces, sorted by value, fill shards of SHARD_BYTES. Each shard gets its own suffix array
    of window starts by Larsson-Sadakane refinement (rank pairs at doubling offsets, only unresolved groups sorted
    again), common prefixes by Kasai's walk in text order, and so its groups of equal windows.
+   A value with more than CROWD different pieces would fill many shards one after the other; its windows are dealt on
+   by two 64-bit hashes of their bytes instead, so that any number of tasks share them.
 3. Merging. A value that fills more than one shard is merged shard by shard: the sorted distinct windows met so far
    are searched by bisection for each window of the next shard.
 
@@ -20,15 +22,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import U64, RangeHash, bytes_of, materialize, shuffle_partitions, table, text_slices
+from quillspark.llm.common import U64, RangeHash, bytes_of, materialize, numbered, shuffle_partitions, table, text_slices
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Different pieces of a value up to which they are sorted together.
+CROWD = 4096
+#: Crowded values broadcast at most (8 bytes each); with more of them the join is shuffled.
+BROADCAST_VALUES = 200_000
 #: Longest piece in windows; longer runs (periodic text) are cut, which keeps all windows and their value.
 LONGEST = 1 << 12
 #: The winnowing hash uses other byte values than the hashes of whole pieces.
@@ -107,49 +112,75 @@ def pieces(batches):
 
 
 def shared(batches):
-    """Of the pieces of a partition (all pieces of a value meet here): those of values that occur more than once.
+    """Of the pieces sorted by (v, g, doc, s) those of values that occur more than once.
 
-    Repeats of a whole piece come back as covered; the first one only if its value has another piece too.
+    Repeats of a whole piece come back as covered; the first one only if its value has another piece too, or if it may
+    repeat itself. Rows stream through: only the first piece of a value waits for a second one.
     """
-    kept = [b for b in batches if b.num_rows]
-    if not kept:
-        return
-    whole = pa.Table.from_batches(kept)
-    done = whole.filter(pc.field("kind") == COVERED)
-    rest = whole.filter(pc.field("kind") != COVERED)
-    kind = rest.column("kind").to_numpy()
-    v, g, doc, s = (rest.column(k).to_numpy() for k in ("v", "g", "doc", "s"))
-    order = np.argsort(v, kind="stable")
-    sv = v[order]
-    same = np.zeros(len(v) + 1, bool)
-    same[1:-1] = sv[1:] == sv[:-1]
-    twice = order[same[1:] | same[:-1] | (kind[order] == TWICE)]
-    order = twice[np.lexsort((s[twice], doc[twice], g[twice], v[twice]))]
-    v, g, kind = v[order], g[order], kind[order]
-    again = np.zeros(len(v), bool)
-    again[1:] = (v[1:] == v[:-1]) & (g[1:] == g[:-1])
-    first = np.flatnonzero(~again)
-    lonely = np.ones(len(first), bool)
-    if len(first):
-        near = v[first][1:] == v[first][:-1]
-        lonely[1:] &= ~near
-        lonely[:-1] &= ~near
-    keep = again.copy()
-    keep[first[~lonely | (kind[first] == TWICE)]] = True
-    out = rest.take(pa.array(order[keep]))
-    out = out.set_column(out.schema.get_field_index("kind"), "kind", pa.array(np.where(again, COVERED, kind)[keep].astype(np.int32)))
-    for t in (done, out):
-        yield from t.to_batches(max_chunksize=100_000)
+    waiting, last = None, (None, None)
+    for batch in batches:
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        if (kind == COVERED).any():
+            yield batch.filter(pa.array(kind == COVERED))
+            batch = batch.filter(pa.array(kind != COVERED))
+        if not batch.num_rows:
+            continue
+        kind, v, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("kind", "v", "g"))
+        old_v, old_g = (np.append(0 if x is None else x, c[:-1]) for x, c in zip(last, (v, g), strict=True))
+        new_v = v != old_v
+        new_v[0] |= last[0] is None
+        again = ~new_v & (g == old_g)
+        if waiting is not None:
+            if not new_v[0] and (~again[: np.argmax(new_v) if new_v.any() else len(v)]).any():
+                yield waiting
+                waiting = None
+            elif new_v.any():
+                waiting = None
+        # the first piece of a value stays if another follows it before the next value
+        first = np.flatnonzero(new_v)
+        others = np.concatenate(([0], np.cumsum(~again & ~new_v)))
+        followed = others[np.append(first[1:], len(v))] > others[first]
+        keep = ~new_v
+        keep[first] = followed | (kind[first] == TWICE)
+        if len(first) and not keep[first[-1]]:
+            waiting = batch.slice(first[-1], 1)
+        yield batch.set_column(batch.schema.get_field_index("kind"), "kind", pa.array(np.where(again, COVERED, kind).astype(np.int32))).filter(pa.array(keep))
+        last = v[-1], g[-1]
 
 
 def cut(batches):
-    """The text of the pieces of each document: rows of (id, text, places) become (v, doc, s, bytes, len)."""
+    """Rows of (id, text, places) become pieces (v, doc, s, bytes, len) of their texts.
+
+    Windows of crowded values come as (hash, doc, s, both hashes, WINDOW), those that repeat one of the slice as
+    (anything, doc, s, nothing, -len) with their run's length.
+    """
     for part in text_slices(batches, "text"):
+        rows, found = [], []
         for doc, text, places in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("places").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_pylist([{"v": p["v"], "doc": doc, "s": p["s"], "piece": text[p["s"] : p["s"] + p["len"] + LENGTH - 1], "len": p["len"]} for p in places], schema=_PIECE)
+            rows += [(p["v"], doc, p["s"], text[p["s"] : p["s"] + p["len"] + LENGTH - 1], p["len"]) for p in places if not p["crowded"]]
+            spread = [np.arange(p["s"], p["s"] + p["len"]) for p in places if p["crowded"]]
+            if spread:
+                at, data = np.concatenate(spread), np.frombuffer(text, np.uint8)
+                found.append((RangeHash(data)(at, at + LENGTH), RangeHash(data, _GRAM_VALUES)(at, at + LENGTH), np.full(len(at), doc), at))
+        if found:
+            h1, h2, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((at, doc, h2, h1))
+            h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+            again = np.append(False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]))
+            both = np.stack((h1, h2), axis=1)[~again].tobytes()
+            rows += [(v, d, s, both[16 * i : 16 * i + 16], WINDOW) for i, (v, d, s) in enumerate(zip(h1[~again].view(np.int64).tolist(), doc[~again].tolist(), at[~again].tolist(), strict=True))]
+            doc, at = doc[again], at[again]
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))[: len(doc)]
+            rows += [(d * 31 + s, d, s, b"", -n) for d, s, n in zip(doc[starts].tolist(), at[starts].tolist(), np.diff(np.append(starts, len(doc))).tolist(), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
 
 _PIECE = pa.schema([("v", pa.int64()), ("doc", pa.int64()), ("s", pa.int64()), ("piece", pa.binary()), ("len", pa.int32())])
+#: Stands for the length of a row that is one window of a crowded value.
+WINDOW = 0
 
 
 def refine(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,14 +336,26 @@ _COVERED = pa.schema([("doc", pa.int64()), ("s", pa.int64()), ("len", pa.int32()
 
 
 def covered(batches):
-    """Places covered by an earlier window, from pieces sorted by (v, doc, s)."""
-    shards = Shards()
+    """Places covered by an earlier window, from the rows of `cut` sorted by (v, doc, s)."""
+    shards, hashed, seen = Shards(), None, set()
     done = lambda places: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*places, strict=True) if places else ([], [], []), _COVERED.types, strict=True)], schema=_COVERED)
     for batch in batches:
+        met = []
         for row in zip(*(batch.column(k).to_pylist() for k in ("v", "doc", "s", "piece", "len")), strict=True):
+            if row[4] < 0:
+                met.append((row[1], row[2], -row[4]))
+                continue
+            if row[4] == WINDOW:  # the first of equal windows comes first
+                if row[0] != hashed:
+                    hashed, seen = row[0], set()
+                if row[3] in seen:
+                    met.append((row[1], row[2], 1))
+                seen.add(row[3])
+                continue
             if shards.full():
                 yield done(shards.flush(more=shards.rows[-1][0] == row[0]))
             shards.add(*row)
+        yield done(met)
     yield done(shards.flush(more=False))
 
 
@@ -328,23 +371,25 @@ def spans(places: list, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text, removed): each text without the bytes
-    covered by a string of 100 bytes that starts earlier (smaller id, or same text and earlier start), judged on the
-    input.
-
-    `kept` are the remaining bytes, `kept_text` the whole characters among them and `removed` the removed ranges as
-    (start, end). Null text counts as empty (its `kept_text` is null); texts under 100 bytes are kept whole. Ids must be unique and not null.
-    Columns named in `carry` come along; others are ignored.
-    """
+def _kept(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(doc_id, the columns of _OUT, carry_0, carry_1, ...): what is left of each text, with the columns of `carry`."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    others = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+    extra = [f"carry_{k}" for k in range(len(carry))]
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, extra, strict=True)))
+    rows, ids = whole.agg(F.count("*"), F.count_distinct("id")).first()
+    if rows > ids:  # null or repeated ids: rows are told apart by their places in an order of ids and texts
+        extra.append("carry_id")
+        whole = numbered(whole.withColumn("carry_id", F.col("id")), ["id", "text"], "row").drop("id").withColumnRenamed("row", "id")
     docs = whole.select("id", "text")
-    places = docs.mapInArrow(pieces, PLACE).repartition(n, "v").mapInArrow(shared, PLACE)
+    order = ("v", "g", "doc", "s")
+    places = docs.mapInArrow(pieces, PLACE).repartition(n, "v").sortWithinPartitions(*order).mapInArrow(shared, PLACE)
     places = materialize(places, "places")
-    asked = places.where(F.col("kind") != COVERED).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("v", "s", "len")).alias("places"))
+    open_ = places.where(F.col("kind") != COVERED)
+    crowd = materialize(open_.groupBy("v").count().where(F.col("count") > CROWD).select("v", F.lit(True).alias("crowded")), "crowded")
+    few = crowd.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    open_ = open_.join(F.broadcast(crowd) if few else crowd, "v", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    asked = open_.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("v", "s", "len", "crowded")).alias("places"))
     cuts = docs.join(asked, "id").mapInArrow(cut, "v long, doc long, s long, piece binary, len int")
     merged = cuts.repartition(n, "v").sortWithinPartitions("v", "doc", "s").mapInArrow(covered, "doc long, s long, len int")
     gone = places.where(F.col("kind") == COVERED).select("doc", "s", "len").unionByName(merged)
@@ -360,14 +405,36 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 rows.append((len(text), len(text) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), kept, None if given is None else kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in ranges]))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)]
-            extra = part.schema.names[3:]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *(part.column(c) for c in extra)], ["doc_id", *_OUT.names, *extra])
+            yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *map(part.column, extra)], ["doc_id", *_OUT.names, *extra])
 
-    joined = whole.join(gone, "id", "left").select("id", "text", "places", *(f"carry_{k}" for k in range(len(carry))))
+    joined = whole.join(gone, "id", "left").select("id", "text", "places", *extra)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, removed array<struct<start: long, end: long>>"
-    for k in range(len(carry)):
-        schema += f", carry_{k} {joined.schema[f'carry_{k}'].dataType.simpleString()}"
-    return joined.mapInArrow(remove, schema).withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
+    out = joined.mapInArrow(remove, ", ".join([schema, *(f"{k} {joined.schema[k].dataType.simpleString()}" for k in extra)]))
+    return out.withColumn("doc_id", F.col("carry_id")) if "carry_id" in extra else out
+
+
+def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text, removed): each text without the bytes
+    covered by a string of 100 bytes that starts earlier (smaller id, or same text and earlier start), judged on the
+    input.
+
+    `kept` are the remaining bytes, `kept_text` the whole characters among them and `removed` the removed ranges as
+    (start, end). Null text counts as empty (its `kept_text` is null); texts under 100 bytes are kept whole. A null id
+    comes before all others. Rows with equal ids are texts of their own, in order of the text (null first), so repeated
+    rows repeat each other. Other columns are ignored, and an empty table gives an empty one.
+    """
+    return _kept(docs, id_col, text_col, []).select("doc_id", *_OUT.names)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with its own columns and rows, each text without what `substring_duplicates` removes; `size_col`, if there
+    is one, is the new number of characters. A character that is cut in two goes as a whole; null texts stay null."""
+    carry = [c for c in docs.columns if c not in (text_col, size_col)]
+    out = _kept(docs, id_col, text_col, carry)
+    made = {c: F.col(f"carry_{k}") for k, c in enumerate(carry)} | {text_col: F.col("kept_text").cast(docs.schema[text_col].dataType)}
+    if size_col in docs.columns:
+        made[size_col] = F.length(F.coalesce("kept_text", F.lit(""))).cast(docs.schema[size_col].dataType)
+    return out.select(*(made[c].alias(c) for c in docs.columns))
 
 
 _OUT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

@@ -7,7 +7,8 @@ one linear scan. How far a segment of that sum is beyond chance follows the extr
 combined by the sum statistics of that law, and the result is turned into a probability on the training texts.
 
 Words are hashed into BUCKETS counts, so the model has the same size for any corpus. Calibration scores training
-texts without their own counts (leave one out).
+texts without their own counts (leave one out). Prior and drift are chosen among SETTINGS by these scores too: the pair
+that parts the classes of the training texts best, so rows that are held out have no say.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import U64, RangeHash, bytes_of, held_out, table, text_slices
 
 BUCKETS = 1 << 19
-PRIOR, DRIFT, THRESHOLD = 4.0, 1.5, 0.7
+THRESHOLD = 0.7
+#: Pairs of prior weight and drift to choose from; of equally good ones the first.
+SETTINGS = ((4.0, 1.5), (4.0, 1.0), (4.0, 2.0), (2.0, 1.5), (2.0, 1.0), (2.0, 2.0), (8.0, 1.5), (8.0, 1.0), (8.0, 2.0))
 #: Labels broadcast at most (two numbers each); beyond it labels and texts are joined by a shuffle.
 BROADCAST_LABELS = 200_000
-SEGMENTS = 8
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -63,13 +65,14 @@ def count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "toxic", "benign"])
 
 
-def token_scores(toxic: np.ndarray, benign: np.ndarray, share: float) -> np.ndarray:
-    p = (np.maximum(toxic, 0) + PRIOR * share) / (np.maximum(toxic, 0) + np.maximum(benign, 0) + PRIOR)
-    return (np.log(p / (1 - p)) - math.log(share / (1 - share)) - DRIFT).astype(np.float32)
+def token_scores(toxic: np.ndarray, benign: np.ndarray, share: float, prior: float, drift: float) -> np.ndarray:
+    p = (np.maximum(toxic, 0) + prior * share) / (np.maximum(toxic, 0) + np.maximum(benign, 0) + prior)
+    return (np.log(p / (1 - p)) - math.log(share / (1 - share)) - drift).astype(np.float32)
 
 
 def rate(scores: np.ndarray, weight: np.ndarray) -> float:
     """The positive solution of sum p exp(lam s) = 1; 1 if there is none (no positive score)."""
+    scores, weight = scores[weight > 0], weight[weight > 0]
     p = weight / max(weight.sum(), 1)
     if not (p[scores > 0] > 0).any() or (p * scores).sum() >= 0:
         return 1.0
@@ -121,7 +124,7 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 def log_chance(sums: list[float], n: int, lam: float, k: float) -> float:
     """Log of the chance that benign text of n tokens has segments like the best r of these, for the best r."""
     best, total = 0.0, 0.0
-    for r, s in enumerate(sorted(sums, reverse=True)[:SEGMENTS], 1):
+    for r, s in enumerate(sorted(sums, reverse=True), 1):
         total += lam * s - math.log(max(k * n, 1e-9))
         if total > 0:
             best = min(best, r * math.log(2) - total + (r - 1) * math.log(max(total, 1e-9)) - math.lgamma(r + 1) - math.lgamma(r))
@@ -142,53 +145,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both = np.zeros((2, BUCKETS), np.int64)
     both[0, counts.bucket], both[1, counts.bucket] = counts.toxic, counts.benign
     share = (both[0].sum() + 1) / (both.sum() + 2)
-    scores = token_scores(both[0], both[1], share)
-    lam = rate(scores, both[1].astype(float))
-    model = {"scores": scores, "lam": lam, "k": 0.1, "scale": 1.0}
-    apart = docs.sparkSession.sparkContext.broadcast(np.stack([token_scores(both[0], both[1] - 1, share), token_scores(both[0] - 1, both[1], share)]))
+    models = [{"scores": token_scores(both[0], both[1], share, *setting), "setting": setting, "k": 0.1} for setting in SETTINGS]
+    for m in models:
+        m["lam"] = rate(m["scores"], both[1].astype(float))
+    sent = docs.sparkSession.sparkContext.broadcast(both)
+    lams = [m["lam"] for m in models]
 
     def measure(batches):
+        """For each slice and setting: labels, bounds, leave-one-out token scores and best sums."""
+        n = sent.value
+        apart = [np.stack([token_scores(n[0], n[1] - 1, share, *setting), token_scores(n[0] - 1, n[1], share, *setting)]) for setting in SETTINGS]
         for part in text_slices(batches, "text"):
             bucket, bounds, _, _ = tokens(part.column("text"))
             toxic = (part.column("toxic").to_numpy(zero_copy_only=False) > 0).astype(int)
-            n = np.diff(bounds)
-            own = apart.value[np.repeat(toxic, n), bucket]
-            top = best_sums(own, bounds)
-            excess = lam * top - np.log(np.maximum(n, 1))
-            # texts without a positive token say nothing about k, and have nothing to explain
-            yield toxic, bounds, own, top, excess
+            label = np.repeat(toxic, np.diff(bounds))
+            for k, scores in enumerate(apart):
+                own = scores[label, bucket]
+                yield k, toxic, bounds, own, best_sums(own, bounds)
 
     def excesses(batches):
-        for toxic, _, _, top, excess in measure(batches):
+        for k, toxic, bounds, _, top in measure(batches):
+            # texts without a positive token say nothing about k, and have nothing to explain
             at = (toxic == 0) & (top > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([float(excess[at].sum())]), pa.array([int(at.sum())])], ["total", "n"])
+            excess = (lams[k] * top - np.log(np.maximum(np.diff(bounds), 1)))[at]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(excess.sum())]), pa.array([len(excess)])], ["setting", "total", "n"])
 
-    mean = rows.mapInArrow(excesses, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
-    if mean[1]:  # the mean of lam * best - log n is log k + Euler's constant
-        model["k"] = math.exp(mean[0] / mean[1] - float(np.euler_gamma))
+    for r in rows.mapInArrow(excesses, "setting int, total double, n long").groupBy("setting").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():
+        if r.n:  # the mean of lam * best - log n is log k + Euler's constant
+            models[r.setting]["k"] = math.exp(r.total / r.n - float(np.euler_gamma))
+    ks = [m["k"] for m in models]
 
     def chances(batches):
-        for toxic, bounds, own, top, _ in measure(batches):
+        for k, toxic, bounds, own, top in measure(batches):
             level = np.zeros(len(toxic), np.int64)
             for i in np.flatnonzero(top > 0):
-                level[i] = max(-2000, round(10 * log_chance([x[2] for x in segments(own[bounds[i] : bounds[i + 1]].tolist())], bounds[i + 1] - bounds[i], lam, model["k"])))
-            yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(level)], ["toxic", "level"])
+                level[i] = max(-2000, round(10 * log_chance([x[2] for x in segments(own[bounds[i] : bounds[i + 1]].tolist())], bounds[i + 1] - bounds[i], lams[k], ks[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(toxic), pa.int32()), pa.array(toxic), pa.array(level)], ["setting", "toxic", "level"])
 
-    grid = rows.mapInArrow(chances, "toxic long, level long").groupBy("toxic", "level").count().toPandas()
+    grid = rows.mapInArrow(chances, "setting int, toxic long, level long").groupBy("setting", "toxic", "level").count().toPandas()
+    parted = [part_classes(grid[grid.setting == k]) for k in range(len(SETTINGS))]
+    best = max(range(len(SETTINGS)), key=lambda k: (parted[k][0], -k))
     # scale: the level that parts the classes best gets a probability of THRESHOLD
-    grid = grid.sort_values("level")
+    return models[best] | {"scale": math.log((1 - THRESHOLD) / THRESHOLD) - min(parted[best][1], -0.01)}
+
+
+def part_classes(grid) -> tuple[float, float]:
+    """(F1, cut): how well a cut of the levels parts the classes at best, and the middle of such cuts."""
     levels = np.unique(grid.level)
-    hit = np.array([grid[(grid.toxic == 1) & (grid.level <= x)]["count"].sum() for x in levels])
-    wrong = np.array([grid[(grid.toxic == 0) & (grid.level <= x)]["count"].sum() for x in levels])
-    if len(levels) and hit.max() > 0:
-        f1 = 2 * hit / (hit + wrong + hit.max())
-        best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-        upper = levels[best[-1] + 1] if best[-1] + 1 < len(levels) else levels[best[-1]] + 10
-        cut = (levels[best[0]] + upper) / 20
-    else:
-        cut = math.log(0.001)
-    model["scale"] = math.log((1 - THRESHOLD) / THRESHOLD) - min(cut, -0.01)
-    return model
+    count = lambda label: np.array([grid[(grid.toxic == label) & (grid.level <= x)]["count"].sum() for x in levels])
+    hit, wrong = count(1), count(0)
+    if not len(levels) or not hit.max():
+        return 0.0, math.log(0.001)
+    f1 = 2 * hit / (hit + wrong + hit.max())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    upper = levels[best[-1] + 1] if best[-1] + 1 < len(levels) else levels[best[-1]] + 10
+    return float(f1.max()), (levels[best[0]] + upper) / 20
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

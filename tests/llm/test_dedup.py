@@ -83,10 +83,11 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     sets = {i: shingles(t) for i, t in corpus}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert len(links) == 40
-    one = minhash.candidates
-    monkeypatch.setattr(minhash, "candidates", lambda orders, *a, **k: one(orders.where("tree = 0"), *a, **k))
+    one = minhash.scanned
+    monkeypatch.setattr(minhash, "scanned", lambda orders, *a, **k: one(orders.where("tree = 0"), *a, **k))
+    monkeypatch.setattr(minhash, "WHOLE", 8)
     monkeypatch.setattr(minhash, "LAGS", ((1, 1), (2, 5)))
-    monkeypatch.setattr(minhash, "MEET", 50, raising=False)
+    monkeypatch.setattr(minhash, "MEET", 50)
     got = near_duplicates(frame(spark, corpus)).collect()
     assert {r.doc_id: r.component_id for r in got} == roots(sets, links)
 
@@ -187,3 +188,65 @@ def test_near_vectors(spark):
     assert {i: got[i] for i in range(6)} == {i: (0, i, True) for i in range(6)}
     if found == all_:
         assert {i: g[1] for i, g in got.items()} == want
+
+
+def test_windows_of_a_crowded_value(spark, monkeypatch):
+    """A common line in many contexts: its values are dealt on by window, with what one shard would find."""
+    monkeypatch.setattr(suffix, "CROWD", 3)
+    rng = random.Random(8)
+    line = " ".join(rng.choice(WORDS) for _ in range(40))
+    new = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 90)))
+    rows = [(i, new() + line[rng.randrange(20) :] + new() + (line if i % 7 == 0 else "")) for i in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_duplicates(frame(spark, rows).repartition(5)).collect()}
+    assert got == brute_spans(rows)
+
+
+def test_rows_that_ids_do_not_tell_apart(spark):
+    """Null and repeated ids: a null id comes first, rows of one id go in order of their texts."""
+    one, two = "a" * 60 + "b" * 80, "x y " * 60
+    rows = [(7, two), (None, one), (7, one), (7, one), (9, two + one), (None, None)]
+    made = [(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")))]
+    want = sorted(x[1:] for x in brute_spans(made).values())
+    got = substring_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    near = near_duplicates(frame(spark, [(None, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (4, "a b c d e"), (4, "a b c d e")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 3, False), (4, 3, False)]
+
+
+def test_own_columns_stay(spark):
+    names = ["kept", "kept_text", "removed", "n_bytes", "carry_0", "id", "places", "n_chars"]
+    docs = spark.createDataFrame([(1, "q" * 250, *names), (2, None, *names)], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
+    got = suffix.without_repeats(docs, size_col="none").sort("doc_id")
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [(1, "q", *names), (2, None, *names)]
+
+
+def test_looser_links(spark):
+    """At a similarity of 50, sketches and sizes leave in what 75 rules out."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(WORDS) for _ in range(60)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: rng.randrange(36, 50)] + [rng.choice(WORDS) for _ in range(8)]))]
+    sets = {i: shingles(t) for i, t in rows}
+    for similarity in (50, 75):
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+        got = near_duplicates(frame(spark, rows), similarity=similarity).collect()
+        assert {r.doc_id: r.component_id for r in got} == roots(sets, links) and len(links) > 5
+
+
+def test_borders_of_partitions(spark):
+    """Regions that lie across the borders of many small partitions are searched whole."""
+    rng = random.Random(13)
+    base = [rng.choice(WORDS) for _ in range(90)]
+    rows = [(i, " ".join(base[:66] + [f"y{rng.randrange(10**9)}" for _ in range(24)])) for i in range(50)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 50, 3)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = near_duplicates(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.doc_id: r.component_id for r in got} == roots(sets, links)

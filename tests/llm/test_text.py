@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillspark.llm import html
-from quillspark.llm.chat import digest, conversations_as_trees, format_paths, read_back
+from quillspark.llm.chat import chosen, conversations_as_trees, digest, format_paths, read_back
 from quillspark.llm.decontaminate import RATE, Matcher, leaks, myers, normal
 from quillspark.llm.pieces import MODEL, Segmenter, encode, read_pieces
 
@@ -161,3 +162,33 @@ def test_units_learned_together_are_those_of_the_lattice():
     together.learn(set(words))
     assert len(together.cache) > 8
     assert all(together.cache[w] == alone.viterbi(w) for w in words)
+
+
+def test_cycles_and_broad_trees(spark):
+    schema = "id long, tree long, parent long, role string, text string, score double"
+    rows = [(1, 1, 2, "user", "a", 1.0), (2, 1, 1, "user", "b", 1.0), (3, 1, 2, "user", "below", 9.0), (4, 1, 4, "user", "self", 1.0), (10, 2, None, "user", "root", 0.0), (11, 2, 10, "assistant", "leaf", 1.0)]
+    got = format_paths(spark.createDataFrame(rows, schema), None).collect()
+    assert [(r.tree, r["rank"]) for r in got] == [(2, 1)]
+    # a trunk of 3,000 messages with 400 leaves at its end: only the chosen branch is written out
+    trunk = [(k, 1, k - 1 if k else None, "assistant" if k % 2 else "user", f"t{k}", 0.0) for k in range(3000)]
+    leaves = [(10_000 + k, 1, 2999, "user", f"leaf{k}", float(k % 100)) for k in range(400)]
+    way = chosen(spark.createDataFrame(trunk + leaves, schema), 2).collect()
+    assert len(way) == 2 * 3001 and {r.leaf for r in way if r["rank"] == 1} == {10_099} and {r.leaf for r in way if r["rank"] == 2} == {10_199}
+    assert {(r.id, r.up) for r in way if r["rank"] == 1} == {(10_099, 0)} | {(k, 3000 - k) for k in range(3000)}
+
+
+def test_long_units(model):
+    for text in ("x" * 200_000, "abcdefghij" * 10_000, "▁é" * 20_000):
+        began = time.time()
+        ids, score, scores, changes = model.encode(text)
+        assert model.decode(ids) == text and (len(scores) == 4 or "▁" in text) and time.time() - began < 60
+    unit = " therethen▁é" * 5
+    small = unit.replace(" ", "")
+    want = model.viterbi(small), model.search(small)
+    from quillspark.llm import pieces
+
+    old, pieces.LISTED = pieces.LISTED, 4
+    try:
+        assert (model.viterbi(small), model.search(small)) == want
+    finally:
+        pieces.LISTED = old
