@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, materialize, table
+from quillspark.llm.common import discard, held_out, materialize, table
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash import BROADCAST_IDS, near_duplicates
 from quillspark.llm.pieces import encode
-from quillspark.llm.suffix import substring_duplicates
+from quillspark.llm.suffix import without_repeats
 from quillspark.llm.toxicity import fit, reject
 
 
@@ -25,34 +25,43 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (7) doesn't call toxic; it learns from the labels that may be learned from."""
+    """Documents that the classifier (7) doesn't call toxic; it learns from the labels that may be learned from.
+
+    Null and empty texts have no toxic passage and stay, as do rows with a null or repeated doc_id whose text is clean.
+    """
     return reject(docs, fit(docs, table(spark, sf_dir, "labels").where(~held_out())))
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that of the smallest doc_id) of each group of near duplicates (3)."""
+    """One document (that of the smallest doc_id) of each group of near duplicates (3).
+
+    Null and blank texts are no duplicates of each other and stay, and so do rows with a null doc_id. Rows go by their
+    doc_id, so repeated rows stay or go together.
+    """
     gone = materialize(near_duplicates(docs).where("not kept").select("doc_id"), "copies")
     return without(docs, gone)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 100-byte strings that start earlier (4); a character cut in two goes as a whole."""
-    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = substring_duplicates(docs, carry=carry).withColumnRenamed("kept_text", "text")
-    texts = docs.columns
-    if "n_chars" in texts:
-        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return out.select(*texts)
+    """Texts without the 100-byte strings that start earlier (4); a character cut in two goes as a whole.
+
+    Null texts stay null, and empty ones and those under 100 bytes stay as they are. Rows with equal or null doc_ids are
+    texts of their own; n_chars is counted anew.
+    """
+    return without_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its edit budget (1)."""
+    """Documents that hold no benchmark item within its edit budget (1).
+
+    Null and empty texts hold none. Rows go by their doc_id; one with a null doc_id can't be named, and stays.
+    """
     hits = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return without(docs, hits)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text and the scores of its best segmentations (6)."""
+    """The pieces of each text and the scores of its best segmentations (6); null counts as empty, rows are kept one by one."""
     return encode(docs)
 
 
