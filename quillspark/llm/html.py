@@ -1,11 +1,13 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every block element and every run of text in it is a node with a hidden label, content or not. A node's potential
-comes from its tag, the words of its class, id and role, and the length and link share of its text; a pair potential
-ties each node to its parent. Both are estimated from labelled pages by counting. Sum-product messages pass up the
-tree and down again, which gives the exact marginal of each text; texts likelier content than not are kept.
+comes from its tag, the words of its class, id and role, its depth, and the length, link share and share of the page of
+the text in it; a pair potential ties each node to its parent. Both are estimated from labelled pages by counting.
+Sum-product messages pass up the tree and down again, which gives the exact marginal of each text; texts likelier
+content than not are kept. A source of a single block, as one without tags, is that block.
 
 Labelled pages are made by `labelled_page` from a seed: LABELLED of them, the documented bound of the training sample.
+In half of them no part has a name that says what it is, and some are bare fragments.
 """
 
 from __future__ import annotations
@@ -23,14 +25,20 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, text_slices
 
-LABELLED, SMOOTHING, LIMIT = 600, 0.5, 30.0
+LABELLED, SMOOTHING, LIMIT = 900, 0.5, 30.0
 #: Share of their log-odds that features of texts keep: texts of one parent are alike, so they don't count as independent.
 TEXT_SHARE = 0.5
+#: The same for the features of elements that come from the text below them, which the texts show too.
+TREE_SHARE = 0.1
 
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hr".split())
+#: Elements that hold no content by their own meaning.
+ASIDES = frozenset("header footer nav aside form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose whole content is no page text.
-DROPPED = frozenset("script style noscript template title textarea select button svg iframe object".split())
+#: Elements whose whole content is no page text: plain text up to their end tag (or the end of the source), and others.
+RAW = frozenset("script style title textarea".split())
+DROPPED = frozenset("noscript template select button svg iframe object".split())
+_DROPPED_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})\b[^>]*>.*?(?:</\1\b|\Z)|<(/?)({'|'.join(sorted(DROPPED))})\b[^>]*?(/?)>", re.S | re.I)
 #: An opening tag ends the open elements named here, up to the elements of its scope.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -42,31 +50,71 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Page:
-    """Nodes of a page in document order: parent, features, and for texts the text itself (else None)."""
+    """Nodes of a page in document order: parent, features, and for texts the text itself (else None) and how many of its
+    characters are in links."""
 
     def __init__(self):
         self.parent: list[int] = []
+        self.linked: list[int] = []
         self.features: list[list[str]] = []
         self.kind: list[str] = []
         self.text: list[str | None] = []
 
-    def add(self, parent: int, kind: str, features: list[str], text: str | None = None) -> int:
+    def add(self, parent: int, kind: str, features: list[str], text: str | None = None, linked: int = 0) -> int:
         self.parent.append(parent)
+        self.linked.append(linked)
         self.kind.append(kind)
         self.features.append(features)
         self.text.append(text)
         return len(self.parent) - 1
 
+    def describe(self) -> None:
+        """Adds the features that need the whole tree: depth, and how much text a node has and how much of it is linked."""
+        n = len(self.parent)
+        size, linked, depth = [len(t) if t else 0 for t in self.text], list(self.linked), [0] * n
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            linked[self.parent[i]] += linked[i]
+        for i in range(1, n):
+            depth[i] = depth[self.parent[i]] + 1
+            share = int(4 * size[i] / max(size[0], 1))
+            if self.text[i] is None:
+                self.features[i] += [f"@size:{min(size[i].bit_length(), 12) // 2}", f"@linked:{round(3 * linked[i] / max(size[i], 1))}", f"@depth:{min(depth[i], 6)}"]
+            if share >= 2:  # having most of the text speaks for content; having little of it says nothing
+                self.features[i].append(f"{'@' if self.text[i] is None else '#'}share:{share}")
+
+
+def dropped_ends(source: str) -> dict[int, int]:
+    """Where the content of dropped elements starts, and where their end tags end. An end tag belongs to the last open
+    element of its name; elements without one are not in the result."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = defaultdict(list)
+    for m in _DROPPED_TAG.finditer(source):
+        if m[3]:
+            name = m[3].lower()
+            if m[2]:
+                if open_[name]:
+                    ends[open_[name].pop()] = m.end()
+            elif m[4]:
+                ends[m.end()] = m.end()
+            else:
+                open_[name].append(m.end())
+    return ends
+
 
 def parse(source: str) -> Page:
-    """The block tree of an html source of any kind; unclosed and stray tags are tolerated."""
+    """The block tree of an html source of any kind; unclosed and stray tags are tolerated.
+
+    Of a dropped element that is never closed only the text up to the next block goes.
+    """
     page = Page()
     open_: list[tuple[str, int]] = [("#root", page.add(-1, "#root", []))]
     run: list[str] = []
-    linked, link_depth = 0, 0
+    linked, link_depth, mute = 0, 0, False
+    ends = dropped_ends(source)
 
     def flush():
-        nonlocal linked
+        nonlocal linked, mute
         if run:
             raw = html.unescape("".join(run))
             words = raw.split()
@@ -74,9 +122,9 @@ def parse(source: str) -> Page:
                 text = " ".join(words)
                 share = linked / max(len("".join(run)), 1)
                 features = [f"#size:{min(len(words), 63).bit_length()}", f"#linked:{round(share * 3)}", f"#stop:{text[-1] in '.!?…:'}"]
-                page.add(open_[-1][1], "#text", features, text)
+                page.add(open_[-1][1], "#text", features, text, round(share * len(text)))
             run.clear()
-        linked = 0
+        linked, mute = 0, False
 
     def close_until(names: set, scope: set):
         at = len(open_) - 1
@@ -94,16 +142,19 @@ def parse(source: str) -> Page:
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if (m[0][0] != "<" or m[0] == "<") and not mute:
                 run.append(m[0])
                 linked += len(m[0]) if link_depth else 0
             continue
         name = name.lower()
-        if name in DROPPED and not m[1]:
-            if not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+        if name in RAW:
+            if not m[1] and not m[3].rstrip().endswith("/"):
+                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                 at = stop.end() if stop else end
-            run.append(" ") if name == "br" else None
+        elif name in DROPPED:
+            if not m[1]:
+                at = ends.get(at, at)
+                mute = at == m.end() and not m[3].rstrip().endswith("/")
         elif name == "head" or name == "body" and m[1]:
             flush()
         elif name == "a":
@@ -129,6 +180,7 @@ def parse(source: str) -> Page:
             if name not in VOID:
                 open_.append((name, node))
     flush()
+    page.describe()
     return page
 
 
@@ -172,6 +224,11 @@ def main_text(source: str | None, model: dict) -> str:
     page = parse(source or "")
     if len(page.parent) < 2:
         return ""
+    texts = [i for i, t in enumerate(page.text) if t is not None]
+    if len(texts) == 1 and not page.linked[texts[0]]:  # one block, and nothing says that it is not content
+        around = [i for i in range(1, texts[0]) if page.text[i] is None]
+        if not any(page.kind[i] in ASIDES or any(f[0] == "." for f in page.features[i]) for i in around):
+            return page.text[texts[0]]
     return "\n".join(t for t, p in zip(page.text, marginals(page, model), strict=True) if t is not None and p > 0.5)
 
 
@@ -193,11 +250,15 @@ NAMES = {
 NEUTRAL = "wrapper container row col page outer inner section block wrap layout grid clearfix".split()
 
 
-def labelled_page(seed: int) -> tuple[str, set[str]]:
-    """A page made of common parts in varied order and markup, and its content texts (each text of it is unique)."""
+def labelled_page(seed: int, named: bool | None = None) -> tuple[str, set[str]]:
+    """A page made of common parts in varied order and markup, and its content texts (each text of it is unique).
+
+    named: whether the parts' names say what they are; by default in half of the pages.
+    """
     rng = random.Random(seed)
     content: set[str] = set()
     number = iter(range(10**6))
+    telling = (rng.random() < 0.5) if named is None else named
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))).capitalize() + f" {seed}x{next(number)}" + rng.choice(["", ".", ".", "."])
@@ -210,7 +271,8 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
     def name(kind: str, chance: float = 0.85) -> str:
         if rng.random() > chance:
             return ""
-        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(NAMES[kind].split())}"'
+        word = rng.choice(NAMES[kind].split()) if telling else "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouy") for _ in range(rng.randint(2, 4)))
+        return f' {rng.choice(["class", "class", "id"])}="{word}"'
 
     def links(n: int) -> str:
         tag = rng.choice(["ul", "ul", "div"])
@@ -222,6 +284,7 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
         return f"<{tag}{name(kind, 1.0 if tag in ('div', 'section', 'p') else 0.5)}>{inner}</{tag}>"
 
     def para(low=6, high=90) -> str:
+        low, high = (2, 8) if rng.random() < 0.2 else (low, high)
         return f"<p>{said(low, high)}</p>" if rng.random() < 0.9 else f"<p>{said(low, high)}"
 
     def ad() -> str:
@@ -269,6 +332,11 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
     def form() -> str:
         return f"<form{name('form', 0.6)}><label>{words(1, 5)}</label><input name='q'>" + (f"<p>{words(3, 15)}</p>" if rng.random() < 0.5 else "") + "<button>ok</button></form>"
 
+    if rng.random() < 0.1:  # a fragment: nothing but content, with or without the elements around it
+        inner = "".join(para(2, 60) for _ in range(rng.randint(1, 6))) if rng.random() < 0.6 else article()
+        inner = rng.choice(["{}", "<div>{}</div>", "<body>{}</body>", "<html><body><div>{}</div></body></html>"]).format(inner)
+        return inner, content
+
     before = [lambda: box(["header", "header", "div"], "header", "<{0}>{1}</{0}>".format(rng.choice(["h1", "h2", "div", "p"]), words(1, 5)) + (links(4) if rng.random() < 0.5 else "")), lambda: box(["nav", "nav", "div"], "nav", links(rng.randint(3, 8))), lambda: box(["div", "div", "section", "aside"], "notice", f"<p>{words(5, 40)}</p>" if rng.random() < 0.7 else words(5, 40)), ad, form, lambda: box(["aside", "div"], "sidebar", f"<h3>{words(1, 3)}</h3>" + links(4))]
     after = [comments, comments, lambda: box(["aside", "aside", "div"], "sidebar", f"<h3>{words(1, 3)}</h3>" + (links(4) if rng.random() < 0.6 else f"<p>{words(5, 40)}</p>")), ad, form, lambda: box(["div", "section"], "share", links(3))]
     top = [f() for f in before if rng.random() < 0.5]
@@ -308,7 +376,7 @@ def fit() -> dict:
             for kind in (page.kind[i], "?"):
                 moves[kind][label[page.parent[i]]][y] += 1
     weight = {f: math.log((seen[1][f] + SMOOTHING) / (total[1] + 2 * SMOOTHING)) - math.log((seen[0][f] + SMOOTHING) / (total[0] + 2 * SMOOTHING)) for f in seen[0] | seen[1]}
-    weight = {f: w * TEXT_SHARE if f[0] == "#" else w for f, w in weight.items()}
+    weight = {f: w * (TEXT_SHARE if f[0] == "#" else TREE_SHARE if f[0] == "@" else 1) for f, w in weight.items()}
     pair = {k: tuple(tuple(x / sum(row) for x in row) for row in m) for k, m in moves.items()}
     return {"weight": weight, "pair": pair}
 
@@ -316,8 +384,8 @@ def fit() -> dict:
 def extract(pages: DataFrame, model: dict | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """All columns of (page_id, url) with text and n_chars: the main text of each page, its blocks joined by line breaks.
 
-    Null html counts as empty and gives an empty text, as does a page without content. Sources without tags are one
-    block. Repeated rows give repeated rows; other columns are ignored.
+    Null html counts as empty and gives an empty text, as does a page without content. A source of one block
+    with no name or tag against it, as one without tags, gives that block. A script, style, title or text area that is never closed takes the rest of the source. Repeated rows give repeated rows; other columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or fit())
 

@@ -1,14 +1,21 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Words are hashed into BUCKETS, whose counts over the whole corpus give CLASSES classes: the most frequent buckets are
-classes of their own, the others share the rest. A small network predicts the class of each token from the SIDE tokens
-on either side; within its class a word has its share of the corpus counts. The sum of the log-probabilities of all
-tokens, each with the token itself masked, is the pseudo-likelihood of a document.
-
-Training masks every token of every document once: each of ROUNDS rounds every ROUNDS-th token, from a first one that
-differs by round. In a round each task trains on its own rows from the same start (Adam in numpy), and the parameters
-are averaged by number of examples. Parameters and counts have a size that the corpus does not change, so context tells
-apart the OWN most frequent words only; what is added up for them comes from every row.
+Words are hashed into buckets. The WORDS most frequent ones are outputs of their own, the others share REST classes by
+their corpus counts. A small network predicts each token from the SIDE tokens on either side, in two softmaxes: over
+groups of words, and over the words of the group. The same windows elsewhere in the corpus count too: with c
+occurrences of a window in other places, p of them around this token, the token has the probability
+
+    (p + network) / (c + 1),
+
+the mean of a Dirichlet prior that weighs one occurrence and has the network's distribution. These window counts cover
+every token and grow with the corpus, while the network has a size that the corpus does not change. The sum of the
+log-probabilities of all tokens, each with the token itself masked, is the pseudo-likelihood of a document.
+
+Texts are tokenized once and dealt into shards of about SHARD_BYTES by a hash of id and text, so nothing depends on how
+files are split. Training masks every token once: each of ROUNDS rounds every ROUNDS-th token, from a first one that
+differs by text. In a round each shard trains from the same start (Adam in numpy), and the parameters are averaged by
+number of tokens. Windows are counted inside each shard first; each distinct one is sent, with its count, to the part
+that its hash names, and the totals of those that occur more than once come back to the shard.
 """
 
 from __future__ import annotations
@@ -18,133 +25,222 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shuffle_partitions, table, text_slices
-from quillspark.llm.toxicity import tokens
+from quillspark.llm.common import U64, discard, materialize, mix, release, shuffle_partitions, table, text_slices
+from quillspark.llm.toxicity import BUCKETS, tokens
 
-BUCKETS, CLASSES, OWN = 1 << 18, 256, 160
+WORDS, GROUP, REST = 4096, 128, 32
+GROUPS = WORDS // GROUP
+CLASSES = GROUPS + REST
 SIDE, SIZE, HIDDEN = 2, 12, 24
-ROUNDS, STEP, BATCH = 2, 0.01, 512
-BLOCK = 1024
-PAD = CLASSES
+ROUNDS, STEP, BATCH = 2, 0.01, 1024
+BLOCK = 4096
+PAD = WORDS + REST
+#: Text of a shard in bytes, and distinct windows of a part of the window counts (8 bytes each), on average.
+SHARD_BYTES, PART_WINDOWS = 3 << 20, 2 << 20
+#: Bits of a window's hash that are compared inside its part, beside those of the token.
+WINDOW_BITS = 63 - (BUCKETS - 1).bit_length()
+
+SHAPES = {"embed": (PAD + 1, SIZE), "inner": (2 * SIDE * SIZE, HIDDEN), "inner_bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word": (GROUPS, HIDDEN, GROUP), "word_bias": (GROUPS, GROUP)}
+_SIZES = [int(np.prod(s)) for s in SHAPES.values()]
+
+
+# --- shards ---------------------------------------------------------------------------------------------------------
+
+
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, ids, sizes, words): all texts, a row for each shard. A null text has no words."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = int(size // SHARD_BYTES) + 1
+
+    def tokenize(batches):
+        for part in text_slices(batches, "text"):
+            bucket, bounds, _, _ = tokens(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("h"), part.column("id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket.astype(np.int32)))], ["shard", "h", "id", "words"])
+
+    def pack(batches):
+        held, shard = [], None
+        for b in batches:
+            here = b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(here[1:] != here[:-1]) + 1).tolist(), len(here)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if z > a:
+                    if held and here[a] != shard:
+                        yield _packed(shard, held)
+                        held = []
+                    shard = here[a]
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield _packed(shard, held)
+
+    rows = rows.withColumn("h", F.xxhash64("id", "text")).withColumn("shard", F.pmod("h", F.lit(number)))
+    dealt = rows.mapInArrow(tokenize, "shard long, h long, id long, words array<int>").repartition(min(number, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "h", "id")
+    return materialize(dealt.mapInArrow(pack, "shard long, ids array<long>, sizes array<int>, words array<int>"), "shards")
+
+
+def _packed(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    words = pa.concat_arrays([b.column("words").flatten() for b in held])
+    ids = pa.concat_arrays([b.column("id") for b in held])
+    sizes = pa.concat_arrays([b.column("words").value_lengths() for b in held])
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), one(ids), one(sizes), one(words)], ["shard", "ids", "sizes", "words"])
+
+
+def unpacked(batches):
+    """(batch row, words, bounds) of each shard."""
+    for b in batches:
+        for k in range(b.num_rows):
+            words = b.column("words")[k].values.to_numpy()
+            sizes = b.column("sizes")[k].values.to_numpy()
+            yield b.slice(k, 1), words, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    release()
 
 
 def count(batches):
     total = np.zeros(BUCKETS, np.int64)
-    for part in text_slices(batches, "text"):
-        total += np.bincount(tokens(part.column("text"))[0] % BUCKETS, minlength=BUCKETS)
+    for _, words, _ in unpacked(batches):
+        total += np.bincount(words, minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
 
 def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket, and the log of the bucket's share of its class (add-one smoothed)."""
+    """Output of each bucket, and the log of the bucket's share of its output (0 for a word of its own; else add-one
+    smoothed counts)."""
     order = np.argsort(-counts, kind="stable")
-    klass = (np.arange(BUCKETS) * 2654435761 % 2**32 >> 8) % (CLASSES - OWN) + OWN
-    klass[order[:OWN]] = np.arange(OWN)
+    word = (np.arange(BUCKETS) * 2654435761 % 2**32 >> 8) % REST + WORDS
+    word[order[:WORDS]] = np.arange(WORDS)
     smooth = counts + 1.0
-    return klass.astype(np.int16), (np.log(smooth) - np.log(np.bincount(klass, smooth, CLASSES))[klass]).astype(np.float32)
-
+    share = np.log(smooth) - np.log(np.bincount(word, smooth, PAD))[word]
+    share[order[:WORDS]] = 0
+    return word.astype(np.int32), share.astype(np.float32)
 
-SHAPES = ((CLASSES + 1, SIZE), (2 * SIDE * SIZE, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-_SIZES = [int(np.prod(s)) for s in SHAPES]
 
-
-def unpack(flat: np.ndarray) -> list[np.ndarray]:
-    return [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(_SIZES)[:-1]), SHAPES, strict=True)]
-
-
-def start(class_counts: np.ndarray) -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(5))
-    parts = [rng.standard_normal(s) * (0.3 if len(s) > 1 else 0) for s in SHAPES]
-    parts[3] *= 0.1
-    parts[4] = np.log((class_counts + 1) / (class_counts.sum() + CLASSES))
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
-
-
-def around(klass: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The classes of the 2 * SIDE neighbours of each token; PAD beyond the ends of its document."""
-    n = len(klass)
+def around(words: np.ndarray, bounds: np.ndarray, pad: int) -> np.ndarray:
+    """The 2 * SIDE neighbours of each token; `pad` beyond the ends of its document."""
+    n = len(words)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     low, high = bounds[row], bounds[row + 1]
     at = np.arange(n)
-    out = np.empty((n, 2 * SIDE), np.int64)
+    out = np.empty((n, 2 * SIDE), np.int32)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         there = at + step
         fits = (there >= low) & (there < high)
-        out[:, k] = np.where(fits, klass[np.clip(there, 0, max(n - 1, 0))], PAD)
+        out[:, k] = np.where(fits, words[np.clip(there, 0, max(n - 1, 0))], pad)
     return out
 
 
-def forward(p: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, hidden layer, and log-probabilities of the classes."""
-    x = p[0][context].reshape(len(context), -1)
-    h = np.tanh(x @ p[1] + p[2])
-    z = h @ p[3] + p[4]
-    z -= z.max(axis=1, keepdims=True)
-    return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+# --- the network ----------------------------------------------------------------------------------------------------
+
+
+def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: x.reshape(s) for x, (k, s) in zip(np.split(flat, np.cumsum(_SIZES)[:-1]), SHAPES.items(), strict=True)}
+
+
+def start(word_counts: np.ndarray) -> np.ndarray:
+    """Parameters before training: outputs as frequent as in the corpus, whatever the context."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    p = {k: rng.standard_normal(s) * (0.3 if k in ("embed", "inner") else 0.03) for k, s in SHAPES.items()}
+    p["inner_bias"][:] = 0
+    own = word_counts[:WORDS].reshape(GROUPS, GROUP) + 0.1
+    classes = np.concatenate((own.sum(axis=1), word_counts[WORDS:PAD] + 0.1))
+    p["class_bias"][:] = np.log(classes / classes.sum())
+    p["word_bias"][:] = np.log(own / own.sum(axis=1, keepdims=True))
+    return np.concatenate([x.ravel() for x in p.values()]).astype(np.float32)
+
+
+def class_of(word: np.ndarray) -> np.ndarray:
+    return np.where(word < WORDS, word // GROUP, word - WORDS + GROUPS)
+
+
+def hidden(p: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = p["embed"][context].reshape(len(context), -1)
+    return x, np.tanh(x @ p["inner"] + p["inner_bias"])
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def by_group(classes: np.ndarray):
+    """(group, rows) of the rows whose output is a word of its own."""
+    order = np.argsort(classes, kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(GROUPS + 1))
+    for g in np.flatnonzero(np.diff(cuts)):
+        yield g, order[cuts[g] : cuts[g + 1]]
+
+
+def log_probabilities(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each target output given its context."""
+    h, classes = hidden(p, context)[1], class_of(target)
+    out = log_softmax(h @ p["class"] + p["class_bias"])[np.arange(len(target)), classes]
+    for g, rows in by_group(classes):
+        out[rows] += log_softmax(h[rows] @ p["word"][g] + p["word_bias"][g])[np.arange(len(rows)), target[rows] % GROUP]
+    return out
 
 
 class Adam:
-    """Stochastic training of the flat parameters on (context, class) examples."""
+    """Stochastic training of the flat parameters on (context, output) examples."""
 
     def __init__(self, flat: np.ndarray):
         self.flat, self.m, self.v, self.t = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        p = unpack(self.flat)
-        x, h, logs = forward(p, context)
-        n = len(target)
-        d = np.exp(logs)
-        d[np.arange(n), target] -= 1
+        p, n, g = unpack(self.flat), len(target), np.zeros_like(self.flat)
+        grad = unpack(g)
+        x, h = hidden(p, context)
+        classes = class_of(target)
+        d = np.exp(log_softmax(h @ p["class"] + p["class_bias"]))
+        d[np.arange(n), classes] -= 1
         d /= n
-        dh = (d @ p[3].T) * (1 - h * h)
-        dx = (dh @ p[1].T).reshape(-1, SIZE)
+        dh = d @ p["class"].T
+        grad["class"][:], grad["class_bias"][:] = h.T @ d, d.sum(axis=0)
+        for k, rows in by_group(classes):
+            e = np.exp(log_softmax(h[rows] @ p["word"][k] + p["word_bias"][k]))
+            e[np.arange(len(rows)), target[rows] % GROUP] -= 1
+            e /= n
+            grad["word"][k], grad["word_bias"][k] = h[rows].T @ e, e.sum(axis=0)
+            dh[rows] += e @ p["word"][k].T
+        dh *= 1 - h * h
+        grad["inner"][:], grad["inner_bias"][:] = x.T @ dh, dh.sum(axis=0)
+        dx = dh @ p["inner"].T
         cell = context.reshape(-1, 1) * SIZE + np.arange(SIZE)
-        de = np.bincount(cell.ravel(), dx.ravel(), SHAPES[0][0] * SIZE).astype(np.float32)
-        g = np.concatenate([de, (x.T @ dh).ravel(), dh.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)])
+        grad["embed"][:] = np.bincount(cell.ravel(), dx.ravel(), SHAPES["embed"][0] * SIZE).reshape(SHAPES["embed"])
         self.t += 1
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.999 * self.v + 0.001 * g * g
-        self.flat -= STEP * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.001 * (g * g - self.v)
+        self.flat -= STEP / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict:
-    """The model, from every non-null text of docs."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+def fit_shards(packed: DataFrame) -> dict:
+    """The network, from every token of the shards."""
+    spark = packed.sparkSession
+    found = packed.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.bucket] = found.n
-    klass, share = vocabulary(counts)
-    flat = start(np.bincount(klass, counts, CLASSES))
-    sent = spark.sparkContext.broadcast(klass)
+    word, share = vocabulary(counts)
+    flat = start(np.bincount(word, counts, PAD))
+    sent = spark.sparkContext.broadcast(word)
 
     def train_from(begin, turn):
         def train(batches):
-            adam, seen = Adam(begin.value), 0
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def run(least: int) -> None:
-                nonlocal held, seen
-                if sum(len(t) for _, t in held) >= least:
-                    context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                    for a in range(0, len(target), BATCH):
-                        adam.step(context[a : a + BATCH], target[a : a + BATCH])
-                    seen += len(target)
-                    held = []
-
-            for part in text_slices(batches, "text"):
-                bucket, bounds, _, _ = tokens(part.column("text"))
-                own = sent.value[bucket % BUCKETS].astype(np.int64)
-                if len(own):
-                    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                    # the first masked token differs from text to text; over all rounds each token is masked once
-                    masked = np.flatnonzero((np.arange(len(own)) - bounds[row] + bucket[bounds[row]]) % ROUNDS == turn)
-                    held.append((around(own, bounds)[masked], own[masked]))
-                    run(BATCH)
-            run(1)
+            total, seen = 0.0, 0
+            for _, words, bounds in unpacked(batches):
+                if not len(words):
+                    continue
+                own, adam = sent.value[words], Adam(begin.value)
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                # the first masked token differs from text to text; over all rounds each token is masked once
+                masked = np.flatnonzero((np.arange(len(own)) - bounds[row] + words[bounds[row]]) % ROUNDS == turn)
+                context, target = around(own, bounds, PAD)[masked], own[masked]
+                for a in range(0, len(target), BATCH):
+                    adam.step(context[a : a + BATCH], target[a : a + BATCH])
+                if len(masked):
+                    total, seen = total + adam.flat.astype(np.float64) * len(masked), seen + len(masked)
             if seen:
-                blocks = np.array_split(adam.flat.astype(np.float64) * seen, -(-len(adam.flat) // BLOCK))
+                blocks = np.array_split(total, -(-len(total) // BLOCK))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float64()))], ["block", "seen", "sums"])
 
         return train
@@ -161,43 +257,143 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     trained = 0
     for turn in range(ROUNDS):
         begin = spark.sparkContext.broadcast(flat)
-        means = rows.mapInArrow(train_from(begin, turn), schema).repartition(shuffle_partitions(spark), "block").mapInArrow(add_up, schema).toArrow().to_pylist()
+        means = packed.mapInArrow(train_from(begin, turn), schema).repartition(shuffle_partitions(spark), "block").mapInArrow(add_up, schema).toArrow().to_pylist()
         if not means:
             continue
         trained += means[0]["seen"]
         flat = np.concatenate([np.array(m["sums"]) / m["seen"] for m in sorted(means, key=lambda m: m["block"])]).astype(np.float32)
-    return {"class": klass, "share": share, "flat": flat, "trained": trained}
-
+    return {"word": word, "share": share, "flat": flat, "trained": trained}
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> dict:
+    """The network, from every text of docs."""
+    packed = shards(docs, id_col, text_col)
+    model = fit_shards(packed)
+    discard(packed)
+    return model
+
+
+# --- windows --------------------------------------------------------------------------------------------------------
+
+
+def windows(words: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and key of each token's window and the token: keys that agree but for the token's bits are one window."""
+    c = np.full(len(words), 0x51ED270B, np.uint64)
+    for column in around(words, bounds, -1).T:
+        c = mix(c * U64(0xD6E8FEB86659FD93) + (column.astype(np.int64) + 2).astype(np.uint64))
+    bits = (BUCKETS - 1).bit_length()
+    part = ((c >> U64(WINDOW_BITS)).astype(np.int64)) % parts
+    return part, ((c & U64(2**WINDOW_BITS - 1)) << U64(bits) | words.astype(np.uint64)).astype(np.int64)
+
+
+def distinct(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by (part, key), and the number of each token's distinct (part, key) in it."""
+    order = np.lexsort((key, part))
+    new = np.ones(len(key), bool)
+    new[1:] = (part[order][1:] != part[order][:-1]) | (key[order][1:] != key[order][:-1])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def window_counts(packed: DataFrame, parts: int) -> DataFrame:
+    """(shard, part, at, same, all): for the shard's distinct windows with their tokens that lie in the part and whose
+    window occurs more than once in the corpus: their places among those, the occurrences of window and token, and of
+    the window."""
+    bits = (BUCKETS - 1).bit_length()
+
+    def emit(batches):
+        for row, words, bounds in unpacked(batches):
+            if len(words):
+                part, key = windows(words, bounds, parts)
+                first, number = distinct(part, key)
+                n, part, key = np.bincount(number).astype(np.int32), part[first], key[first]
+                there = np.unique(part)
+                cuts = np.append(np.searchsorted(part, there), len(part)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (key, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([row.column("shard")[0].as_py()] * len(there), pa.int64()), *lists], ["part", "shard", "keys", "n"])
+
+    def total(batches):
+        held, name = [], None
+
+        def finish():
+            if not held:
+                return
+            sizes = [len(k) for _, k, _ in held]
+            key, n = np.concatenate([k for _, k, _ in held]), np.concatenate([x for _, _, x in held]).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            sums = []
+            for shift in (0, bits):
+                code = key[order] >> shift
+                new = np.append(True, code[1:] != code[:-1])
+                sums.append(np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1])
+            same, every = np.empty_like(sums[0]), np.empty_like(sums[0])
+            same[order], every[order] = sums
+            start = 0
+            for (shard, _, _), m in zip(held, sizes, strict=True):
+                at = np.flatnonzero(every[start : start + m] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in (at, same[start + at], every[start + at]))], ["shard", "part", "at", "same", "all"])
+                start += m
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token): the pseudo-likelihood of each text and its mean by token.
-
-    Null, empty and wordless texts have no tokens and 0 for both. Equal texts score alike; repeated rows give repeated
-    rows; other columns are ignored.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        for b in batches:
+            for k in range(b.num_rows):
+                part = b.column("part")[k].as_py()
+                if part != name:
+                    yield from finish()
+                    held, name = [], part
+                held.append((b.column("shard")[k].as_py(), b.column("keys")[k].values.to_numpy(), b.column("n")[k].values.to_numpy()))
+        yield from finish()
+        release()
+
+    found = packed.mapInArrow(emit, "part long, shard long, keys array<long>, n array<int>")
+    met = found.repartition(min(parts, shuffle_partitions(packed.sparkSession)), "part").sortWithinPartitions("part", "shard")
+    return met.mapInArrow(total, "shard long, part long, at array<long>, same array<long>, all array<long>")
+
+
+def score_shards(packed: DataFrame, model: dict) -> DataFrame:
+    tokens_ = packed.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = min(int(tokens_ // PART_WINDOWS) + 1, 1 << 20)
+    known = window_counts(packed, parts).groupBy("shard").agg(F.collect_list(F.struct("part", "at", "same", "all")).alias("known"))
+    sent = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         p = unpack(m["flat"])
-        for part in text_slices(batches, "text", 1 << 19):
-            bucket, bounds, _, _ = tokens(part.column("text"))
-            bucket = bucket % BUCKETS
-            own = m["class"][bucket].astype(np.int64)
-            context = around(own, bounds)
-            logs = np.empty(len(own))
-            for a in range(0, len(own), 4096):
-                got = forward(p, context[a : a + 4096])[2]
-                logs[a : a + 4096] = got[np.arange(len(got)), own[a : a + 4096]]
-            logs += m["share"][bucket]
+        for row, words, bounds in unpacked(batches):
+            own, logs = m["word"][words], np.empty(len(words))
+            context = around(own, bounds, PAD)
+            for a in range(0, len(own), 8192):
+                logs[a : a + 8192] = log_probabilities(p, context[a : a + 8192], own[a : a + 8192])
+            logs += m["share"][words]
+            if len(words):
+                part, key = windows(words, bounds, parts)
+                first, number = distinct(part, key)
+                same, every = np.ones(len(first), np.int64), np.ones(len(first), np.int64)
+                base = np.searchsorted(part[first], np.arange(parts))
+                found = row.column("known")[0].values
+                for x in found or []:
+                    at = base[x["part"].as_py()] + x["at"].values.to_numpy()
+                    same[at], every[at] = x["same"].values.to_numpy(), x["all"].values.to_numpy()
+                # the token's own occurrence is masked
+                others, around_ = (same - 1)[number], (every - 1)[number]
+                logs = np.where(around_ > 0, np.log(others + np.exp(logs)) - np.log(around_ + 1), logs)
             n = np.diff(bounds)
-            total = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[bounds]) if len(own) else np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+            total = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[bounds])
+            yield pa.RecordBatch.from_arrays([row.column("ids")[0].values, pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    return packed.join(known, "shard", "left").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, per_token): the pseudo-likelihood of each text and its mean by token, with the
+    windows of docs counted.
+
+    Null, empty and wordless texts have no tokens and 0 for both. Equal texts score alike (up to rounding); repeated rows
+    give repeated rows, a null id is an id like others, and an empty table gives an empty one; other columns are ignored.
+    """
+    return score_shards(shards(docs, id_col, text_col), model)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    packed = shards(table(spark, sf_dir, "documents"))
+    return score_shards(packed, fit_shards(packed))

@@ -77,18 +77,71 @@ def test_rate_solves_its_equation():
     assert (w / w.sum() * np.exp(lam * s)).sum() == pytest.approx(1)
 
 
+def brute_likelihood(texts, model):
+    """The docstring of the module by plain loops: windows of other places, and the network as their prior."""
+    import pyarrow as pa
+
+    p = {k: x.astype(float) for k, x in lm.unpack(model["flat"]).items()}
+    rows = []
+    for t in texts:
+        words = lm.tokens(pa.array([t]))[0].tolist()
+        padded = [-1, -1, *words, -1, -1]
+        rows.append([((padded[i], padded[i + 1], padded[i + 3], padded[i + 4]), w) for i, w in enumerate(words)])
+    seen: dict = {}
+    for row in rows:
+        for window, w in row:
+            seen.setdefault(window, []).append(w)
+    out = []
+    for row in rows:
+        total = 0.0
+        for window, w in row:
+            h = np.tanh(np.concatenate([p["embed"][lm.PAD if c < 0 else model["word"][c]] for c in window]) @ p["inner"] + p["inner_bias"])
+            o = int(model["word"][w])
+            z = np.exp(h @ p["class"] + p["class_bias"])
+            chance = z[o // lm.GROUP if o < lm.WORDS else o - lm.WORDS + lm.GROUPS] / z.sum()
+            if o < lm.WORDS:
+                y = np.exp(h @ p["word"][o // lm.GROUP] + p["word_bias"][o // lm.GROUP])
+                chance *= y[o % lm.GROUP] / y.sum()
+            chance *= np.exp(float(model["share"][w]))
+            total += np.log((seen[window].count(w) - 1 + chance) / len(seen[window]))
+        out.append((len(row), total))
+    return out
+
+
+def test_likelihoods_are_those_of_the_definition(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 25))) for _ in range(60)] + [None, "", "w1", "w1", "w1 w2 w3 w1 w2 w3 w1 w2 w3"]
+    texts += texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD_BYTES", 600)
+    model = lm.fit(docs)
+    want = brute_likelihood([t or "" for t in texts], model)
+    for parts in (1 << 20, 50):
+        monkeypatch.setattr(lm, "PART_WINDOWS", parts)
+        got = {r.doc_id: r for r in lm.score(docs, model).collect()}
+        assert [got[i].n_tokens for i in range(len(texts))] == [n for n, _ in want]
+        assert [got[i].log_likelihood for i in range(len(texts))] == pytest.approx([x for _, x in want], rel=1e-4, abs=1e-4)
+
+
 def test_language_model(spark, docs):
     model = lm.fit(docs)
     some = docs.where("lang = 'en' and length(text) between 400 and 4000").limit(60)
-    mixed = some.withColumn("text", F.array_join(F.transform(F.array_sort(F.transform(F.split("text", " "), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"]), " "))
     plain = {r.doc_id: r for r in lm.score(some, model).collect()}
-    sorted_ = {r.doc_id: r for r in lm.score(mixed, model).collect()}
-    assert all(np.isfinite(r.log_likelihood) and r.log_likelihood < 0 for r in plain.values())
-    assert set(plain) == set(sorted_)
+    assert all(np.isfinite(r.log_likelihood) and r.log_likelihood < 0 for r in plain.values()) and len(plain) == some.count()
+    twice = {r.doc_id: r for r in lm.score(some.unionByName(some.where("doc_id % 2 = 0").withColumn("doc_id", F.col("doc_id") + 10**6)), model).collect()}
+    assert all((twice[i].per_token > plain[i].per_token + 1) == (i % 2 == 0) for i in plain)  # texts that occur twice stand out
     got = lm.score(odd(spark), model).collect()
     assert [(r.n_tokens, r.log_likelihood) for r in got if r.doc_id in (1, 2)] == [(0, 0.0)] * 2
     assert len(got) == 6
     assert lm.score(odd(spark), lm.fit(docs.limit(0))).count() == 6
+    assert lm.score(docs.limit(0), model).count() == 0
+
+
+def test_dealing_does_not_depend_on_files(spark, docs):
+    some = docs.limit(200)
+    one, many = lm.fit(some.repartition(1)), lm.fit(some.repartition(7))
+    assert np.allclose(one["flat"], many["flat"], atol=1e-6)
 
 
 def test_every_token_is_trained_on(spark):
@@ -101,11 +154,66 @@ def test_every_token_is_trained_on(spark):
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
-    target = rng.integers(0, 20, 4096)
-    context = np.stack([target, (target + 1) % 20, (target + 2) % 20, (target + 3) % 20], axis=1)
-    adam = lm.Adam(lm.start(np.ones(lm.CLASSES)))
-    loss = lambda: -lm.forward(lm.unpack(adam.flat), context)[2][np.arange(4096), target].mean()
+    target = rng.integers(0, 200, 4096)
+    context = np.stack([(target + k) % 200 for k in range(4)], axis=1)
+    adam = lm.Adam(lm.start(np.ones(lm.PAD)))
+    loss = lambda: -lm.log_probabilities(lm.unpack(adam.flat), context, target).mean()
     before = loss()
-    for k in range(80):
+    for k in range(160):
         adam.step(context[k % 8 :: 8], target[k % 8 :: 8])
     assert loss() < 0.5 * before
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    flat = lm.start(rng.integers(1, 50, lm.PAD).astype(float)).astype(np.float64)
+    context, target = rng.integers(0, lm.PAD + 1, (40, 4)), rng.integers(0, lm.PAD, 40)
+    adam = lm.Adam(flat)
+    adam.step(context, target)
+    g = adam.m / 0.1
+    loss = lambda x: -lm.log_probabilities(lm.unpack(x), context, target).mean()
+    for k in np.argsort(-np.abs(g))[:: max(1, (g != 0).sum() // 60)][:60]:
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert (loss(up) - loss(down)) / 2e-5 == pytest.approx(g[k], rel=1e-3, abs=1e-7)
+
+
+def test_languages_are_those_of_the_definition(spark):
+    """Naive Bayes by plain counting of the same buckets."""
+    texts = [("aa bb", "x"), ("ab ab abc", "x"), ("ccd", "y"), ("dd cd", "y"), ("zz", "x")]
+    langs, matrix, prior = langid.fit(spark.createDataFrame(texts, "text string, lang string"))
+    assert langs == ["x", "y"] and np.exp(prior) == pytest.approx([0.6, 0.4])
+    counts = {g: np.bincount(langid.grams([t for t, h in texts if h == g])[0], minlength=langid.BUCKETS) + langid.SMOOTHING for g in langs}
+    asked = ["ab", "cd dd", "abcd", "q"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), (langs, matrix, prior)).collect()}
+    for i, t in enumerate(asked):
+        ids = langid.grams([t])[0]
+        like = [np.log(0.6 if g == "x" else 0.4) + np.log(counts[g][ids] / counts[g].sum()).mean() * min(len(ids), langid.EVIDENCE) for g in langs]
+        chance = np.exp(like) / np.exp(like).sum()
+        assert got[i][0] == langs[int(np.argmax(like))] and got[i][1] == pytest.approx(chance.max(), rel=1e-4)
+
+
+def test_segments_themselves():
+    """Every maximal segment, not only their sums."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        s = rng.normal(-0.3, 1, 14)
+
+        def split(a, b):
+            best = max(((s[i:j].sum(), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            return [*split(a, best[1]), best[1:], *split(best[2], b)] if best[0] > 0 else []
+
+        assert [x[:2] for x in toxicity.segments(s.tolist())] == split(0, 14)
+
+
+def test_settings_come_from_the_rows_given(spark):
+    """Model and settings don't change with rows that may not be learned from."""
+    rows = [(i, ("zzbad zzworse " if i % 5 == 0 else "") + " ".join(f"w{(i * k) % 37}" for k in range(1, 30)), int(i % 5 == 0)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+    flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (toxicity.fit(docs, x.where(~held_out())) for x in (labels, flipped))
+    assert one["setting"] == two["setting"] in toxicity.SETTINGS and (one["scores"] == two["scores"]).all() and one["scale"] == two["scale"]
+    rows = {r.doc_id: r for r in toxicity.score(docs, one).collect()}
+    assert all(rows[i].predicted == int(i % 5 == 0) for i in rows)
