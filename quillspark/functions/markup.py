@@ -5,25 +5,27 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from quillspark.functions.text import let
 
 # fixed values: number words
 ONES = "ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN".split()
 TENS = "ZERO TEN TWENTY THIRTY FORTY FIFTY SIXTY SEVENTY EIGHTY NINETY".split()
-#: Words of prose that a formula does not hold.
+# fixed values: words of prose that a formula does not hold, how often a sign may occur before a formula counts as a
+# runaway of its reader, environments, and functions that a formula names
 PROSE = (
     "removal addition reaction substance element because identify undergoing problem solution calculate compound determine consider "
     "following example exercise between according definition simultaneous apparent observed therefore oxidised reduced"
 ).split()
-#: How often a token may occur before a formula counts as a runaway of the reader.
 RUNAWAY = {r"\tilde": 4, r"\mp": 4, r"\lambda": 5, "~": 6, r"\Gamma": 5, r"\Psi": 5, r"\Omega": 3, r"\mathfrak": 4}
 ENVIRONMENTS = "array matrix pmatrix bmatrix vmatrix cases align aligned".split()
+FUNCTIONS = "sin cos tan cot sec cosec log ln exp lim sqrt".split()
 
 
 def _times(text: Column, part: str) -> Column:
@@ -48,7 +50,7 @@ def marks_words(marks: Column) -> Column:
     return F.when(tenths > 0, F.concat(number_words(whole), F.lit(" POINT "), F.element_at(F.array(*map(F.lit, ONES)), tenths + 1))).otherwise(number_words(whole))
 
 
-#: Rewrites of a read formula, in this order: (pattern, replacement).
+# fixed values: faults of a formula reader and what stands for them, in the order in which they are mended
 REWRITES = (
     (r"(?s)^\$\$(.+)\$\$$", "$1"), (r"(?s)^\$(.+)\$$", "$1"), (r"^\s+|\s+$", ""),
     (r"(?i)\\mathrm\{[q\s]*quad\s*\([0-9.]+\)\s*\}\s*\\right\)?\s*$", ""), (r"(?i)\\q?quad\s*\([0-9.]+\s*(?:\\right)?\)?\s*$", ""), (r"(?:\s+\([0-9.]+|\([0-9.]+\s*\\right)\)\s*$", ""),
@@ -93,22 +95,43 @@ def _even_braces(x: Column) -> Column:
     return F.when(lack > 0, F.concat(x, F.repeat(F.lit("}"), lack))).when(lack < 0, F.substring(x, F.lit(1), F.length(x) - F.least(-lack, tail))).otherwise(x)
 
 
-def is_formula(text: Column) -> Column:
-    """Whether a string is a sound formula: no prose, balanced, no runaway repeats."""
-    text = F.trim(F.coalesce(text, F.lit("")))
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([a-zA-Z]{3,})(?![\p{L}\p{N}_])"), F.lit(1)), F.lower)
-    prose = F.size(F.filter(words, lambda w: w.isin(PROSE)))
-    bare = F.regexp_replace(text, r"(?<!\\)\\[{}]", "")
-    begins, ends = (F.regexp_extract_all(text, F.lit(rf"\\{w}\{{([a-zA-Z*]+)\}}"), F.lit(1)) for w in ("begin", "end"))
-    unmatched = F.exists(ends, lambda e: F.size(F.filter(ends, lambda x: x == e)) > F.size(F.filter(begins, lambda x: x == e)))
-    bad = (prose >= 3) | ((F.size(words) > 12) & (prose >= 2)) | (_times(bare, "{") != _times(bare, "}")) | unmatched
-    bad = bad | (F.regexp_count(text, F.lit(r"\\left(?![a-zA-Z])")) != F.regexp_count(text, F.lit(r"\\right(?![a-zA-Z])")))
-    for token, most in RUNAWAY.items():
-        bad = bad | (_times(text, token) > most)
-    bad = bad | text.rlike(r"\{{5}|\}{5}|(\\_\s*){4,}") | (F.regexp_count(text, F.lit(r"\\c?frac\{(\\[a-zA-Z]+)\}\{\1\}")) >= 2)
-    return (text != "") & ~bad
+class _Signs:
+    """What the tokens of a formula add up to: one walk over commands, braces, words and other characters."""
 
+    TOKEN = re.compile(r"\\(?P<command>[a-zA-Z]+)|\\(?P<escaped>.)|(?P<brace>[{}])|(?P<other>.)", re.S)
 
+    def __init__(self, formula: str):
+        self.open_braces = self.sides = 0
+        self.ends: Counter = Counter()
+        fractions = 0
+        for m in self.TOKEN.finditer(formula):
+            command = m["command"]
+            if m["brace"]:
+                self.open_braces += 1 if m[0] == "{" else -1
+            elif command in ("left", "right"):
+                self.sides += 1 if command == "left" else -1
+            elif command in ("begin", "end"):
+                name = re.compile(r"\{([a-zA-Z*]+)\}").match(formula, m.end())
+                if name:
+                    self.ends[name[1]] += 1 if command == "end" else -1
+            elif command in ("frac", "cfrac"):
+                fractions += bool(re.compile(r"\{(\\[a-zA-Z]+)\}\{\1\}").match(formula, m.end()))
+        words = [w.lower() for w in re.findall(r"\b[a-zA-Z]{3,}\b", formula)]
+        prose = sum(w in PROSE for w in words)
+        self.sentence = prose >= (2 if len(words) > 12 else 3)
+        self.runaway = fractions >= 2 or any(formula.count(sign) > most for sign, most in RUNAWAY.items()) or bool(re.search(r"\{{5}|\}{5}|(?:\\_\s*){4}", formula))
+
+    def sound(self) -> bool:
+        return not (self.sentence or self.runaway or self.open_braces or self.sides or any(n > 0 for n in self.ends.values()))
+
+
+@F.pandas_udf(BooleanType())
+def is_formula(text: pd.Series) -> pd.Series:
+    """Whether a string is a sound formula: no prose, balanced braces, sides and environments, no runaway repeats."""
+    return text.map(lambda t: bool(t and t.strip()) and _Signs(t.strip()).sound())
+
+
+# fixed values: letters three places on, and the signs that the last ones become
 _SHIFT = {c: chr((c - base - 3) % 26 + base) for base in (65, 97) for c in range(base, base + 26)} | {91: "X", 92: "Y", 93: "Z"}
 
 
@@ -145,22 +168,53 @@ def single_marks(text: pd.Series) -> pd.Series:
     return text.map(fix)
 
 
-_NAME, _PLAIN = r"\b[a-zA-Z](?:\s*\d+)?\b", r"(?:\b[a-zA-Z](?:\s*\d+)?\b|\b(?:sin|cos|tan|cot|sec|cosec|log|ln|exp|lim|sqrt)\b|\b\d+(?:\.\d+)?\b|[-+*/^=()\[\],])"
-_INLINE = re.compile(rf"(\$[^$]+\$)|{_NAME}\s*=\s*(?:{_PLAIN}|\s+)*{_PLAIN}|\(\s*{_NAME}\s*[-+*/]\s*{_NAME}\s*\)|\b[a-zA-Z]\s*\d+\b")
+_LEXER = re.compile(rf"(?P<marked>\$[^$]+\$)|(?P<name>\b[a-zA-Z](?:\s*\d+)?\b)|(?P<call>\b(?:{'|'.join(FUNCTIONS)})\b)|(?P<number>\b\d+(?:\.\d+)?\b)|(?P<sign>[-+*/^=()\[\],])|(?P<space>\s+)|(?P<other>.)", re.S)
+
+
+def _expressions(tokens: list[tuple[str, str]]):
+    """Ranges of tokens to mark: an equation of a name, a sum of two names in parentheses, or a name with an index."""
+    solid = [i for i, (kind, _) in enumerate(tokens) if kind != "space"]
+    k = 0
+    while k < len(solid):
+        here = [tokens[i] for i in solid[k : k + 5]]
+        kinds, last = [kind for kind, _ in here], None
+        if kinds[0] == "name" and here[1:2] == [("sign", "=")]:
+            last = k + 1
+            while last + 1 < len(solid) and tokens[solid[last + 1]][0] in ("name", "call", "number", "sign"):
+                last += 1
+            last = last if last > k + 1 else None
+        if last is None and kinds == ["sign", "name", "sign", "name", "sign"] and here[0][1] == "(" and here[2][1] in "-+*/" and here[4][1] == ")":
+            last = k + 4
+        if last is None and kinds[0] == "name" and len(here[0][1]) > 1:
+            last = k
+        if last is not None:
+            yield solid[k], solid[last] + 1
+            k = last
+        k += 1
+
+
+def mark_math(text: str) -> str:
+    """Equations, sums in parentheses and indexed names of a text as $...$; formulas that are marked already stay."""
+    tokens = [(m.lastgroup, m[0]) for m in _LEXER.finditer(text)]
+    out, done = [], 0
+    for a, b in _expressions(tokens):
+        out += [t for _, t in tokens[done:a]]
+        said = ""
+        for kind, t in tokens[a:b]:
+            if kind == "name" and len(t) > 1:
+                t = f"{t[0]}_{{{t[1:].strip()}}}"
+            elif kind == "space":
+                t = " "
+            said += f" {t} " if kind == "sign" and t in "-+*/=" else t
+        said = re.sub(r"(?<=\() | (?=\))", "", " ".join(said.split()))
+        out.append(f"${said}$")
+        done = b
+    return "".join(out) + "".join(t for _, t in tokens[done:])
 
 
 @F.pandas_udf(StringType())
 def inline_math(text: pd.Series) -> pd.Series:
-    """Equations, sums in parentheses and indexed names of a text as $...$; formulas that are marked already stay."""
-
-    def mark(m: re.Match) -> str:
-        if m[1]:
-            return m[1]
-        x = re.sub(r"\b([a-zA-Z])\s*(\d+)\b", r"\1_{\2}", m[0].strip())
-        x = " ".join(re.sub(r"\s*([-+*/=])\s*", r" \1 ", x).split())
-        return f"${re.sub(r'\s+\)', ')', re.sub(r'\(\s+', '(', x))}$"
-
-    return text.map(lambda t: t if t is None else _INLINE.sub(mark, t))
+    return text.map(lambda t: t if t is None else mark_math(t))
 
 
 def repair_json_text(raw: str | None) -> str | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------------------------
@@ -99,6 +99,7 @@ def is_shifted(text: Column) -> Column:
     return (F.length(text) >= 25) & (F.size(F.filter(words, lambda w: F.lower(w).isin(SHIFTED_WORDS))) >= 2)
 
 
+# fixed values: a capital that stands apart from its word
 _DROP_CAP, _DROP_CAP_AI = r"\b([B-HJ-Z])\s+([a-z]{2,})\b", r"\b([AI])\s+(ll|nd|n|f|t|s|nto|ts)\b"
 
 
@@ -110,6 +111,7 @@ def count_drop_caps(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_DROP_CAP)) + F.regexp_count(F.regexp_replace(text, _DROP_CAP, "$1$2"), F.lit(_DROP_CAP_AI))
 
 
+# fixed values: a word parted by a hyphen at a line end
 _HYPHEN = rf"(?<![{_LATIN_INDIC}])([{_LATIN_INDIC}]+)[-\xad]\s*\n\s*([{_LATIN_INDIC}]+)"
 
 
@@ -171,7 +173,10 @@ def garbage(text: Column, formulas_exempt: bool = True) -> Column:
         mixed = F.when(scripts[0] + scripts[1] + scripts[2] >= 2, F.length(bare)).otherwise(0)
         return (size + inside + mixed).cast("long")
 
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: F.length(t) > 0)
+    # most tokens show no sign of any kind, so only those that may are taken apart; scripts only mix in texts with two
+    suspect = F.regexp_extract_all(text, F.lit(r"(\S{56,}|(?<!\S)\S(?!\S)|\S*[|&\[\]{}*^~\\`$@=<>_]\S*)"), F.lit(1))
+    mixing = text.rlike(r"[\x{0900}-\x{097f}\x{0a80}-\x{0aff}]")
+    tokens = F.when(mixing, F.filter(F.split(text, r"\s+"), lambda t: F.length(t) > 0)).otherwise(suspect)
     found = signs.cast("long") + F.aggregate(F.transform(tokens, of), F.lit(0).cast("long"), lambda a, x: a + x)
     return F.struct(F.length(text).alias("total"), found.alias("garbage"), F.least(F.lit(1.0), found / F.greatest(F.length(text), F.lit(1))).alias("rate"))
 
@@ -190,30 +195,29 @@ def dominant_script(mix: Column) -> Column:
     return F.when(mix["devanagari"] >= 0.35, "devanagari").when(mix["gujarati"] >= 0.35, "gujarati").when(mix["latin"] >= 0.40, "latin").when(mix["latin"] + mix["devanagari"] + mix["gujarati"] > 0, "mixed").otherwise("none")
 
 
-def clean_page(text: Column) -> Column:
-    """(text, flags, glued, quality) of a page: drop caps, hyphens, glyphs and short lines repaired, then scored."""
-    steps = [("drop_caps_merged", merge_drop_caps), ("hyphens_rejoined", rejoin_hyphens), ("glyphs_stripped", strip_glyphs), ("fragments_dropped", drop_short_lines)]
-    none = F.array().cast("array<string>")
-    state = F.struct(text.alias("text"), none.alias("flags"))
-
-    def applied(name: str, step):
-        def apply(s: Column) -> Column:
-            return let(step(s["text"]), lambda a: F.struct(a.alias("text"), F.concat(s["flags"], F.when(a != s["text"], F.array(F.lit(name))).otherwise(none)).alias("flags")))
-
-        return apply
-
-    for name, step in steps:
-        state = let(state, applied(name, step))
-
-    def judge(s: Column) -> Column:
-        def with_glued(g: Column) -> Column:
-            quality = F.greatest(F.lit(0.0), 1 - 2.5 * garbage(s["text"])["rate"]) - F.least(F.lit(0.2), 0.05 * F.size(g))
-            flags = F.concat(s["flags"], F.when(F.size(g) > 0, F.array(F.lit("glued_words"))).otherwise(none))
-            return F.struct(s["text"].alias("text"), flags.alias("flags"), g.alias("glued"), F.round(quality, 3).alias("quality"))
-
-        return let(glued_words(s["text"]), with_glued)
-
-    return let(state, judge)
+def clean_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with `text` cleaned, `flags` of what was mended, `glued` words that are left, and `quality`.
+
+    In this order: a shifted font read back, drop caps, hyphens at line ends, leaked glyph names, short lines, formulas
+    marked, doubled Devanagari marks; glued words are named, and cost quality beside the signs of broken text. A null or
+    empty text has no flags and a quality of 1.
+    """
+    from quillspark.functions.markup import inline_math, single_marks, unshift
+
+    steps = [
+        ("caesar_font_unshifted", lambda t: F.when(is_shifted(t), unshift(t)).otherwise(t)), ("drop_caps_merged", merge_drop_caps), ("hyphens_rejoined", rejoin_hyphens), ("symbols_stripped", strip_glyphs),
+        ("fragments_dropped", drop_short_lines), ("math_normalized", inline_math), ("matras_deduplicated", lambda t: F.when(t.rlike(r"[\x{0900}-\x{097f}]"), single_marks(t)).otherwise(t)),
+    ]
+    rows, names = pages.withColumn("_0", F.coalesce(text, F.lit(""))), []
+    for k, (name, step) in enumerate(steps):
+        rows = rows.withColumn(f"_{k + 1}", step(F.col(f"_{k}")))
+        names.append(F.when(F.col(f"_{k + 1}") != F.col(f"_{k}"), name))
+    last = F.col(f"_{len(steps)}")
+    rows = rows.withColumn("glued", glued_words(last))
+    names.append(F.when(F.size("glued") > 0, "has_glued_words"))
+    quality = F.greatest(F.lit(0.0), 1 - 2.5 * garbage(last)["rate"]) - F.least(F.lit(0.2), 0.05 * F.size("glued"))
+    rows = rows.withColumn("quality", F.round(F.greatest(F.lit(0.0), quality), 3)).withColumn("flags", F.filter(F.array(*names), lambda x: x.isNotNull()))
+    return rows.withColumn(text, last).drop(*(f"_{k}" for k in range(len(steps) + 1)))
 
 
 def tokens_estimate(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.school import grade, roll_key
+from quillspark.shared import numbered
 
 PASS, BATCH_PASS = 33.0, 40.0
 
@@ -74,7 +75,7 @@ def event_bucket(key: Column) -> Column:
 
 
 def risk_roster(attempts: DataFrame, logs: DataFrame, as_of: Column, paper_seconds: float, event_key: str = "event_type") -> DataFrame:
-    """Integrity profile of each attempt, riskiest first.
+    """Integrity profile of each attempt, with `rank` to list the riskiest first.
 
     attempts: (attempt_id, started_at, submitted_at, percentage, warnings); logs: (attempt_id, <event_key>). The writer
     of the logs uses `event_type`; pass `action` to read logs that hold it instead.
@@ -93,7 +94,7 @@ def risk_roster(attempts: DataFrame, logs: DataFrame, as_of: Column, paper_secon
     )
     level = F.when((F.col("warnings") >= 3) | fast, "HIGH").when((F.col("warnings") >= 1) | (F.size("flags") > 0), "MODERATE").otherwise("CLEAN")
     rank = F.when(F.col("risk") == "HIGH", 0).when(F.col("risk") == "MODERATE", 1).otherwise(2)
-    return rows.withColumn("flags", flags).withColumn("risk", level).orderBy(rank, F.col("warnings").desc(), "attempt_id")
+    return rows.withColumn("flags", flags).withColumn("risk", level).withColumn("rank", F.struct(rank.alias("risk"), (-F.col("warnings")).alias("warnings"), "attempt_id"))
 
 
 def integrity(roster: DataFrame) -> DataFrame:
@@ -151,5 +152,5 @@ def version_total(snapshot: Column) -> Column:
 
 def queue_position(jobs: DataFrame) -> DataFrame:
     """Position of each pending job: jobs in extraction and earlier pending ones come first."""
-    w = Window.orderBy(F.col("status") != "EXTRACTING", "created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return jobs.where(F.col("status").isin("EXTRACTING", "PENDING")).withColumn("position", F.count("*").over(w)).where(F.col("status") == "PENDING")
+    waiting = jobs.where(F.col("status").isin("EXTRACTING", "PENDING")).withColumn("_late", F.col("status") != "EXTRACTING")
+    return numbered(waiting, ["_late", "created_at", "id"], "position").where(F.col("status") == "PENDING").drop("_late")

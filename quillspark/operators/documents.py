@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from quillspark.functions.markup import PROSE, is_formula
+from quillspark.functions.markup import PROSE, _Signs
 from quillspark.functions.text import let, tokens_estimate
 
 KINDS = ("NEWSPAPER", "MAGAZINE", "WORKSHEET_OR_EXAM", "FULL_BOOK", "SINGLE_CHAPTER", "NOTES", "UNKNOWN")
@@ -27,6 +27,7 @@ def classify(features: DataFrame) -> DataFrame:
     features: total_pages, broadsheet, dateline, volume_stamp, opener, running_headers, multi_toc, scanned (booleans) and
     newspaper_words, exam_words, book_words, chapter_words, pedagogy_words (counts).
     """
+    # the weights and limits below are fixed values
     c, zero = F.col, F.lit(0.0)
     flag = lambda name, v: F.when(c(name), v).otherwise(0.0)
     part = lambda test, v: F.when(test, v).otherwise(0.0)
@@ -71,9 +72,14 @@ def page_route(chars: Column, images: Column, image_share: Column, script: Colum
     )
 
 
+@F.pandas_udf(BooleanType())
+def _all_sound(formulas: pd.Series) -> pd.Series:
+    return formulas.map(lambda fs: fs is None or all(f and f.strip() and _Signs(f.strip()).sound() for f in fs))
+
+
 def formula_gate(pages: DataFrame) -> DataFrame:
     """Pages with an unsound formula go to review with a quality of 0.60 at most; pages: (..., formulas, quality, needs_review, flags)."""
-    bad = F.exists("formulas", lambda f: ~is_formula(f))
+    bad = ~_all_sound("formulas")
     return pages.withColumn("flags", F.when(bad, F.array_union("flags", F.array(F.lit("corrupted_formula_detected")))).otherwise(F.col("flags"))).withColumn("quality", F.when(bad, F.least("quality", F.lit(0.6))).otherwise(F.col("quality"))).withColumn("needs_review", F.col("needs_review") | bad)
 
 
@@ -150,26 +156,37 @@ PASSAGE_WORDS = ("read", "case", "study", "passage", "following", "comprehension
 
 
 def shared_passages(questions: DataFrame, version: str = "version_id", position: str = "position") -> DataFrame:
-    """`passage` and what is left of each question where consecutive questions of a version start with one passage."""
+    """`passage` and what is left of each question where consecutive questions of a version start with one passage.
+
+    A passage is the first paragraph of a question, of 50 characters or more and with a word that announces it; it is
+    shared if the next question begins with it too.
+    """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def opening(text: str) -> tuple[str, str] | None:
+        """The paragraph that may be shared, and the rest of its own question."""
+        head, mark, rest = text.partition("\n\n" if "\n\n" in text else "\n")
+        head = head.strip()
+        said = head.lower()
+        return (head, rest.strip()) if mark and len(head) >= 50 and any(w in said for w in PASSAGE_WORDS) else None
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position).reset_index(drop=True)
+        runs: list[list] = []  # opening of the first question, and the rows of the run
+        for row, text in enumerate(pdf["question_text"]):
+            if runs and runs[-1][0] and text.startswith(runs[-1][0][0]):
+                runs[-1][1].append(row)
+            else:
+                runs.append([opening(text), [row]])
         texts, passage = pdf["question_text"].tolist(), [None] * len(pdf)
-        i = 0
-        while i < len(texts):
-            head, sep, body = texts[i].partition("\n\n" if "\n\n" in texts[i] else "\n")
-            head, n = head.strip(), 1
-            if sep and len(head) >= 50 and any(w in head.lower() for w in PASSAGE_WORDS):
-                while i + n < len(texts) and texts[i + n].startswith(head):
-                    n += 1
-            if n > 1:
-                passage[i] = head
-                rest = [body.strip(), *(t[len(head) :].strip().lstrip(":\n- ") for t in texts[i + 1 : i + n])]
-                texts[i : i + n] = [r or t for r, t in zip(rest, texts[i : i + n], strict=True)]
-            i += n
+        for head, rows in runs:
+            if len(rows) > 1:
+                passage[rows[0]] = head[0]
+                for row in rows:
+                    rest = head[1] if row == rows[0] else texts[row][len(head[0]) :].strip().lstrip(":\n- ")
+                    texts[row] = rest or texts[row]
         return pdf.assign(question_text=texts, passage=passage)
 
-    return questions.groupBy(version).applyInPandas(group, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in questions.schema)}, passage string")
+    return questions.groupBy(version).applyInPandas(part, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in questions.schema)}, passage string")
 
 
 def difference_hash(pixels: Column) -> Column:
@@ -202,16 +219,18 @@ def articles(sections: DataFrame, page: list[str]) -> DataFrame:
     return sections.withColumn("article", F.greatest(F.lit(1), F.sum((F.col("section_type") == "HEADING").cast("int")).over(order)))
 
 
-def fresh_signature(requests: DataFrame, secret: bytes, as_of: Column, past: int = 600, ahead: int = 60) -> DataFrame:
-    """Requests whose time is near enough and whose body is signed; requests: (sent_at, body, signature)."""
-    from pyspark.sql.types import StringType
+def hmac_sha256(secret: bytes, message: Column) -> Column:
+    """The keyed hash of a text as lower-case hex (RFC 2104), by two hashes over padded keys."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
 
-    @F.pandas_udf(StringType())
-    def sign(body: pd.Series) -> pd.Series:
-        return body.map(lambda b: hmac.new(secret, b.encode(), hashlib.sha256).hexdigest())
 
+def fresh_signature(requests: DataFrame, secret: bytes, as_of: Column, past: int = 600, ahead: int = 60) -> DataFrame:
+    """Requests whose time is near enough and whose body is signed; requests: (sent_at, body, signature)."""
     age = as_of.cast("double") - F.col("sent_at").cast("double")
-    return requests.where(age.between(-ahead, past)).where(sign(F.col("body")) == F.col("signature"))
+    return requests.where(age.between(-ahead, past)).where(hmac_sha256(secret, F.col("body")) == F.col("signature"))
 
 
 def attach_answers(items: DataFrame, answers: DataFrame) -> DataFrame:
@@ -222,13 +241,33 @@ def attach_answers(items: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*items.columns, F.coalesce("a", "b").alias("answer"))
 
 
+def _substrings(text: Column) -> Column:
+    """All distinct substrings of a short text."""
+    n = F.length(text)
+    made = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))
+    return F.when(n > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(names: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
+    """(name, part): each short name with every part that it contains, by an equi-join on its substrings."""
+    pieces = names.select(name).distinct().select(name, F.explode(_substrings(F.col(name))).alias(part))
+    return pieces.join(parts.select(part).distinct(), part).select(name, part)
+
+
+def titled_items(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(job_id, chapter_id): jobs with the chapters whose title is part of theirs, whatever its case."""
+    j = jobs.select("job_id", F.lower("title").alias("_job"))
+    c = chapters.select("chapter_id", F.lower("title").alias("_chapter"))
+    return containing(j, c, "_job", "_chapter").join(j, "_job").join(c, "_chapter").select("job_id", "chapter_id")
+
+
 def subject_pool(wanted: DataFrame, pool: DataFrame) -> DataFrame:
     """(subject, pool_subject): the pool's subject of the same name, or the first one that holds or is part of it."""
     names = pool.groupBy(F.lower(F.trim("subject")).alias("pool_subject")).agg(F.min("position").alias("first"))
-    w, p = F.lower(F.trim("subject")), F.col("pool_subject")
-    small = names.limit(10_001).count() <= 10_000
-    hits = wanted.select("subject").distinct().join(F.broadcast(names) if small else names, w.contains(p) | p.contains(w), "left")
-    return hits.groupBy("subject").agg(F.min_by("pool_subject", F.struct((w != p).alias("other"), "first")).alias("pool_subject"))
+    asked = wanted.select("subject", F.lower(F.trim("subject")).alias("_w")).distinct()
+    pairs = containing(asked, names, "_w", "pool_subject").unionByName(containing(names, asked, "pool_subject", "_w")).distinct().join(names, "pool_subject")
+    best = pairs.groupBy("_w").agg(F.min_by("pool_subject", F.struct((F.col("_w") != F.col("pool_subject")).alias("other"), "first")).alias("pool_subject"))
+    return asked.join(best, "_w", "left").select("subject", "pool_subject")
 
 
 def role_label(role: Column, capabilities: Column, school: Column) -> Column:

@@ -205,14 +205,21 @@ def ordered_lookup(ids: list[int], table: DataFrame, key: str) -> DataFrame:
 
 
 def first_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, order: list[str], keys: list[str], group: list[str] | None = None) -> DataFrame:
-    """Each point with the first range (in `order`) that holds it, or nulls. group: columns that must be equal."""
-    on = (points[point] >= ranges[low]) & (points[point] <= ranges[high])
-    for g in group or []:
-        on = on & (points[g] == ranges[g])
-    small = ranges.limit(100_001).count() <= 100_000
-    joined = points.join(F.broadcast(ranges) if small else ranges, on, "left")
-    best = joined.groupBy(*(points[k] for k in keys)).agg(F.min(F.struct(*(ranges[c] for c in [*order, *(c for c in ranges.columns if c not in order)]))).alias("hit"))
-    return best
+    """Each point with the first range (in `order`) that holds it, or nulls. group: columns that must be equal.
+
+    The axis is cut into buckets as wide as a range is on average, so ranges are in two buckets each on average, and
+    points only meet the ranges of their own bucket.
+    """
+    group = group or []
+    width = ranges.agg(F.avg(F.col(high) - F.col(low))).first()[0]
+    width = float(width) if width and width > 0 else 1.0
+    bucket = lambda c: F.floor(F.col(c) / width)
+    listed = ranges.where(F.col(low) <= F.col(high)).select(*ranges.columns, F.explode(F.sequence(bucket(low), bucket(high))).alias("_b"))
+    hit = F.struct(*(F.col(f"_r.{c}") for c in [*order, *(c for c in ranges.columns if c not in order)]))
+    packed = listed.select("_b", *(F.col(g).alias(f"_g_{g}") for g in group), F.struct(*ranges.columns).alias("_r"))
+    on = [F.col("_p") == F.col("_b"), *(points[g] == F.col(f"_g_{g}") for g in group), F.col(point).between(F.col(f"_r.{low}"), F.col(f"_r.{high}"))]
+    joined = points.withColumn("_p", bucket(point)).join(packed, reduce(lambda a, b: a & b, on), "left")
+    return joined.groupBy(*keys).agg(F.min(F.when(F.col("_r").isNotNull(), hit)).alias("hit"))
 
 
 def child_counts(parents: DataFrame, children: DataFrame, key: str, child_key: str, aggregates: list[Column]) -> DataFrame:

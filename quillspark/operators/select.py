@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.shared import numbered
+from quillspark.operators.documents import subject_pool
+from quillspark.operators.relational import approved_only
+from quillspark.shared import materialize, numbered
 
 
 def interleave(df: DataFrame, topic: str, order: list[str]) -> DataFrame:
@@ -30,32 +33,37 @@ def select_quota(pool: DataFrame, group: str, target: float, most: int | None =
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["topic_id", "difficulty", "id"], kind="stable").reset_index(drop=True)
-        order = pdf.sort_values(["turn", "topic_id"], kind="stable").index.tolist()
-        worth = pdf["worth"].tolist()
-
-        def reach(cap: int | None) -> dict[int, tuple]:
-            sums: dict[int, tuple] = {0: ()}
-            for i in order:
-                grown = dict(sums)
-                for total, picked in sums.items():
-                    to = total + worth[i]
-                    if to > units or (cap and len(picked) >= cap):
-                        continue
-                    if to not in grown or len(picked) + 1 < len(grown[to]):
-                        grown[to] = (*picked, i)
-                sums = grown
-            return sums
+        tried = pdf.sort_values(["turn", "topic_id"], kind="stable").index.to_numpy()
+        worth = pdf["worth"].to_numpy()
+
+        def reach(cap: int | None) -> tuple[np.ndarray, np.ndarray]:
+            """For each sum the fewest questions that make it (too many: none do), and the list of these."""
+            none = len(tried) + 1
+            fewest, picked = np.full(units + 1, none), np.empty(units + 1, object)
+            fewest[0] = 0
+            for i in tried[worth[tried] <= units]:
+                more = fewest[: units + 1 - worth[i]] + 1
+                better = np.flatnonzero((more < fewest[worth[i] :]) & (more <= (cap or none - 1)))
+                lists = [(i, picked[k]) for k in better]  # from the state before this question
+                fewest[better + worth[i]] = more[better]
+                for k, x in zip(better + worth[i], lists, strict=True):
+                    picked[k] = x
+            return np.flatnonzero(fewest < none), picked
 
         name = pdf[group].iloc[0]
+        row = lambda outcome: pd.DataFrame({group: [name], "id": [None], "outcome": [outcome]})
         if pdf["whole"].iloc[0] < units:
-            return pd.DataFrame({group: [name], "id": [None], "outcome": ["pool_too_small"]})
-        sums = reach(most)
+            return row("pool_too_small")
+        sums, picked = reach(most)
         if units in sums:
-            return pd.DataFrame({group: name, "id": [pdf["id"][i] for i in sorted(sums[units])], "outcome": "ok"})
-        if most and units in reach(None):
-            return pd.DataFrame({group: [name], "id": [None], "outcome": ["needs_more_than_max"]})
-        near = min(sorted(sums), key=lambda s: abs(s - units))
-        return pd.DataFrame({group: [name], "id": [None], "outcome": [f"closest:{near / 2:g}"]})
+            rows, rest = [], picked[units]
+            while rest:
+                rows.append(rest[0])
+                rest = rest[1]
+            return pd.DataFrame({group: name, "id": [pdf["id"][i] for i in sorted(rows)], "outcome": "ok"})
+        if most and units in reach(None)[0]:
+            return row("needs_more_than_max")
+        return row(f"closest:{sums[np.abs(sums - units).argmin()] / 2:g}")
 
     kind = pool.schema[group].dataType.simpleString()
     rows = pool.select(group, "id", "topic_id", "difficulty", F.rint(F.col("marks").cast("double") * 2).cast("long").alias("worth"))
@@ -82,16 +90,97 @@ def select_tiers(pool: DataFrame, column: str, counts: dict, order: list[str]) -
     return pool.where(F.col(column).isin(*counts)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.try_element_at(n, F.col(column))).drop("_n")
 
 
+def select_for_specification(pool: DataFrame, spec: dict) -> tuple[DataFrame, str | None]:
+    """(chosen rows of the pool, None), or (no rows, why not), by the first part of a specification that asks for anything.
+
+    pool: (id, topic_id, difficulty, marks, question_type, subject, position). Parts in this order: subject_breakdown (a
+    list of subject with marks or count), difficulty_distribution (counts, or percentages of total_question_count),
+    mark_distribution (a list of marks, count and formats; no question serves two entries), and total_marks with a most
+    of total_question_count. An empty pool, or a specification that asks for nothing, gives the pool.
+    """
+    none = pool.limit(0)
+    total = spec.get("total_question_count") or spec.get("quantity")
+    if pool.isEmpty():
+        return none, None
+    chosen: list[DataFrame] = []
+
+    def joined(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def take(part: DataFrame, order: list, n: int) -> tuple[DataFrame, int]:
+        got = materialize(part.orderBy(*order).limit(n), "chosen")
+        return got, got.count()
+
+    if spec.get("subject_breakdown"):
+        named = pool.withColumn("_s", F.coalesce(F.nullif(F.lower(F.trim("subject")), F.lit("")), F.lit("general")))
+        pools = named.select(F.col("_s").alias("subject"), "position")
+        asked = pool.sparkSession.createDataFrame([((x.get("subject") or "").strip().lower(),) for x in spec["subject_breakdown"]], "subject string").distinct()
+        found = {r.subject: r.pool_subject for r in subject_pool(asked, pools).collect()}
+        for x in spec["subject_breakdown"]:
+            own = found.get((x.get("subject") or "").strip().lower())
+            if own is None:
+                return none, f"no_questions:{x.get('subject')}"
+            rows, error = select_for_specification(named.where(F.col("_s") == own).drop("_s"), {"total_marks": x.get("marks"), "quantity": x.get("count") or x.get("quantity")})
+            if error:
+                return none, f"{x.get('subject')}:{error}"
+            chosen.append(rows)
+        return joined(chosen), None
+    if spec.get("difficulty_distribution"):
+        for level, n in tier_counts({k: float(v or 0) for k, v in spec["difficulty_distribution"].items()}, total).items():
+            if n > 0:
+                rows, there = take(pool.where(F.col("difficulty") == level.upper()), ["position"], n)
+                if there < n:
+                    return none, f"too_few:{level.upper()}:{n}:{there}"
+                chosen.append(rows)
+        if chosen:
+            return joined(chosen), None
+    for x in spec.get("mark_distribution") or []:
+        n = int(x.get("count") or 0)
+        if x.get("marks") is None or n <= 0:
+            continue
+        formats = x.get("question_types") or x.get("formats") or []
+        left = pool.where(F.col("marks").cast("double") == float(x["marks"]))
+        if formats:
+            left = left.where(F.col("question_type").isin([formats] if isinstance(formats, str) else list(formats)))
+        for rows in chosen:
+            left = left.join(rows.select("id"), "id", "left_anti")
+        rows, there = take(left.select(*pool.columns), ["topic_id", "difficulty", "id"], n)
+        if there < n:
+            return none, f"too_few:{float(x['marks']):g}:{n}:{there}"
+        chosen.append(rows)
+    if chosen:
+        return joined(chosen), None
+    if spec.get("total_marks") is not None:
+        picked = materialize(select_quota(pool.withColumn("_all", F.lit(1)), "_all", float(spec["total_marks"]), int(total) if total else None), "quota")
+        bad = picked.where("outcome <> 'ok'").first()
+        return (none, bad.outcome) if bad else (pool.join(picked.select("id"), "id", "left_semi").select(*pool.columns), None)
+    if total:  # round robin over the topics
+        turn = F.row_number().over(Window.partitionBy("topic_id").orderBy("difficulty", "id"))
+        return take(pool.withColumn("_t", turn), ["_t", "topic_id"], int(total))[0].drop("_t"), None
+    return pool, None
+
+
+def seeded_bank(pool: DataFrame, spec: dict, workflow: bool = False) -> DataFrame:
+    """Questions of a stored bank for a specification: approved ones only if the school validates; none if it can't be met."""
+    return select_for_specification(approved_only(pool, workflow), spec)[0]
+
+
 def fresh_first(candidates: DataFrame, used: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """n candidates, those not used before the others."""
     old = used.select(key).distinct().withColumn("_old", F.lit(1))
     return candidates.join(old, key, "left").orderBy(F.coalesce("_old", F.lit(0)), *order).limit(n).drop("_old")
 
 
-def version_label(index: Column) -> Column:
-    """A, B, ... Z, AA, ... for 0, 1, ... up to 701."""
-    one = F.chr((F.lit(65) + index % 26).cast("long"))
-    return F.when(index < 26, one).otherwise(F.concat(F.chr((F.lit(64) + F.floor(index / 26)).cast("long")), one))
+def version_label(index: Column, letters: int = 4) -> Column:
+    """A, B, ... Z, AA, ... for 0, 1, ..., with `letters` letters at most (475,253 labels for 4)."""
+    out, rest = F.lit(""), index
+    for _ in range(letters):
+        letter = F.when(rest >= 0, F.chr((F.lit(65) + F.pmod(rest, F.lit(26))).cast("long"))).otherwise("")
+        out, rest = F.concat(letter, out), F.floor(rest / 26) - 1
+    return out
 
 
 def next_label(versions: DataFrame, papers: DataFrame, key: str = "paper_id", label: str = "version_label") -> DataFrame:

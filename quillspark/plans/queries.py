@@ -161,14 +161,14 @@ def numeric_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 def _book(spark: SparkSession, d: str) -> DataFrame:
     roster = read_table(spark, d, "customer").select(F.col("c_custkey").alias("student_id"))
-    orders = read_table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 <> 0")
+    orders = read_table(spark, d, "orders").where("o_orderstatus = 'F'")
     first = orders.groupBy(F.col("o_custkey").alias("student_id")).agg(F.min("o_orderkey").alias("attempt_id"))
     attempts = first.withColumn("status", F.when(F.col("attempt_id") % 3 == 0, "SUBMITTED").otherwise("EVALUATED")).withColumn("score", F.lit(None).cast("double"))
     lines = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("attempt_id"), F.when(F.col("l_returnflag") == "N", "MCQ").otherwise("LONG_ANSWER").alias("question_type"), F.when(F.col("l_quantity") < 48, F.col("l_quantity")).alias("marks_awarded"))
     return assess.gradebook(roster, attempts, lines, 250.0)
 
 
-_BOOK = """WITH a AS (SELECT o_custkey AS s, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 GROUP BY 1),
+_BOOK = """WITH a AS (SELECT o_custkey AS s, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
 m AS (SELECT l_orderkey AS k, coalesce(sum(CASE WHEN l_quantity < 48 THEN l_quantity END) FILTER (l_returnflag = 'N'), 0) AS mcq, coalesce(sum(CASE WHEN l_quantity < 48 THEN l_quantity END) FILTER (l_returnflag <> 'N'), 0) AS wr,
   bool_or(l_returnflag <> 'N' AND l_quantity >= 48) AS pend, bool_or(l_returnflag <> 'N') AS hasw FROM lineitem GROUP BY 1),
 b AS (SELECT c_custkey AS student_id, CASE WHEN a.k IS NULL THEN 'ABSENT' WHEN a.k % 3 = 0 THEN 'SUBMITTED' ELSE 'EVALUATED' END AS status,
@@ -203,11 +203,11 @@ def _proctor_events(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").withColumn("event_type", kind)
 
 
-@query("""WITH e AS (SELECT user_id, value, ts, CASE WHEN event_id % 4 = 0 THEN 't' WHEN event_id % 4 = 1 THEN 'w' WHEN event_id % 7 = 2 THEN 'f' ELSE 'o' END AS k FROM events WHERE event_id % 50 < 3),
-a AS (SELECT user_id AS attempt_id, count(*) FILTER (k = 't') AS tab_switch, count(*) FILTER (k = 'w') AS window_blur, count(*) FILTER (k = 'f') AS fullscreen_exit, count(*) FILTER (k = 'o') AS other, count(*) // 4 AS warnings FROM e GROUP BY 1)
+@query("""WITH e AS (SELECT user_id * 100 + day(ts) AS attempt_id, CASE WHEN event_id % 4 = 0 THEN 't' WHEN event_id % 4 = 1 THEN 'w' WHEN event_id % 7 = 2 THEN 'f' ELSE 'o' END AS k FROM events),
+a AS (SELECT attempt_id, count(*) FILTER (k = 't') AS tab_switch, count(*) FILTER (k = 'w') AS window_blur, count(*) FILTER (k = 'f') AS fullscreen_exit, count(*) FILTER (k = 'o') AS other, count(*) // 4 AS warnings FROM e GROUP BY 1)
 SELECT *, CASE WHEN warnings >= 3 THEN 'HIGH' WHEN warnings >= 1 OR tab_switch >= 3 OR fullscreen_exit >= 2 THEN 'MODERATE' ELSE 'CLEAN' END AS risk FROM a""")
 def risk_roster(spark: SparkSession, d: str) -> DataFrame:
-    logs = _proctor_events(spark, d).where("event_id % 50 < 3").withColumnRenamed("user_id", "attempt_id")
+    logs = _proctor_events(spark, d).withColumn("attempt_id", F.col("user_id") * 100 + F.dayofmonth("ts"))  # a user's day is an attempt
     logs = logs.withColumn("event_type", F.when(assess.event_bucket(F.col("event_type")).isin("tab_switch", "window_blur", "fullscreen_exit"), F.col("event_type")).otherwise("other"))
     attempts = logs.groupBy("attempt_id").agg(F.floor(F.count("*") / 4).alias("warnings"), F.min("ts").alias("started_at"), (F.max("ts") + F.expr("interval 2 days")).alias("submitted_at")).withColumn("percentage", F.lit(50.0))
     roster = assess.risk_roster(attempts, logs, F.timestamp_seconds(F.lit(0)), 3600.0)
@@ -258,19 +258,18 @@ def script_mix(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", text.scripts(F.col("text"))["latin"].alias("latin"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b([B-HJ-Z])\s+([a-z]{2,})\b', '\1\2', 'g'), '\b([AI])\s+(ll|nd|n|f|t|s|nto|ts)\b', '\1\2', 'g')) AS cleaned FROM documents WHERE regexp_matches(text, '\b[A-Z]\s+[a-z]+\b') AND NOT regexp_matches(text, '[^\x00-\x7f]')""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\b([B-HJ-Z])\s+([a-z]{2,})\b', '\1\2', 'g'), '\b([AI])\s+(ll|nd|n|f|t|s|nto|ts)\b', '\1\2', 'g')) AS cleaned FROM (SELECT doc_id, regexp_replace(text, '[^\x01-\x7f]', ' ', 'g') AS t FROM documents)""")
 def drop_caps(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where(F.col("text").rlike(r"\b[A-Z]\s+[a-z]+\b") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return docs.select("doc_id", F.md5(text.merge_drop_caps(F.col("text"))).alias("cleaned"))
+    """Every text, with a space for each character that is not ASCII: word borders mean the same there in both engines."""
+    plain = F.regexp_replace("text", r"[^\x01-\x7f]", " ")
+    return read_table(spark, d, "documents").select("doc_id", F.md5(text.merge_drop_caps(plain)).alias("cleaned"))
 
 
-@query("""SELECT doc_id, length(text) AS n_before, md5(text) AS cleaned FROM documents WHERE regexp_matches(substr(text, 1, 40), '^[A-Za-z]+ [a-z]+ [a-z]+ [a-z]+')""")
+@query(r"""SELECT doc_id, length(text) AS n_before, md5(regexp_replace(text, '([A-Za-z\x{0900}-\x{097f}\x{0a80}-\x{0aff}]+)[-\x{ad}]\s*\n\s*([A-Za-z\x{0900}-\x{097f}\x{0a80}-\x{0aff}]+)', '\1\2', 'g')) AS cleaned FROM documents""")
 def hyphen_rejoin(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where(F.substring("text", 1, 40).rlike("^[A-Za-z]+ [a-z]+ [a-z]+ [a-z]+"))
-    # a hyphen and a line break are put into the second word of each text, and must go again
-    broken = F.regexp_replace("text", r"^([A-Za-z]+ [a-z])([a-z]+ )", "$1-\n$2")
-    whole = text.rejoin_hyphens(broken)
-    return docs.select("doc_id", F.length("text").alias("n_before"), F.md5(whole).alias("cleaned"))
+    """A hyphen and a line break are put into every plain word of four letters or more, and must go again."""
+    broken = F.regexp_replace("text", r"(?<![\p{L}\p{M}\p{N}_-])([a-z]{2})([a-z]{2,})(?= )", "$1-\n$2")
+    return read_table(spark, d, "documents").select("doc_id", F.length("text").alias("n_before"), F.md5(text.rejoin_hyphens(broken)).alias("cleaned"))
 
 
 @query()
@@ -289,21 +288,27 @@ def quota_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_dups(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items against each other and their mangled copies."""
-    items = read_table(spark, d, "benchmark")
-    copies = items.select((F.col("item_id") + 100000).alias("other_id"), F.regexp_replace("text", r"^(\S+) (\S+)", "$2 $1").alias("text"))
-    return texts.similar_pairs(items, copies, "text", "item_id", "other_id")
+    """The sentences of all documents that repeat a benchmark item, in its words or nearly so."""
+    said = F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("place", "text")
+    sentences = read_table(spark, d, "documents").select((F.col("doc_id") * 1000000).alias("_d"), said).select((F.col("_d") + F.col("place")).alias("sentence_id"), "text")
+    return texts.similar_pairs(read_table(spark, d, "benchmark"), sentences, "text", "item_id", "sentence_id")
 
 
 @query()
 def chunk(spark: SparkSession, d: str) -> DataFrame:
-    return texts.chunks(read_table(spark, d, "documents"))
+    return texts.chunks(read_table(spark, d, "documents")).drop("formulas")
 
 
-@query()
+_TOC_TEXT = """SELECT page_id, 'Contents' || chr(10) || 'Chapter ' || (page_id % 20 + 1) || ': Part ' || page_id || ' .... ' || (page_id * 3 + 1) || chr(10) || regexp_replace(html, '<[^>]*>', chr(10), 'g') AS t FROM pages"""
+
+
+@query(rf"""WITH p AS ({_TOC_TEXT}), e AS (SELECT page_id, unnest(regexp_extract_all(t, '(?m){texts.TOC_LINE[4:].replace("'", "''")}', 1)) AS n, unnest(regexp_extract_all(t, '(?m){texts.TOC_LINE[4:].replace("'", "''")}', 2)) AS title, unnest(regexp_extract_all(t, '(?m){texts.TOC_LINE[4:].replace("'", "''")}', 3)) AS page FROM p)
+SELECT page_id, CAST(coalesce(try_cast(n AS INTEGER), nullif(list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'], n), 0), 1) AS INTEGER) AS number, trim(title) AS title, try_cast(page AS INTEGER) AS page FROM e WHERE try_cast(page AS INTEGER) IS NOT NULL""")
 def toc_lines(spark: SparkSession, d: str) -> DataFrame:
-    title = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
-    pages = read_table(spark, d, "pages").select("page_id", F.concat(F.lit("Contents\nChapter "), (F.col("page_id") % 20 + 1).cast("string"), F.lit(": "), title, F.lit(" .... "), (F.col("page_id") * 3 + 1).cast("string")).alias("text"))
+    """Whole page texts after one line of contents."""
+    k = F.col("page_id")
+    line = F.concat(F.lit("Contents\nChapter "), (k % 20 + 1).cast("string"), F.lit(": Part "), k.cast("string"), F.lit(" .... "), (k * 3 + 1).cast("string"), F.lit("\n"))
+    pages = read_table(spark, d, "pages").select("page_id", F.concat(line, F.regexp_replace("html", "<[^>]*>", "\n")).alias("text"))
     return texts.toc_lines(pages, "page_id", "text")
 
 
@@ -422,4 +427,4 @@ def broken_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", text.clean_page(F.col("text")).alias("p")).select("doc_id", "p.flags", "p.glued", "p.quality", F.md5("p.text").alias("cleaned"))
+    return text.clean_pages(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "flags", "glued", "quality", F.md5("text").alias("cleaned"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,9 +13,11 @@ AUTO_SUBMIT, STALL_MINUTES = 5, 45
 
 
 def page_rows(batches: DataFrame) -> DataFrame:
-    """Pages of batch events, the last event of a page winning; replayed events (same key) count once."""
-    once = batches.dropDuplicates(["job_id", "idempotency_key"])
-    rows = once.select("job_id", "event_time", F.explode("pages").alias("p")).select("job_id", F.col("p.page_number").alias("page_number"), F.col("p.raw_text").alias("raw_text"), "event_time")
+    """(job_id, page_number, raw_text, event_time, idempotency_key): pages of batch events, the last event of a page
+    winning; of events with one key the first counts."""
+    events = batches.select("job_id", "idempotency_key", "event_time", "pages")
+    first = events.groupBy("job_id", "idempotency_key").agg(F.min_by("pages", "event_time").alias("pages"), F.min("event_time").alias("event_time"))
+    rows = first.select("job_id", "idempotency_key", "event_time", F.explode("pages").alias("p")).select("job_id", F.col("p.page_number").alias("page_number"), F.col("p.raw_text").alias("raw_text"), "event_time", "idempotency_key")
     return latest(rows, ["job_id", "page_number"], ["event_time"])
 
 
@@ -28,21 +27,36 @@ def merge_pages(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def ingest(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keyed upserts of page batches: each micro-batch writes the next version of the table, `version=<batch>`.
+    """Appends the pages of each micro-batch to a log, `batch=<number>`; `stored_pages` reads it.
 
-    A batch that is run again after a failure overwrites its own version, so replays change nothing.
+    A micro-batch writes its own rows only, whatever the size of the log, and overwrites them if it is run again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = page_rows(batch)
-        if number:
-            rows = merge_pages(spark.read.parquet(f"{folder}/version={number - 1}"), rows)
-        rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        page_rows(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of a log: events that repeat a key of an earlier micro-batch change nothing, and the last event wins."""
+    log = spark.read.parquet(folder)
+    first = log.groupBy("job_id", "idempotency_key").agg(F.min(F.struct("event_time", "batch")).alias("_f"))
+    rows = log.join(first, ["job_id", "idempotency_key"]).where((F.col("event_time") == F.col("_f.event_time")) & (F.col("batch") == F.col("_f.batch")))
+    return latest(rows.drop("_f", "batch"), ["job_id", "page_number"], ["event_time"])
+
+
+def compact(spark: SparkSession, folder: str, to: str) -> None:
+    """Writes a log as one batch of another folder, with all its keys; the stream goes on there."""
+    log = spark.read.parquet(folder).drop("batch")
+    log.write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
+def replace_jobs(stored: DataFrame, final: DataFrame) -> DataFrame:
+    """Stored rows with those of each job in a final payload replaced as a whole, pages that it leaves out included."""
+    return stored.join(final.select("job_id").distinct(), "job_id", "left_anti").select(*stored.columns).unionByName(final.select(*stored.columns))
+
+
 def missing_pages(jobs: DataFrame, stored: DataFrame) -> DataFrame:
     """(job_id, page_number) that a resumed job still has to deliver."""
     wanted = jobs.select("job_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page_number"))
@@ -63,17 +77,20 @@ def stalled(jobs: DataFrame, as_of: Column, minutes: int = STALL_MINUTES) -> Dat
 
 
 def warnings(events: DataFrame, limit: int = AUTO_SUBMIT) -> DataFrame:
-    """(attempt_id, warnings, submitted) as events arrive: a state for each attempt; submitted once the limit is met.
+    """(attempt_id, warnings, submitted) as events arrive (update mode); submitted once the limit is met.
 
     events: a stream of (attempt_id, ...).
     """
+    n = F.count("*")
+    return events.groupBy("attempt_id").agg(n.alias("warnings"), (n >= limit).alias("submitted"))
 
-    def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
-        state.update((n,))
-        yield pd.DataFrame({"attempt_id": [key[0]], "warnings": [n], "submitted": [n >= limit]})
 
-    return events.groupBy("attempt_id").applyInPandasWithState(fold, "attempt_id long, warnings long, submitted boolean", "n long", "update", "NoTimeout")
+def durations(jobs: DataFrame) -> DataFrame:
+    """Jobs with `seconds` from start to end (or the last update), and `took` as 1h 2m 3s without leading zeros."""
+    seconds = (F.unix_timestamp(F.coalesce("completed_at", "updated_at")) - F.unix_timestamp("started_at")).cast("long")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("long").cast("string"), F.lit(unit)))
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return jobs.withColumn("seconds", seconds).withColumn("took", F.when(seconds == 0, "0s").when(seconds > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(s, "s"))))
 
 
 def event_counts(events: DataFrame, time: str = "ts", length: str = "1 hour", late: str = "2 hours", keys: tuple = ("event_type",)) -> DataFrame:

@@ -112,9 +112,13 @@ def test_tokens(spark, value, want):
 
 def test_clean_page(spark):
     page = "T he com-\nmand trianglertSouthern\nq\nthe commandhas been"
-    got = one(spark, text.clean_page, page, "A clean page.", None)
+    shifted = "wkh fdw dqg wkh grj zlwk vrph"
+    df = spark.createDataFrame([(0, page), (1, "A clean page."), (2, None), (3, shifted), (4, "so x = y + 2 holds")], "k long, text string")
+    got = text.clean_pages(df).orderBy("k").collect()
     assert got[0].text == "The command Southern\nthe commandhas been" and got[0].glued == ["commandhas"] and len(got[0].flags) == 5
-    assert (got[1].flags, got[1].quality) == ([], 1.0)
+    assert [(r.flags, r.quality) for r in got[1:3]] == [([], 1.0)] * 2
+    assert (got[3].text, got[3].flags) == ("the cat and the dog with some", ["caesar_font_unshifted"])
+    assert got[4].flags == ["math_normalized"] and "$" in got[4].text
 
 
 def test_legacy_fonts(spark):

@@ -216,9 +216,9 @@ def test_formulas_stay_whole():
 
 
 def test_layout(spark):
-    blocks = [(1, float(x), float(x + 150), float(y)) for y in (100, 200) for x in (20, 220, 420)] + [(1, 10.0, 590.0, 20.0), (1, 10.0, 590.0, 700.0)]
-    df = spark.createDataFrame(blocks, "page long, x0 double, x1 double, y0 double")
-    got = texts.reading_order(texts.page_columns(df, ["page"], F.lit(600.0)), ["page"]).orderBy("reading").collect()
+    blocks = [(1, float(x), float(x + 150), float(y), y + 20.0) for y in (200, 300) for x in (20, 220, 420)] + [(1, 10.0, 590.0, 20.0, 40.0), (1, 10.0, 590.0, 700.0, 720.0)]
+    df = spark.createDataFrame(blocks, "page long, x0 double, x1 double, y0 double, y1 double")
+    got = texts.reading_order(texts.page_columns(df, ["page"], F.lit(600.0)), ["page"], F.lit(800.0)).orderBy("reading").collect()
     assert [r.column_no for r in got] == [0, 1, 1, 2, 2, 3, 3, 0] and got[0].y0 == 20.0
 
 
@@ -237,12 +237,14 @@ def test_ingest_stream(spark, tmp_path):
     first = [(1, "a", t(1), [(1, "one"), (2, "two")]), (1, "a", t(1), [(1, "one"), (2, "two")])]
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(land)
     jobs.ingest(jobs.file_stream(spark, land, schema), out, str(tmp_path / "c")).awaitTermination()
-    spark.createDataFrame([(1, "b", t(5), [(2, "TWO"), (3, "three")]), (1, "c", t(0), [(1, "old")])], schema).coalesce(1).write.mode("append").parquet(land)
+    spark.createDataFrame([(1, "b", t(5), [(2, "TWO"), (3, "three")]), (1, "c", t(0), [(1, "old")]), (1, "a", t(9), [(1, "again")])], schema).coalesce(1).write.mode("append").parquet(land)
     jobs.ingest(jobs.file_stream(spark, land, schema), out, str(tmp_path / "c")).awaitTermination()
-    got = {r.page_number: r.raw_text for r in spark.read.parquet(f"{out}/version=1").collect()}
+    got = {r.page_number: r.raw_text for r in jobs.stored_pages(spark, out).collect()}
     assert got == {1: "one", 2: "TWO", 3: "three"}
     table = spark.createDataFrame([(1, 4, 0)], "job_id long, total_pages int, processed_pages int")
-    stored = spark.read.parquet(f"{out}/version=1")
+    jobs.compact(spark, out, str(tmp_path / "compact"))
+    stored = jobs.stored_pages(spark, str(tmp_path / "compact"))
+    assert {r.page_number: r.raw_text for r in stored.collect()} == got
     assert [r.page_number for r in jobs.missing_pages(table, stored).collect()] == [4]
     assert jobs.progress(table, stored).first().percent == 75
 
