@@ -32,7 +32,7 @@ WORDS, GROUP, REST = 4096, 128, 32
 GROUPS = WORDS // GROUP
 CLASSES = GROUPS + REST
 SIDE, SIZE, HIDDEN = 2, 12, 24
-ROUNDS, STEP, BATCH = 2, 0.01, 1024
+ROUNDS, STEP, BATCH = 2, 0.04, 4096
 BLOCK = 4096
 PAD = WORDS + REST
 #: Text of a shard in bytes, and distinct windows of a part of the window counts (8 bytes each), on average.
