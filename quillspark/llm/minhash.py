@@ -429,10 +429,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in (first, links, stars, marked, asked, rows, *spent):
         discard(x)
     ends = components(known).select(F.col("node").alias("rep"), F.col("component"))
-    far = confirmed(crowded_pairs(orders, docs, ends, similarity), docs, similarity)
+    pairs = crowded_pairs(orders, docs, ends, similarity)
+    far = confirmed(pairs, docs, similarity)
     if not far.isEmpty():
         stars = ends.select(F.col("rep").alias("a"), F.col("component").alias("b"))
         ends = components(stars.unionByName(far)).select(F.col("node").alias("rep"), F.col("component"))
+    for x in (known, pairs, far):
+        discard(x)
     rows = classes.select("ids", "n", "rep").join(ends, "rep", "left").select(F.explode("ids").alias("id"), "n", F.coalesce("component", "rep").alias("component"))
     rest = alone.select(F.explode("ids").alias("id"), "n").withColumn("component", F.col("id"))
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))

@@ -58,3 +58,18 @@ def test_empty(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus[0]).count() == 0
+
+
+def test_odd_columns_and_rows(spark, corpus):
+    """Columns whose names the operators use themselves, null and repeated ids, null texts: every stage passes them on."""
+    names = ["id", "component", "tree", "words", "kept", "kept_text", "removed", "n_bytes", "score", "toxic", "places", "carry_0", "ids", "item_id"]
+    rows = [(None, "some words here", 15), (None, None, 0), (5, None, 0), (5, "", 0), (6, "a text of six words here", 24), (6, "a text of six words here", 24)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, *names) for i, t, n in rows], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"{c} string" for c in names)]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus[0])
+        if name == "sentencepiece":
+            assert out.count() == len(rows)
+        else:
+            assert out.columns == docs.columns, name
+            key = lambda r: (r.doc_id or 0, r.text or "", r.n_chars, r.kept_text)
+            assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect())), name
