@@ -164,6 +164,12 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def by_group(classes: np.ndarray):
     """(group, rows) of the rows whose output is a word of its own."""
     order = np.argsort(classes, kind="stable")
@@ -192,13 +198,13 @@ class Adam:
         grad = unpack(g)
         x, h = hidden(p, context)
         classes = class_of(target)
-        d = np.exp(log_softmax(h @ p["class"] + p["class_bias"]))
+        d = softmax(h @ p["class"] + p["class_bias"])
         d[np.arange(n), classes] -= 1
         d /= n
         dh = d @ p["class"].T
         grad["class"][:], grad["class_bias"][:] = h.T @ d, d.sum(axis=0)
         for k, rows in by_group(classes):
-            e = np.exp(log_softmax(h[rows] @ p["word"][k] + p["word_bias"][k]))
+            e = softmax(h[rows] @ p["word"][k] + p["word_bias"][k])
             e[np.arange(len(rows)), target[rows] % GROUP] -= 1
             e /= n
             grad["word"][k], grad["word_bias"][k] = h[rows].T @ e, e.sum(axis=0)
