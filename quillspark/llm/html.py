@@ -4,7 +4,8 @@ Every block element and every run of text in it is a node with a hidden label, c
 comes from its tag, the words of its class, id and role, its depth, and the length, link share and share of the page of
 the text in it; a pair potential ties each node to its parent. Both are estimated from labelled pages by counting.
 Sum-product messages pass up the tree and down again, which gives the exact marginal of each text; texts likelier
-content than not are kept. A source of a single block, as one without tags, is that block.
+content than not are kept. A source of a single block, as one without tags, is that block; where no text is likelier
+content than not, those inside an article or main element are taken.
 
 Labelled pages are made by `labelled_page` from a seed: LABELLED of them, the documented bound of the training sample.
 In half of them no part has a name that says what it is, and some are bare fragments.
@@ -34,6 +35,7 @@ TREE_SHARE = 0.1
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center hr".split())
 #: Elements that hold no content by their own meaning.
 ASIDES = frozenset("header footer nav aside form".split())
+CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole content is no page text: plain text up to their end tag (or the end of the source), and others.
 RAW = frozenset("script style title textarea".split())
@@ -229,7 +231,14 @@ def main_text(source: str | None, model: dict) -> str:
         around = [i for i in range(1, texts[0]) if page.text[i] is None]
         if not any(page.kind[i] in ASIDES or any(f[0] == "." for f in page.features[i]) for i in around):
             return page.text[texts[0]]
-    return "\n".join(t for t, p in zip(page.text, marginals(page, model), strict=True) if t is not None and p > 0.5)
+    chance = marginals(page, model)
+    kept = [i for i in texts if chance[i] > 0.5]
+    if not kept:  # nothing looks like content: what the page itself calls so
+        inside = [False] * len(page.parent)
+        for i in range(1, len(inside)):
+            inside[i] = (inside[page.parent[i]] or page.kind[i] in CONTENT) and page.kind[i] not in ASIDES
+        kept = [i for i in texts if inside[i]]
+    return "\n".join(page.text[i] for i in kept)
 
 
 # --- labelled pages -------------------------------------------------------------------------------------------------
