@@ -228,7 +228,8 @@ def test_looser_links(spark):
     rows = []
     for _ in range(40):
         base = [rng.choice(WORDS) for _ in range(60)]
-        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: rng.randrange(36, 50)] + [rng.choice(WORDS) for _ in range(8)]))]
+        kept = rng.randrange(36, 60)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:kept] + [rng.choice(WORDS) for _ in range(min(8, 60 - kept))]))]
     sets = {i: shingles(t) for i, t in rows}
     for similarity in (50, 75):
         links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
