@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillspark.llm import fim, licenses, variants
@@ -209,6 +210,17 @@ def test_count_filter_keeps_all_near_words():
                 assert sorted(index.near(w)) == [x for x in index.words if one_edit(w, x)]
 
 
+def test_words_meet_under_two_grams():
+    """A word and any word one edit from it, no shorter, share one of the two grams under which it asks."""
+    q = variants.gram_length
+    for w in ("abcde", "aabbaab", "abcabcabc", "éaéaéaéaéa"):
+        first, second = variants._rarest({}).func(pd.Series([w]))[0]
+        assert second - first >= q(len(w))
+        for x in edits(w):
+            if x != w and len(x) >= len(w):
+                assert any(x[place : place + q(len(w))] == w[at : at + q(len(w))] for at in (first, second) for place in range(at, at + len(x) - len(w) + 1))
+
+
 def test_word_counts(spark):
     texts = [None, "", "Spelling spelling SPELLING misspelt", "ÀÉÎÕÜßàé ÀÉÎÕÜßàé", "short words only", "naïveté×÷× x" + "y" * 3000, "a1bcdefgh spelling_misspelt", "y" * 3000] + ["common wording again"] * 40
     runs = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), x)) for i, t in enumerate(texts) for x in re.findall("[A-Za-zÀ-ÿ]+", t or "")]
@@ -226,6 +238,6 @@ def test_odd_vocabularies(spark):
     empty = spark.createDataFrame([], "word string, n long")
     assert variants.variants(empty).collect() == [] and near_pairs(empty.select("word")).collect() == []
     with pytest.raises(ValueError):
-        near_pairs(spark.createDataFrame([("short",)], "word string"))
+        near_pairs(spark.createDataFrame([("word",)], "word string"))
     null_ids = spark.createDataFrame([(None, "wording wording"), (3, None), (3, "wording"), (3, "wording")], "doc_id long, text string")
     assert sum(r.n for r in word_counts(null_ids).collect()) == 4
