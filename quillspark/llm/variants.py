@@ -1,15 +1,17 @@
 """Spelling variants: words one edit apart, by a positional q-gram index with a count filter.
 
-One edit touches at most Q of a word's q-grams, so near words share a gram among the Q + 1 rarest of each (at the same
-place, or one further in the longer word); words meet under those grams. Where they meet, the words of one length are
-indexed by all their grams, and the postings of each asking word, cut to its length and places, are merged by a heap: a
-word that turns up max(lengths) - 2 Q + 1 times or more is compared.
+Words are indexed under all their q-grams by place and length. One edit can't touch two grams that don't overlap, so a word
+asks under two such grams, its rarest, for words as long (at the same place) or one longer (there, or one place on). Where
+they meet, the words are indexed by their character pairs. One edit leaves max(lengths) - 3 pairs of a word, so of the
+postings, cut to length and places, only the shortest few are merged by a heap: a word that is in none of them is under that
+bound whatever the others hold. The rest is compared.
 """
 
 from __future__ import annotations
 
 import heapq
 from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +19,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, materialize, shuffle_partitions, table
 
-#: Length of the grams.
-Q = 3
+#: Least length of words that are compared.
+SHORTEST = 5
 #: Least length of a word, least number of its occurrences, and how many times as frequent its form is.
 LEAST_LENGTH, LEAST_COUNT, MORE = 7, 2, 10
 #: Words that are indexed together; those of a more crowded gram are dealt to several indexes.
 CROWD = 2000
+#: Grams whose numbers are known where words choose under which to ask.
+COMMON = 50_000
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,66 +56,101 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + len(a) + 1 - len(b) :] == b[k + 1 :]
 
 
+def gram_length(size: int) -> int:
+    """The length of the grams by which a word of this size asks: two fit side by side, with a place to spare."""
+    return (size - 1) // 2
+
+
 class Index:
-    """Words of one length with the postings (word, place) of their grams."""
+    """Words of one length, with the postings of their character pairs by place: the numbers of the words, in order."""
 
     def __init__(self, words: list[str]):
-        self.words, self.postings = words, {}
+        self.words, self.size = words, len(words[0])
+        self.postings: list[dict[str, list[int]]] = [{} for _ in range(self.size)]  # nothing stands at the last place
         for k, w in enumerate(words):
-            for place in range(len(w) - Q + 1):
-                self.postings.setdefault(w[place : place + Q], []).append((k, place))
+            for at in range(self.size - 1):
+                self.postings[at].setdefault(w[at : at + 2], []).append(k)
 
     def near(self, word: str) -> list[str]:
-        """The words one edit from `word`, which is as long or one shorter."""
-        shift = len(self.words[0]) - len(word)
+        """The words one edit from `word`, which is as long or one shorter.
 
-        def within(place: int) -> list[int]:
-            return [k for k, p in self.postings.get(word[place : place + Q], ()) if place <= p <= place + shift]
+        Near words share size - 3 pairs, each at its place or, in a longer word, one place on. A word that is in so many
+        lists is in one of the rarest few, those beyond size - 4 others: these are merged, and what they hold is compared.
+        """
+        shift, lists = self.size - len(word), []
+        for at in range(len(word) - 1):
+            pair = word[at : at + 2]
+            here, on = self.postings[at].get(pair, _NONE), self.postings[at + 1].get(pair, _NONE) if shift else _NONE
+            lists.append((len(here) + len(on), here, on))
+        lists.sort(key=itemgetter(0))
+        merged = heapq.merge(*(x for _, *both in lists[: len(lists) - (self.size - 4)] for x in both if x))
+        return [self.words[k] for k, _ in groupby(merged) if one_edit(word, self.words[k])]
 
-        bound = len(word) + shift - 2 * Q + 1
-        merged = heapq.merge(*(within(place) for place in range(len(word) - Q + 1)))
-        return [self.words[k] for k, hits in groupby(merged) if sum(1 for _ in hits) >= bound and one_edit(word, self.words[k])]
+
+_NONE: list[int] = []
 
 
 def _meet(parts):
     """Pairs (word, near) of each group of rows; groups are sorted together, with the words to be indexed first."""
-    key, index, words = None, None, []
+    here, index, words = None, None, []
     for pdf in parts:
         found = []
-        for *here, asks, word in pdf[["gram", "place", "size", "block", "asks", "word"]].itertuples(index=False, name=None):
-            if here != key:
-                key, index, words = here, None, []
+        for *key, asks, word in zip(*(pdf[c].tolist() for c in ("key", "size", "place", "q", "asks", "word")), strict=True):
+            if key != here:
+                here, index, words = key, None, []
             if not asks:
                 words.append(word)
-                continue
-            if words and index is None:
-                index = Index(words)
-            if index:
-                found += [(word, b) for b in index.near(word) if len(b) > len(word) or word < b]
+            elif words and words != [word]:
+                index = index or Index(words)
+                found += [(word, b) for b in index.near(word) if key[1] > len(word) or word < b]
         yield pd.DataFrame(found, columns=["a", "b"], dtype=str)
 
 
+def _rarest(common: dict[str, int]):
+    """For each word the places of its two rarest grams that don't overlap."""
+
+    def choose(words: pd.Series) -> pd.Series:
+        out = []
+        for w in words:
+            q = gram_length(len(w))
+            often = [common.get(w[k : k + q], 0) for k in range(len(w) - q + 1)]
+            best, first = None, 0  # first: the rarest gram that ends before the second begins
+            for second in range(q, len(often)):
+                first = min(first, second - q, key=often.__getitem__)
+                total = often[first] + often[second]
+                if best is None or total < best[0]:
+                    best = total, first, second
+            out.append(list(best[1:]))
+        return pd.Series(out)
+
+    return F.pandas_udf(choose, "array<int>")
+
+
 def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct pairs (a, b) of words that are one edit apart, a the shorter one or the smaller of two as long.
 
-    words: distinct words of at least 2 Q letters (shorter ones share no gram for sure and are refused).
+    words: distinct words of SHORTEST letters or more.
     """
-    spark = words.sparkSession
-    if not words.where(F.length("word") < 2 * Q).isEmpty():
-        raise ValueError(f"words of fewer than {2 * Q} letters may share no {Q}-gram with their near words")
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") - (Q - 1)), lambda i: F.substring(F.col("word"), i, F.lit(Q)))
-    placed = words.select("word", F.posexplode(grams).alias("place", "gram"))
-    often = placed.groupBy("gram").agg(F.count("*").alias("often"))
-    rare = placed.select("word", "gram").distinct().join(often, "gram").groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "gram"))), 1, Q + 1)["gram"].alias("rare"))
-    # a word is indexed where it stands, and asks there, at its place among longer words, and one place on among them
-    size = F.length("word")
-    stands = F.array(*(F.struct((F.col("place") + p).alias("place"), (size + s).alias("size"), F.lit(asks).alias("asks")) for p, s, asks in ((0, 0, False), (0, 0, True), (0, 1, True), (1, 1, True))))
-    rows = materialize(rare.select("word", F.posexplode(grams).alias("place", "gram"), "rare").where(F.array_contains("rare", F.col("gram"))).select("gram", "word", F.explode(stands).alias("s")).select("gram", "word", "s.*"), "postings")
+    spark, size = words.sparkSession, F.length("word")
+    if not words.where(size < SHORTEST).isEmpty():
+        raise ValueError(f"words of fewer than {SHORTEST} letters have no two grams side by side")
+    # a word is found by those of its length and by those one shorter, whose grams may be a letter shorter
+    lengths = F.array_distinct(F.transform(F.array(size, F.greatest(F.lit(SHORTEST), size - 1)), lambda m: F.floor((m - 1) / 2).cast("int")))
+    index = words.select("word", size.alias("size"), F.explode(lengths).alias("q"))
+    index = index.select("word", "size", "q", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q"))).alias("place")).withColumn("gram", F.substring(F.col("word"), F.col("place") + 1, F.col("q"))).withColumn("asks", F.lit(False))
+    # how common grams are only decides where words ask; which ones are known is bounded, and every choice is right
+    common = {r.gram: r["count"] for r in index.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(COMMON).collect()}
+    # a word asks at its place among words as long, and there and one place on among longer ones
+    asking = words.select("word", size.alias("m"), F.floor((size - 1) / 2).cast("int").alias("q"), F.explode(_rarest(common)("word")).alias("at"))
+    stands = F.inline(F.array(*(F.struct((F.col("m") + s).alias("size"), (F.col("at") + p).alias("place")) for p, s in ((0, 0), (0, 1), (1, 1)))))
+    asks = asking.select("word", "q", F.substring(F.col("word"), F.col("at") + 1, F.col("q")).alias("gram"), stands).withColumn("asks", F.lit(True))
     key = ["gram", "place", "size"]
-    crowds = rows.where("not asks").groupBy(key).count().withColumn("blocks", F.ceil(F.col("count") / crowd).cast("int")).drop("count")
-    dealt = rows.join(crowds, key)  # keys without a word to be found fall away
+    hot = materialize(index.groupBy(key).count().where(F.col("count") > crowd).select(*key, F.ceil(F.col("count") / crowd).cast("int").alias("blocks")), "crowds")
+    dealt = index.unionByName(asks).join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")))
-    dealt = dealt.withColumn("block", F.explode(block)).drop("blocks").repartition(shuffle_partitions(spark), *key, "block").sortWithinPartitions(*key, "block", "asks")
+    group = ["key", "size", "place", "q"]
+    dealt = dealt.withColumn("block", F.explode(block)).select(F.xxhash64("gram", "block").alias("key"), "size", "place", "q", "asks", "word")
+    dealt = dealt.repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "asks")
     return dealt.mapInPandas(_meet, "a string, b string").distinct()
 
 
