@@ -11,6 +11,8 @@ from pyspark.sql.types import BooleanType
 
 from quillspark.functions.markup import PROSE, _Signs
 from quillspark.functions.text import let, tokens_estimate
+from quillspark.operators.duplicates import first_kept
+from quillspark.shared import materialize
 
 KINDS = ("NEWSPAPER", "MAGAZINE", "WORKSHEET_OR_EXAM", "FULL_BOOK", "SINGLE_CHAPTER", "NOTES", "UNKNOWN")
 
@@ -22,22 +24,25 @@ def sampled_pages(pages: DataFrame, total: str = "total_pages") -> DataFrame:
 
 
 def classify(features: DataFrame) -> DataFrame:
-    """`kind` and `confidence` of each document from its counted evidence.
+    """`kind`, `confidence` and `evidence` (names of the signs that were seen) of each document from its counted evidence.
 
     features: total_pages, broadsheet, dateline, volume_stamp, opener, running_headers, multi_toc, scanned (booleans) and
-    newspaper_words, exam_words, book_words, chapter_words, pedagogy_words (counts).
+    newspaper_words, exam_words, book_words, chapter_words, pedagogy_words (counts); and, where they are known, masthead,
+    brand, publisher, named_masthead, chapter_file (booleans) and stated_kind, which goes before all evidence.
     """
     # the weights and limits below are fixed values
     c, zero = F.col, F.lit(0.0)
-    flag = lambda name, v: F.when(c(name), v).otherwise(0.0)
+    known = lambda name: F.coalesce(c(name), F.lit(False)) if name in features.columns else F.lit(False)
+    flag = lambda name, v: F.when(known(name), v).otherwise(0.0)
     part = lambda test, v: F.when(test, v).otherwise(0.0)
     pages, chapter, book = c("total_pages"), c("chapter_words") >= 1, c("book_words") >= 1
-    taught = c("pedagogy_words") >= 2
-    single = F.least(0.4 * F.lit(1.0), c("book_words") * 0.2) + part(chapter, F.least(F.lit(0.45), c("chapter_words") * 0.25)) + flag("opener", 0.25) + flag("running_headers", 0.2) + part(taught, 0.25)
+    taught, file_hint = c("pedagogy_words") >= 2, known("chapter_file") & ~known("named_masthead")
+    single = part(file_hint, 0.08) + F.least(0.4 * F.lit(1.0), c("book_words") * 0.2) + part(chapter, F.least(F.lit(0.45), c("chapter_words") * 0.25)) + flag("opener", 0.25) + flag("running_headers", 0.2) + part(taught, 0.25)
     full = F.least(0.5 * F.lit(1.0), c("book_words") * 0.2) + flag("running_headers", 0.1) + part(taught, 0.2)
     unit = pages.between(5, 45) & ~c("multi_toc") & ((single > 0.2) | (full > 0.2))
+    branded = flag("named_masthead", 0.08) + flag("publisher", 0.15) + flag("masthead", 0.5) + flag("brand", 0.3)
     scores = {
-        "NEWSPAPER": flag("broadsheet", 0.4) + flag("dateline", 0.25) + flag("volume_stamp", 0.15) + part(c("newspaper_words") >= 2, F.least(F.lit(0.35), c("newspaper_words") * 0.08)),
+        "NEWSPAPER": branded + flag("broadsheet", 0.4) + flag("dateline", 0.25) + flag("volume_stamp", 0.15) + part(c("newspaper_words") >= 2, F.least(F.lit(0.35), c("newspaper_words") * 0.08)),
         "MAGAZINE": flag("volume_stamp", 0.1),
         "WORKSHEET_OR_EXAM": part(c("exam_words") >= 2, F.least(F.lit(0.8), 0.35 + c("exam_words") * 0.1)) + part((pages <= 5) & (c("exam_words") >= 1), 0.3),
         "FULL_BOOK": full + part(pages > 60, 0.35) + flag("multi_toc", 0.45),
@@ -45,11 +50,12 @@ def classify(features: DataFrame) -> DataFrame:
         "NOTES": flag("scanned", 0.65),
         "UNKNOWN": zero,
     }
+    few = pages <= 5
     seen = {
-        "NEWSPAPER": [c("broadsheet"), c("dateline"), c("volume_stamp"), c("newspaper_words") >= 2],
+        "NEWSPAPER": [known("publisher"), c("broadsheet"), c("dateline"), c("volume_stamp"), c("newspaper_words") >= 2],
         "MAGAZINE": [c("volume_stamp")],
-        "WORKSHEET_OR_EXAM": [c("exam_words") >= 2, (pages <= 5) & (c("exam_words") >= 1)],
-        "FULL_BOOK": [book, c("running_headers"), taught, pages > 60, c("multi_toc")],
+        "WORKSHEET_OR_EXAM": [c("exam_words") >= 2, few & (c("exam_words") >= 1)],
+        "FULL_BOOK": [book, c("running_headers"), taught, (pages > 60) & ~unit, c("multi_toc")],
         "SINGLE_CHAPTER": [book, chapter, c("opener"), c("running_headers"), taught, unit],
         "NOTES": [c("scanned")],
         "UNKNOWN": [],
@@ -59,9 +65,17 @@ def classify(features: DataFrame) -> DataFrame:
     rows = features.withColumn("_r", F.reverse(F.array_sort(ranked)))
     top, margin = F.col("_r")[0], F.greatest(zero, F.col("_r")[0]["score"] - F.col("_r")[1]["score"])
     by_n = F.when(top["n"] >= 4, 0.88 + 0.08 * F.least(F.lit(1.0), margin / 0.6)).when(top["n"] == 3, 0.8 + 0.1 * F.least(F.lit(1.0), margin / 0.5)).when(top["n"] == 2, 0.7 + 0.12 * F.least(F.lit(1.0), margin / 0.4)).otherwise(0.58 + 0.12 * F.least(F.lit(1.0), margin / 0.3))
-    sure = (top["score"] >= 0.45) & (top["n"] >= 1)
-    confidence = F.when(sure, F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.6), by_n)), 3)).when(top["score"] >= 0.25, F.round(0.4 + 0.15 * F.least(F.lit(1.0), top["score"] / 0.4), 3)).otherwise(0.2)
-    return rows.withColumn("kind", F.when(top["score"] >= 0.25, top["kind"]).otherwise("UNKNOWN")).withColumn("confidence", confidence).drop("_r")
+    hinted = ((top["kind"] == "NEWSPAPER") & known("named_masthead")) | ((top["kind"] == "SINGLE_CHAPTER") & file_hint)
+    by_n = F.when(hinted, F.least(F.lit(0.96), by_n + 0.02)).otherwise(by_n)
+    sure, likely = (top["score"] >= 0.45) & (top["n"] >= 1), top["score"] >= 0.25
+    confidence = F.when(sure, F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.6), by_n)), 3)).when(likely, F.round(0.4 + 0.15 * F.least(F.lit(1.0), top["score"] / 0.4), 3)).otherwise(0.2)
+    stated = F.upper(F.trim("stated_kind")) if "stated_kind" in features.columns else F.lit(None).cast("string")
+    stated = F.when(~stated.isin("", "AUTO", "UNKNOWN", "NONE"), stated)
+    signs = {name: known(name) for name in ("named_masthead", "chapter_file", "publisher", "masthead", "brand", "broadsheet", "dateline", "volume_stamp")}
+    signs |= {"newspaper_words": c("newspaper_words") >= 2, "exam_words": c("exam_words") >= 2, "book_words": book, "chapter_words": chapter, "opener": known("opener"), "running_headers": known("running_headers"), "lesson_words": taught, "length_of_a_chapter": unit, "length_of_a_book": (pages > 60) & ~unit, "outline": c("multi_toc"), "scanned": known("scanned")}
+    named = F.filter(F.array(*(F.when(test, name) for name, test in signs.items()), F.when(~likely, "insufficient")), lambda x: x.isNotNull())
+    rows = rows.withColumn("kind", F.coalesce(stated, F.when(likely, top["kind"]).otherwise("UNKNOWN"))).withColumn("confidence", F.when(stated.isNotNull(), 1.0).otherwise(confidence))
+    return rows.withColumn("evidence", F.when(stated.isNotNull(), F.array(F.lit("stated"))).otherwise(named)).drop("_r")
 
 
 def page_route(chars: Column, images: Column, image_share: Column, script: Column, legacy: Column) -> Column:
@@ -195,28 +209,41 @@ def difference_hash(pixels: Column) -> Column:
     return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0")
 
 
-def first_pictures(images: DataFrame, doc: str = "doc_id", hashed: str = "dhash", near: int = 4) -> DataFrame:
-    """`kept` for pictures whose hash is more than `near` bits from every kept picture before it in the document."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        out = {}
-        for i, h in pdf.sort_values("position")[hashed].items():
-            value = int(h, 16)
-            out[i] = all((value ^ k).bit_count() > near for k in kept)
-            if out[i]:
-                kept.append(value)
-        return pdf.assign(kept=pd.Series(out, dtype=bool))
+def near_hashes(images: DataFrame, group: str = "doc_id", hashed: str = "dhash", near: int = 4) -> DataFrame:
+    """(group, a, b, distance) of the distinct hashes of a group, a < b, that differ in `near` bits or fewer.
 
-    return images.groupBy(doc).applyInPandas(walk, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in images.schema)}, kept boolean")
+    Hashes are 16 hexadecimal digits. They are cut into near + 1 bands of bits, one of which is equal in near hashes, so
+    they meet by band and value; a pair is listed by the first band that it shares.
+    """
+    bits = F.lpad(F.conv(F.col(hashed), 16, 2), 64, "0")
+    edges = [64 * k // (near + 1) for k in range(near + 2)]
+    bands = F.array(*(F.substring("bits", a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)))
+    one = images.where(F.col(hashed).isNotNull()).select(F.col(group).alias("group"), F.lower(hashed).alias("h"), bits.alias("bits")).distinct().withColumn("bands", bands)
+    rows = one.select("group", "h", "bands", F.posexplode("bands").alias("band", "value"))
+    left, right = (rows.select("group", "band", "value", F.col("h").alias(n), F.col("bands").alias(f"bands_{n}")) for n in "ab")
+    met = left.join(right, ["group", "band", "value"]).where("a < b")
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) - 1
+    half = lambda c, at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    apart = sum((F.bit_count(half("a", at).bitwiseXOR(half("b", at))) for at in (1, 9)), F.lit(0))
+    return met.where(first == F.col("band")).select("group", "a", "b", apart.alias("distance")).where(F.col("distance") <= near)
 
 
-def articles(sections: DataFrame, page: list[str]) -> DataFrame:
-    """`article` number of each section of a newspaper page: a heading starts the next article of its page."""
-    from pyspark.sql import Window
+def first_pictures(images: DataFrame, doc: str = "doc_id", hashed: str = "dhash", near: int = 4) -> DataFrame:
+    """`kept` for pictures whose hash is more than `near` bits from every kept picture before it in the document.
 
-    order = Window.partitionBy(*page).orderBy("reading").rowsBetween(Window.unboundedPreceding, 0)
-    return sections.withColumn("article", F.greatest(F.lit(1), F.sum((F.col("section_type") == "HEADING").cast("int")).over(order)))
+    images: (doc, position, hash); positions are distinct in a document. Equal hashes decide alike, so the first of them
+    stands for all; a picture without a hash is kept. Null documents are one document.
+    """
+    rows = materialize(images.select(F.coalesce(F.col(doc).cast("string"), F.lit("\x00")).alias("g"), F.col("position").cast("long").alias("k"), F.lower(hashed).alias("h")), "pictures")
+    firsts = materialize(rows.where("h is not null").groupBy("g", "h").agg(F.min("k").alias("k")), "hashes")
+    pairs = near_hashes(firsts, "g", "h", near)
+    one, two = (firsts.select(F.col("g").alias("group"), F.col("h").alias(n), F.struct(F.col("g").alias("w"), "k").alias(f"at_{n}")) for n in "ab")
+    edges = pairs.join(one, ["group", "a"]).join(two, ["group", "b"]).select(F.greatest("at_a", "at_b").alias("later"), F.least("at_a", "at_b").alias("earlier"))
+    kept = first_kept(firsts.select(F.struct(F.col("g").alias("w"), "k").alias("node")), edges)
+    bare = rows.where("h is null").select("g", "k")
+    found = kept.select(F.col("node.w").alias("g"), F.col("node.k").alias("k")).unionByName(bare).select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.lit(True).alias("_kept"))
+    keys = images.withColumn("_g", F.coalesce(F.col(doc).cast("string"), F.lit("\x00"))).withColumn("_k", F.col("position").cast("long"))
+    return keys.join(found, ["_g", "_k"], "left").select(*images.columns, F.col("_kept").isNotNull().alias("kept"))
 
 
 def hmac_sha256(secret: bytes, message: Column) -> Column:

@@ -26,30 +26,77 @@ def merge_pages(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return latest(stored.unionByName(batch), ["job_id", "page_number"], ["event_time"])
 
 
-def ingest(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Appends the pages of each micro-batch to a log, `batch=<number>`; `stored_pages` reads it.
+#: Buckets of jobs in a log, runs that are merged to one, and how long a key is remembered (in event time).
+BUCKETS, MERGED, REMEMBERED = 64, 8, "7 days"
 
-    A micro-batch writes its own rows only, whatever the size of the log, and overwrites them if it is run again.
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(F.col("job_id").cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def _runs(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
+    """The finished runs (first, last micro-batch) of a log that no larger one holds."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    found = [tuple(int(x) for x in p.getName()[4:].split("-")) for p in names if p.getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(r for r in found if not any(o[0] <= r[0] and r[1] <= o[1] for o in found if o != r))
+
+
+def _write_run(rows: DataFrame, folder: str, first: int, last: int) -> None:
+    rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/run={first}-{last}")
+
+
+def _read_runs(spark: SparkSession, folder: str, runs: list[tuple[int, int]]) -> DataFrame:
+    return spark.read.option("basePath", folder).parquet(*(f"{folder}/run={a}-{b}" for a, b in runs)).drop("run")
+
+
+def ingest(events: DataFrame, folder: str, checkpoint: str, remembered: str = REMEMBERED) -> StreamingQuery:
+    """Adds the pages of each micro-batch to a log that `stored_pages` reads.
+
+    Of events with one (job_id, idempotency_key) the first to come counts; keys are remembered for as long in event time
+    as `remembered` says, and events that are later than that are dropped, so the state stays bounded. A micro-batch is
+    one run of the log, parted by buckets of jobs. MERGED runs that follow each other are merged to one, and so many of
+    those to a larger one: after n micro-batches a read opens (MERGED - 1) * log(n) runs at most, and of these only the
+    buckets of its jobs. A micro-batch that is run again writes the same runs again; a run counts once it is whole.
     """
+    spark = events.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        page_rows(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        _write_run(page_rows(batch), folder, number, number)
+        size = MERGED
+        while (number + 1) % size == 0:
+            parts = [r for r in _runs(spark, folder) if r[0] > number - size]
+            if len(parts) > 1:
+                _write_run(latest(_read_runs(spark, folder, parts).drop("bucket"), ["job_id", "page_number"], ["event_time"]), folder, parts[0][0], number)
+                _clear(spark, folder, parts)
+            size *= MERGED
+
+    keyed = events.withWatermark("event_time", remembered).dropDuplicatesWithinWatermark(["job_id", "idempotency_key"])
+    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _clear(spark: SparkSession, folder: str, runs: list[tuple[int, int]]) -> None:
+    jvm = spark.sparkContext._jvm
+    for a, b in runs:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/run={a}-{b}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages of a log: events that repeat a key of an earlier micro-batch change nothing, and the last event wins."""
-    log = spark.read.parquet(folder)
-    first = log.groupBy("job_id", "idempotency_key").agg(F.min(F.struct("event_time", "batch")).alias("_f"))
-    rows = log.join(first, ["job_id", "idempotency_key"]).where((F.col("event_time") == F.col("_f.event_time")) & (F.col("batch") == F.col("_f.batch")))
-    return latest(rows.drop("_f", "batch"), ["job_id", "page_number"], ["event_time"])
+def stored_pages(spark: SparkSession, folder: str, jobs: list[int] | None = None) -> DataFrame:
+    """The pages of a log, the last event of each page; of the given jobs only, whose buckets alone are read."""
+    rows = _read_runs(spark, folder, _runs(spark, folder))
+    if jobs is not None:
+        wanted = spark.range(1).select(F.explode(F.array(*(F.lit(int(j)).cast("long") for j in jobs))).alias("job_id")).select(_bucket().alias("b"))
+        rows = rows.where(F.col("bucket").isin([r.b for r in wanted.distinct().collect()]) & F.col("job_id").isin(list(jobs)))
+    return latest(rows.drop("bucket"), ["job_id", "page_number"], ["event_time"])
 
 
 def compact(spark: SparkSession, folder: str, to: str) -> None:
-    """Writes a log as one batch of another folder, with all its keys; the stream goes on there."""
-    log = spark.read.parquet(folder).drop("batch")
-    log.write.mode("overwrite").parquet(f"{to}/batch=-1")
+    """Writes the stored pages of a log as the one run of another folder."""
+    runs = _runs(spark, folder)
+    _write_run(stored_pages(spark, folder), to, runs[0][0], runs[-1][1])
 
 
 def replace_jobs(stored: DataFrame, final: DataFrame) -> DataFrame:
