@@ -17,7 +17,7 @@ from __future__ import annotations
 import difflib
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ BOOST_TEXT = 0.65
 CELL_CHARS, TASK_CHARS = 1 << 20, 1 << 23
 #: Bins of characters and of stems in which texts are counted, so that bounds come from whole arrays.
 CHAR_BINS, STEM_BINS = 64, 128
+#: Texts up to this length are compared with many others side by side.
+LONG = 2048
 _EPS = 1e-9
 
 
@@ -170,24 +172,35 @@ class Cell:
         return at
 
     def _common(self, text: str, at: np.ndarray) -> np.ndarray:
-        """The longest common subsequences of a text with those at `at`: side by side if it fits into a word."""
-        if len(text) > 64:
+        """The longest common subsequences of a text with those at `at`, side by side, as `_lcs` finds each: a row of the
+        table is some words of bits for each of them."""
+        if len(text) > LONG:
             return np.array([_lcs(text, self.questions[i].normal) for i in at])
-        places = np.zeros(len(self.alphabet) + 1, np.uint64)
+        words = -(-len(text) // 64)
+        places = np.zeros((words, len(self.alphabet)), np.uint64)
         known = np.searchsorted(self.alphabet, np.frombuffer(text.encode("utf-32-le"), np.uint32))
         for i, (c, p) in enumerate(zip(text, known.tolist(), strict=True)):
             if p < len(self.alphabet) and self.alphabet[p] == ord(c):
-                places[p] |= np.uint64(1 << i)
+                places[i // 64, p] |= np.uint64(1 << i % 64)
         order = np.argsort(-self.size[at], kind="stable")
         size, start = self.size[at][order], self.start[at][order]
-        row = np.full(len(at), np.uint64((1 << len(text)) - 1))
+        rows = np.full((words, len(at)), np.uint64(2**64 - 1))
         for step in range(int(size[0])):
             n = int(np.searchsorted(-size, -step, side="left"))
-            met = row[:n] & places[self.flat[start[:n] + step]]
-            row[:n] = (row[:n] + met) | (row[:n] - met)
-        left = np.bitwise_count(row & np.uint64((1 << len(text)) - 1))
+            char, carry = self.flat[start[:n] + step], None
+            for k in range(words):
+                row = rows[k, :n]
+                met = row & places[k, char]
+                total = row + met
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                rows[k, :n] = total | (row - met)
+                carry = over.astype(np.uint64)
+        left = np.bitwise_count(rows).astype(np.int64).sum(axis=0) - np.bitwise_count(rows[-1] >> np.uint64((len(text) - 1) % 64) >> np.uint64(1)).astype(np.int64)
         out = np.empty(len(at), np.int64)
-        out[order] = len(text) - left.astype(np.int64)
+        out[order] = len(text) - left
         return out
 
 
@@ -284,14 +297,47 @@ def _by_length(side: DataFrame, threshold: float, reach: int) -> DataFrame:
     return rows.select(F.concat(F.col("w"), F.lit("/"), F.col("band").cast("string")).alias("g"), "c", "n", "s", "o")
 
 
-def _by_stems(side: DataFrame, often: DataFrame, share: float) -> DataFrame:
-    """Rows under the rarest of their stems, so many that overlapping ones have one of them in common; all if share is 0."""
-    if share <= 0:
-        return side.select(F.col("w").alias("g"), "c", "n", "s", "o")
-    ranked = side.select("w", "c", F.explode(F.array_distinct("s")).alias("stem")).join(often, "stem").groupBy("w", "c").agg(F.sort_array(F.collect_list(F.struct("often", "stem"))).alias("r"))
-    first = F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * share) + 1).cast("int"))["stem"]
-    keys = ranked.select("w", "c", F.explode(first).alias("stem"))
-    return keys.join(side, ["w", "c"]).select(F.concat(F.col("w"), F.lit("/"), "stem").alias("g"), "c", "n", "s", "o")
+def _keyed_by_stems(side: DataFrame, often: DataFrame, share: float) -> DataFrame:
+    """(w, stem, c, ds): rows under the rarest of their distinct stems ds, so many that rows whose stems overlap by `share`
+    have one of them in common.
+
+    often: (stem, often) of the asking side. Stems that it lacks come first: they lead nowhere, and a row that has too many
+    of them has no other key.
+    """
+    rows = side.select("w", "c", F.array_distinct("s").alias("ds"))
+    found = rows.select("w", "c", F.explode("ds").alias("stem")).join(often, "stem", "left").groupBy("w", "c")
+    ranked = found.agg(F.count("*").alias("many"), F.count("often").alias("known"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "stem")))).alias("r"))
+    first = F.col("known") - F.ceil(F.col("many") * share) + 1
+    keys = ranked.where(first > 0).select("w", "c", F.explode(F.slice("r", F.lit(1), first.cast("int"))["stem"]).alias("stem"))
+    return keys.join(rows, ["w", "c"])
+
+
+def _by_stems(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """(a, b): the contents of both sides whose stems overlap by `share`."""
+    often = left.select(F.explode(F.array_distinct("s")).alias("stem")).groupBy("stem").agg(F.count("*").alias("often"))
+    sides = [materialize(_keyed_by_stems(side, often, share), "keys") for side in (left, right)]
+    a, b = (x.select("w", "stem", F.col("c").alias(c), F.col("ds").alias(f"s{c}")) for x, c in zip(sides, "ab", strict=True))
+    sizes = F.size("sa") + F.size("sb")
+    fits = F.least(F.size("sa"), F.size("sb")) >= share * F.greatest(F.size("sa"), F.size("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return a.join(b, ["w", "stem"]).where(fits).where(both >= share * (sizes - both)).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule, threshold: float) -> DataFrame:
+    """(a, b, score, reason) of the pairs (a, b) that the rule calls the same."""
+
+    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            one, two = (_cell(pdf[[f"{x}{c}" for x in "cnso"]].set_axis(list("cnso"), axis=1)) for c in "ab")
+            found = []
+            for k, x in enumerate(one.questions):
+                if len(two.likely(one, k, np.array([k]), 0.0 if x.options else threshold)) and (hit := rule(x, two.questions[k], threshold)):
+                    found.append((x.key, two.questions[k].key, *hit))
+            yield pd.DataFrame(found, columns=["a", "b", "score", "reason"])
+
+    a, b = (side.select(*(F.col(x).alias(f"{x}{c}") for x in "cnso")) for side, c in ((left, "a"), (right, "b")))
+    whole = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb")).drop("a", "b")
+    return whole.mapInPandas(check, "a string, b string, score double, reason string")
 
 
 def _by_options(left: DataFrame, right: DataFrame, apart: bool) -> tuple[DataFrame, DataFrame]:
@@ -352,11 +398,12 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
         return mixed(mine, others, max(BOOST_TEXT, 2 * threshold - 1) if rule is compare_stored else 0.0)
 
     share = least_jaccard(threshold)
-    stem = lambda side: side.select(F.explode(F.array_distinct("s")).alias("stem"))
-    often = stem(left).unionByName(stem(right)).groupBy("stem").agg(F.count("*").alias("often"))
     equal = left.select("w", "n", F.col("c").alias("a")).join(right.select("w", "n", F.col("c").alias("b")), ["w", "n"]).select("a", "b", F.lit(1.0).alias("score"), F.lit("EXACT_NORMALIZED").alias("reason"))
     found = equal.unionByName(_meet(_by_length(left, threshold, 2), _by_length(right, threshold, 0), aligned))
-    found = found.unionByName(_meet(_by_stems(left, often, share), _by_stems(right, often, share), mixed))
+    if share > 0:
+        found = found.unionByName(_verified(_by_stems(left, right, share), left, right, rule, threshold))
+    else:  # nothing follows for the stems from so low a threshold
+        found = found.unionByName(_meet(*(side.select(F.col("w").alias("g"), "c", "n", "s", "o") for side in (left, right)), mixed))
     if by_options:
         found = found.unionByName(_meet(*_by_options(left, right, apart), chosen))
     return found.distinct()
