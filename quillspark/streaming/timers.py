@@ -16,8 +16,9 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def keep_state(spark: SparkSession) -> None:
-    """Sets the state store that keyed state with timers asks for."""
+    """Sets the state store that keyed state with timers asks for, and starts what finds the stores, also for a table."""
     spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _ = spark.streams.active
 
 
 class _Stall(StatefulProcessor):
