@@ -129,11 +129,19 @@ def strip_glyphs(text: Column) -> Column:
 
 def drop_short_lines(text: Column, least: int = 4) -> Column:
     """Without lines of one token shorter than `least`, unless it is a number, list mark, known label or formula."""
+    only = lambda t, chars: (t != "") & (F.translate(t, chars, "") == "")
+    digits, letters = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def kind(t: Column) -> Column:
+        first, last, inner, head = F.substring(t, 1, 1), F.substring(t, -1, 1), F.substring(t, F.lit(2), F.length(t) - 2), F.substring(t, F.lit(1), F.length(t) - 1)
+        number = only(t, digits + ".,-")
+        bracketed = ((first == "(") & (last == ")") & only(inner, digits + letters)) | ((first == "[") & (last == "]") & only(inner, digits))
+        closed = last.isin(".", ")") & (only(head, digits) | ((F.length(head) == 1) & only(head, letters)))
+        return F.when(number, "number").when(bracketed | closed, "mark").when(F.lower(t).isin(SHORT_LABELS), "label").when(t.contains("$"), "formula")
 
     def keep(line: Column) -> Column:
         bare = F.regexp_replace(line, r"^\s+|\s+$", "")
-        known = bare.rlike(r"^[\d.,\-]+$") | bare.rlike(r"^(\([a-zA-Z0-9]+\)|\[[0-9]+\]|[0-9]+[.)]|[a-zA-Z][.)])$") | F.lower(bare).isin(SHORT_LABELS) | bare.contains("$")
-        return (bare == "") | bare.rlike(r"\s") | (F.length(bare) >= least) | known
+        return (bare == "") | bare.rlike(r"\s") | (F.length(bare) >= least) | kind(bare).isNotNull()
 
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
