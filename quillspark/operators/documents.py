@@ -268,17 +268,20 @@ def attach_answers(items: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*items.columns, F.coalesce("a", "b").alias("answer"))
 
 
-def _substrings(text: Column) -> Column:
-    """All distinct substrings of a short text."""
-    n = F.length(text)
-    made = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))
-    return F.when(n > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
-
-
 def containing(names: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
-    """(name, part): each short name with every part that it contains, by an equi-join on its substrings."""
-    pieces = names.select(name).distinct().select(name, F.explode(_substrings(F.col(name))).alias(part))
-    return pieces.join(parts.select(part).distinct(), part).select(name, part)
+    """(name, part): each short name with every part that it contains, by an equi-join on its substrings.
+
+    Only substrings as long as some part are made; the lengths that occur are as few as the longest part has characters.
+    An empty part is in no name.
+    """
+    parts = parts.select(part).where(F.length(part) > 0).distinct()
+    sizes = sorted(r.n for r in parts.select(F.length(part).alias("n")).distinct().collect())
+    if not sizes:
+        return names.select(name, F.lit(None).cast("string").alias(part)).limit(0)
+    size = F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(name))).alias("_n")
+    pieces = names.select(name).distinct().select(name, size)
+    pieces = pieces.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - F.col("_n") + 1), lambda i: F.substring(F.col(name), i, F.col("_n"))))).alias(part))
+    return pieces.join(parts, part).select(name, part)
 
 
 def titled_items(jobs: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import documents, duplicates, pages, select
+from quillspark.functions import school, text
+from quillspark.operators import documents, duplicates, pages, search, select
+from quillspark.operators import text as texts
 from quillspark.plans.queries import query
 from quillspark.sources import workbooks
 from quillspark.sources.tables import read_table
@@ -207,3 +209,64 @@ def news_articles(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a newspaper page whose lines are its sections."""
     rows = _lines(spark, d).select(F.lit(1).alias("job"), "doc_id", F.col("page_number").alias("reading"), F.lit("PARAGRAPH").alias("section_type"), F.lit("").alias("heading"), "text", (F.col("page_number") % 3 + 1).alias("column_index"), F.lit(None).cast("array<double>").alias("bbox"))
     return pages.articles(rows, ["job", "doc_id"]).drop("job", "box")
+
+
+# --- real rows for small rules ------------------------------------------------------------------------------------------
+
+_STEM = " ".join(f"WHEN length(w) > {len(s) + 3} AND suffix(w, '{s}') THEN w[:length(w) - {len(s)}]" for s in text.SUFFIXES)
+
+
+@query(f"""SELECT DISTINCT w AS word, CASE {_STEM} ELSE w END AS stem FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM (SELECT text FROM conversations UNION ALL SELECT text FROM documents WHERE lang = 'en' UNION ALL SELECT text FROM benchmark))""")
+def stemmed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of conversations, benchmark and English documents."""
+    said = read_table(spark, d, "conversations").select("text").unionByName(read_table(spark, d, "documents").where("lang = 'en'").select("text")).unionByName(read_table(spark, d, "benchmark").select("text"))
+    words = said.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", text.stem(F.col("word")).alias("stem"))
+
+
+_KIND = " ".join(f"WHEN regexp_matches(said, '(?i)^\\s*(?:{pattern})($|[^\\p{{L}}\\p{{N}}_])') THEN '{name}'" for name, pattern in texts.SECTION_KINDS)
+_OPENINGS = ("", "Activity 3: ", "  illustration - ", "Exercise", "Lawful ", "Points to remember: ", "Figure 2.1 ", "In-Text Questions ", "chart ")
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CASE {_KIND} ELSE 'PARAGRAPH' END AS kind, length(said) AS n FROM
+(SELECT doc_id, page_number, CASE (doc_id + page_number) % {len(_OPENINGS)} {" ".join(f"WHEN {k} THEN '{o}'" for k, o in enumerate(_OPENINGS))} END || text AS said FROM l)""")
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document, most of them behind words that sections begin with."""
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), ((F.col("doc_id") + F.col("page_number")) % len(_OPENINGS) + 1).cast("int"))
+    rows = _lines(spark, d).withColumn("said", F.concat(opening, "text"))
+    return rows.select("doc_id", "page_number", texts.section_kind(F.col("said")).alias("kind"), F.length("said").cast("long").alias("n"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS attempt_id, l_linenumber AS number, l_suppkey % 4 AS form, l_suppkey % 3 AS miss FROM lineitem)
+SELECT attempt_id, number, CASE WHEN miss = 0 THEN CASE form WHEN 3 THEN 'MCQ_INCORRECT' WHEN 0 THEN 'MCQ_LETTER' WHEN 1 THEN 'MCQ_TEXT' ELSE 'MCQ_KEY_FROM_TEXT' END ELSE 'MCQ_INCORRECT' END AS rule,
+CASE WHEN miss = 0 AND form <> 3 THEN 2.0 ELSE -0.5 END AS marks FROM a""")
+def choice_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Choices with options: the letter, the option's text, or the letter of a text that is the key; others miss."""
+    c = F.col
+    letter = F.chr(65 + c("l_partkey") % 4)
+    options = F.create_map(*(x for k in range(4) for x in (F.lit("ABCD"[k]), F.concat(F.lit(f"Element {k} of "), c("l_returnflag")))))
+    body = F.element_at(options, letter)
+    form, hit = c("l_suppkey") % 4, c("l_suppkey") % 3 == 0
+    correct = F.when(form == 2, F.concat(F.lit(" "), F.upper(body))).otherwise(letter)
+    other = F.chr(65 + (c("l_partkey") + 1) % 4)
+    right = F.when(form == 0, F.lower(letter)).when(form == 1, F.concat(F.upper(body), F.lit(" "))).when(form == 2, F.lower(letter)).otherwise("nothing of this")
+    response = F.when(hit, right).otherwise(F.when(form == 1, F.element_at(options, other)).otherwise(other))
+    graded = school.evaluate(F.lit("mcq"), F.lit(2.0), correct, response, options, F.lit(0.5))
+    return read_table(spark, d, "lineitem").select(c("l_orderkey").alias("attempt_id"), c("l_linenumber").alias("number"), graded["rule"].alias("rule"), graded["marks"].alias("marks"))
+
+
+@query(r"""SELECT doc_id, n, round(CASE WHEN n = 0 THEN 0 ELSE latin / n END, 3) AS latin, round(CASE WHEN n = 0 THEN 0 ELSE dev / n END, 3) AS devanagari, round(CASE WHEN n = 0 THEN 0 ELSE guj / n END, 3) AS gujarati, round(CASE WHEN n = 0 THEN 0 ELSE (n - latin - dev - guj) / n END, 3) AS other FROM
+(SELECT doc_id, length(b) AS n, length(regexp_replace(b, '[^A-Za-z\x{c0}-\x{ff}]', '', 'g')) AS latin, length(regexp_replace(b, '[^\x{900}-\x{97f}]', '', 'g')) AS dev, length(regexp_replace(b, '[^\x{a80}-\x{aff}]', '', 'g')) AS guj FROM
+  (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'aeiobd', 'कखगઅઆ日'), '[\s\p{Nd}]', '', 'g') AS b FROM documents))""")
+def script_shares(spark: SparkSession, d: str) -> DataFrame:
+    """All four shares, with some letters of every text as letters of other scripts."""
+    said = F.translate(F.coalesce("text", F.lit("")), "aeiobd", "कखगઅઆ日")
+    mix = text.scripts(said)
+    return read_table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(said, r"[\s\p{Nd}]", "")).cast("long").alias("n"), *(mix[n].alias(n) for n in ("latin", "devanagari", "gujarati", "other")))
+
+
+@query()
+def searched_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What a search finds in an index of all English documents and their sources."""
+    docs = read_table(spark, d, "documents").where("lang = 'en'")
+    return search.indexed(search.token_index(docs, "doc_id", {"text": "A", "source": "B"}), "doc_id", 'nothing or licensed -"gnu general" or "the things" or src3')

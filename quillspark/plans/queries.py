@@ -272,7 +272,15 @@ def hyphen_rejoin(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", F.length("text").alias("n_before"), F.md5(text.rejoin_hyphens(broken)).alias("cleaned"))
 
 
-@query()
+_SPECIAL = r"length(text) - length(regexp_replace(text, '[$\\{}_^&=+\-*/<>\[\]]', '', 'g'))"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT source, doc_id AS position, doc_id % 3 AS priority, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - ({_SPECIAL})) / 4 + ({_SPECIAL}) / 2)) END AS BIGINT) AS tokens
+  FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority, position) AS i FROM t),
+w AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS i, CAST(2000 AS BIGINT) AS room, CAST(NULL AS BIGINT) AS position, CAST(NULL AS BIGINT) AS priority, CAST(NULL AS BIGINT) AS tokens, false AS kept FROM o
+  UNION ALL SELECT w.source, o.i, CASE WHEN o.tokens <= room THEN room - o.tokens ELSE room END, o.position, o.priority, o.tokens, o.tokens <= room FROM w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i + 1)
+SELECT source, position, priority, tokens, kept FROM w WHERE position IS NOT NULL""")
 def budget_greedy(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     items = docs.select("source", F.col("doc_id").alias("position"), (F.col("doc_id") % 3).alias("priority"), text.tokens_estimate(F.col("text")).alias("tokens"))
