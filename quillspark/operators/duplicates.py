@@ -35,11 +35,11 @@ SAME_OPTION, OPTIONS, OPTIONS_ALONE, MIX, MIXED = 0.8, 0.75, 0.9, (0.65, 0.35),
 BOOST_TEXT = 0.65
 
 #: Characters on each side of a cell, and in a task at about the most.
-CELL_CHARS, TASK_CHARS = 1 << 20, 1 << 23
+CELL_CHARS, TASK_CHARS = 1 << 19, 1 << 23
 #: Bins of characters and of stems in which texts are counted, so that bounds come from whole arrays.
 CHAR_BINS, STEM_BINS = 64, 128
-#: Texts up to this length are compared with many others side by side.
-LONG = 2048
+#: For each 64 characters of a text, how many others it must be compared with for this to go side by side.
+FEW = 25
 _EPS = 1e-9
 
 
@@ -127,13 +127,16 @@ def least_jaccard(threshold: float) -> float:
     return (threshold * (1 - ALIGNED) - OVERLAP) / JACCARD - _EPS
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+def _lcs(a: str, b: str, least: float = 0) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number; or, as soon as it
+    can't reach `least`, a number under that which it is not over."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     whole = row = (1 << len(a)) - 1
-    for c in b:
+    for done, c in enumerate(b):
+        if done % 64 == 63 and (most := len(a) - row.bit_count() + len(b) - done) < least:
+            return most
         met = row & places.get(c, 0)
         row = ((row + met) | (row - met)) & whole
     return len(a) - row.bit_count()
@@ -151,56 +154,70 @@ class Cell:
         self.chars = np.stack([np.bincount(p % CHAR_BINS, minlength=CHAR_BINS) for p in points] or [np.zeros(CHAR_BINS)]).astype(np.int32)
         self.stems = np.stack([np.bincount([zlib.crc32(w.encode()) % STEM_BINS for w in set(q.stems)] or [0], minlength=STEM_BINS) * bool(q.stems) for q in questions] or [np.zeros(STEM_BINS)]).astype(np.int32)
 
-    def _mixed(self, other: Cell, k: int, at: np.ndarray, aligned: np.ndarray) -> np.ndarray:
-        """What the similarity is at most if so much of the texts is aligned at most."""
+    def _aligned_at_least(self, other: Cell, k: int, at: np.ndarray, least: float) -> np.ndarray:
+        """How much must be aligned for the similarity to reach `least`, given how far the stems overlap at most."""
         mine, theirs = self.stems[at], other.stems[k]
         both, a, b = np.minimum(mine, theirs).sum(axis=1), mine.sum(axis=1), theirs.sum()
         few, every = np.minimum(a, b), np.maximum(a + b - both, 1)
-        mixed = np.where(few > 0, JACCARD * np.minimum(both / every, 1) + OVERLAP * np.minimum(both / np.maximum(few, 1), 1) + ALIGNED * aligned, 0)
-        return np.maximum(aligned, mixed)
+        words = JACCARD * np.minimum(both / every, 1) + OVERLAP * np.minimum(both / np.maximum(few, 1), 1)
+        return np.where(few > 0, np.minimum(least, (least - words) / ALIGNED), least) - _EPS
 
     def likely(self, other: Cell, k: int, at: np.ndarray, least: float) -> np.ndarray:
         """Those of `at` whose similarity with question k of the other cell may reach `least`: by the characters and stems
         that they share, and then by the longest subsequence, which what is aligned can't exceed."""
+        if least <= 0 or not len(at):
+            return at
         text = other.questions[k].normal
-        if least > 0 and len(at):
-            sizes = np.maximum(self.size[at] + len(text), 1)
-            at = at[self._mixed(other, k, at, 2 * np.minimum(self.chars[at], other.chars[k]).sum(axis=1) / sizes) >= least - _EPS]
-        if least > 0 and len(at):
-            sizes = np.maximum(self.size[at] + len(text), 1)
-            at = at[self._mixed(other, k, at, 2 * self._common(text, at) / sizes) >= least - _EPS]
-        return at
-
-    def _common(self, text: str, at: np.ndarray) -> np.ndarray:
-        """The longest common subsequences of a text with those at `at`, side by side, as `_lcs` finds each: a row of the
-        table is some words of bits for each of them."""
-        if len(text) > LONG:
-            return np.array([_lcs(text, self.questions[i].normal) for i in at])
+        sizes, need = np.maximum(self.size[at] + len(text), 1), self._aligned_at_least(other, k, at, least)
+        may = 2 * np.minimum(self.chars[at], other.chars[k]).sum(axis=1) >= need * sizes
+        at, sizes, need = at[may], sizes[may], need[may]
+        return at[2 * self._common(text, at, need / 2 * sizes) >= need * sizes] if len(at) else at
+
+    def _common(self, text: str, at: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+        """The longest common subsequences of a text with those at `at`, each as `_lcs` finds it: many at a time side by
+        side, where a row of the table is some words of bits for each. Those that can't reach `least` are left behind."""
+        least = np.zeros(len(at)) if least is None else least
         words = -(-len(text) // 64)
+        if len(at) < FEW * words:
+            return np.array([_lcs(text, self.questions[i].normal, n) for i, n in zip(at.tolist(), least.tolist(), strict=True)], np.int64)
         places = np.zeros((words, len(self.alphabet)), np.uint64)
         known = np.searchsorted(self.alphabet, np.frombuffer(text.encode("utf-32-le"), np.uint32))
         for i, (c, p) in enumerate(zip(text, known.tolist(), strict=True)):
             if p < len(self.alphabet) and self.alphabet[p] == ord(c):
                 places[i // 64, p] |= np.uint64(1 << i % 64)
+        unused = np.uint64(2**64 - 1) << np.uint64((len(text) - 1) % 64) << np.uint64(1)  # bits behind the last character
+
+        def found(rows: np.ndarray) -> np.ndarray:
+            rows = rows.copy()
+            rows[-1] &= ~unused
+            return len(text) - np.bitwise_count(rows).astype(np.int64).sum(axis=0)
+
+        out = np.zeros(len(at), np.int64)
         order = np.argsort(-self.size[at], kind="stable")
         size, start = self.size[at][order], self.start[at][order]
         rows = np.full((words, len(at)), np.uint64(2**64 - 1))
-        for step in range(int(size[0])):
+        step = 0
+        while len(order):
             n = int(np.searchsorted(-size, -step, side="left"))
-            char, carry = self.flat[start[:n] + step], None
+            if n < len(order) or step % 64 == 63:  # some are done, or may be past hope
+                most = found(rows) + np.maximum(size - step, 0)
+                left = (size > step) & (most >= least[order])
+                out[order[~left]] = most[~left]
+                order, size, start, rows = order[left], size[left], start[left], np.ascontiguousarray(rows[:, left])
+                if not len(order):
+                    break
+            char, carry = self.flat[start + step], None
             for k in range(words):
-                row = rows[k, :n]
+                row = rows[k]
                 met = row & places[k, char]
                 total = row + met
                 over = total < row
                 if carry is not None:
                     total += carry
                     over |= total < carry
-                rows[k, :n] = total | (row - met)
+                rows[k] = total | (row - met)
                 carry = over.astype(np.uint64)
-        left = np.bitwise_count(rows).astype(np.int64).sum(axis=0) - np.bitwise_count(rows[-1] >> np.uint64((len(text) - 1) % 64) >> np.uint64(1)).astype(np.int64)
-        out = np.empty(len(at), np.int64)
-        out[order] = len(text) - left
+            step += 1
         return out
 
 
@@ -271,7 +288,7 @@ def _meet(a: DataFrame, b: DataFrame, find: Callable[[Cell, Cell], list[tuple]])
     cells = a.groupBy("g").agg(chars.alias("in_a")).join(b.groupBy("g").agg(chars.alias("in_b")), "g")
     cells = materialize(cells.select("g", F.ceil(F.col("in_a") / CELL_CHARS).cast("int").alias("by_a"), F.ceil(F.col("in_b") / CELL_CHARS).cast("int").alias("by_b"), "in_a", "in_b"), "cells")
     total = cells.agg(F.sum(F.col("in_a") * F.col("by_b") + F.col("in_b") * F.col("by_a"))).first()[0] or 0
-    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_CHARS))
+    tasks = max(2 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_CHARS))
 
     def dealt(side: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         mine, others = F.pmod(F.xxhash64("c"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("others")
@@ -286,7 +303,8 @@ def _meet(a: DataFrame, b: DataFrame, find: Callable[[Cell, Cell], list[tuple]])
         return pd.DataFrame(found, columns=["a", "b", "score", "reason"])
 
     met = dealt(a, "by_a", "by_b", True).unionByName(dealt(b, "by_b", "by_a", False))
-    return met.groupBy("task").applyInPandas(match, "a string, b string, score double, reason string")
+    # dealt by number, since the work of a cell is that of its pairs, not of its bytes
+    return met.repartition(tasks, "task").groupBy("task").applyInPandas(match, "a string, b string, score double, reason string")
 
 
 def _by_length(side: DataFrame, threshold: float, reach: int) -> DataFrame:
