@@ -108,16 +108,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(vec_id, n_links, component_id, kept): vectors linked at a cosine of `threshold` or more.
 
     A vector that is null, empty, zero, or has a null or non-finite component links with nothing, and neither does one with
-    a null id; vectors of different lengths never link. Identical vectors link with each other. Ids are unique; other
-    columns are ignored. At the
-    threshold itself a pair is found with a probability of about RECALL squared, and above it more often.
+    a null id; vectors of different lengths never link. Identical vectors link with each other. Other columns are ignored.
+    Each row gives one row: repeated rows are vectors of their own, linked with each other, and if one id stands for
+    different vectors, these are in one component and their links are added up.
+    At the threshold itself a pair is found with a probability of about RECALL squared, and above it more often.
     """
     spark = vectors.sparkSession
     floats = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     kind, element = ("f4", "float") if floats else ("f8", "double")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
+    usable = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
+    good = rows.where(usable)
 
     def fold(batches):
         """(size, x, ids, rep, copies): the distinct vectors of a batch with all ids that have them."""
@@ -200,9 +202,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = reps.join(degree, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("size", "x", (F.coalesce("outside", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     inside = folded.join(classes, ["size", "x"]).select(F.explode("ids").alias("id"), "links", "component")
-    out = rows.select("id").join(inside, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    # the ids of the folded vectors are those of all usable rows, one by one; the others link with nothing
+    out = inside.select("id", F.col("links").cast("long").alias("links"), "component").unionByName(rows.where(~usable).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
+    return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,16 @@ def test_rows_that_ids_do_not_tell_apart(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 3, False), (4, 3, False)]
 
 
+def test_repeated_vectors(spark):
+    """Each row gives one row, whatever its id: rows repeated as they are, one id for two vectors, and unusable ones."""
+    e = lambda *x: [float(v) for v in x]
+    rows = [(7, e(1, 0, 0)), (7, e(1, 0, 0)), (9, e(2, 0.1, 0)), (3, e(0, 1, 0)), (3, e(0, 0, 1)), (8, e(0, 0.1, 3)), (5, None), (5, None), (None, e(1, 0, 0)), (None, None), (6, e(0, 0, 0))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (3, 1, 3, True), (3, 1, 3, True), (8, 1, 3, False), (5, 0, 5, True), (5, 0, 5, True), (None, 0, None, None), (None, 0, None, None), (6, 0, 6, True)], key=str
+    )
+
+
 def test_own_columns_stay(spark):
     names = ["kept", "kept_text", "removed", "n_bytes", "carry_0", "id", "places", "n_chars"]
     docs = spark.createDataFrame([(1, "q" * 250, *names), (2, None, *names)], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
