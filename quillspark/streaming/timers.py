@@ -68,10 +68,11 @@ def stalls(updates: DataFrame, minutes: int = STALL_MINUTES, late: str = "10 min
 
     updates: a stream of (job_id, status, updated_at). Each update moves the job's one timer; a status other than
     EXTRACTING stops it, and an update older than the last changes nothing. Time is that of the events: a job stalls once
-    updates of any job are `late` and `minutes` past its last one. A job that goes on after that can stall again.
+    updates of any job are `late` and `minutes` past its last one. A job that goes on after that can stall again. Updates
+    without a time are left out; one without a status stops the timer.
     """
     keep_state(updates.sparkSession)
-    rows = updates.select("job_id", "status", "updated_at").withWatermark("updated_at", late)
+    rows = updates.where("updated_at is not null").select("job_id", F.coalesce("status", F.lit("")).alias("status"), "updated_at").withWatermark("updated_at", late)
     schema = f"job_id {updates.schema['job_id'].dataType.simpleString()}, status string, updated_at timestamp, failed_at timestamp, message string"
     return rows.groupBy("job_id").transformWithStateInPandas(_Stall(minutes), schema, "Append", "EventTime")
 
