@@ -239,12 +239,23 @@ def version_label(index: Column, letters: int = 4) -> Column:
     return out
 
 
+def label_index(label: Column, letters: int = 4) -> Column:
+    """0, 1, ... for A, B, ...: the index that has this `version_label`, or null if none has."""
+    digits = F.transform(F.split(label, ""), lambda x: F.ascii(x) - 64)
+    return F.when(label.rlike(rf"\A[A-Z]{{1,{letters}}}\z"), F.aggregate(digits, F.lit(0), lambda a, x: a * 26 + x) - 1)
+
+
 def next_label(versions: DataFrame, papers: DataFrame, key: str = "paper_id", label: str = "version_label") -> DataFrame:
-    """The smallest unused label of each paper."""
-    most = versions.groupBy(key).count().withColumnRenamed("count", "n")
-    options = papers.select(key).join(most, key, "left").select(key, F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(0)))).alias("i")).withColumn(label, version_label(F.col("i")))
-    free = options.join(versions.select(key, label), [key, label], "left_anti")
-    return free.groupBy(key).agg(F.min_by(label, "i").alias(label))
+    """The smallest unused label of each paper.
+
+    Labels in use that are as many as the labels before them leave none free there. Nothing is listed or joined, so no
+    list of labels is broadcast.
+    """
+    used = versions.where(F.col(key).isNotNull()).select(key, label_index(F.col(label)).alias("i"), F.lit(False).alias("asked"))
+    rows = papers.select(key, F.lit(None).cast("int").alias("i"), F.lit(True).alias("asked")).unionByName(used)
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy(F.col("i").asc_nulls_last()))
+    found = rows.withColumn("place", place).groupBy(key).agg(F.max("asked").alias("asked"), F.max(F.when(F.col("place") == F.col("i") + 1, F.col("place"))).alias("n"))
+    return found.where("asked").select(key, version_label(F.coalesce("n", F.lit(0))).alias(label))
 
 
 def section_bucket(kind: Column, marks: Column) -> Column:

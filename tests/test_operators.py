@@ -145,6 +145,18 @@ def test_labels(spark):
     assert {r.paper_id: r.version_label for r in select.next_label(versions, papers).collect()} == {1: "B", 2: "C", 3: "A"}
 
 
+def test_next_label_joins_nothing(spark):
+    """A join with all labels was planned as a broadcast, since the plan counts rows before they are exploded."""
+    papers = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (None,)], "paper_id long")
+    versions = papers.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i")).where("paper_id < 3 and i <> 28 or paper_id = 3 and i < 26")
+    got = select.next_label(versions.select("paper_id", select.version_label(F.col("i")).alias("version_label")).unionByName(spark.createDataFrame([(1, "ac"), (1, "A"), (4, "A1"), (4, None), (9, "A")], "paper_id long, version_label string")), papers)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.paper_id: r.version_label for r in got.collect()} == {1: "AC", 2: "AC", 3: "AA", 4: "A", None: "A"}
+    back = spark.range(0, 475254, 997).withColumn("i", F.col("id").cast("int"))
+    assert back.where(~select.label_index(select.version_label(F.col("i"))).eqNullSafe(F.col("i"))).count() == 0
+
+
+
 def test_gradebook(spark):
     roster = spark.createDataFrame([(1,), (2,), (3,), (4,)], "student_id long")
     attempts = spark.createDataFrame([(10, 1, "EVALUATED", None), (20, 2, "SUBMITTED", 5.0), (30, 3, "NOT_STARTED", None)], "attempt_id long, student_id long, status string, score double")
