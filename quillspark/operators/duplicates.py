@@ -456,6 +456,12 @@ def similar_pairs(asked: DataFrame, rows: DataFrame, text: str, key_asked: str,
     return out
 
 
+def equal_pairs(asked: DataFrame, rows: DataFrame, text: str, key_asked: str, key_rows: str) -> DataFrame:
+    """(key_asked, key_rows, score, reason): what `similar_pairs` finds by equal normalised texts, and no more, by one join."""
+    a, b = (df.select(F.col(key).alias(key), normalize_question(F.col(text)).alias("n")) for df, key in ((asked, key_asked), (rows, key_rows)))
+    return a.where("n <> ''").join(b, "n").select(key_asked, key_rows, F.lit(1.0).alias("score"), F.lit("EXACT_NORMALIZED").alias("reason"))
+
+
 def best_match(pairs: DataFrame, key_asked: str, key_rows: str) -> DataFrame:
     """The best match of each question: an exact one, or else the highest score; the smallest key of equals."""
     order = F.struct((F.col("reason") == "EXACT_NORMALIZED").alias("e"), "score", (-F.col(key_rows)).alias("k"))

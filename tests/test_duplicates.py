@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_question, stems
 from quillspark.operators import documents
-from quillspark.operators.duplicates import PairIndex, Question, _pairs_of, compare, compare_stored, first_kept, greedy_unique, least_jaccard, least_pairs, option_similarity, similar_pairs
+from quillspark.operators.duplicates import PairIndex, Question, _pairs_of, compare, compare_stored, equal_pairs, first_kept, greedy_unique, least_jaccard, least_pairs, option_similarity, similar_pairs
 
 WORDS = "force mass energy motion velocity current voltage cell membrane photosynthesis triangle angle fraction decimal acid base metal river climate treaty empire parliament budget market price grammar verb noun planet orbit gravity friction pressure volume density".split()
 FRAMES = ["What is {}?", "Define the {}.", "Explain how {} works in practice", "Calculate the {} of a body", "{}", "Which of the following is true for {}?"]
@@ -122,6 +122,14 @@ def test_hot_options_need_no_pairs(spark):
     assert got.where("duplicate_of is null").count() == 1 and got.where("duplicate_of = 0").count() == 3999
 
 
+def test_equal_pairs_are_the_equal_ones(spark):
+    rows = spark.createDataFrame([(1, "What is  Light?"), (2, "what is light"), (3, "what is a light"), (4, " "), (5, None), (6, "WHAT, is light!")], "x long, t string")
+    found = equal_pairs(rows, rows.withColumnRenamed("x", "y"), "t", "x", "y")
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = similar_pairs(rows, rows.withColumnRenamed("x", "y"), "t", "x", "y").where("reason = 'EXACT_NORMALIZED'")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 10
+
+
 def test_first_kept_like_a_walk(spark):
     rng = random.Random(2)
     n = 120
