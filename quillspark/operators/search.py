@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillspark.operators.relational import contains
+from quillspark.shared import materialize
 
 # fixed values: words that are not searched for; and of the published English stemmer: words with stems of their own,
 # words that keep their form, beginnings behind which the first region starts, and endings with what stands for them
@@ -165,7 +166,11 @@ def token_index(df: DataFrame, key: str, weights: dict[str, str]) -> DataFrame:
 
 def indexed(index: DataFrame, key: str, query: str) -> DataFrame:
     """(key, hits, heavy): the keys that a search finds in a token index, with the places of its terms and how many of them
-    have the weight A. Only the lists of the stems asked for are read; an alternative needs a term that is wanted."""
+    have the weight A. Only the lists of the stems asked for are read, all of them at once, however the index is made; an
+    alternative needs a term that is wanted."""
+    ways = search_terms(query)
+    asked = sorted({s for way in ways for _, stems in way for s in stems if s is not None})
+    index = materialize(index.where(F.col("stem").isin(*asked)), "lists") if asked else index
 
     def found(stems: list[str | None]) -> DataFrame:
         first, *more = [(k, s) for k, s in enumerate(stems) if s is not None]
@@ -175,7 +180,7 @@ def indexed(index: DataFrame, key: str, query: str) -> DataFrame:
         return hits.groupBy(key).agg(F.count("*").alias("hits"), F.count_if(F.col("weight") == "A").alias("heavy"))
 
     out = None
-    for way in search_terms(query):
+    for way in ways:
         wanted = [stems for yes, stems in way if yes]
         if not wanted:
             raise ValueError("a search needs a word that must occur")

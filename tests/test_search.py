@@ -55,6 +55,12 @@ def test_index(spark, rows):
         search.indexed(index, "id", "-law")
 
 
+def test_a_search_makes_its_index_once(spark, rows):
+    index = search.token_index(rows, "id", {"question": "A", "chapter": "B"})
+    plan = search.indexed(index, "id", 'law or motion or "laws of motion"')._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Generate" not in plan
+
+
 def test_names_that_contain(spark):
     names = spark.createDataFrame([("organic chemistry",), ("chem",), ("math",), ("",), (None,)], "n string")
     parts = spark.createDataFrame([("chem",), ("a",), ("math",), ("",), (None,), ("organic chemistry lab",)], "p string")
