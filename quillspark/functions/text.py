@@ -192,11 +192,18 @@ def garbage(text: Column, formulas_exempt: bool = True) -> Column:
 def scripts(text: Column) -> Column:
     """Shares of Latin, Devanagari, Gujarati and other characters, without white space and digits; all 0 for none."""
     text = F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(text, r"[\s\p{Nd}]", "")
-    n = F.length(bare)
-    latin, devanagari, gujarati = (F.regexp_count(bare, F.lit(p)) for p in (r"[A-Za-z\x{c0}-\x{ff}]", r"[\x{0900}-\x{097f}]", r"[\x{0a80}-\x{0aff}]"))
-    share = lambda x: F.when(n > 0, F.round(x / n, 3)).otherwise(0.0)
-    return F.struct(share(latin).alias("latin"), share(devanagari).alias("devanagari"), share(gujarati).alias("gujarati"), share(n - latin - devanagari - gujarati).alias("other"))
+    bare = F.regexp_replace(text, r"[\s\p{Nd}]+", "")
+    # runs are taken out whole (what counts matches lists all characters), and each text is gone through once for each
+    # script, since the values are bound before they are named again
+    without = lambda t, p: F.length(F.regexp_replace(t, p, ""))
+    left = {"latin": r"[A-Za-z\x{c0}-\x{ff}]+", "devanagari": r"[\x{0900}-\x{097f}]+", "gujarati": r"[\x{0a80}-\x{0aff}]+"}
+    counts = let(bare, lambda t: F.struct(F.length(t).alias("n"), *((F.length(t) - without(t, p)).alias(name) for name, p in left.items())))
+
+    def shares(c: Column) -> Column:
+        share = lambda x: F.when(c["n"] > 0, F.round(x / c["n"], 3)).otherwise(0.0)
+        return F.struct(*(share(c[name]).alias(name) for name in left), share(c["n"] - c["latin"] - c["devanagari"] - c["gujarati"]).alias("other"))
+
+    return let(counts, shares)
 
 
 def dominant_script(mix: Column) -> Column:
