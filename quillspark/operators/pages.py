@@ -40,7 +40,8 @@ def page_features(pages: DataFrame) -> DataFrame:
     has = lambda parts: F.exists(fonts, lambda f: f.rlike("|".join(map(re.escape, parts))))
     bare = F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
     low = F.lower(text)
-    shown = sum((low.rlike(_whole(re.escape(w))).cast("int") for w in LEGACY_WORDS), F.lit(0))
+    # a plain search for the word goes before that for its borders
+    shown = sum(((low.contains(w) & low.rlike(_whole(re.escape(w)))).cast("int") for w in LEGACY_WORDS), F.lit(0))
     boxes = F.coalesce("pictures", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
     side = lambda a, b: F.greatest(F.lit(0.0), b - a)
     area = F.aggregate(boxes, F.lit(0.0), lambda s, b: s + F.coalesce(side(b["x0"], b["x1"]) * side(b["y0"], b["y1"]), F.lit(0.0)))
