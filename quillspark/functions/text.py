@@ -95,8 +95,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def is_shifted(text: Column) -> Column:
     """Whether a text of 25 characters or more holds two or more words of a font shifted by three letters."""
-    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z\\\[\]]{2,})"), F.lit(1))
-    return (F.length(text) >= 25) & (F.size(F.filter(words, lambda w: F.lower(w).isin(SHIFTED_WORDS))) >= 2)
+    part = r"[A-Za-z\\\[\]]"
+    return (F.length(text) >= 25) & (F.regexp_count(text, F.lit(rf"(?<!{part})(?i:{'|'.join(SHIFTED_WORDS)})(?!{part})")) >= 2)
 
 
 # fixed values: a capital that stands apart from its word
@@ -220,8 +220,8 @@ def clean_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     from quillspark.functions.markup import inline_math, single_marks, unshift
 
     steps = [
-        ("caesar_font_unshifted", lambda t: F.when(is_shifted(t), unshift(t)).otherwise(t)), ("drop_caps_merged", merge_drop_caps), ("hyphens_rejoined", rejoin_hyphens), ("symbols_stripped", strip_glyphs),
-        ("fragments_dropped", drop_short_lines), ("math_normalized", inline_math), ("matras_deduplicated", lambda t: F.when(t.rlike(r"[\x{0900}-\x{097f}]"), single_marks(t)).otherwise(t)),
+        ("caesar_font_unshifted", lambda t: F.coalesce(unshift(F.when(is_shifted(t), t)), t)), ("drop_caps_merged", merge_drop_caps), ("hyphens_rejoined", rejoin_hyphens), ("symbols_stripped", strip_glyphs),
+        ("fragments_dropped", drop_short_lines), ("math_normalized", inline_math), ("matras_deduplicated", lambda t: F.coalesce(single_marks(F.when(t.rlike(r"[\x{0900}-\x{097f}]"), t)), t)),
     ]
     rows, names = pages.withColumn("_0", F.coalesce(text, F.lit(""))), []
     for k, (name, step) in enumerate(steps):

@@ -114,6 +114,26 @@ def test_tokens(spark, value, want):
     assert one(spark, text.tokens_estimate, value) == [want]
 
 
+def test_scripts_list_no_characters(spark):
+    df = spark.createDataFrame([("ab कખ日 1",), ("",), (None,)], "t string").select(text.scripts(F.col("t")).alias("s"))
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r.s) for r in df.collect()] == [(0.4, 0.2, 0.2, 0.2), (0.0,) * 4, (0.0,) * 4]
+
+
+def test_words_are_lexed_whole():
+    from quillspark.functions.markup import _LEXER, mark_math
+
+    assert len(_LEXER.findall("several words here")) == 5
+    assert mark_math("so x = y1 + 2 holds, ab_c 12b (a+b) x 3 é1") == "so $x = y_{1} + 2$ holds, ab_c 12b $(a + b)$ $x_{3}$ é1"
+
+
+def test_only_suspect_pages_go_to_python(spark):
+    pages = spark.createDataFrame([("plain words that are not shifted",)], "text string")
+    plan = text.clean_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unshift(CASE WHEN" in plan and "single_marks(CASE WHEN" in plan
+    assert one(spark, text.is_shifted, "Wkh fdw DQG more plain words here", "wkhx dqgx and more plain words here", "wkh[ dqg] and more plain words here") == [True, False, False]
+
+
 def test_clean_page(spark):
     page = "T he com-\nmand trianglertSouthern\nq\nthe commandhas been"
     shifted = "wkh fdw dqg wkh grj zlwk vrph"
