@@ -221,10 +221,32 @@ class Cell:
         return out
 
 
-def _pairs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The character pairs of texts, numbered where they repeat in one, and the text of each; sorted by text."""
+#: From this length on the aligner starts no run at a character that makes up over a hundredth of the second text.
+LONG = 200
+#: Characters of the grams that long texts are counted by.
+GRAM = 5
+
+
+def most_runs(text: str) -> float:
+    """In how many runs a text can be aligned to at most, as the second one.
+
+    A run of a long text holds one of its rare characters (n // 100 + 1 times or fewer), or else begins both texts.
+    """
+    if len(text) < LONG:
+        return math.inf
+    often = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)[1]
+    return 1 + int(often[often <= len(text) // 100 + 1].sum())
+
+
+def _pairs_of(texts: list[str], width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The character pairs of texts, numbered where they repeat in one, and the text of each; sorted by text. Grams of
+    another width are hashed, so some may count as equal that are not, but never the other way round."""
     points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) for t in texts]
-    codes = [(p[:-1] << np.uint64(43)) | (p[1:] << np.uint64(22)) for p in points]
+    if width == 2:
+        codes = [(p[:-1] << np.uint64(43)) | (p[1:] << np.uint64(22)) for p in points]
+    else:
+        many = [max(0, len(p) - width + 1) for p in points]
+        codes = [sum((p[i : i + n] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) % 2**64) for i in range(width)), np.zeros(n, np.uint64)) >> np.uint64(22) << np.uint64(22) for p, n in zip(points, many, strict=True)]
     row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
     code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
     order = np.lexsort((code, row))
@@ -246,13 +268,35 @@ class PairIndex:
         self.rows = row[order]
         self.codes, first = np.unique(code[order], return_index=True)
         self.first = np.append(first, len(code))
-
-    def near(self, codes: np.ndarray, size: int) -> np.ndarray:
-        """Places of the texts that share enough pairs with a text of this size that has these pairs."""
+        self.runs = np.array([most_runs(t) for t in texts])
+        code, row = _pairs_of([t if len(t) >= LONG else "" for t in texts], GRAM)
+        order = np.argsort(code, kind="stable")
+        self.gram_rows = row[order]
+        self.grams, first = np.unique(code[order], return_index=True)
+        self.gram_first = np.append(first, len(code))
+
+    def _grams_in(self, grams: np.ndarray) -> np.ndarray:
+        """How many of these grams each long text has."""
+        place = np.searchsorted(self.grams, grams)
+        known = place < len(self.grams)
+        place = place[known][self.grams[place[known]] == grams[known]]
+        lists = [self.gram_rows[x:y] for x, y in zip(self.gram_first[place].tolist(), self.gram_first[place + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(lists), minlength=len(self.size)) if lists else np.zeros(len(self.size), np.int64)
+
+    def near(self, codes: np.ndarray, size: int, grams: np.ndarray | None = None) -> np.ndarray:
+        """Places of the texts that share enough pairs with a text of this size that has these pairs; where its grams are
+        given, and a long text is aligned in few runs, enough grams: a run of k characters holds k - GRAM + 1 of them."""
         share = least_share(self.threshold) - _EPS
         fits = (self.size >= share * size) & (self.size * share <= size) & (self.size > 0) & (size > 0)
         if not fits.any():
             return np.zeros(0, np.int64)
+        if grams is not None:
+            least = self.threshold / 2 * (self.size + size) - (GRAM - 1) * self.runs - _EPS
+            known = least > 0
+            if (fits & known).any():
+                fits &= ~known | (self._grams_in(grams) >= least)
+            if not (fits & ~known).any():
+                return np.flatnonzero(fits)
         need = least_pairs(self.size + size, self.threshold)
         place = np.searchsorted(self.codes, codes)
         known = place < len(self.codes)
@@ -400,8 +444,10 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
         index, out = PairIndex([q.normal for q in others.questions], threshold), []
         code, row = _pairs_of([q.normal for q in mine.questions])
         ends = np.searchsorted(row, np.arange(len(mine.questions) + 1))
+        grams, row = _pairs_of([q.normal for q in mine.questions], GRAM)
+        stops = np.searchsorted(row, np.arange(len(mine.questions) + 1))
         for k, x in enumerate(mine.questions):
-            at = index.near(code[ends[k] : ends[k + 1]], len(x.normal))
+            at = index.near(code[ends[k] : ends[k + 1]], len(x.normal), grams[stops[k] : stops[k + 1]])
             out += hits(x, others, others.likely(mine, k, at, threshold))
         return out
 

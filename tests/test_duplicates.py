@@ -1,6 +1,7 @@
 """The similarity join, greedy choices and pictures against plain loops."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,29 @@ def test_hot_options_need_no_pairs(spark):
     assert got.where("duplicate_of is null").count() == 1 and got.where("duplicate_of = 0").count() == 3999
 
 
+def test_runs_lose_no_pair_of_long_texts():
+    """By the pairs alone most texts of one language stayed; by the runs nearly all that are left are alike."""
+    rng, letters = random.Random(5), "eeeeeettttaaaooiinnsshrdlcumwfgypbvkjxqz      "
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(180, 620))) for _ in range(30)]
+
+    def edited(t):
+        a = list(t)
+        for _ in range(rng.randint(0, len(a) // 7)):
+            i = rng.randrange(len(a))
+            a[i : i + rng.randint(0, 2)] = rng.choice(letters) * rng.randint(0, 2)
+        return "".join(a)
+
+    texts = base + [edited(t) for t in base for _ in range(4)] + [t[: len(t) * 4 // 5] for t in base] + [t[:60] + t[90:] for t in base]
+    index, alike, left, before = PairIndex(texts, 0.8), 0, 0, 0
+    for t in texts:
+        pairs, grams = _pairs_of([t])[0], _pairs_of([t], 5)[0]
+        near, wide = set(index.near(pairs, len(t), grams).tolist()), index.near(pairs, len(t))
+        want = {k for k in wide.tolist() if SequenceMatcher(None, t, texts[k]).ratio() >= 0.8}
+        assert want <= near
+        alike, left, before = alike + len(want), left + len(near), before + len(wide)
+    assert alike > 300 and left < before / 2
+
+
 def test_equal_pairs_are_the_equal_ones(spark):
     rows = spark.createDataFrame([(1, "What is  Light?"), (2, "what is light"), (3, "what is a light"), (4, " "), (5, None), (6, "WHAT, is light!")], "x long, t string")
     found = equal_pairs(rows, rows.withColumnRenamed("x", "y"), "t", "x", "y")
