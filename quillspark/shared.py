@@ -52,3 +52,20 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
         total += r["count"]
     starts = df.sparkSession.createDataFrame(before, "_part long, _start long")
     return ranges.withColumn("_part", part.cast("long")).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place + 1).drop("_at", "_part", "_start")
+
+
+#: Values of a list in `listed`, on average. What two lists give together is held at once, so it is a few thousand rows.
+LIST = 128
+
+
+def listed(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the values of each key (nulls too) as arrays of about LIST of them each."""
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / LIST).alias("_lists"))
+    rows = df.join(counts, F.col(key) == F.col("_key")).withColumn("_list", F.pmod(F.xxhash64(value), "_lists"))
+    # values inside structs, since a list leaves nulls out
+    return rows.groupBy(key, "_list").agg(F.transform(F.collect_list(F.struct(F.col(value).alias("x"))), lambda v: v["x"]).alias(name)).drop("_list")
+
+
+def dealt(lists: DataFrame) -> DataFrame:
+    """Rows of lists dealt evenly over as many tasks as shuffles have, however few bytes they are: each stands for many."""
+    return lists.repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
