@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from quillspark.functions.text import let
 from quillspark.operators.duplicates import first_kept
 from quillspark.operators.relational import approved_only
-from quillspark.shared import materialize, numbered
+from quillspark.shared import dealt, listed, materialize, numbered
 
 
 def interleave(df: DataFrame, topic: str, order: list[str]) -> DataFrame:
@@ -107,7 +109,7 @@ SPEC = "subject_breakdown array<struct<subject:string,marks:double,count:int>>,
 
 def _quotas(tasks: DataFrame, pool: DataFrame) -> DataFrame:
     """(task, id, outcome) of tasks (task, own, marks, n): with marks by their sum (n at most), else the first n round robin
-    over the topics, or all. pool: (own, id, topic_id, difficulty, marks), and each `own` of a task has rows."""
+    over the topics. pool: (own, id, topic_id, difficulty, marks), and each `own` of a task has rows."""
     pool = pool.join(tasks.select("own").distinct(), "own", "left_semi")
     ranked = materialize(_ranked_pool(pool, "own"), "ranked")
     summed = tasks.where("marks > 0").withColumn("units", _units(F.col("marks"))).withColumnRenamed("n", "most")
@@ -118,20 +120,32 @@ def _quotas(tasks: DataFrame, pool: DataFrame) -> DataFrame:
     counted = tasks.where("coalesce(marks, 0) <= 0 and n > 0")
     robin = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("own").orderBy("turn", "topic_id"))).select("own", "id", "rank")
     some = counted.withColumn("rank", F.explode(F.sequence(F.lit(1), "n"))).join(robin, ["own", "rank"]).select("task", "id", F.lit("ok").alias("outcome"))
-    whole = tasks.where("coalesce(marks, 0) <= 0 and coalesce(n, 0) <= 0").join(ranked, "own").select("task", "id", F.lit("ok").alias("outcome"))
-    return solved.unionByName(some).unionByName(whole)
+    return solved.unionByName(some)
 
 
-def _serve_marks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The questions of one paper's entries of marks, each entry in turn taking the first that no earlier one has."""
-    taken: list[int] = []
-    for _, entry in pdf.groupby("k", sort=True):
-        free = entry[entry["id"].notna() & ~entry["id"].isin(taken)].sort_values(["topic_id", "difficulty", "id"]).drop_duplicates("id")
-        n = int(entry["n"].iloc[0])
-        if len(free) < n:
-            return pd.DataFrame({"paper_id": [pdf["paper_id"].iloc[0]], "id": [None], "outcome": [f"too_few:{entry['marks'].iloc[0]:g}:{n}:{len(free)}"]})
-        taken += free["id"].astype("int64").tolist()[:n]
-    return pd.DataFrame({"paper_id": pdf["paper_id"].iloc[0], "id": taken, "outcome": "ok"})
+@F.pandas_udf(StringType())
+def _too_few(marks: pd.Series, n: pd.Series, there: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(k) else f"too_few:{m:g}:{k:.0f}:{x:.0f}" for m, k, x in zip(marks, n, there, strict=True)], dtype=object)
+
+
+def _serve_marks(seen: DataFrame) -> DataFrame:
+    """(paper_id, id, outcome) of the candidates (paper_id, k, marks, n, id, topic_id, difficulty) of the entries of marks of
+    papers, each entry in turn taking the first n that no earlier one has."""
+    order = F.struct(F.col("topic_id").isNull().alias("t"), "topic_id", F.col("difficulty").isNull().alias("d"), "difficulty", "id")
+    entry = seen.repartition("paper_id").groupBy("paper_id", "k").agg(F.first("marks").alias("marks"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), order)))["id"].alias("ids"))
+    start = F.struct(F.array().cast("array<long>").alias("taken"), F.lit(None).cast("struct<marks:double,n:int,there:int>").alias("short"))
+
+    def serve(acc: Column, x: Column) -> Column:
+        def go(free: Column) -> Column:
+            short = F.when(F.size(free) < x["n"], F.struct(x["marks"].alias("marks"), x["n"].alias("n"), F.size(free).alias("there")))
+            return F.struct(F.concat(acc["taken"], F.slice(free, F.lit(1), x["n"])).alias("taken"), F.coalesce(acc["short"], short).alias("short"))
+
+        return let(F.array_except(x["ids"], acc["taken"]), go)
+
+    walked = entry.groupBy("paper_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("k", "marks", "n", "ids"))), start, serve).alias("w"))
+    served = walked.select("paper_id", "w.taken", _too_few("w.short.marks", "w.short.n", "w.short.there").alias("short"))
+    ids = F.when(F.col("short").isNull(), F.col("taken")).otherwise(F.array(F.lit(None).cast("long")))
+    return served.select("paper_id", F.explode(ids).alias("id"), F.coalesce("short", F.lit("ok")).alias("outcome"))
 
 
 def select_for_specifications(specs: DataFrame, pool: DataFrame) -> DataFrame:
@@ -145,9 +159,9 @@ def select_for_specifications(specs: DataFrame, pool: DataFrame) -> DataFrame:
     the outcome of its first entry that fails: no_questions:<subject>, <subject>:<outcome>, too_few:<what>:<asked>:<there>,
     pool_too_small, needs_more_than_max or closest:<marks>. A paper whose pool is empty has no row.
 
-    Pools are ranked once, and papers meet them by rank: no paper's pool is copied, and many papers take one pass.
+    Pools are ranked once, and papers meet them by rank: no paper's pool is copied, and many papers take one pass. Rows of
+    whole pools are written nowhere on their way.
     """
-    paper = specs.schema["paper_id"].dataType.simpleString()
     pool = materialize(pool.withColumn("_own", F.coalesce(F.nullif(F.lower(F.trim("subject")), F.lit("")), F.lit("general"))).withColumn("marks", F.col("marks").cast("double")), "pool")
     specs = specs.join(pool.select("pool_id").distinct(), "pool_id", "left_semi")
     level = F.transform("difficulty_distribution", lambda x: F.struct(F.upper(x["level"]).alias("level"), F.coalesce(x["n"], F.lit(0)).alias("n")))
@@ -175,7 +189,7 @@ def select_for_specifications(specs: DataFrame, pool: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("pool_id", "marks", "format").orderBy("topic_id", "difficulty", "id"))).select("pool_id", "marks", "format", "rank", "id", "topic_id", "difficulty")
     wanted = entry.withColumn("format", F.explode("formats")).withColumn("rank", F.explode(F.sequence(F.lit(1), "most")))
     seen = wanted.join(keyed, ["pool_id", "marks", "format", "rank"], "left").where("id is not null or rank = 1")
-    by_marks = seen.select("paper_id", "k", "marks", "n", "id", "topic_id", "difficulty").groupBy("paper_id").applyInPandas(_serve_marks, f"paper_id {paper}, id long, outcome string")
+    by_marks = _serve_marks(seen.select("paper_id", "k", "marks", "n", "id", "topic_id", "difficulty"))
 
     # sums and counts, of whole pools and of subjects
     asked = part("subjects").select("paper_id", "pool_id", F.posexplode("subject_breakdown").alias("k", "x")).select("paper_id", "pool_id", "k", "x.subject", "x.marks", F.col("x.count").alias("n")).withColumn("_w", F.lower(F.trim(F.coalesce("subject", F.lit("")))))
@@ -192,11 +206,16 @@ def select_for_specifications(specs: DataFrame, pool: DataFrame) -> DataFrame:
     tasks = tasks.unionByName(asked.where("_own is not null").select(task(F.col("k")), "paper_id", "k", own(F.concat(F.lit("="), "_own")), "marks", "n"))
     tasks = materialize(tasks, "tasks")
     pools = pool.withColumn("own", F.explode(F.array(own(every), own(F.concat(F.lit("="), "_own"))))).select("own", "id", "topic_id", "difficulty", "marks")
-    got = materialize(_quotas(tasks.select("task", "own", "marks", "n"), pools).join(tasks.select("task", "paper_id", "k"), "task"), "quotas").select("paper_id", "k", "id", "outcome")
+    every_one = (F.coalesce("marks", F.lit(0.0)) <= 0) & (F.coalesce("n", F.lit(0)) <= 0)
+    got = materialize(_quotas(tasks.where(~every_one).select("task", "own", "marks", "n"), pools).join(tasks.select("task", "paper_id", "k"), "task"), "quotas").select("paper_id", "k", "id", "outcome")
     bad = got.where("outcome <> 'ok'").join(asked.select("paper_id", "k", "subject"), ["paper_id", "k"], "left").select("paper_id", "k", F.when(F.col("k") < 0, F.col("outcome")).otherwise(F.concat_ws(":", F.coalesce("subject", F.lit("")), "outcome")).alias("outcome"))
     short = refused(bad.unionByName(unknown), F.col("outcome"))
     by_quota = got.where("outcome = 'ok'").select("paper_id", "id", "outcome").join(short, "paper_id", "left_anti").unionByName(short)
-    return by_level.unionByName(by_marks).unionByName(by_quota)
+    # whole pools: lists of papers meet lists of questions, and rows are made where they are used
+    papers = listed(tasks.where(every_one).join(short, "paper_id", "left_anti"), "own", "paper_id", "papers")
+    ids = listed(pools.join(tasks.where(every_one).select("own").distinct(), "own", "left_semi"), "own", "id", "ids")
+    by_pool = dealt(papers.join(ids, "own").select("papers", "ids")).select("papers", F.explode("ids").alias("id")).select(F.explode("papers").alias("paper_id"), "id", ok)
+    return by_level.unionByName(by_marks).unionByName(by_quota).unionByName(by_pool)
 
 
 def select_for_specification(pool: DataFrame, spec: dict) -> tuple[DataFrame, str | None]:

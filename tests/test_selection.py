@@ -209,3 +209,21 @@ def test_teacher_workbook(spark, tmp_path):
 def test_header_rules_agree(spark, headers, rules):
     got = spark.createDataFrame([(headers,)], "h array<string>").select(workbooks._columns(F.col("h"), rules).alias("m")).first().m
     assert got == workbooks.columns_of(headers, rules)
+
+
+def test_whole_pools_are_not_written_on_their_way(spark, monkeypatch):
+    written = []
+
+    def counted(df, label, kept=select.materialize):
+        out = kept(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(select, "materialize", counted)
+    pool = spark.range(300).selectExpr("0 AS pool_id", "id", "id % 3 AS topic_id", "'EASY' AS difficulty", "1.0D AS marks", "'MCQ' AS question_type", "'s' AS subject", "id AS position")
+    specs = spark.createDataFrame([(p, 0, None, None, [(1.0, 2, []), (1.0, 3 if p else 400, ["MCQ"])] if p < 2 else None, None, None) for p in range(202)], f"paper_id long, pool_id int, {select.SPEC}")
+    got = select.select_for_specifications(specs, pool)
+    assert got.where("paper_id > 1").distinct().count() == got.where("paper_id > 1").count() == 60000
+    assert got.where("paper_id = 0").collect() == [(0, None, "too_few:1:400:298")]
+    assert sorted(r.id for r in got.where("paper_id = 1").collect()) == [0, 3, 6, 9, 12]
+    assert sum(written) < 5000
