@@ -36,6 +36,8 @@ BOOST_TEXT = 0.65
 
 #: Characters on each side of a cell, and in a task at about the most.
 CELL_CHARS, TASK_CHARS = 1 << 19, 1 << 23
+#: Questions with fewer characters than this in all are sent to every task.
+SENT_CHARS = 1 << 19
 #: Bins of characters and of stems in which texts are counted, so that bounds come from whole arrays.
 CHAR_BINS, STEM_BINS = 64, 128
 #: For each 64 characters of a text, how many others it must be compared with for this to go side by side.
@@ -473,6 +475,52 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
     return found.distinct()
 
 
+def _near_few(asked: list[Question], right: DataFrame, threshold: float, rule) -> DataFrame:
+    """(a, b, score, reason) as `_near` finds them without options, for questions that every task can hold: no row of `right`
+    is moved. The threshold must say something of stems."""
+    share = least_jaccard(threshold)
+    sent = right.sparkSession.sparkContext.broadcast([(q.key, q.normal, q.stems) for q in asked])
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = Cell([Question(k, None, n, s) for k, n, s in sent.value])
+        cut = []
+        for width in (2, GRAM):
+            code, row = _pairs_of([q.normal for q in mine.questions], width)
+            cut.append(np.split(code, np.searchsorted(row, np.arange(1, len(mine.questions)))))
+        many, having = np.array([len(set(q.stems)) for q in mine.questions]), {}
+        for k, q in enumerate(mine.questions):
+            for w in set(q.stems):
+                having.setdefault(w, []).append(k)
+
+        def by_stems(others: Cell) -> list[list[int]]:
+            """For each question the places of the texts whose stems overlap by `share`."""
+            out = [[] for _ in mine.questions]
+            for i, q in enumerate(others.questions):
+                own = set(q.stems)
+                met = [having[w] for w in own if w in having]
+                if met and len(met) >= share * len(own):
+                    both = np.bincount(np.concatenate(met), minlength=len(many))
+                    for k in np.flatnonzero((both > 0) & (both >= share * (many + len(own) - both))).tolist():
+                        out[k].append(i)
+            return out
+
+        for pdf in parts:
+            found = []
+            # texts of like length together, so that most questions pass most of them by
+            bands = np.floor(2 * np.log(np.maximum(pdf["n"].str.len(), 1)) / max(0.1, -math.log(least_share(threshold))))
+            for _, rows in pdf.groupby(bands, sort=False):
+                others = _cell(rows)
+                index, stemmed = PairIndex([q.normal for q in others.questions], threshold), by_stems(others)
+                for k, x in enumerate(mine.questions):
+                    at = np.union1d(index.near(cut[0][k], len(x.normal), cut[1][k]), np.array(stemmed[k], np.int64)).astype(np.int64)
+                    for i in others.likely(mine, k, at, threshold).tolist():
+                        if hit := rule(x, others.questions[i], threshold):
+                            found.append((x.key, others.questions[i].key, *hit))
+            yield pd.DataFrame(found, columns=["a", "b", "score", "reason"])
+
+    return right.where("n <> ''").select("c", "n", "s", "o").mapInPandas(match, "a string, b string, score double, reason string")
+
+
 def _contents(df: DataFrame, key: str, text: str, options: str | None, within: Column) -> DataFrame:
     """(w, k, c, n, s, o): each row with its key and its content; equal contents have one c."""
     made = F.lit(None).cast(_OPTIONS)
@@ -489,15 +537,28 @@ def similar_pairs(asked: DataFrame, rows: DataFrame, text: str, key_asked: str,
     """(key_asked, key_rows, score, reason) of every question of `asked` with every row that it duplicates.
 
     options: a map column, for rows with question_type MCQ. stored: the rules for stored questions, else those inside a
-    batch. Neither side is collected or broadcast. A null text counts as empty, and a question without text asks nothing.
+    batch. Questions without options and with less than SENT_CHARS characters in all are sent to every task, and only texts
+    that equal ones are folded by move; otherwise neither side is collected or broadcast. A null text counts as empty, and a
+    question without text asks nothing.
     """
     everywhere = F.lit("")
-    members = [materialize(_contents(df, key, text, options, everywhere), "contents") for df, key in ((asked, key_asked), (rows, key_rows))]
-    left, right = (materialize(m.where(when).select("w", "c", "n", "s", "o").dropDuplicates(["c"]), "texts") for m, when in zip(members, ("n <> ''", "true"), strict=True))
-    found = materialize(_near(left, right, threshold, compare_stored if stored else compare, options is not None), "found")
+    rule = compare_stored if stored else compare
+    contents = [_contents(df, key, text, options, everywhere) for df, key in ((asked, key_asked), (rows, key_rows))]
+    members = [materialize(contents[0], "contents")]
+    left = materialize(members[0].where("n <> ''").select("w", "c", "n", "s", "o").dropDuplicates(["c"]), "texts")
+    few = options is None and least_jaccard(threshold) > 0 and (left.agg(F.sum(F.length("n") + 32)).first()[0] or 0) < SENT_CHARS
+    if few:
+        members.append(contents[1])
+        right, made = contents[1].select("c", "n", "s", "o").dropDuplicates(["c"]), [left]
+        found = _near_few([Question(r.c, None, r.n, list(r.s)) for r in left.select("c", "n", "s").collect()], right, threshold, rule)
+    else:
+        members.append(materialize(contents[1], "contents"))
+        right = materialize(members[1].select("w", "c", "n", "s", "o").dropDuplicates(["c"]), "texts")
+        found, made = _near(left, right, threshold, rule, options is not None), [left, right, members[1]]
+    found = materialize(found, "found")
     a, b = members[0].select(F.col("c").alias("a"), F.col("k").alias(key_asked)), members[1].select(F.col("c").alias("b"), F.col("k").alias(key_rows))
-    out = materialize(found.join(a, "a").join(b, "b").select(key_asked, key_rows, "score", "reason"), "pairs")
-    for df in (*members, left, right, found):
+    out = materialize(found.join(b, "b").join(a, "a").select(key_asked, key_rows, "score", "reason"), "pairs")
+    for df in (members[0], *made, found):
         discard(df)
     return out
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_question, stems
-from quillspark.operators import documents
+from quillspark.operators import documents, duplicates
 from quillspark.operators.duplicates import PairIndex, Question, _pairs_of, compare, compare_stored, equal_pairs, first_kept, greedy_unique, least_jaccard, least_pairs, option_similarity, similar_pairs
 
 WORDS = "force mass energy motion velocity current voltage cell membrane photosynthesis triangle angle fraction decimal acid base metal river climate treaty empire parliament budget market price grammar verb noun planet orbit gravity friction pressure volume density".split()
@@ -202,3 +202,24 @@ def test_pictures_like_the_plain_walk(spark, near):
     got = documents.first_pictures(frame, near=near)
     assert got.columns == ["doc_id", "position", "dhash", "kept_by", "kept"] and got.count() == len(rows)
     assert {(r.doc_id, r.position) for r in got.where("kept").collect()} == want
+
+
+def test_few_questions_go_to_the_rows(spark, monkeypatch):
+    """The same pairs as through cells, and no row is written but those that are found."""
+    rng, words = random.Random(3), "river stone mountain light water forest animal window garden letter market paper".split()
+    said = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    said += [t.replace("stone", "stones").replace("water", "waters") for t in said[:40]] + [" ".join(reversed(t.split())) for t in said[:40]] + said[:10] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(said)), "row_id long, text string")
+    asked = spark.createDataFrame([(k, said[k]) for k in range(0, 60)] + [(90, ""), (91, None)], "item_id long, text string")
+    written = []
+
+    def counted(df, label, kept=duplicates.materialize):
+        out = kept(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(duplicates, "materialize", counted)
+    few = sorted(similar_pairs(asked, rows, "text", "item_id", "row_id").collect())
+    assert all(n < 100 or label in ("found", "pairs") for label, n in written)
+    monkeypatch.setattr(duplicates, "SENT_CHARS", 0)
+    assert few == sorted(similar_pairs(asked, rows, "text", "item_id", "row_id").collect()) and len(few) > 70
