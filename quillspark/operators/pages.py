@@ -253,7 +253,11 @@ def articles(sections: DataFrame, page: list[str]) -> DataFrame:
     walked = rows.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("x")).withColumn("m", F.aggregate("x", start, step)["out"])
     parts = walked.select(*page, F.explode(F.arrays_zip("x", "m")).alias("z")).select(*page, "z.x.*", "z.m.*")
 
-    # a notice holds for the article that was open when it was read, even if its section begins the next one
+    # a notice holds for the article that was open when it was read; if its section begins the next one, a row of its own
+    # takes it there, so that nothing is joined
+    apart = F.col("_on").isNotNull() & (F.col("ends") != F.col("article"))
+    parts = parts.withColumn("_apart", apart).withColumn("_sent", F.explode(F.when(F.col("_apart"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    parts = parts.withColumns({"article": F.when(F.col("_sent"), F.col("ends")).otherwise(F.col("article")), "role": F.when(F.col("_sent"), "none").otherwise(F.col("role")), "_on": F.when(~F.col("_apart") | F.col("_sent"), F.col("_on"))})
     told = F.when(F.col("role") == "body", F.col("text")).when((F.col("role") == "headline") & (F.length("heading") > 0) & (F.length("text") > 0) & (F.col("text") != F.col("heading")), F.col("text")).when((F.col("role") == "byline") & (F.length("_rest") > 0), F.col("_rest"))
     of = lambda value, when: F.min_by(F.when(when, value), F.when(when, F.col("place")))
     corner = lambda k, f: f(F.when(F.col("role") != "none", F.get("bbox", F.lit(k))))
@@ -262,9 +266,9 @@ def articles(sections: DataFrame, page: list[str]) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(told.isNotNull(), F.struct("place", told.alias("t"))))), lambda x: x["t"]).alias("told"),
         of(F.col("column_index"), F.col("role") == "headline").alias("column_index"), F.array_sort(F.collect_list(F.when(F.col("role") != "none", F.col("place")))).alias("sections"),
         corner(0, F.min).alias("x0"), corner(1, F.min).alias("y0"), corner(2, F.max).alias("x1"), corner(3, F.max).alias("y1"),
+        F.max_by("_on", F.when(F.col("_on").isNotNull(), F.col("place"))).alias("continues_on_page"),
     )
-    on = parts.where("_on is not null").groupBy(*page, F.col("ends").alias("article")).agg(F.max_by("_on", "place").alias("continues_on_page"))
-    made = made.where("title is not null or size(told) > 0").join(on, [*page, "article"], "left")
+    made = made.where("title is not null or size(told) > 0")
     body = _stripped(F.array_join("told", "\n\n"))
     named = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.substring(F.col("body"), 1, 60), F.lit("...")))
     made = made.withColumn("body", body).withColumn("headline", F.coalesce(named, F.concat(F.substring(F.col("body"), 1, 60), F.lit("..."))))

@@ -107,3 +107,11 @@ def test_articles(spark):
     assert [tuple(r)[4:7] for r in pages.articles(bare, ["doc", "page"]).collect()] == [(more[0][:60] + "...", "", more[0])]
     assert all(r[3].startswith(f"art_p{k[1]}_") and len(r[3]) == 15 for k, r in got.items())
     assert ("c", 5, 1) not in got and ("c", 6, 1) not in got
+
+
+def test_articles_move_their_texts_once(spark):
+    columns = "doc_id long, reading int, section_type string, heading string, text string, column_index int, bbox array<double>"
+    said = ["ONE HEADLINE HERE", "Some text of it. See page 4", "ANOTHER HEADLINE", "More text, continued on page 7.", "By Asha Sharma", "The end."]
+    got = pages.articles(spark.createDataFrame([(3, k, "PARAGRAPH", "", t, 1, None) for k, t in enumerate(said)], columns), ["doc_id"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.article, r.headline, r.continues_on_page) for r in got.orderBy("article").collect()][:2] == [(1, "ONE HEADLINE HERE", 4), (2, "ANOTHER HEADLINE", 7)]
