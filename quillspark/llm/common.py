@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.shared import discard, materialize, numbered, shared_dir  # noqa: F401
+from quillspark.shared import discard, materialize, materialize_bucketed, numbered, shared_dir  # noqa: F401
 
 #: Bytes of text handled at once inside a task; bounds the numpy arrays, whatever the length of an Arrow batch.
 SLICE_BYTES = 1 << 20

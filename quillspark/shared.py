@@ -30,9 +30,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def materialize_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """`materialize`, in buckets of the key: a join on it moves only the other side. For this the table is in the catalog."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(f"spark_catalog.default.{name}")
+    out = spark.table(f"spark_catalog.default.{name}")
+    out.quill_path, out.quill_table = path, f"spark_catalog.default.{name}"
+    return out
+
+
 def discard(df: DataFrame | None) -> None:
-    """Remove a table made by `materialize` that nothing reads any more."""
+    """Remove a table made by `materialize` or `materialize_bucketed` that nothing reads any more."""
     path = getattr(df, "quill_path", None)
+    if hasattr(df, "quill_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.quill_table}")
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,12 +1,15 @@
 """Language, toxicity and language-model operators: held-out accuracy, determinism and odd inputs."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, lm, toxicity
-from quillspark.llm.common import held_out
+from quillspark.llm.common import discard, held_out, materialize_bucketed
 
 ODD = [(1, None, "en"), (2, "", "en"), (3, "123 !?", None), (4, "a" * 200_000, "de"), (5, "the same", "fr"), (5, "the same", "fr")]
 
@@ -145,6 +148,53 @@ def test_dealing_does_not_depend_on_files(spark, docs):
     assert np.allclose(one["flat"], many["flat"], atol=1e-6)
 
 
+def test_shards_stay_where_they_are_scored(spark, docs, monkeypatch):
+    """Only the totals of windows move by shard, and what is dealt has as few bytes as its values need."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100_000)
+    model = lm.fit(docs.limit(0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lm.score(docs, model)._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [shard" in plan and plan.count("Exchange hashpartitioning(shard") == 1
+    rng = np.random.default_rng(4)
+    for most, width in ((1, 1), (255, 1), (256, 2), (2**19 - 1, 3), (2**62, 8)):
+        x = np.append(rng.integers(0, most, 50, endpoint=True), most)
+        assert len(lm.planes(x)) == 1 + 51 * width
+        assert (lm.from_planes(pa.array([b"", lm.planes(x)]), 1) == x).all()
+    assert len(lm.from_planes(pa.array([lm.planes(np.zeros(0, np.int64))]), 0)) == 0
+
+
+def test_tables_in_buckets_leave_nothing(spark):
+    table = materialize_bucketed(spark.range(20), "numbers", "id", 3)
+    assert table.count() == 20
+    name, path = table.quill_table, table.quill_path.removeprefix("file://")
+    assert spark.catalog.tableExists(name) and os.path.isdir(path)
+    discard(table)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path)
+
+
+def test_probabilities_of_large_outputs():
+    """Outputs beyond what exp can hold, and below it."""
+    rng = np.random.default_rng(3)
+    for scale in (1, 40, 400):
+        flat = (lm.start(np.ones(lm.PAD)) * scale).astype(np.float32)
+        context, target = rng.integers(0, lm.PAD + 1, (200, 4)), rng.integers(0, lm.PAD, 200)
+        exact = lm.log_probabilities(lm.unpack(flat.astype(np.float64)), context, target)
+        p = lm.unpack(flat.astype(np.float64))
+        h = np.tanh(p["embed"][context].reshape(200, -1) @ p["inner"] + p["inner_bias"])
+        z = h @ p["class"] + p["class_bias"]
+        for i, t in enumerate(target):
+            own = t // lm.GROUP if t < lm.WORDS else t - lm.WORDS + lm.GROUPS
+            want = z[i, own] - np.logaddexp.reduce(z[i])
+            if t < lm.WORDS:
+                y = h[i] @ p["word"][own] + p["word_bias"][own]
+                want += y[t % lm.GROUP] - np.logaddexp.reduce(y)
+            assert exact[i] == pytest.approx(want, rel=1e-9)
+        assert np.isfinite(lm.log_probabilities(lm.unpack(flat), context, target)).all()
+
+
 def test_every_token_is_trained_on(spark):
     """One-word texts, equal first words and texts of any length: each token is a training target once."""
     rows = [(i, " ".join(["same", *(f"w{k}" for k in range(i % 40))])) for i in range(120)] + [(200 + i, f"lone{i}") for i in range(30)]
