@@ -149,14 +149,16 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word.astype(np.int32), share.astype(np.float32)
 
 
-def around(words: np.ndarray, bounds: np.ndarray, pad: int) -> np.ndarray:
-    """The 2 * SIDE neighbours of each token; `pad` beyond the ends of its document."""
+def around(words: np.ndarray, bounds: np.ndarray, pad: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The 2 * SIDE neighbours of each token, or of those given; `pad` beyond the ends of its document."""
     rows = len(bounds) - 1
     # SIDE places before each document and after the last one
     at = np.arange(len(words)) + SIDE * (np.repeat(np.arange(rows), np.diff(bounds)) + 1)
     spaced = np.full(len(words) + SIDE * (rows + 1), pad, np.int32)
     spaced[at] = words
-    out = np.empty((len(words), 2 * SIDE), np.int32)
+    if of is not None:
+        at = at[of]
+    out = np.empty((len(at), 2 * SIDE), np.int32)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         out[:, k] = spaced[at + step]
     return out
@@ -313,10 +315,10 @@ def fit_shards(packed: DataFrame) -> dict:
                 if not len(words):
                     continue
                 own, adam = sent.value[words], Adam(begin.value)
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 # the first masked token differs from text to text; over all rounds each token is masked once
-                masked = np.flatnonzero((np.arange(len(own)) - bounds[row] + words[bounds[row]]) % ROUNDS == turn)
-                context, target = around(own, bounds, PAD)[masked], own[masked]
+                first = words[np.minimum(bounds[:-1], len(words) - 1)] - bounds[:-1]
+                masked = np.flatnonzero((np.arange(len(own)) + np.repeat(first, np.diff(bounds))) % ROUNDS == turn)
+                context, target = around(own, bounds, PAD, masked), own[masked]
                 for a in range(0, len(target), BATCH):
                     adam.step(context[a : a + BATCH], target[a : a + BATCH])
                 if len(masked):
@@ -457,7 +459,7 @@ def score_shards(packed: DataFrame, model: dict) -> DataFrame:
                 # a window with its token has the same probability wherever it is
                 first, number = distinct(part, key)
                 own = m["word"][words]
-                logs = log_probabilities(p, around(own, bounds, PAD)[first], own[first]).astype(np.float64) + m["share"][words[first]]
+                logs = log_probabilities(p, around(own, bounds, PAD, first), own[first]).astype(np.float64) + m["share"][words[first]]
                 base = np.searchsorted(part[first], np.arange(parts))
                 found = row.column("known")[0].values
                 if found is not None:

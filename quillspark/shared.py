@@ -43,9 +43,9 @@ def materialize_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> D
 
 def discard(df: DataFrame | None) -> None:
     """Remove a table made by `materialize` or `materialize_bucketed` that nothing reads any more."""
-    path = getattr(df, "quill_path", None)
-    if hasattr(df, "quill_table"):
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.quill_table}")
+    path, name = getattr(df, "quill_path", None), getattr(df, "quill_table", None)
+    if name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
