@@ -278,10 +278,10 @@ class Adam:
             weight = gradient(e, place[a:z], n)
             np.matmul((h[a:z] * weight).T, e, out=grad["words"][k])
             dh[a:z] += weight * (e @ p["word"][k].T)
-        h = h[:, :-1]
-        dh *= 1 - h * h
+        slope = h[:, :-1] ** 2
+        dh *= np.subtract(1, slope, out=slope)
         np.matmul(x.T, dh, out=grad["inner"])
-        grad["inner_bias"][:] = dh.sum(axis=0)
+        np.matmul(np.ones(n, dh.dtype), dh, out=grad["inner_bias"])
         dx, cell = p["inner"] @ dh.T, context.T.astype(np.int64).ravel()
         for k in range(SIZE):
             grad["embed"][:, k] = np.bincount(cell, dx[k::SIZE].ravel(), PAD + 1)
