@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -40,9 +41,14 @@ CELL_CHARS, TASK_CHARS = 1 << 19, 1 << 23
 SENT_CHARS = 1 << 19
 #: Bins of characters and of stems in which texts are counted, so that bounds come from whole arrays.
 CHAR_BINS, STEM_BINS = 64, 128
+#: Bins of stems, and pairs of characters (the commonest), whose counts are multiplied for all texts of two cells at once.
+WORD_BINS, COMMON_PAIRS = 1024, 1024
 #: For each 64 characters of a text, how many others it must be compared with for this to go side by side.
 FEW = 25
-_EPS = 1e-9
+#: Characters of a class of characters, about, and how many classes there are at most; how many pairs it takes to look at
+#: classes, and how many go side by side.
+CLASS_CHARS, MOST_CLASSES, FEWEST, LANES = 48, 8, 8, 1 << 13
+_EPS, _SLACK = 1e-9, 1e-5
 
 
 def _alike(a: str, b: str, x: list[str], y: list[str]) -> float:
@@ -115,6 +121,12 @@ def least_share(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
+def least_reach(threshold: float) -> float:
+    """How short a text may be beside another for any way to reach the threshold, however far their stems overlap."""
+    least = min(threshold, (threshold - JACCARD - OVERLAP) / ALIGNED)
+    return least_share(least) if least > 0 else 0.0
+
+
 def least_pairs(chars: np.ndarray | int, threshold: float) -> np.ndarray:
     """Character pairs that two texts with so many characters in all must share.
 
@@ -147,14 +159,59 @@ def _lcs(a: str, b: str, least: float = 0) -> int:
 class Cell:
     """Questions that others are held against, with what bounds their similarity from above."""
 
-    def __init__(self, questions: list[Question]):
-        self.questions = questions
-        points = [np.frombuffer(q.normal.encode("utf-32-le"), np.uint32) for q in questions]
-        self.size = np.array([len(p) for p in points], np.int64)
+    def __init__(self, questions: list[Question], order: np.ndarray | None = None):
+        self.questions, self.order, self._made = questions, np.zeros(len(questions), np.int64) if order is None else order, {}
+        self.size = np.array([len(q.normal) for q in questions], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.alphabet, self.flat = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_inverse=True)
-        self.chars = np.stack([np.bincount(p % CHAR_BINS, minlength=CHAR_BINS) for p in points] or [np.zeros(CHAR_BINS)]).astype(np.int32)
-        self.stems = np.stack([np.bincount([zlib.crc32(w.encode()) % STEM_BINS for w in set(q.stems)] or [0], minlength=STEM_BINS) * bool(q.stems) for q in questions] or [np.zeros(STEM_BINS)]).astype(np.int32)
+        points = np.frombuffer("".join(q.normal for q in questions).encode("utf-32-le"), np.uint32)
+        there = np.zeros(int(points.max(initial=0)) + 1, bool)
+        there[points] = True
+        self.alphabet = np.flatnonzero(there).astype(np.uint32)
+        self.flat = (np.cumsum(there) - 1)[points]
+
+    @property
+    def chars(self) -> np.ndarray:
+        bins = lambda q: np.bincount(np.frombuffer(q.normal.encode("utf-32-le"), np.uint32) % CHAR_BINS, minlength=CHAR_BINS)
+        return self.made("chars", lambda: np.stack([bins(q) for q in self.questions] or [np.zeros(CHAR_BINS)]).astype(np.int32))
+
+    @property
+    def stems(self) -> np.ndarray:
+        bins = lambda q: np.bincount([zlib.crc32(w.encode()) % STEM_BINS for w in set(q.stems)] or [0], minlength=STEM_BINS) * bool(q.stems)
+        return self.made("stems", lambda: np.stack([bins(q) for q in self.questions] or [np.zeros(STEM_BINS)]).astype(np.int32))
+
+    def made(self, what, make: Callable):
+        """What `make` gives, made once."""
+        if what not in self._made:
+            self._made[what] = make()
+        return self._made[what]
+
+    @property
+    def runs(self) -> np.ndarray:
+        return self.made("runs", lambda: np.array([most_runs(q.normal) for q in self.questions], np.float32))
+
+    def grams(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of all texts and the text of each, sorted by gram."""
+
+        def make():
+            code, row = _grams([q.normal for q in self.questions], width)
+            order = np.argsort(code, kind="stable")
+            code, row = code[order], row[order]
+            code |= _again(code, row).astype(np.uint64)
+            order = np.argsort(code, kind="stable")
+            return code[order], row[order].astype(np.int32)
+
+        return self.made(width, make)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the distinct stems by bins, and of all."""
+
+        def make():
+            sets = [set(q.stems) for q in self.questions]
+            bins = np.array([k * WORD_BINS + zlib.crc32(w.encode()) % WORD_BINS for k, x in enumerate(sets) for w in x], np.int64)
+            counts = np.bincount(bins, minlength=len(sets) * WORD_BINS).reshape(len(sets), WORD_BINS)
+            return counts.astype(np.float32), np.array([len(x) for x in sets], np.float32)
+
+        return self.made("words", make)
 
     def _aligned_at_least(self, other: Cell, k: int, at: np.ndarray, least: float) -> np.ndarray:
         """How much must be aligned for the similarity to reach `least`, given how far the stems overlap at most."""
@@ -172,8 +229,90 @@ class Cell:
         text = other.questions[k].normal
         sizes, need = np.maximum(self.size[at] + len(text), 1), self._aligned_at_least(other, k, at, least)
         may = 2 * np.minimum(self.chars[at], other.chars[k]).sum(axis=1) >= need * sizes
-        at, sizes, need = at[may], sizes[may], need[may]
-        return at[2 * self._common(text, at, need / 2 * sizes) >= need * sizes] if len(at) else at
+        at, least = at[may], need[may] / 2 * sizes[may]
+        return at[self.reaching(other, np.full(len(at), k), at, least)]
+
+    def reaching(self, other: Cell, asked: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of the pairs of a question `asked` of the other cell and a text `at` of this one have a longest common
+        subsequence of `least` or more; asked is sorted."""
+        left = self._by_classes(other, asked, at, least)
+        out = np.zeros(len(at), bool)
+        for pairs in np.split(left, np.flatnonzero(np.diff(asked[left])) + 1) if len(left) else []:
+            out[pairs] = self._common(other.questions[asked[pairs[0]]].normal, at[pairs], least[pairs]) >= least[pairs]
+        return out
+
+    def _classes(self, many: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The class and the number in it (from 1) of each character, and for each class the numbers of its characters in
+        the order of each text, which is a column, with how many there are."""
+
+        def make():
+            often = np.bincount(self.flat, minlength=len(self.alphabet))
+            of, number, load, used = np.zeros(len(often), np.int64), np.zeros(len(often), np.int64), [0] * many, [0] * many
+            for c in np.argsort(-often, kind="stable").tolist():
+                k = load.index(min(load))
+                used[k] += 1
+                of[c], number[c], load[k] = k, used[k], load[k] + int(often[c])
+            row, out = np.repeat(np.arange(len(self.size)), self.size), []
+            for k in range(many):
+                ours = of[self.flat] == k
+                have = np.bincount(row[ours], minlength=len(self.size))
+                held = np.zeros((int(have.max(initial=0)), len(self.size)), np.uint8 if used[k] < 256 else np.int32)
+                held[np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have), row[ours]] = number[self.flat[ours]]
+                out.append((held, have))
+            return of, number, out
+
+        return self.made(("classes", many), make)
+
+    def _by_classes(self, other: Cell, asked: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of these pairs may have a common subsequence of `least`: what is common has no more characters of a class
+        of characters than the longest one of these alone, which are few enough for the bits of one word."""
+        by, out = np.ceil(other.size / CLASS_CHARS).astype(np.int64)[asked], []
+        for many in np.unique(by).tolist():
+            pairs = np.flatnonzero(by == many)
+            if len(pairs) < FEWEST or not 0 < many <= MOST_CLASSES:
+                out.append(pairs)
+                continue
+            of, number, classes = self._classes(many)
+            size = int(number.max()) + 1
+            first, last = int(asked[pairs[0]]), int(asked[pairs[-1]]) + 1
+            point = other.alphabet[other.flat[other.start[first] : other.start[last - 1] + other.size[last - 1]]]
+            row = np.repeat(np.arange(last - first), other.size[first:last])
+            place = np.minimum(np.searchsorted(self.alphabet, point), len(self.alphabet) - 1)
+            known = self.alphabet[place] == point
+            place, row = place[known], row[known]
+            tables, mine = [], []
+            for k in range(many):
+                ours = of[place] == k
+                count = np.bincount(row[ours], minlength=last - first)
+                bit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                table = np.zeros((last - first) * size, np.uint64)
+                fits = bit < 64
+                np.bitwise_or.at(table, (row[ours] * size + number[place[ours]])[fits], np.uint64(1) << bit[fits].astype(np.uint64))
+                tables.append(table)
+                mine.append(count)
+            for some in np.split(pairs, range(LANES, len(pairs), LANES)):
+                x, y, need = asked[some] - first, at[some], least[some]
+                most = [np.minimum(have[y], count[x]) for count, (_, have) in zip(mine, classes, strict=True)]
+                total = sum(most)
+                left = np.flatnonzero(total >= need)
+                for table, count, (held, have), bound in zip(tables, mine, classes, most, strict=True):
+                    if not len(left):
+                        break
+                    base, row_of = x[left] * size, np.full(len(left), np.uint64(2**64 - 1))
+                    index, both = np.empty(len(left), np.int64), np.empty(len(left), np.uint64)
+                    for step in held[: int(have[y[left]].max()), y[left]]:
+                        np.add(base, step, out=index)
+                        met = table[index]
+                        met &= row_of
+                        np.add(row_of, met, out=both)
+                        row_of -= met
+                        row_of |= both
+                    # a character without a bit leaves all bits set, so behind the 64th they are counted as met
+                    met = 64 - np.bitwise_count(row_of).astype(np.int64) + np.maximum(count[x[left]] - 64, 0)
+                    total[left] += np.minimum(met, bound[left]) - bound[left]
+                    left = left[total[left] >= need[left]]
+                out.append(some[left])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
     def _common(self, text: str, at: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
         """The longest common subsequences of a text with those at `at`, each as `_lcs` finds it: many at a time side by
@@ -240,24 +379,34 @@ def most_runs(text: str) -> float:
     return 1 + int(often[often <= len(text) // 100 + 1].sum())
 
 
-def _pairs_of(texts: list[str], width: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The character pairs of texts, numbered where they repeat in one, and the text of each; sorted by text. Grams of
-    another width are hashed, so some may count as equal that are not, but never the other way round."""
-    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) for t in texts]
+def _grams(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts as numbers with 22 free bits, and the text of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    many = max(0, len(points) - width + 1)
+    inside = row[:many] == row[width - 1 :] if many else np.zeros(0, bool)
     if width == 2:
-        codes = [(p[:-1] << np.uint64(43)) | (p[1:] << np.uint64(22)) for p in points]
+        code = (points[:many] << np.uint64(43)) | (points[1:] << np.uint64(22)) if many else np.zeros(0, np.uint64)
     else:
-        many = [max(0, len(p) - width + 1) for p in points]
-        codes = [sum((p[i : i + n] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) % 2**64) for i in range(width)), np.zeros(n, np.uint64)) >> np.uint64(22) << np.uint64(22) for p, n in zip(points, many, strict=True)]
-    row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-    code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-    order = np.lexsort((code, row))
-    code, row = code[order], row[order]
+        code = sum((points[i : i + many] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) % 2**64) for i in range(width)), np.zeros(many, np.uint64)) >> np.uint64(22) << np.uint64(22)
+    return code[inside], row[:many][inside]
+
+
+def _again(code: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each gram was in its text before; equal ones of a text stand together."""
     fresh = np.ones(len(code), bool)
     fresh[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
     starts = np.flatnonzero(fresh)
-    again = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
-    return code | again.astype(np.uint64), row
+    return np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+
+
+def _pairs_of(texts: list[str], width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The character pairs of texts, numbered where they repeat in one, and the text of each; sorted by text. Grams of
+    another width are hashed, so some may count as equal that are not, but never the other way round."""
+    code, row = _grams(texts, width)
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    return code | _again(code, row).astype(np.uint64), row
 
 
 class PairIndex:
@@ -318,14 +467,130 @@ class PairIndex:
         return np.flatnonzero(fits)
 
 
+# --- which texts of two cells may be alike ----------------------------------------------------------------------------
+
+#: Questions of a cell that are held against another at a time, and meetings of grams that are counted at once.
+SLICE, COUNTED = 512, 1 << 22
+#: Widths of the grams that texts aligned in few runs are counted by, and how many must be shared for one to be taken.
+GRAMS = ((10, 16), (GRAM, 0))
+
+
+def _grams_shared(mine: Cell, others: Cell, width: int, asks: np.ndarray, held: np.ndarray, first: int) -> np.ndarray:
+    """How many grams the asking ones of the texts from `first` on share with each of the others that are held."""
+    code, row = mine.grams(width)
+    ours = (row >= first) & (row < first + len(asks))
+    code, row = code[ours], row[ours] - first
+    ours = asks[row]
+    code, row = code[ours], row[ours].astype(np.int64)
+    there, rows = others.grams(width)
+    if not held.all():
+        kept = held[rows]
+        there, rows = there[kept], rows[kept]
+    begin, end = np.searchsorted(there, code), np.searchsorted(there, code, side="right")
+    met = end > begin
+    row, begin, many = row[met], begin[met], (end - begin)[met]
+    out = np.zeros(len(asks) * len(held), np.int32)
+    ends = np.cumsum(many)
+    done = 0
+    while done < len(many):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + max(COUNTED, len(out)), side="right")))
+        n = many[done:upto]
+        at = np.arange(n.sum()) + np.repeat(begin[done:upto] - (np.cumsum(n) - n), n)
+        out += np.bincount(np.repeat(row[done:upto] * len(held), n) + rows[at], minlength=len(out)).astype(np.int32)
+        done = upto
+    return out.reshape(len(asks), len(held))
+
+
+def _common_pairs(cell: Cell, known: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the known numbered pairs each text has, and how many others."""
+    last = len(cell.questions) if last is None else last
+    code, row = cell.grams(2)
+    ours = (row >= first) & (row < last)
+    code, row = code[ours], row[ours] - first
+    place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    hit = known[place] == code
+    out = np.zeros((last - first, len(known)), np.float32)
+    out[row[hit], place[hit]] = 1
+    return out, np.bincount(row[~hit], minlength=last - first).astype(np.float32)
+
+
+def _pairs_shared(mine: Cell, others: Cell, first: int, last: int) -> np.ndarray:
+    """How many numbered character pairs texts share at most: the commonest as they are, and the rest by how many there are."""
+
+    def make():
+        code = others.grams(2)[0]
+        if not len(code):
+            return None
+        every, many = np.unique(code, return_counts=True)
+        known = np.sort(every[np.argsort(-many, kind="stable")[:COMMON_PAIRS]])
+        return known, *_common_pairs(others, known)
+
+    made = others.made("pairs", make)
+    if made is None:
+        return np.zeros((last - first, len(others.questions)), np.float32)
+    known, held, rest = made
+    have, more = _common_pairs(mine, known, first, last)
+    return have @ held.T + np.minimum(more[:, None], rest)
+
+
+def may_be_alike(mine: Cell, others: Cell, threshold: float, ordered: bool = False, both: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Each question of a cell with the places of those others whose similarity with it may reach the threshold: what is
+    aligned shares grams, more of them where it is in few runs, and only texts whose stems overlap are alike by a mix.
+    Of these, the longest subsequence decides, which what is aligned can't exceed.
+
+    ordered: only with others before it, which are the second texts; both: with those after it too, where it is second.
+    """
+    share, wide, words = np.float32(least_share(threshold) - _SLACK), np.float32(least_reach(threshold) - _SLACK), least_jaccard(threshold)
+    b = others.size.astype(np.float32)
+    for first in range(0, len(mine.questions), SLICE):
+        last = min(first + SLICE, len(mine.questions))
+        a = mine.size[first:last].astype(np.float32)[:, None]
+        open_ = (a > 0) & (b > 0)
+        runs = np.broadcast_to(others.runs, open_.shape)
+        if ordered:
+            now, then = mine.order[first:last, None], others.order
+            open_ &= now != then if both else now > then
+            if both:
+                runs = np.where(now > then, runs, mine.runs[first:last, None])
+        left = open_ & (b >= share * a) & (b * share <= a)
+        found = np.zeros(open_.shape, bool)
+        for width, enough in GRAMS:
+            if not left.any():
+                break
+            need = np.float32(threshold / 2 - _SLACK) * (a + b) - np.float32(width - 1) * runs
+            may = left & (need > enough)
+            if may.any():
+                met = _grams_shared(mine, others, width, may.any(axis=1), may.any(axis=0), first)
+                found |= may & (met >= need)
+                left &= ~may
+        if left.any():
+            need = np.float32(1.5 * threshold - 1 - _SLACK) * (a + b) - np.float32(1.01)
+            found |= left & (_pairs_shared(mine, others, first, last) >= need)
+        (x, many), (y, most) = mine.words(), others.words()
+        many = many[first:last, None]
+        shared = x[first:last] @ y.T
+        few = np.minimum(many, most)
+        stemmed = open_ & (few > 0) & (b >= wide * a) & (b * wide <= a)
+        found |= stemmed & (shared >= np.float32(words / (1 + words)) * (many + most) - np.float32(0.01))
+        k, at = np.nonzero(found)
+        in_both, least_words = np.minimum(shared[k, at], few[k, at]), few[k, at]
+        mix = JACCARD * in_both / np.maximum(many[k, 0] + most[at] - in_both, 1) + OVERLAP * in_both / np.maximum(least_words, 1)
+        need = np.where(least_words > 0, np.minimum(threshold, (threshold - mix) / ALIGNED), threshold) - _SLACK
+        reach = others.reaching(mine, first + k, at, need / 2 * (a[k, 0] + b[at]))
+        k, at = k[reach], at[reach]
+        for pairs in np.split(np.arange(len(k)), np.flatnonzero(np.diff(k)) + 1) if len(k) else []:
+            yield first + int(k[pairs[0]]), at[pairs]
+
+
 # --- meeting of texts under keys, in cells of bounded size -----------------------------------------------------------
 
-_SIDE = ["g", "c", "n", "s", "o"]
+_SIDE = ["g", "c", "k", "n", "s", "o"]
 
 
 def _cell(pdf: pd.DataFrame) -> Cell:
     options = [[(x["n"], list(x["s"])) for x in o] if o is not None else None for o in pdf["o"]]
-    return Cell([Question(c, None, n, list(s), o) for c, n, s, o in zip(pdf["c"], pdf["n"], pdf["s"], options, strict=True)])
+    order = pdf["k"].to_numpy(np.int64) if "k" in pdf else None
+    return Cell([Question(c, None, n, list(s), o) for c, n, s, o in zip(pdf["c"], pdf["n"], pdf["s"], options, strict=True)], order)
 
 
 def _meet(a: DataFrame, b: DataFrame, find: Callable[[Cell, Cell], list[tuple]]) -> DataFrame:
@@ -353,55 +618,76 @@ def _meet(a: DataFrame, b: DataFrame, find: Callable[[Cell, Cell], list[tuple]])
     return met.repartition(tasks, "task").groupBy("task").applyInPandas(match, "a string, b string, score double, reason string")
 
 
-def _by_length(side: DataFrame, threshold: float, reach: int) -> DataFrame:
-    """Rows with a text under their band of length and `reach` bands on either side; two bands reach any text that fits."""
-    band = 2 * F.ln(F.length("n").cast("double")) / max(0.1, -math.log(least_share(threshold)))
-    bands = F.sequence(F.floor(band - reach - (_EPS if reach else 0)), F.floor(band + reach + (_EPS if reach else 0)))
-    rows = side.where("length(n) > 0").select("*", F.explode(bands).alias("band"))
-    return rows.select(F.concat(F.col("w"), F.lit("/"), F.col("band").cast("string")).alias("g"), "c", "n", "s", "o")
+#: Cells of a group beyond which its texts are written once, as blocks of like length that are read for each other.
+MOST_CELLS = 4
+#: Lengths of a block, as a power of e, and blocks of each side in a task.
+BAND, HELD, ASKING = 0.2, 12, 16
 
 
-def _keyed_by_stems(side: DataFrame, often: DataFrame, share: float) -> DataFrame:
-    """(w, stem, c, ds): rows under the rarest of their distinct stems ds, so many that rows whose stems overlap by `share`
-    have one of them in common.
+def _meet_texts(a: DataFrame, b: DataFrame, find: Callable[..., list[tuple]], reach: float, ordered: bool = False) -> DataFrame:
+    """(a, b, score, reason) of what `find` gives for the rows (w, c, k, n, s, o) of both sides with equal w.
 
-    often: (stem, often) of the asking side. Stems that it lacks come first: they lead nowhere, and a row that has too many
-    of them has no other key.
+    Small groups meet in cells. What these copy grows with the square of a group, so large ones are written once, in blocks,
+    and each task reads some of both sides. reach: how short a text may be beside another; ordered: both sides are the
+    same, and `find` is asked for pairs of a row with those before it, or with those after it too (`both`).
     """
-    rows = side.select("w", "c", F.array_distinct("s").alias("ds"))
-    found = rows.select("w", "c", F.explode("ds").alias("stem")).join(often, "stem", "left").groupBy("w", "c")
-    ranked = found.agg(F.count("*").alias("many"), F.count("often").alias("known"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "stem")))).alias("r"))
-    first = F.col("known") - F.ceil(F.col("many") * share) + 1
-    keys = ranked.where(first > 0).select("w", "c", F.explode(F.slice("r", F.lit(1), first.cast("int"))["stem"]).alias("stem"))
-    return keys.join(rows, ["w", "c"])
+    chars, both_sides = F.sum(F.length("n") + 32), ((a, "in_a"), (b, "in_b"))
+    sizes = [side.groupBy("w").agg(chars.alias(name)) for side, name in both_sides]
+    large = materialize(sizes[0].join(sizes[1], "w").where(F.greatest("in_a", "in_b") > MOST_CELLS * CELL_CHARS).select("w"), "large")
+    if large.isEmpty():
+        discard(large)
+        return _meet(*(side.withColumnRenamed("w", "g") for side, _ in both_sides), find)
+    small = [side.join(large, "w", "left_anti").withColumnRenamed("w", "g") for side, _ in both_sides]
+    asking = _blocks(a.join(large, "w", "left_semi"))
+    held = asking if ordered else _blocks(b.join(large, "w", "left_semi"))
+    count, other = asking.count(), held.count()
+    least = math.isqrt(2 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    # by ranges, so that a task has blocks of like length, all or none of which meet those of another
+    x = asking.repartitionByRange(max(-(-count // ASKING), min(count, least), 1), "w", "block").select(*(F.col(c).alias(f"{c}_a") for c in asking.columns))
+    y = held.repartitionByRange(max(-(-other // HELD), min(other, least), 1), "w", "block").select(*(F.col(c).alias(f"{c}_b") for c in held.columns))
+    meet = (F.col("w_a") == F.col("w_b")) & (F.col("longest_a") >= F.col("shortest_b") * (reach - _SLACK)) & (F.col("longest_b") >= F.col("shortest_a") * (reach - _SLACK))
+    if ordered:
+        meet &= F.col("block_a") >= F.col("block_b")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict = {}
+
+        def cell(side: str, batch: pa.RecordBatch, i: int) -> Cell:
+            name = side, batch["w_a"][i].as_py(), batch[f"block_{side}"][i].as_py()
+            if name in cells:
+                cells[name] = cells.pop(name)
+            else:
+                same = [k for k in cells if k[0] == side]
+                if len(same) >= (2 * HELD if side == "b" else 1):
+                    del cells[same[0]]
+                rows = batch[f"rows_{side}"][i].values
+                cells[name] = _cell(pd.DataFrame({c: rows.field(c).to_pylist() for c in "cknso"}))
+            return cells[name]
+
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                mine, others = cell("a", batch, i), cell("b", batch, i)
+                found += find(mine, others, both=True) if ordered and batch["block_a"][i] != batch["block_b"][i] else find(mine, others)
+            yield pa.RecordBatch.from_pylist([dict(zip(_HIT.names, hit, strict=True)) for hit in found], _HIT)
 
+    # each task pairs some blocks of one side with some of the other, so nothing is copied but what it holds
+    met = x.hint("shuffle_replicate_nl").join(y, meet).select("w_a", "block_a", "block_b", "rows_a", "rows_b")
+    found = met.mapInArrow(match, "a string, b string, score double, reason string")
+    return _meet(*small, find).unionByName(found)
 
-def _by_stems(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
-    """(a, b): the contents of both sides whose stems overlap by `share`."""
-    often = left.select(F.explode(F.array_distinct("s")).alias("stem")).groupBy("stem").agg(F.count("*").alias("often"))
-    sides = [materialize(_keyed_by_stems(side, often, share), "keys") for side in (left, right)]
-    a, b = (x.select("w", "stem", F.col("c").alias(c), F.col("ds").alias(f"s{c}")) for x, c in zip(sides, "ab", strict=True))
-    sizes = F.size("sa") + F.size("sb")
-    fits = F.least(F.size("sa"), F.size("sb")) >= share * F.greatest(F.size("sa"), F.size("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return a.join(b, ["w", "stem"]).where(fits).where(both >= share * (sizes - both)).select("a", "b").distinct()
 
+_HIT = pa.schema([("a", pa.string()), ("b", pa.string()), ("score", pa.float64()), ("reason", pa.string())])
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule, threshold: float) -> DataFrame:
-    """(a, b, score, reason) of the pairs (a, b) that the rule calls the same."""
 
-    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            one, two = (_cell(pdf[[f"{x}{c}" for x in "cnso"]].set_axis(list("cnso"), axis=1)) for c in "ab")
-            found = []
-            for k, x in enumerate(one.questions):
-                if len(two.likely(one, k, np.array([k]), 0.0 if x.options else threshold)) and (hit := rule(x, two.questions[k], threshold)):
-                    found.append((x.key, two.questions[k].key, *hit))
-            yield pd.DataFrame(found, columns=["a", "b", "score", "reason"])
-
-    a, b = (side.select(*(F.col(x).alias(f"{x}{c}") for x in "cnso")) for side, c in ((left, "a"), (right, "b")))
-    whole = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb")).drop("a", "b")
-    return whole.mapInPandas(check, "a string, b string, score double, reason string")
+def _blocks(side: DataFrame) -> DataFrame:
+    """(w, block, shortest, longest, rows): the texts of like length, in blocks of a cell's characters."""
+    size = F.length("n")
+    rows = side.where(size > 0).withColumn("band", F.floor(F.ln(size.cast("double")) / BAND))
+    parts = rows.groupBy("w", "band").agg(F.ceil(F.sum(size + 32) / CELL_CHARS).alias("parts"))
+    block = F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("c"), "parts")
+    cut = rows.join(parts, ["w", "band"]).withColumn("block", block).groupBy("w", "block")
+    return materialize(cut.agg(F.min(size).alias("shortest"), F.max(size).alias("longest"), F.collect_list(F.struct("c", "k", "n", "s", "o")).alias("rows")), "blocks")
 
 
 def _by_options(left: DataFrame, right: DataFrame, apart: bool) -> tuple[DataFrame, DataFrame]:
@@ -426,50 +712,48 @@ def _by_options(left: DataFrame, right: DataFrame, apart: bool) -> tuple[DataFra
         met = met.where("set_a <> set_b or not whole")
     met = met.select("set_a", "set_b").distinct()
     met = materialize(met.select("set_a", "set_b", F.concat("set_a", F.lit("/"), "set_b").alias("g")), "sets")
-    keyed = lambda side, name: side.withColumnRenamed("set", name).join(met, name).select("g", "c", "n", "s", "o")
+    keyed = lambda side, name: side.withColumnRenamed("set", name).join(met, name).select("g", "c", F.lit(0).cast("long").alias("k"), "n", "s", "o")
     return keyed(a, "set_a"), keyed(b, "set_b")
 
 
 _OPTIONS = "array<struct<n: string, s: array<string>>>"
 
 
-def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options: bool = False, apart: bool = False) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options: bool = False, apart: bool = False, ordered: bool = False) -> DataFrame:
     """(a, b, score, reason) of the contents (w, c, n, s, o) that the rule calls the same; those of other w don't meet.
 
-    by_options: the rule looks at options; apart: pairs with equal sets of options may be left out.
+    by_options: the rule looks at options; apart: pairs with equal sets of options may be left out; ordered: both sides
+    are the same, and only the pairs of a content with those of a smaller k are asked for (others may be found too).
     """
-
-    def hits(x: Question, others: Cell, at: np.ndarray) -> list[tuple]:
-        return [(x.key, others.questions[i].key, *hit) for i in at.tolist() if (hit := rule(x, others.questions[i], threshold))]
-
-    def aligned(mine: Cell, others: Cell) -> list[tuple]:
-        index, out = PairIndex([q.normal for q in others.questions], threshold), []
-        code, row = _pairs_of([q.normal for q in mine.questions])
-        ends = np.searchsorted(row, np.arange(len(mine.questions) + 1))
-        grams, row = _pairs_of([q.normal for q in mine.questions], GRAM)
-        stops = np.searchsorted(row, np.arange(len(mine.questions) + 1))
-        for k, x in enumerate(mine.questions):
-            at = index.near(code[ends[k] : ends[k + 1]], len(x.normal), grams[stops[k] : stops[k + 1]])
-            out += hits(x, others, others.likely(mine, k, at, threshold))
+    if not ordered:
+        left, right = (side.withColumn("k", F.lit(0).cast("long")) for side in (left, right))
+
+    def alike(mine: Cell, others: Cell, both: bool = False) -> list[tuple]:
+        out = []
+        for k, at in may_be_alike(mine, others, threshold, ordered, both):
+            for i in at.tolist():
+                x, y = mine.questions[k], others.questions[i]
+                if both and others.order[i] > mine.order[k]:
+                    x, y = y, x
+                if hit := rule(x, y, threshold):
+                    out.append((x.key, y.key, *hit))
         return out
 
     def mixed(mine: Cell, others: Cell, least: float = threshold) -> list[tuple]:
         every, out = np.arange(len(others.questions)), []
         for k, x in enumerate(mine.questions):
-            out += hits(x, others, others.likely(mine, k, every, least))
+            out += [(x.key, others.questions[i].key, *hit) for i in others.likely(mine, k, every, least).tolist() if (hit := rule(x, others.questions[i], threshold))]
         return out
 
     def chosen(mine: Cell, others: Cell) -> list[tuple]:
         # options alone can make two questions of a batch the same; for stored ones the texts must be likely too
         return mixed(mine, others, max(BOOST_TEXT, 2 * threshold - 1) if rule is compare_stored else 0.0)
 
-    share = least_jaccard(threshold)
     equal = left.select("w", "n", F.col("c").alias("a")).join(right.select("w", "n", F.col("c").alias("b")), ["w", "n"]).select("a", "b", F.lit(1.0).alias("score"), F.lit("EXACT_NORMALIZED").alias("reason"))
-    found = equal.unionByName(_meet(_by_length(left, threshold, 2), _by_length(right, threshold, 0), aligned))
-    if share > 0:
-        found = found.unionByName(_verified(_by_stems(left, right, share), left, right, rule, threshold))
+    if least_jaccard(threshold) > 0:
+        found = equal.unionByName(_meet_texts(left, right, alike, least_reach(threshold), ordered))
     else:  # nothing follows for the stems from so low a threshold
-        found = found.unionByName(_meet(*(side.select(F.col("w").alias("g"), "c", "n", "s", "o") for side in (left, right)), mixed))
+        found = equal.unionByName(_meet_texts(left, right, mixed, 0.0))
     if by_options:
         found = found.unionByName(_meet(*_by_options(left, right, apart), chosen))
     return found.distinct()
@@ -631,8 +915,8 @@ def greedy_unique(df: DataFrame, group: str, position: str, text: str, threshold
     rows = materialize(_contents(df, position, text, options, F.coalesce(F.col(group).cast("string"), F.lit("\x00"))).withColumn("k", F.col("k").cast("long")), "contents")
     texts = materialize(rows.groupBy("w", "c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("o").alias("o")), "texts")
     node = F.struct("w", "k").alias("node")
-    contents = texts.select("w", "c", "n", "s", "o")
-    found = _near(contents, contents, threshold, compare, options is not None, apart=True).where("a <> b")
+    contents = texts.select("w", "c", "k", "n", "s", "o")
+    found = _near(contents, contents, threshold, compare, options is not None, apart=True, ordered=True).where("a <> b")
     place = texts.select("c", node)
     edges = found.join(place.select(F.col("c").alias("a"), F.col("node").alias("later")), "a").join(place.select(F.col("c").alias("b"), F.col("node").alias("earlier")), "b")
     edges = materialize(edges.where("later > earlier").select("later", "earlier", "reason"), "edges")

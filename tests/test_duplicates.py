@@ -223,3 +223,26 @@ def test_few_questions_go_to_the_rows(spark, monkeypatch):
     assert all(n < 100 or label in ("found", "pairs") for label, n in written)
     monkeypatch.setattr(duplicates, "SENT_CHARS", 0)
     assert few == sorted(similar_pairs(asked, rows, "text", "item_id", "row_id").collect()) and len(few) > 70
+
+
+def test_large_groups_are_not_copied_for_each_cell(spark, monkeypatch):
+    """Smaller cells give the same firsts, and what is shuffled does not grow with their number."""
+    rng = random.Random(11)
+    syllables = "the ing er an re on at en nd ti es or te of ed is it al ar st to nt".split()
+    said = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(4, 70))) for _ in range(240)]
+    said += [t[:-3] + "xyz" for t in said[:60:2]] + [" ".join(t.split()[1:]) for t in said[60:100:2]] + [" ".join(sorted(t.split())) for t in said[100:120]]
+    rng.shuffle(said)
+    rows = spark.createDataFrame([(k % 9 == 0, k, t) for k, t in enumerate(said)], "g boolean, k long, t string")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    shuffled, got = [], []
+    for chars in (1 << 19, 1 << 11):
+        monkeypatch.setattr(duplicates, "CELL_CHARS", chars)
+        before = moved()
+        got.append(sorted(map(tuple, greedy_unique(rows, "g", "k", "t").collect())))
+        shuffled.append(moved() - before)
+    assert got[0] == got[1] and sum(r[3] is not None for r in got[0]) > 40
+    assert shuffled[1] < 4 * shuffled[0]
+    for g in (True, False):
+        ours = {k: Question(k, t, n, list(s)) for k, t, n, s in rows.where(F.col("g") == g).select("k", "t", normalize_question(F.col("t")), stems(F.col("t"))).collect()}
+        want = plain_greedy(ours, sorted(ours), 0.8)
+        assert {r[1]: (r[3], r[4]) for r in got[0] if r[0] == g} == want
