@@ -167,7 +167,7 @@ class Cell:
         there = np.zeros(int(points.max(initial=0)) + 1, bool)
         there[points] = True
         self.alphabet = np.flatnonzero(there).astype(np.uint32)
-        self.flat = (np.cumsum(there) - 1)[points]
+        self.flat = (np.cumsum(there, dtype=np.int32) - 1)[points]
 
     @property
     def chars(self) -> np.ndarray:
@@ -209,7 +209,7 @@ class Cell:
             sets = [set(q.stems) for q in self.questions]
             bins = np.array([k * WORD_BINS + zlib.crc32(w.encode()) % WORD_BINS for k, x in enumerate(sets) for w in x], np.int64)
             counts = np.bincount(bins, minlength=len(sets) * WORD_BINS).reshape(len(sets), WORD_BINS)
-            return counts.astype(np.float32), np.array([len(x) for x in sets], np.float32)
+            return counts.astype(np.uint16), np.array([len(x) for x in sets], np.float32)
 
         return self.made("words", make)
 
@@ -470,7 +470,7 @@ class PairIndex:
 # --- which texts of two cells may be alike ----------------------------------------------------------------------------
 
 #: Questions of a cell that are held against another at a time, and meetings of grams that are counted at once.
-SLICE, COUNTED = 512, 1 << 22
+SLICE, COUNTED = 128, 1 << 20
 #: Widths of the grams that texts aligned in few runs are counted by, and how many must be shared for one to be taken.
 GRAMS = ((10, 16), (GRAM, 0))
 
@@ -509,7 +509,7 @@ def _common_pairs(cell: Cell, known: np.ndarray, first: int = 0, last: int | Non
     code, row = code[ours], row[ours] - first
     place = np.minimum(np.searchsorted(known, code), len(known) - 1)
     hit = known[place] == code
-    out = np.zeros((last - first, len(known)), np.float32)
+    out = np.zeros((last - first, len(known)), np.uint8)
     out[row[hit], place[hit]] = 1
     return out, np.bincount(row[~hit], minlength=last - first).astype(np.float32)
 
@@ -530,7 +530,7 @@ def _pairs_shared(mine: Cell, others: Cell, first: int, last: int) -> np.ndarray
         return np.zeros((last - first, len(others.questions)), np.float32)
     known, held, rest = made
     have, more = _common_pairs(mine, known, first, last)
-    return have @ held.T + np.minimum(more[:, None], rest)
+    return have.astype(np.float32) @ held.T.astype(np.float32) + np.minimum(more[:, None], rest)
 
 
 def may_be_alike(mine: Cell, others: Cell, threshold: float, ordered: bool = False, both: bool = False) -> Iterator[tuple[int, np.ndarray]]:
@@ -542,6 +542,8 @@ def may_be_alike(mine: Cell, others: Cell, threshold: float, ordered: bool = Fal
     """
     share, wide, words = np.float32(least_share(threshold) - _SLACK), np.float32(least_reach(threshold) - _SLACK), least_jaccard(threshold)
     b = others.size.astype(np.float32)
+    (x, every), (y, most) = mine.words(), others.words()
+    y = y.T.astype(np.float32)
     for first in range(0, len(mine.questions), SLICE):
         last = min(first + SLICE, len(mine.questions))
         a = mine.size[first:last].astype(np.float32)[:, None]
@@ -566,9 +568,8 @@ def may_be_alike(mine: Cell, others: Cell, threshold: float, ordered: bool = Fal
         if left.any():
             need = np.float32(1.5 * threshold - 1 - _SLACK) * (a + b) - np.float32(1.01)
             found |= left & (_pairs_shared(mine, others, first, last) >= need)
-        (x, many), (y, most) = mine.words(), others.words()
-        many = many[first:last, None]
-        shared = x[first:last] @ y.T
+        many = every[first:last, None]
+        shared = x[first:last].astype(np.float32) @ y
         few = np.minimum(many, most)
         stemmed = open_ & (few > 0) & (b >= wide * a) & (b * wide <= a)
         found |= stemmed & (shared >= np.float32(words / (1 + words)) * (many + most) - np.float32(0.01))
@@ -620,8 +621,8 @@ def _meet(a: DataFrame, b: DataFrame, find: Callable[[Cell, Cell], list[tuple]])
 
 #: Cells of a group beyond which its texts are written once, as blocks of like length that are read for each other.
 MOST_CELLS = 4
-#: Lengths of a block, as a power of e, and blocks of each side in a task.
-BAND, HELD, ASKING = 0.2, 12, 16
+#: Lengths of a block, as a power of e, and how many blocks of each side a task has, and bytes sent at once.
+BAND, HELD, BATCH_BYTES = 0.2, 6, 1 << 22
 
 
 def _meet_texts(a: DataFrame, b: DataFrame, find: Callable[..., list[tuple]], reach: float, ordered: bool = False) -> DataFrame:
@@ -643,7 +644,7 @@ def _meet_texts(a: DataFrame, b: DataFrame, find: Callable[..., list[tuple]], re
     count, other = asking.count(), held.count()
     least = math.isqrt(2 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     # by ranges, so that a task has blocks of like length, all or none of which meet those of another
-    x = asking.repartitionByRange(max(-(-count // ASKING), min(count, least), 1), "w", "block").select(*(F.col(c).alias(f"{c}_a") for c in asking.columns))
+    x = asking.repartitionByRange(max(-(-count // HELD), min(count, least), 1), "w", "block").select(*(F.col(c).alias(f"{c}_a") for c in asking.columns))
     y = held.repartitionByRange(max(-(-other // HELD), min(other, least), 1), "w", "block").select(*(F.col(c).alias(f"{c}_b") for c in held.columns))
     meet = (F.col("w_a") == F.col("w_b")) & (F.col("longest_a") >= F.col("shortest_b") * (reach - _SLACK)) & (F.col("longest_b") >= F.col("shortest_a") * (reach - _SLACK))
     if ordered:
@@ -658,7 +659,7 @@ def _meet_texts(a: DataFrame, b: DataFrame, find: Callable[..., list[tuple]], re
                 cells[name] = cells.pop(name)
             else:
                 same = [k for k in cells if k[0] == side]
-                if len(same) >= (2 * HELD if side == "b" else 1):
+                if len(same) >= (HELD + 1 if side == "b" else 1):
                     del cells[same[0]]
                 rows = batch[f"rows_{side}"][i].values
                 cells[name] = _cell(pd.DataFrame({c: rows.field(c).to_pylist() for c in "cknso"}))
@@ -673,7 +674,16 @@ def _meet_texts(a: DataFrame, b: DataFrame, find: Callable[..., list[tuple]], re
 
     # each task pairs some blocks of one side with some of the other, so nothing is copied but what it holds
     met = x.hint("shuffle_replicate_nl").join(y, meet).select("w_a", "block_a", "block_b", "rows_a", "rows_b")
-    found = met.mapInArrow(match, "a string, b string, score double, reason string")
+    # a row of two blocks is large, so a batch of the usual bytes, which both sides hold, would have many of them
+    conf, limit = a.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = conf.get(limit, None)
+    conf.set(limit, str(BATCH_BYTES))
+    try:
+        found = materialize(met.mapInArrow(match, "a string, b string, score double, reason string"), "met")
+    finally:
+        conf.unset(limit) if usual is None else conf.set(limit, usual)
+    for df in {id(x): x for x in (asking, held)}.values():
+        discard(df)
     return _meet(*small, find).unionByName(found)
 
 
@@ -723,7 +733,8 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
     """(a, b, score, reason) of the contents (w, c, n, s, o) that the rule calls the same; those of other w don't meet.
 
     by_options: the rule looks at options; apart: pairs with equal sets of options may be left out; ordered: both sides
-    are the same, and only the pairs of a content with those of a smaller k are asked for (others may be found too).
+    are the same, and only the pairs of a content with those of a smaller k are asked for (others may be found too, and
+    those of empty texts are not).
     """
     if not ordered:
         left, right = (side.withColumn("k", F.lit(0).cast("long")) for side in (left, right))
@@ -749,11 +760,13 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
         # options alone can make two questions of a batch the same; for stored ones the texts must be likely too
         return mixed(mine, others, max(BOOST_TEXT, 2 * threshold - 1) if rule is compare_stored else 0.0)
 
-    equal = left.select("w", "n", F.col("c").alias("a")).join(right.select("w", "n", F.col("c").alias("b")), ["w", "n"]).select("a", "b", F.lit(1.0).alias("score"), F.lit("EXACT_NORMALIZED").alias("reason"))
     if least_jaccard(threshold) > 0:
-        found = equal.unionByName(_meet_texts(left, right, alike, least_reach(threshold), ordered))
+        found = _meet_texts(left, right, alike, least_reach(threshold), ordered)
     else:  # nothing follows for the stems from so low a threshold
-        found = equal.unionByName(_meet_texts(left, right, mixed, 0.0))
+        found = _meet_texts(left, right, mixed, 0.0)
+    if not ordered:
+        equal = left.select("w", "n", F.col("c").alias("a")).join(right.select("w", "n", F.col("c").alias("b")), ["w", "n"])
+        found = found.unionByName(equal.select("a", "b", F.lit(1.0).alias("score"), F.lit("EXACT_NORMALIZED").alias("reason")))
     if by_options:
         found = found.unionByName(_meet(*_by_options(left, right, apart), chosen))
     return found.distinct()
