@@ -780,39 +780,15 @@ def _near_few(asked: list[Question], right: DataFrame, threshold: float, rule) -
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Cell([Question(k, None, n, s) for k, n, s in sent.value])
-        cut = []
-        for width in (2, GRAM):
-            code, row = _pairs_of([q.normal for q in mine.questions], width)
-            cut.append(np.split(code, np.searchsorted(row, np.arange(1, len(mine.questions)))))
-        many, having = np.array([len(set(q.stems)) for q in mine.questions]), {}
-        for k, q in enumerate(mine.questions):
-            for w in set(q.stems):
-                having.setdefault(w, []).append(k)
-
-        def by_stems(others: Cell) -> list[list[int]]:
-            """For each question the places of the texts whose stems overlap by `share`."""
-            out = [[] for _ in mine.questions]
-            for i, q in enumerate(others.questions):
-                own = set(q.stems)
-                met = [having[w] for w in own if w in having]
-                if met and len(met) >= share * len(own):
-                    both = np.bincount(np.concatenate(met), minlength=len(many))
-                    for k in np.flatnonzero((both > 0) & (both >= share * (many + len(own) - both))).tolist():
-                        out[k].append(i)
-            return out
-
         for pdf in parts:
             found = []
             # texts of like length together, so that most questions pass most of them by
             bands = np.floor(2 * np.log(np.maximum(pdf["n"].str.len(), 1)) / max(0.1, -math.log(least_share(threshold))))
             for _, rows in pdf.groupby(bands, sort=False):
                 others = _cell(rows)
-                index, stemmed = PairIndex([q.normal for q in others.questions], threshold), by_stems(others)
-                for k, x in enumerate(mine.questions):
-                    at = np.union1d(index.near(cut[0][k], len(x.normal), cut[1][k]), np.array(stemmed[k], np.int64)).astype(np.int64)
-                    for i in others.likely(mine, k, at, threshold).tolist():
-                        if hit := rule(x, others.questions[i], threshold):
-                            found.append((x.key, others.questions[i].key, *hit))
+                for k, at in may_be_alike(mine, others, threshold):
+                    x = mine.questions[k]
+                    found += [(x.key, others.questions[i].key, *hit) for i in at.tolist() if (hit := rule(x, others.questions[i], threshold))]
             yield pd.DataFrame(found, columns=["a", "b", "score", "reason"])
 
     return right.where("n <> ''").select("c", "n", "s", "o").mapInPandas(match, "a string, b string, score double, reason string")
