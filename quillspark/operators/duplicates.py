@@ -1,14 +1,14 @@
 """Duplicate questions: a similarity join through inverted indexes, and the greedy choice of first ones as a fixed point.
 
 Two texts are alike if their aligned share of characters reaches the threshold, or a mix of it with the overlap of their
-stems does. Each way has its own index, with limits that follow from the threshold:
+stems does. Each way has limits that follow from the threshold:
 
-- aligned: texts meet by bands of length; in a cell of a band the rows are indexed by their character pairs, and a
-  question's rarer pairs are counted first, its commonest only where the count can still be reached;
-- mixed: the overlap (Jaccard) of stems has a lower bound, so texts meet under the rarest stems of each;
+- aligned: texts share character pairs, or longer grams where they are aligned in few runs;
+- mixed: the overlap (Jaccard) of stems has a lower bound, so texts share stems;
 - options: sets of options meet under the rarer of their alike options.
 
-Equal texts are folded first. Crowded bands and stems are cut into cells of a bounded number of characters on both sides.
+Equal texts are folded first. Groups are cut into cells of a bounded number of characters on both sides; large ones are
+written once, in blocks of like length that tasks read for each other.
 No pair is lost: every limit is one that a pair at the threshold can't miss.
 """
 
@@ -775,7 +775,6 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, rule, by_options:
 def _near_few(asked: list[Question], right: DataFrame, threshold: float, rule) -> DataFrame:
     """(a, b, score, reason) as `_near` finds them without options, for questions that every task can hold: no row of `right`
     is moved. The threshold must say something of stems."""
-    share = least_jaccard(threshold)
     sent = right.sparkSession.sparkContext.broadcast([(q.key, q.normal, q.stems) for q in asked])
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
